@@ -43,11 +43,12 @@ def saved(frame: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and two private columns: `_k` identifies a row by id and text, `_o` orders documents (null ids last)."""
+    """doc_id, text and private columns: `_k` identifies a row by id and text, `_j` is a short hash of that to deal
+    rows by, `_o` orders documents (null ids last)."""
     doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(doc_id.alias("doc_id"), text.alias("text")).select(
-        "doc_id", "text", F.xxhash64("doc_id", "text").alias("_k"), F.coalesce("doc_id", F.lit(LAST)).alias("_o")
-    )
+    docs = docs.select(doc_id.alias("doc_id"), text.alias("text"))
+    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_k"), F.coalesce("doc_id", F.lit(LAST)).alias("_o"))
+    return docs.withColumn("_j", F.hash("_k"))
 
 
 def fold(doc_id: Column, parts: int = 5) -> Column:
@@ -178,3 +179,13 @@ def spans_union(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndar
     new[1:] = begin[1:] > end[:-1]
     first = np.flatnonzero(new)
     return begin[first], end[np.append(first[1:], len(begin)) - 1]
+
+
+def minima(values: np.ndarray, width: int) -> np.ndarray:
+    """Minima of all windows of `width`, by doubling."""
+    size = 1
+    while 2 * size <= width:
+        values = np.minimum(values[:-size], values[size:])
+        size *= 2
+    rest = width - size
+    return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values

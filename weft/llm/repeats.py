@@ -16,62 +16,80 @@ from pyspark.sql import functions as F
 
 from weft.llm.common import blocks, flat, groups
 
-PLACE = np.dtype([("k", "<i8"), ("pos", "<i4")])
 #: An anchor that occurs more often than this is dealt by whole windows instead.
 HEAVY = 20_000
+#: Buckets of hashes for each shuffle partition.
+SPREAD = 8
 
 
 def repeated(docs: DataFrame, anchors: Callable, heavy: int = HEAVY) -> DataFrame:
-    """`_k`, pos, heavy of every anchor whose hash occurs twice or more in all documents.
+    """`_j`, pos, heavy of every anchor whose hash occurs twice or more in all documents.
 
-    docs has `_k` and text; anchors(data, offsets) gives hash, row and position of the anchors of a block.
+    docs has `_j` and text; anchors(data, offsets) gives hash, row and position of the anchors of a block. As `_j` and
+    the 40 bits that are compared in a bucket may be shared by chance, some places too many may be returned, never
+    one too few. A block packs its anchors of a bucket into one row, at 13 bytes each.
     """
+    buckets = np.uint64(SPREAD * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            data, offsets = flat(block.column("text"))
-            h, row, pos = anchors(data, offsets)
+            h, row, pos = anchors(*flat(block.column("text")))
             if not len(h):
                 continue
-            order, new = groups(h)
-            place = np.empty(len(h), dtype=PLACE)
-            place["k"], place["pos"] = block.column("_k").to_numpy()[row[order]], pos[order]
+            bucket = ((h >> np.uint64(40)) % buckets).astype(np.int32)
+            order, new = groups(bucket)
             first = np.flatnonzero(new)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h[order][first].view(np.int64)), binary_rows(place.tobytes(), np.append(first, len(h)) * PLACE.itemsize)], names=["h", "at"]
-            )
+            h, j, pos = h[order], block.column("_j").to_numpy()[row[order]], pos[order]
+            packed = [_pack(h[a:b], j[a:b], pos[a:b]) for a, b in zip(first, np.append(first[1:], len(h)))]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][first]), pa.array(packed, pa.binary())], names=["bucket", "anchors"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.Table.from_batches(list(batches), schema=pa.schema([("h", pa.int64()), ("at", pa.binary())]))
-        if not held.num_rows:
-            return
-        h = held.column("h").to_numpy()
-        data, offsets = flat(held.column("at"))
-        n = np.diff(offsets) // PLACE.itemsize
-        order, new = groups(h)
-        group = np.empty(len(h), dtype=np.int64)
-        group[order] = np.cumsum(new) - 1
-        total = np.bincount(group, weights=n).astype(np.int64)[group]
-        place, times = data.view(PLACE), np.repeat(total, n)
-        keep = times > 1
-        for at in range(0, int(keep.sum()), 1 << 18):
-            k, pos, much = (x[keep][at : at + (1 << 18)] for x in (place["k"], place["pos"], times > heavy))
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(pos), pa.array(much)], names=["_k", "pos", "heavy"])
-
-    hashes = docs.select("_k", "text").mapInArrow(emit, "h long, at binary")
-    return hashes.repartition("h").mapInArrow(meet, "_k long, pos int, heavy boolean")
+        by_bucket: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                by_bucket.setdefault(bucket, []).append(packed)
+        while by_bucket:
+            _, rows = by_bucket.popitem()
+            h, j, pos = (np.concatenate(x) for x in zip(*map(_unpack, rows)))
+            order, new = groups(h)
+            times = np.diff(np.append(np.flatnonzero(new), len(h)))
+            times = np.repeat(times, times)
+            keep = times > 1
+            j, pos, much = j[order][keep], pos[order][keep], times[keep] > heavy
+            yield pa.RecordBatch.from_arrays([pa.array(j), pa.array(pos), pa.array(much)], names=["_j", "pos", "heavy"])
+
+    hashes = docs.select("_j", "text").mapInArrow(emit, "bucket int, anchors binary")
+    return hashes.repartition("bucket").mapInArrow(meet, "_j int, pos int, heavy boolean")
+
+
+def _pack(h: np.ndarray, j: np.ndarray, pos: np.ndarray) -> bytes:
+    """40 bits of the hashes, then keys, then positions; each by planes of bytes, as high bytes compress well so."""
+    planes = (h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5], j.astype("<i4").view(np.uint8).reshape(-1, 4), pos.astype("<i4").view(np.uint8).reshape(-1, 4))
+    return np.concatenate([x.T.reshape(-1) for x in planes]).tobytes()
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    planes = np.frombuffer(packed, dtype=np.uint8).reshape(13, -1).T
+    h = np.zeros((len(planes), 8), dtype=np.uint8)
+    h[:, :5] = planes[:, :5]
+    j, pos = np.ascontiguousarray(planes[:, 5:9]), np.ascontiguousarray(planes[:, 9:])
+    return h.view("<u8").reshape(-1), j.view("<i4").reshape(-1), pos.view("<i4").reshape(-1)
+
+
+#: What both steps that need the texts read of them, so that Spark deals them out once and uses that again.
+TEXTS = ("doc_id", "_k", "_o", "_j", "text")
 
 
 def with_places(docs: DataFrame, places: DataFrame) -> DataFrame:
     """The documents that have such anchors, with the list `_at` of them (no longer than the document)."""
-    lists = places.groupBy("_k").agg(F.collect_list(F.struct("pos", "heavy")).alias("_at"))
-    return docs.join(lists, "_k")
+    lists = places.groupBy("_j").agg(F.collect_list(F.struct("pos", "heavy")).alias("_at"))
+    return docs.select(*TEXTS).join(lists, "_j").select(*TEXTS, "_at")
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """All documents, with the list `_spans` of what to remove (o, s, e), or null."""
-    lists = spans.groupBy("_k").agg(F.collect_list(F.struct("o", "s", "e")).alias("_spans"))
-    return docs.join(lists, "_k", "left")
+    """All documents, with the list `_spans` of what to remove (k, o, s, e), or null."""
+    lists = spans.withColumn("_j", F.hash("_k")).groupBy("_j").agg(F.collect_list(F.struct(F.col("_k").alias("k"), "o", "s", "e")).alias("_spans"))
+    return docs.select(*TEXTS).join(lists, "_j", "left").select(*TEXTS, "_spans")
 
 
 def listed(column: pa.Array, *names: str) -> tuple[np.ndarray, ...]:
@@ -85,10 +103,9 @@ def listed(column: pa.Array, *names: str) -> tuple[np.ndarray, ...]:
 
 
 def span_lists(block: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each row, begins and ends of its own spans (those of a row with the same `_k` but another id are left out)."""
-    rows, o, s, e = listed(block.column("_spans"), "o", "s", "e")
-    own = block.column("_o").to_numpy()
-    keep = o == own[rows]
+    """For each row, begins and ends of its own spans (those of other rows with the same `_j` are left out)."""
+    rows, k, o, s, e = listed(block.column("_spans"), "k", "o", "s", "e")
+    keep = (o == block.column("_o").to_numpy()[rows]) & (k == block.column("_k").to_numpy()[rows])
     rows, s, e = rows[keep], s[keep].astype(np.int64), e[keep].astype(np.int64)
     at = np.searchsorted(rows, np.arange(block.num_rows + 1))
     for i in range(block.num_rows):
@@ -117,8 +134,3 @@ def _starts(order: np.ndarray, key: tuple[np.ndarray, ...]) -> np.ndarray:
         ranked = x[order]
         new[1:] |= ranked[1:] != ranked[:-1]
     return new
-
-
-def binary_rows(data: bytes, offsets: np.ndarray) -> pa.Array:
-    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
-

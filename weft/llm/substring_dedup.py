@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from weft.llm.common import blocks, flat, groups, keyed, mix, rolling, runs, spans_union, word_bounds, word_hashes
+from weft.llm.common import blocks, flat, groups, keyed, minima, mix, rolling, spans_union, word_bounds, word_hashes
 from weft.llm.repeats import later, listed, repeated, span_lists, with_places, with_spans
 
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -24,12 +24,10 @@ _COVER = np.zeros(PERIOD, dtype=bool)
 _COVER[list(COVER)] = True
 
 
-def _windows(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _windows(values: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all windows of `width` words in a block, whether each lies in one row, its row and its position."""
-    starts, ends, at = word_bounds(data, offsets)
-    values = word_hashes(data, starts, ends)
     h = rolling(values, width)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(at))[: len(h)]
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(h)]
     pos = np.arange(len(h)) - at[row]
     return mix(h), at[row + 1] - at[row] >= pos + width, row, pos
 
@@ -44,7 +42,8 @@ def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         raise ValueError(f"a window needs {PERIOD} words or more")
 
     def anchors(data: np.ndarray, offsets: np.ndarray):
-        h, whole, row, pos = _windows(data, offsets, size)
+        starts, ends, at = word_bounds(data, offsets)
+        h, whole, row, pos = _windows(word_hashes(data, starts, ends), at, size)
         keep = whole & _COVER[pos % PERIOD]
         return h[keep], row[keep], pos[keep]
 
@@ -52,7 +51,9 @@ def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         """Windows around repeated anchors; those with an earlier one in the same block are settled here."""
         for block in blocks(batches):
             data, offsets = flat(block.column("text"))
-            h, whole, row, pos = _windows(data, offsets, window)
+            starts, ends, first = word_bounds(data, offsets)
+            values = word_hashes(data, starts, ends)
+            h, whole, row, pos = _windows(values, first, window)
             if not len(h):
                 continue
             n = np.bincount(row, minlength=block.num_rows)
@@ -65,44 +66,61 @@ def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             at = np.flatnonzero((np.cumsum(mark)[:-1] > 0) & whole)
             if not len(at):
                 continue
-            w, s, r = h[at].view(np.int64), pos[at], row[at]
-            check = (mix(h[at] ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            w, s, r = h[at], pos[at], row[at]
             o, k = block.column("_o").to_numpy()[r], block.column("_k").to_numpy()[r]
             known = later((w,), (o, k, s))
-            yield _rows(w[~known], check[~known], o[~known], k[~known], s[~known], np.full((~known).sum(), -1))
-            ro, rs = r[known], s[known]
-            line = ro * (1 << 40) + rs
-            b, e = runs(line, window)
-            i = np.searchsorted(line, b)
-            b, e = b - ro[i] * (1 << 40), e - ro[i] * (1 << 40)
-            yield _rows(k[known][i], np.zeros(len(i), dtype=np.int32), o[known][i], k[known][i], b, e)
+            new = np.flatnonzero(_breaks(r[known], s[known], window))
+            if len(new):
+                to = np.append(new[1:], known.sum()) - 1
+                ro, b, e = k[known][new], s[known][new], s[known][to] + window
+                yield _rows(ro, o[known][new], ro, b, e, [b""] * len(new))
+            # Windows in a row that share their least anchor go as one row, to where their equals go too.
+            least = minima((rolling(values, size) & ~np.uint64(0xFFFF)) | (np.arange(len(values) - size + 1, dtype=np.uint64) & np.uint64(0xFFFF)), PERIOD)[at]
+            keep = ~known
+            w, s, r, o, k, least = w[keep], s[keep], r[keep], o[keep], k[keep], least[keep]
+            new = _breaks(r, s, 1)
+            new[1:] |= least[1:] != least[:-1]
+            new = np.flatnonzero(new)
+            to = np.append(new[1:], len(s))
+            packed = [w[a:b].tobytes() for a, b in zip(new.tolist(), to.tolist())]
+            yield _rows((least[new] >> np.uint64(16)).view(np.int64), o[new], k[new], s[new], np.full(len(new), -1), packed)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = list(batches)
         if not found:
             return
-        w, c, o, k, s, e = (pa.concat_arrays([b.column(i) for b in found]).to_numpy(zero_copy_only=False) for i in range(6))
+        m, o, k, s, e = (pa.concat_arrays([b.column(i) for b in found]).to_numpy(zero_copy_only=False) for i in range(5))
+        data, offsets = flat(pa.concat_arrays([b.column(5) for b in found]))
+        del found
         done = e >= 0
         out = [(k[done], o[done], s[done], e[done])]
-        w, c, o, k, s = (x[~done] for x in (w, c, o, k, s))
-        again = later((w, c), (o, k, s))
-        order, _ = groups(k[again], s[again])
+        n = np.diff(offsets) // 8
+        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        w, m, o, k, s = data.view(np.uint64), np.repeat(m, n), np.repeat(o, n), np.repeat(k, n), np.repeat(s, n) + inside
+        again = later((m, w), (o, k, s))
+        order, _ = groups(k[again], o[again], s[again])
         k, o, s = (x[again][order] for x in (k, o, s))
-        new = np.ones(len(k), dtype=bool)
-        new[1:] = (k[1:] != k[:-1]) | (s[1:] > s[:-1] + window)
-        first = np.flatnonzero(new)
-        out.append((k[first], o[first], s[first], s[np.append(first[1:], len(k)) - 1] + window if len(first) else s))
+        first = np.flatnonzero(_breaks(k, s, window))
+        if len(first):
+            out.append((k[first], o[first], s[first], s[np.append(first[1:], len(k)) - 1] + window))
         for columns in out:
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(columns, ("i8", "i8", "i4", "i4"))], names=["_k", "o", "s", "e"])
 
     near = with_places(docs, repeated(docs, anchors))
-    windows = near.select("_k", "_o", "text", "_at").mapInArrow(extend, "w long, c int, o long, k long, s int, e int")
+    windows = near.mapInArrow(extend, "w long, o long, k long, s int, e int, windows binary")
     return windows.repartition("w").mapInArrow(settle, "_k long, o long, s int, e int")
 
 
-def _rows(w, c, o, k, s, e) -> pa.RecordBatch:
-    kinds = ("i8", "i4", "i8", "i8", "i4", "i4")
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x).astype(t, copy=False)) for x, t in zip((w, c, o, k, s, e), kinds)], names=["w", "c", "o", "k", "s", "e"])
+def _breaks(key: np.ndarray, start: np.ndarray, reach: int) -> np.ndarray:
+    """True where a new run begins: another key, or a start more than `reach` after the one before."""
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (start[1:] > start[:-1] + reach)
+    return new
+
+
+def _rows(w, o, k, s, e, windows) -> pa.RecordBatch:
+    columns = [pa.array(np.asarray(x).astype(t, copy=False)) for x, t in zip((w, o, k, s, e), ("i8", "i8", "i8", "i4", "i4"))]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(windows, pa.binary())], names=["w", "o", "k", "s", "e", "windows"])
 
 
 def dedup_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
