@@ -72,7 +72,7 @@ class Pieces:
                 self.prefix = bool(dict(_fields(value)).get(3, 1))
         normal = [s for s, k in zip(scores, self.kinds) if k == NORMAL]
         self.unknown = self.kinds.index(UNKNOWN)
-        self.unknown_score = np.float32(min(normal) - PENALTY)
+        self.unknown_score = min(normal) - PENALTY
         self.byte_ids = np.full(256, self.unknown, dtype=np.int32)
         self._lists(scores)
 
@@ -97,7 +97,7 @@ class Pieces:
                 node = edges[node, code]
             ids[node], best[node] = i, scores[i]
         self.edges = edges
-        self.ids, self.scores = np.array(ids, dtype=np.int32), np.array(best, dtype=np.float32)
+        self.ids, self.scores = np.array(ids, dtype=np.int32), np.array(best)
         n = len(letters) + 1
         self.width = np.int64(n)
         self.together = np.zeros(n * n, dtype=bool)
@@ -222,7 +222,7 @@ def _side_by_side(pieces: Pieces, codes: np.ndarray, size: int) -> tuple[np.ndar
     codes has a row for each, filled up with 0xFFFF, which is in no piece.
     """
     n = len(codes)
-    score = np.full((n, size + 1), -np.inf, dtype=np.float32)
+    score = np.full((n, size + 1), -np.inf)
     score[:, 0] = 0
     back, ids = np.zeros((n, size + 1), dtype=np.int16), np.zeros((n, size + 1), dtype=np.int32)
     for start in range(size):
