@@ -29,7 +29,9 @@ N_CLASSES = 9
 N_WORDS = 1 + max(len(set(x.split())) for x in COMMON.values())
 SYMBOLS = b"#*$%&|<>"
 MIN_CHARS, MIN_WORDS = 200, 50
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.60
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.24
+#: Few words stray further from a reference by chance: this over the square root of their number is added to the limit.
+SLACK = 0.8
 
 _RANKS = {lang: {w.encode(): i for i, w in enumerate(dict.fromkeys(words.split()))} for lang, words in COMMON.items()}
 _KIND = np.full(256, 7, dtype=np.int64)
@@ -151,6 +153,7 @@ def quality(
     docs: DataFrame,
     max_char_distance: float = MAX_CHAR_DISTANCE,
     max_word_distance: float = MAX_WORD_DISTANCE,
+    slack: float = SLACK,
     min_chars: int = MIN_CHARS,
     min_words: int = MIN_WORDS,
 ) -> DataFrame:
@@ -158,7 +161,8 @@ def quality(
     word_distance.
 
     base_failed: under 50 words, or more than half of them in 3-word windows that occur twice. kept is false then;
-    otherwise both distances to the references of the document's language must be within their limits. A histogram of
+    otherwise both distances to the references of the document's language must be within their limits (that for words
+    grows by slack / sqrt(n_words)). A histogram of
     fewer than `min_chars` characters or `min_words` words is not judged (its distance is null). A null or unknown language
     is replaced by that whose common words cover most of the text. Null texts have no words. Each row gives a row; an
     empty table gives an empty one; further columns are ignored.
@@ -181,6 +185,6 @@ def quality(
 
     judged = measured.mapInArrow(judge, MEASURES.split(", language")[0] + ", char_distance double, word_distance double")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    fits = (F.coalesce("char_distance", F.lit(0.0)) <= max_char_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= max_word_distance)
+    fits = (F.coalesce("char_distance", F.lit(0.0)) <= max_char_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= max_word_distance + slack / F.sqrt("n_words"))
     names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return judged.select(*names, failed.alias("base_failed"), (~failed & fits).alias("kept"), "char_distance", "word_distance")
