@@ -42,12 +42,26 @@ def saved(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def carried(docs: DataFrame, keep: tuple[str, ...]) -> list[Column]:
+    """The columns to keep, as one private struct; none for none."""
+    return [F.struct(*(docs[c] for c in keep)).alias("_keep")] if keep else []
+
+
+def carried_type(docs: DataFrame) -> str:
+    """That struct's part of a schema."""
+    return f", _keep {docs.schema['_keep'].dataType.simpleString()}" if "_keep" in docs.columns else ""
+
+
+def carried_back(result: DataFrame) -> DataFrame:
+    return result.select(*(c for c in result.columns if c != "_keep"), "_keep.*") if "_keep" in result.columns else result
+
+
+def keyed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text and private columns: `_k` identifies a row by id and text, `_j` is a short hash of that to deal
-    rows by, `_o` orders documents (null ids last)."""
+    rows by, `_o` orders documents (null ids last), `_keep` has what else is to be kept."""
     doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    docs = docs.select(doc_id.alias("doc_id"), text.alias("text"))
-    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_k"), F.coalesce("doc_id", F.lit(LAST)).alias("_o"))
+    docs = docs.select(doc_id.alias("doc_id"), text.alias("text"), *carried(docs, keep))
+    docs = docs.select("*", F.xxhash64("doc_id", "text").alias("_k"), F.coalesce("doc_id", F.lit(LAST)).alias("_o"))
     return docs.withColumn("_j", F.hash("_k"))
 
 

@@ -44,7 +44,7 @@ class Index:
     """The items of one block: for each size class and permutation, their least values in order."""
 
     def __init__(self, items: list[tuple], shingle: int, permutations: int):
-        self.items = items
+        self.items, self.shingle = items, shingle
         self.factors = np.random.default_rng(7).integers(1, 1 << 63, permutations, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         texts = pa.array([t for _, t in items], pa.binary())
         h, at = _shingles(*flat(texts), shingle)
@@ -64,6 +64,20 @@ class Index:
                 seen[p, (least[p] >> np.uint64(50)).astype(np.int64)] = True
             self.classes[size] = (np.take_along_axis(least, order, axis=1), np.array(members)[order], seen)
 
+    def contained(self, text: pa.Array, threshold: float) -> list[tuple]:
+        """Row, item_id, shingles, shared shingles and containment of the rows that hold enough of an item."""
+        sets: dict[int, set[bytes]] = {}
+        out, row, own = [], -1, set()
+        for r, i in sorted(self.search(*_shingles(*flat(text), self.shingle))):
+            if r != row:
+                row, own = r, shingle_set((text[r].as_py() or "").encode(), self.shingle)
+            if i not in sets:
+                sets[i] = shingle_set(self.items[i][1], self.shingle)
+            shared = len(sets[i] & own)
+            if shared >= threshold * len(sets[i]):
+                out.append((r, self.items[i][0], len(sets[i]), shared, shared / len(sets[i])))
+        return out
+
     def search(self, h: np.ndarray, at: np.ndarray) -> set[tuple[int, int]]:
         """Pairs of a row and an item with an equal least value under some permutation."""
         found: set[tuple[int, int]] = set()
@@ -98,36 +112,42 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     are in no pair. Null ids are returned as they are; repeated rows of either table give repeated pairs; empty tables
     give none; further columns are ignored.
     """
-    docs, spark = keyed(docs), docs.sparkSession
+    docs = keyed(docs)
 
     def search(index) -> DataFrame:
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = index.value
-            sets: dict[int, set[bytes]] = {}
             for block in blocks(batches):
-                text = block.column("text")
-                h, at = _shingles(*flat(text), shingle)
-                out, row, own = [], -1, set()
-                for r, i in sorted(known.search(h, at)):
-                    if r != row:
-                        row, own = r, shingle_set(text[r].as_py().encode(), shingle)
-                    if i not in sets:
-                        sets[i] = shingle_set(known.items[i][1], shingle)
-                    shared = len(sets[i] & own)
-                    if shared >= threshold * len(sets[i]):
-                        out.append((block.column("doc_id")[r].as_py(), known.items[i][0], len(sets[i]), shared, shared / len(sets[i])))
+                out = [(block.column("doc_id")[r].as_py(), *rest) for r, *rest in index.value.contained(block.column("text"), threshold)]
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
                 names = ["doc_id", "item_id", "n_shingles", "n_shared", "containment"]
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], kind) for c, kind in enumerate(kinds)], names=names)
 
         return docs.select("doc_id", "text").mapInArrow(each, SCHEMA)
 
-    found, held = [], []
+    return reduce(DataFrame.unionByName, map(search, _indexes(items, shingle, permutations)))
+
+
+def without_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, permutations: int = PERMUTATIONS) -> DataFrame:
+    """The rows of docs, with all their columns, that contain no item so far; see contained_items()."""
+    for index in _indexes(items, shingle, permutations):
+
+        def each(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for block in blocks(batches):
+                keep = np.ones(block.num_rows, dtype=bool)
+                keep[[r for r, *_ in index.value.contained(block.column("text"), threshold)]] = False
+                yield block.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(each, docs.schema)
+    return docs
+
+
+def _indexes(items: DataFrame, shingle: int, permutations: int) -> Iterator:
+    """The items as broadcast indexes of a bounded number each; one empty index if there are none."""
+    context, held, empty = items.sparkSession.sparkContext, [], True
     for row in items.selectExpr("CAST(item_id AS BIGINT)", "CAST(coalesce(text, '') AS BINARY) AS text").toLocalIterator():
         held.append((row[0], bytes(row[1])))
         if len(held) == ITEMS:
-            found.append(search(spark.sparkContext.broadcast(Index(held, shingle, permutations))))
-            held = []
-    if held or not found:
-        found.append(search(spark.sparkContext.broadcast(Index(held, shingle, permutations))))
-    return reduce(DataFrame.unionByName, found)
+            yield context.broadcast(Index(held, shingle, permutations))
+            held, empty = [], False
+    if held or empty:
+        yield context.broadcast(Index(held, shingle, permutations))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import LAST, blocks, groups, keyed, saved
+from weft.llm.common import LAST, blocks, carried_back, carried_type, groups, keyed, saved
 from weft.llm.repeats import SPREAD, TEXTS, listed
 
 THRESHOLD, MIN_CHARS = 2, 30
@@ -265,8 +265,8 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: int, min_chars: int)
     return both.mapInArrow(check, "a long, b long")
 
 
-def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, n_lines, n_removed, n_links, class_id, kept_sha256, kept_text: a line is removed if the same line, or one
+def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_lines, n_removed, n_links, class_id, kept_sha256, kept_text and the columns to keep: a line is removed if the same line, or one
     within `threshold` edits, occurs earlier (smaller doc_id, or same document, earlier line).
 
     Lines are split at \\n and compared without white space around them; lines under `min_chars` characters stay. n_links
@@ -275,7 +275,7 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     rows equal in id and text count as one document and each gets the same result; an empty table gives an empty one;
     further columns are ignored. Equal lines are told by 63 bits of a hash.
     """
-    docs = keyed(docs)
+    docs = keyed(docs, keep)
     places = saved(occurrences(docs, min_chars))
     kinds = saved(places.groupBy("line").agg(F.min(F.struct("o", "k", "i")).alias("first"), F.first("n").alias("n"), F.first("x").alias("x"), F.first("y").alias("y")))
     links = verified(docs, candidates(meetings(docs, threshold, min_chars), kinds, threshold), threshold, min_chars)
@@ -284,8 +284,10 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     known = kinds.join(near, kinds.line == near.a, "left").select("line", F.least("first", "near").alias("first"), F.coalesce("links", F.lit(0)).alias("links"))
     marks = places.join(known, "line").withColumn("gone", F.struct("o", "k", "i") > F.col("first")).where("gone OR links > 0")
     lists = marks.withColumn("_j", F.hash("k")).groupBy("_j").agg(F.collect_list(F.struct("k", "o", "i", "gone", "links", F.col("first.o").alias("least"))).alias("_marks"))
-    found = docs.select(*TEXTS).join(lists, "_j", "left").select(*TEXTS, "_marks")
-    return found.mapInArrow(_cut, "doc_id long, n_lines long, n_removed long, n_links long, class_id long, kept_sha256 string, kept_text string")
+    texts = docs.select(*TEXTS, "_keep") if keep else docs.select(*TEXTS)
+    found = texts.join(lists, "_j", "left").select(*texts.columns, "_marks")
+    schema = "doc_id long, n_lines long, n_removed long, n_links long, class_id long, kept_sha256 string, kept_text string"
+    return carried_back(found.mapInArrow(_cut, schema + carried_type(texts)))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +311,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append((len(lines), len(lines) - len(kept), hashlib.sha256(joined.encode()).hexdigest(), joined))
         n, gone, sha, joined = zip(*out)
         classes = pa.array([None if x == LAST else x for x in first.tolist()], pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [block.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count), classes, pa.array(sha), pa.array(joined, pa.string())],
-            names=["doc_id", "n_lines", "n_removed", "n_links", "class_id", "kept_sha256", "kept_text"],
-        )
+        more = [x for x in block.schema.names if x == "_keep"]
+        columns = [block.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count), classes, pa.array(sha), pa.array(joined, pa.string())]
+        names = ["doc_id", "n_lines", "n_removed", "n_links", "class_id", "kept_sha256", "kept_text"]
+        yield pa.RecordBatch.from_arrays([*columns, *(block.column(x) for x in more)], names=[*names, *more])

@@ -24,6 +24,8 @@ RADIUS, SHINGLE, SEED = 2, 3, 42
 #: A bucket with more fingerprints is covered again.
 BUCKET = 32
 DEPTH = 3
+#: Rows of a small table that every task may be given; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -45,14 +47,14 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id, `_o` and fp (the fingerprint as a signed long) of keyed documents."""
+    """doc_id, `_o`, `_k` and fp (the fingerprint as a signed long) of keyed documents."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             fp = np.array([fingerprint(t, shingle, seed) for t in block.column("text").cast(pa.binary()).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("_o"), pa.array(fp.view(np.int64))], names=["doc_id", "_o", "fp"])
+            yield pa.RecordBatch.from_arrays([*(block.column(c) for c in ("doc_id", "_o", "_k")), pa.array(fp.view(np.int64))], names=["doc_id", "_o", "_k", "fp"])
 
-    return docs.select("doc_id", "_o", "text").mapInArrow(each, "doc_id long, _o long, fp long")
+    return docs.select("doc_id", "_o", "_k", "text").mapInArrow(each, "doc_id long, _o long, _k long, fp long")
 
 
 def covering_masks(bits: int, radius: int = RADIUS) -> list[int]:
@@ -92,6 +94,17 @@ def _pairs(rows: DataFrame, radius: int) -> DataFrame:
     return a.join(b, (a.path == b.path) & (a.key == b.key) & (F.col("a") < F.col("b")) & near).select("a", "b")
 
 
+def grouped(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, `_k`, fp and component_id of keyed documents."""
+    prints = saved(fingerprints(docs, shingle))
+    distinct = saved(prints.groupBy("fp").agg(F.min("_o").alias("first")))
+    member = components(close_pairs(distinct.select("fp"), radius))
+    roots = distinct.join(member, distinct.fp == member.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    names = roots.groupBy("root").agg(F.min("first").alias("least"))
+    named = roots.join(names, "root").select("fp", F.when(F.col("least") < LAST, F.col("least")).alias("component_id"))
+    return prints.join(named, "fp").select("doc_id", "_k", "fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id among documents reachable over pairs of
     fingerprints with at most `radius` differing bits.
@@ -100,11 +113,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     null id take part and get a component; component_id is null only where all members' ids are null. Repeated rows are
     each returned; an empty table gives an empty one; further columns are ignored.
     """
-    prints = saved(fingerprints(keyed(docs), shingle))
-    distinct = saved(prints.groupBy("fp").agg(F.min("_o").alias("first")))
-    member = components(close_pairs(distinct.select("fp"), radius))
-    roots = distinct.join(member, distinct.fp == member.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    names = roots.groupBy("root").agg(F.min("first").alias("least"))
-    named = roots.join(names, "root").select("fp", F.when(F.col("least") < LAST, F.col("least")).alias("component_id"))
     hexa = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return prints.join(named, "fp").select("doc_id", hexa, "component_id")
+    return grouped(keyed(docs), radius, shingle).select("doc_id", hexa, "component_id")
+
+
+def first_of_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of their group; in a group without ids, all rows.
+
+    Rows that repeat that id and text stay together. The keys of the others are handed to all tasks if they are few.
+    """
+    gone = saved(grouped(keyed(docs), radius, shingle).where("component_id IS NOT NULL AND NOT doc_id <=> component_id").select(F.col("_k").alias("_gone")).distinct())
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    return docs.join(gone, F.xxhash64(docs["doc_id"].cast("long"), text) == gone["_gone"], "left_anti")
