@@ -277,11 +277,13 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     """
     docs = keyed(docs, keep)
     places = saved(occurrences(docs, min_chars))
-    kinds = saved(places.groupBy("line").agg(F.min(F.struct("o", "k", "i")).alias("first"), F.first("n").alias("n"), F.first("x").alias("x"), F.first("y").alias("y")))
+    kinds = saved(places.groupBy("line").agg(F.min(F.struct("o", "k", "i")).alias("first"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("x").alias("x"), F.first("y").alias("y")))
     links = verified(docs, candidates(meetings(docs, threshold, min_chars), kinds, threshold), threshold, min_chars)
     links = saved(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     near = links.join(kinds.select(F.col("line").alias("b"), "first"), "b").groupBy("a").agg(F.min("first").alias("near"), F.count("*").alias("links"))
-    known = kinds.join(near, kinds.line == near.a, "left").select("line", F.least("first", "near").alias("first"), F.coalesce("links", F.lit(0)).alias("links"))
+    # Lines that occur once and are near no other have no part in this; those of a very frequent line can be split.
+    known = kinds.join(near, kinds.line == near.a, "left").where("times > 1 OR links > 0")
+    known = saved(known.select("line", F.least("first", "near").alias("first"), F.coalesce("links", F.lit(0)).alias("links")))
     marks = places.join(known, "line").withColumn("gone", F.struct("o", "k", "i") > F.col("first")).where("gone OR links > 0")
     lists = marks.withColumn("_j", F.hash("k")).groupBy("_j").agg(F.collect_list(F.struct("k", "o", "i", "gone", "links", F.col("first.o").alias("least"))).alias("_marks"))
     texts = docs.select(*TEXTS, "_keep") if keep else docs.select(*TEXTS)
