@@ -1,32 +1,380 @@
-"""Queries over the relational tables, one for each operator shape, with equivalent SQL."""
+"""Queries over the relational tables, one for each operator, with equivalent SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weft.functions import ids, paths, text
+from weft.operators import asof, components, graph, ranking, rollup
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def module_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brand to nation edges with their weight and the first five sources."""
     lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    return (
-        lines.join(part, lines.l_partkey == part.p_partkey)
-        .join(supplier, lines.l_suppkey == supplier.s_suppkey)
-        .groupBy("p_brand", "s_nationkey")
-        .agg(F.count("*").alias("weight"), F.min("l_suppkey").alias("first_source"))
+    # Deliveries are counted for each part and supplier first; names are looked up for these pairs only.
+    pairs = lines.groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"))
+    named = pairs.join(part, pairs.l_partkey == part.p_partkey).join(supplier, pairs.l_suppkey == supplier.s_suppkey)
+    sources = named.groupBy("p_brand", "s_nationkey", "l_suppkey").agg(F.sum("n").alias("n"))
+    return sources.groupBy("p_brand", "s_nationkey").agg(
+        F.sum("n").alias("weight"), F.concat_ws(",", F.transform(F.slice(F.array_sort(F.collect_list("l_suppkey")), 1, 5), lambda x: x.cast("string"))).alias("sources")
     )
 
 
-QUERIES = {"module_edges": module_edges}
+def external_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    return part.groupBy(F.col("p_type").alias("name")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(18)
+
+
+def fan_in_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    out = used.groupBy(F.col("l_suppkey").alias("id")).agg(F.count("*").alias("fan_out"))
+    into = used.groupBy(F.col("l_partkey").alias("id")).agg(F.count("*").alias("fan_in"))
+    ids_ = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    zero = F.lit(0).cast("long")
+    return ids_.join(out, "id", "left").join(into, "id", "left").select("id", F.coalesce("fan_out", zero).alias("fan_out"), F.coalesce("fan_in", zero).alias("fan_in"))
+
+
+def _url_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
+
+
+def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("path")
+    return _url_paths(spark, sf_dir).select("page_id", paths.basename(p).alias("name"), paths.dirname(p).alias("folder"), paths.extension(p).alias("extension"), paths.stem(p).alias("stem"))
+
+
+def normal_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messy = F.concat(F.lit("./x/../"), F.col("path"), F.lit("/./y/.."))
+    return _url_paths(spark, sf_dir).select("page_id", paths.normalised(messy).alias("path"))
+
+
+def longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _url_paths(spark, sf_dir)
+    roots = pages.select(F.explode(rollup.ancestors(F.col("path"))).alias("root")).groupBy("root").agg(F.count("*").alias("n")).where("n >= 3").select("root")
+    return rollup.longest_prefix(pages.select("page_id", "path"), "path", roots, "root").select("page_id", "root")
+
+
+def subtree_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.subtree_counts(_url_paths(spark, sf_dir), "path").withColumn("depth", F.col("depth").cast("long"))
+
+
+def first_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each customer the first of three candidate suppliers that exists in its nation."""
+    customer = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    wanted = customer.select(key, F.array(*(F.concat_ws(":", ((key * m) % 150).cast("string"), F.col("c_nationkey").cast("string")) for m in (3, 7, 1))).alias("candidates"))
+    known = table(spark, sf_dir, "supplier").select(F.concat_ws(":", F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")).alias("target"))
+    return rollup.first_candidate(wanted, "c_custkey", "candidates", known, "target")
+
+
+def left_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id", "n_chars")
+
+
+def _moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "value")
+
+
+def asof_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _moments(spark, sf_dir)
+    right = events.where("event_type = 'signup'").groupBy("user_id", "ms").agg(F.min("event_id").alias("signup"))
+    left = events.where("event_type = 'purchase'").select("event_id", "user_id", "ms")
+    return asof.asof(left, right, ["user_id"], "ms", ["signup"], within=86_400_000).select("event_id", "signup")
+
+
+def asof_forward_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _moments(spark, sf_dir)
+    right = events.where("event_type = 'purchase'").groupBy("user_id", "ms").agg(F.min("event_id").alias("purchase"))
+    left = events.where("event_type = 'click'").select("event_id", "user_id", "ms")
+    return asof.asof(left, right, ["user_id"], "ms", ["purchase"], within=3_600_000, forward=True).select("event_id", "purchase")
+
+
+def lead_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    starts = _moments(spark, sf_dir).select("user_id", "ms").distinct()
+    return asof.extents(starts, ["user_id"], "ms", F.col("ms"))
+
+
+def carry_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _moments(spark, sf_dir)
+    value = F.when(F.col("event_type") == "error", F.col("event_id"))
+    return asof.carried(events, ["user_id"], ["ms", "event_id"], value, "last_error", reset=F.col("event_type") == "signup").select("event_id", "last_error")
+
+
+def dedupe_prefer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _moments(spark, sf_dir)
+    return ranking.prefer(events, ["user_id", "event_type"], (F.col("value") > 50).desc_nulls_last(), F.col("event_id")).select("user_id", "event_type", "event_id")
+
+
+def top_with_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice")
+    found = ranking.top_with_hidden(orders, ["o_orderpriority"], [F.desc("o_totalprice"), F.col("o_orderkey")], 12)
+    return found.select("o_orderpriority", "o_orderkey", F.col("rank").cast("long").alias("rank"), "hidden")
+
+
+def composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.composition(table(spark, sf_dir, "documents"), "source", 7)
+
+
+def _trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between nations: from a supplier's to a customer's, as sure as the order's status tells."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    customer = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("dst"))
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("src"))
+    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(customer, F.col("o_custkey") == customer.c_custkey).join(supplier, lines.l_suppkey == supplier.s_suppkey)
+    sure = F.when(F.col("o_orderstatus") == "F", "exact").when(F.col("o_orderstatus") == "O", "inferred").otherwise("unresolved")
+    return joined.select("src", "dst", sure.alias("confidence"))
+
+
+def min_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.weakest(_trade(spark, sf_dir), ["src", "dst"])
+
+
+def undirected_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.undirected_pairs(_trade(spark, sf_dir))
+
+
+def neighbour_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _trade(spark, sf_dir).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "confidence")
+    return graph.neighbours(edges, "7", 4)
+
+
+def _sparse(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A sparse graph of parts (a tenth of them external): orders of one line link its part to that of the next order."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 10 == 0, "external").otherwise("module").alias("kind"))
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_orderkey % 16 = 0").select("l_partkey", "l_suppkey")
+    sure = F.when(F.col("l_suppkey") % 3 == 0, "exact").when(F.col("l_suppkey") % 3 == 1, "inferred").otherwise("unresolved")
+    return parts, lines.select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") * 7).alias("dst"), sure.alias("confidence")).where("src <> dst")
+
+
+def degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.degrees(*_sparse(spark, sf_dir))
+
+
+def isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.isolated(*_sparse(spark, sf_dir)).select("id")
+
+
+def graph_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.health(*_sparse(spark, sf_dir))
+
+
+def hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.hubs(*_sparse(spark, sf_dir), least=12, share=0.001)
+
+
+def component_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, edges = _sparse(spark, sf_dir)
+    return components.components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
+def crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    return graph.crossings(lines.select(F.col("l_linenumber").alias("column"), (F.col("l_partkey") % 40).alias("top"), (F.col("l_suppkey") % 40).alias("bottom")))
+
+
+def area_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation")
+    nodes = nation.select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").cast("string").alias("area"))
+    found = graph.areas(nodes, _trade(spark, sf_dir))
+    return found.select("area", "members", "internal", "crossing", F.concat_ws(",", "neighbours").alias("neighbours"))
+
+
+def boundary_folding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation")
+    nodes = nation.select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").cast("string").alias("area"), F.col("n_name").alias("label"))
+    found = graph.boundary(nodes, _trade(spark, sf_dir), "1")
+    return found.select("node", "far_area", "direction", "n", F.concat_ws(",", "labels").alias("labels"), "confidence")
+
+
+def session_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bursts of a user's events, each closed by 30 minutes without one."""
+    events = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    found = events.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
+    return found.select("user_id", F.unix_millis(F.col("w.start")).alias("start"), "n")
+
+
+def regex_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets of links, each at the first place where it occurs on its page."""
+    pages = table(spark, sf_dir, "pages")
+    found = pages.select("page_id", F.posexplode(F.expr("regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)")).alias("nth", "target"))
+    return found.groupBy("page_id", "target").agg(F.min("nth").cast("long").alias("nth"), F.count("*").alias("n"))
+
+
+def line_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    lines = turns.select("conv_id", "turn", text.numbered_lines(F.col("text"))).where("length(line) > 0")
+    return lines.select("conv_id", "turn", F.col("number").cast("long").alias("number"), F.length("line").cast("long").alias("length"), text.truncated(F.col("line"), 44).alias("label"))
+
+
+def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation")
+    name = F.col("n_name")
+    return nation.select("n_nationkey", ids.node_id("nation", name).alias("id"), ids.fnv1a(name).alias("hash"), text.snake_case(name).alias("snake"), text.plural(F.lower(name)).alias("plural"))
+
+
+def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters over all tables, one row."""
+    counts = [table(spark, sf_dir, t).agg(F.count("*").alias(f"n_{t}")) for t in ("orders", "lineitem", "events", "documents", "pages")]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.crossJoin(c)  # rows of one row each
+    return out
+
+
+def carried_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hot spots: nations by the edges that arrive and leave, loops aside."""
+    edges = _trade(spark, sf_dir).where("src <> dst")
+    ends = edges.groupBy("src", "dst").agg(F.count("*").alias("n")).select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.col("n").alias("out"), F.lit(0).cast("long").alias("in")), F.struct(F.col("dst").alias("id"), F.lit(0).cast("long").alias("out"), F.col("n").alias("in")))).alias("e")).select("e.*")
+    total = ends.groupBy("id").agg(F.sum("in").alias("arriving"), F.sum("out").alias("leaving"))
+    ranked = total.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.col("arriving") + F.col("leaving")), "id")))
+    return ranked.where("rank <= 12").select("id", "arriving", "leaving", F.col("rank").cast("long").alias("rank"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        module_edges, external_topk, fan_in_out, path_parts, normal_paths, longest_prefix, subtree_counts, first_candidate, left_anti, asof_backward,
+        asof_forward_limit, lead_extent, carry_state, dedupe_prefer, top_with_hidden, composition, min_confidence, undirected_pairs, neighbour_limit,
+        degree, isolated, graph_health, hubs, component_roots, crossings, area_rollup, boundary_folding, session_debounce, regex_extract, line_explode,
+        identifiers, stats, carried_ranks,
+    )
+}
+
+_PAGES = r"(SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages)"
+_MOMENTS = "(SELECT event_id, user_id, event_type, epoch_us(ts) // 1000 AS ms, value FROM events)"
+_TRADE = """(SELECT s_nationkey AS src, c_nationkey AS dst,
+    CASE o_orderstatus WHEN 'F' THEN 'exact' WHEN 'O' THEN 'inferred' ELSE 'unresolved' END AS confidence
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"""
+_PARTS = "(SELECT p_partkey AS id, CASE WHEN p_partkey % 10 = 0 THEN 'external' ELSE 'module' END AS kind FROM part)"
+_LINKS = """(SELECT l_partkey AS src, l_suppkey * 7 AS dst,
+    CASE l_suppkey % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'inferred' ELSE 'unresolved' END AS confidence
+    FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 16 = 0 AND l_partkey <> l_suppkey * 7)"""
+_RANK = "CASE confidence WHEN 'exact' THEN 2 WHEN 'inferred' THEN 1 ELSE 0 END"
+_ABOVE = f"""(SELECT page_id, path, unnest(list_transform(range(1, len(string_split(path, '/'))),
+    lambda n: array_to_string(list_slice(string_split(path, '/'), 1, n), '/'))) AS root FROM {_PAGES})"""
 
 ORACLES = {
     "module_edges": """
-        SELECT p_brand, s_nationkey, count(*) AS weight, min(l_suppkey) AS first_source
-        FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
-        GROUP BY 1, 2""",
+        SELECT p_brand, s_nationkey, CAST(count(*) AS BIGINT) AS weight,
+               array_to_string(list_slice(list_sort(list(DISTINCT l_suppkey)), 1, 5), ',') AS sources
+        FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2""",
+    "external_topk": "SELECT p_type AS name, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, name LIMIT 18",
+    "fan_in_out": """
+        SELECT p_partkey AS id, coalesce(o.n, 0) AS fan_out, coalesce(i.n, 0) AS fan_in FROM part
+        LEFT JOIN (SELECT l_suppkey AS id, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1) o ON o.id = p_partkey
+        LEFT JOIN (SELECT l_partkey AS id, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1) i ON i.id = p_partkey""",
+    "path_parts": f"""
+        SELECT page_id, regexp_extract(path, '[^/]*$') AS name,
+               CASE WHEN path LIKE '%/%' THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS folder,
+               lower(regexp_extract(regexp_extract(path, '[^/]*$'), '\\.([^.]*)$', 1)) AS extension,
+               regexp_replace(regexp_extract(path, '[^/]*$'), '(.)\\.[^.]*$', '\\1') AS stem FROM {_PAGES}""",
+    "normal_paths": f"SELECT page_id, array_to_string(list_filter(string_split(path, '/'), lambda x: x <> ''), '/') AS path FROM {_PAGES}",
+    "longest_prefix": f"""
+        WITH known AS (SELECT root FROM {_ABOVE} GROUP BY 1 HAVING count(*) >= 3)
+        SELECT p.page_id, b.root FROM {_PAGES} p
+        LEFT JOIN (SELECT path, arg_max(root, length(root)) AS root FROM {_ABOVE} WHERE root IN (SELECT root FROM known) GROUP BY 1) b ON p.path = b.path""",
+    "subtree_counts": f"SELECT root AS folder, len(string_split(root, '/')) AS depth, count(*) AS n FROM {_ABOVE} GROUP BY 1, 2",
+    "first_candidate": """
+        WITH tried AS (SELECT c_custkey, nth, CAST(c_custkey * m % 150 AS VARCHAR) || ':' || CAST(c_nationkey AS VARCHAR) AS target
+                       FROM customer, (VALUES (0, 3), (1, 7), (2, 1)) v(nth, m))
+        SELECT c_custkey, arg_min(t.target, nth) AS target FROM tried t
+        JOIN (SELECT DISTINCT CAST(s_suppkey AS VARCHAR) || ':' || CAST(s_nationkey AS VARCHAR) AS target FROM supplier) s ON s.target = t.target GROUP BY 1""",
+    "left_anti": "SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "asof_backward": f"""
+        SELECT l.event_id, CASE WHEN l.ms - r.ms <= 86400000 THEN r.signup END AS signup
+        FROM (SELECT * FROM {_MOMENTS} WHERE event_type = 'purchase') l
+        ASOF LEFT JOIN (SELECT user_id, ms, min(event_id) AS signup FROM {_MOMENTS} WHERE event_type = 'signup' GROUP BY 1, 2) r
+        ON l.user_id = r.user_id AND l.ms >= r.ms""",
+    "asof_forward_limit": f"""
+        SELECT l.event_id, CASE WHEN r.ms - l.ms <= 3600000 THEN r.purchase END AS purchase
+        FROM (SELECT * FROM {_MOMENTS} WHERE event_type = 'click') l
+        ASOF LEFT JOIN (SELECT user_id, ms, min(event_id) AS purchase FROM {_MOMENTS} WHERE event_type = 'purchase' GROUP BY 1, 2) r
+        ON l.user_id = r.user_id AND l.ms <= r.ms""",
+    "lead_extent": f"""
+        SELECT user_id, ms, coalesce(lead(ms) OVER (PARTITION BY user_id ORDER BY ms) - 1, ms) AS until
+        FROM (SELECT DISTINCT user_id, ms FROM {_MOMENTS})""",
+    "carry_state": f"""
+        WITH e AS (SELECT *, count(*) FILTER (event_type IN ('error', 'signup')) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS part FROM {_MOMENTS})
+        SELECT event_id, max(CASE WHEN event_type = 'error' THEN event_id END) OVER (PARTITION BY user_id, part) AS last_error FROM e""",
+    "dedupe_prefer": f"""
+        SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type
+            ORDER BY value > 50 DESC NULLS LAST, event_id) AS nth FROM {_MOMENTS}) WHERE nth = 1""",
+    "top_with_hidden": """
+        SELECT o_orderpriority, o_orderkey, rank, greatest(everything - 12, 0) AS hidden FROM (
+            SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS rank,
+                   count(*) OVER (PARTITION BY o_orderpriority) AS everything FROM orders) WHERE rank <= 12""",
+    "composition": """
+        WITH c AS (SELECT source AS name, count(*) AS n FROM documents GROUP BY 1),
+        k AS (SELECT name FROM c WHERE name <> 'other' ORDER BY n DESC, name LIMIT 7)
+        SELECT CASE WHEN name IN (SELECT name FROM k) THEN name ELSE 'other' END AS name, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1""",
+    "min_confidence": f"SELECT src, dst, count(*) AS n, arg_min(confidence, {_RANK}) AS confidence FROM {_TRADE} GROUP BY 1, 2",
+    "undirected_pairs": f"SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS n FROM {_TRADE} WHERE src <> dst GROUP BY 1, 2",
+    "neighbour_limit": f"""
+        WITH e AS (SELECT CAST(src AS VARCHAR) AS src, CAST(dst AS VARCHAR) AS dst, confidence FROM {_TRADE}),
+        n AS (SELECT 'out' AS side, dst AS id, arg_max(confidence, {_RANK}) AS confidence FROM e WHERE src = '7' AND dst <> '7' GROUP BY 1, 2
+              UNION ALL SELECT 'in', src, arg_max(confidence, {_RANK}) FROM e WHERE dst = '7' AND src <> '7' GROUP BY 1, 2)
+        SELECT side, id, confidence, greatest(everything - 4, 0) AS hidden FROM (
+            SELECT *, row_number() OVER (PARTITION BY side ORDER BY {_RANK} DESC, id) AS nth, count(*) OVER (PARTITION BY side) AS everything FROM n) WHERE nth <= 4""",
+    "degree": f"""
+        SELECT id, coalesce(n, 0) AS degree FROM {_PARTS}
+        LEFT JOIN (SELECT e AS k, count(*) AS n FROM (SELECT src AS e FROM {_LINKS} UNION ALL SELECT dst FROM {_LINKS}) GROUP BY 1) ON k = id""",
+    "isolated": f"SELECT id FROM {_PARTS} WHERE kind <> 'external' AND id NOT IN (SELECT src FROM {_LINKS} UNION ALL SELECT dst FROM {_LINKS})",
+    "graph_health": f"""
+        SELECT count(*) FILTER (confidence = 'inferred') AS inferred, count(*) FILTER (confidence = 'unresolved') AS unresolved,
+               (SELECT count(*) FROM {_PARTS} WHERE kind <> 'external' AND id NOT IN (SELECT src FROM {_LINKS} UNION ALL SELECT dst FROM {_LINKS})) AS isolated
+        FROM {_LINKS}""",
+    "hubs": f"""
+        SELECT id, n AS degree FROM {_PARTS} JOIN (SELECT e AS k, count(*) AS n FROM (SELECT src AS e FROM {_LINKS} UNION ALL SELECT dst FROM {_LINKS}) GROUP BY 1) ON k = id
+        WHERE n >= greatest(12, 0.001 * (SELECT count(*) FROM part))""",
+    "component_roots": f"""
+        WITH RECURSIVE e AS (SELECT DISTINCT src AS a, dst AS b FROM {_LINKS} UNION SELECT dst, src FROM {_LINKS}),
+        r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a)
+        SELECT node, min(seen) AS root FROM r GROUP BY 1""",
+    "crossings": """
+        WITH c AS (SELECT l_linenumber AS k, l_partkey % 40 AS t, l_suppkey % 40 AS b, count(*) AS m FROM lineitem GROUP BY 1, 2, 3)
+        SELECT x.k AS "column", CAST(sum(x.m * y.m) AS BIGINT) AS n FROM c x JOIN c y ON x.k = y.k AND x.t < y.t AND x.b > y.b GROUP BY 1""",
+    "area_rollup": f"""
+        WITH p AS (SELECT CAST(x.n_regionkey AS VARCHAR) AS a, CAST(y.n_regionkey AS VARCHAR) AS b FROM {_TRADE} JOIN nation x ON src = x.n_nationkey JOIN nation y ON dst = y.n_nationkey),
+        s AS (SELECT a AS area, b AS far FROM p UNION ALL SELECT b, a FROM p WHERE a <> b)
+        SELECT s.area, any_value(m) AS members, count(*) FILTER (s.area = far) AS internal, count(*) FILTER (s.area <> far) AS crossing,
+               coalesce(string_agg(DISTINCT far, ',' ORDER BY far) FILTER (s.area <> far), '') AS neighbours
+        FROM s JOIN (SELECT CAST(n_regionkey AS VARCHAR) AS area, count(*) AS m FROM nation GROUP BY 1) c ON c.area = s.area GROUP BY 1""",
+    "boundary_folding": f"""
+        WITH p AS (SELECT src, dst, confidence, CAST(x.n_regionkey AS VARCHAR) AS a, CAST(y.n_regionkey AS VARCHAR) AS b, x.n_name AS s, y.n_name AS d
+                   FROM {_TRADE} JOIN nation x ON src = x.n_nationkey JOIN nation y ON dst = y.n_nationkey),
+        f AS (SELECT src AS node, b AS far_area, 'out' AS direction, d AS far, confidence FROM p WHERE a = '1' AND b <> '1'
+              UNION ALL SELECT dst, a, 'in', s, confidence FROM p WHERE b = '1' AND a <> '1')
+        SELECT node, far_area, direction, count(*) AS n, string_agg(DISTINCT far, ',' ORDER BY far) AS labels, arg_min(confidence, {_RANK}) AS confidence FROM f GROUP BY 1, 2, 3""",
+    "session_debounce": f"""
+        WITH g AS (SELECT user_id, ms, CASE WHEN ms - lag(ms) OVER w >= 1800000 THEN 1 ELSE 0 END AS new FROM {_MOMENTS} WINDOW w AS (PARTITION BY user_id ORDER BY ms)),
+        s AS (SELECT user_id, ms, sum(new) OVER (PARTITION BY user_id ORDER BY ms) AS part FROM g)
+        SELECT user_id, min(ms) AS start, count(*) AS n FROM s GROUP BY user_id, part""",
+    "regex_extract": """
+        SELECT page_id, target, min(nth) - 1 AS nth, count(*) AS n FROM (
+            SELECT page_id, unnest(x) AS target, unnest(range(1, len(x) + 1)) AS nth FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS x FROM pages)) GROUP BY 1, 2""",
+    "line_explode": """
+        SELECT conv_id, turn, number, length(line) AS length, CASE WHEN length(line) > 44 THEN left(line, 43) || '…' ELSE line END AS label FROM (
+            SELECT conv_id, turn, unnest(x) AS line, unnest(range(1, len(x) + 1)) AS number FROM (SELECT conv_id, turn, string_split_regex(text, '\r?\n') AS x FROM conversations))
+        WHERE length(line) > 0""",
+    "identifiers": r"""
+        SELECT n_nationkey, 'nation:' || replace(n_name, ' ', '%20') AS id,
+               list_reduce(list_prepend(CAST(2166136261 AS UBIGINT), list_transform(range(1, length(n_name) + 1), lambda i: CAST(unicode(n_name[i]) AS UBIGINT))),
+                           lambda a, c: xor(a, c) * 16777619 % 4294967296)::BIGINT AS hash,
+               lower(regexp_replace(n_name, '([a-z0-9])([A-Z])', '\1_\2', 'g')) AS snake,
+               CASE WHEN regexp_matches(lower(n_name), '[^aeiou]y$') THEN regexp_replace(lower(n_name), 'y$', 'ies')
+                    WHEN regexp_matches(lower(n_name), '(s|x|z|ch|sh)$') THEN lower(n_name) || 'es' ELSE lower(n_name) || 's' END AS plural
+        FROM nation""",
+    "stats": "SELECT (SELECT count(*) FROM orders) AS n_orders, (SELECT count(*) FROM lineitem) AS n_lineitem, (SELECT count(*) FROM events) AS n_events, (SELECT count(*) FROM documents) AS n_documents, (SELECT count(*) FROM pages) AS n_pages",
+    "carried_ranks": f"""
+        WITH e AS (SELECT src AS id, 0 AS i, 1 AS o FROM {_TRADE} WHERE src <> dst UNION ALL SELECT dst, 1, 0 FROM {_TRADE} WHERE src <> dst),
+        t AS (SELECT id, CAST(sum(i) AS BIGINT) AS arriving, CAST(sum(o) AS BIGINT) AS leaving FROM e GROUP BY 1)
+        SELECT * FROM (SELECT id, arriving, leaving, row_number() OVER (ORDER BY arriving + leaving DESC, id) AS rank FROM t) WHERE rank <= 12""",
 }
