@@ -123,13 +123,15 @@ def powers(n: int, base: np.uint64 = BASE) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
+    """A 64-bit hash of each range's bytes."""
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
-    lengths = ends - starts
-    begin = np.cumsum(lengths) - lengths
-    inside = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(begin, lengths)
-    value = _BYTE[data[np.repeat(starts, lengths) + inside]] * powers(int(lengths.max()))[inside]
+    lengths = (ends - starts).astype(np.int32)
+    begin = np.cumsum(lengths, dtype=np.int64) - lengths
+    total = int(begin[-1]) + int(lengths[-1])
+    inside = np.arange(total, dtype=np.int32) - np.repeat(begin.astype(np.int32), lengths)
+    value = powers(int(lengths.max()))[inside]
+    value *= _BYTE[data[np.repeat(starts.astype(np.int32), lengths) + inside]]
     return mix(np.add.reduceat(value, begin) + lengths.astype(np.uint64))
 
 
