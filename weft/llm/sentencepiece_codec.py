@@ -389,7 +389,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(data)
-        for block in blocks(batches, text, 8 << 20):
+        for block in blocks(batches, text):
             found, at, same = encode_exactly(pieces, block.column(text).to_pylist())
             keep = [i for i, x in enumerate(block.schema.names) if x != text]
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(found.astype(np.int32)))

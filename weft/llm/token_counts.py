@@ -32,7 +32,8 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def write_token_files(docs: DataFrame, folder: str, model: str = MODEL, end: int = END, dtype: str = "<u2") -> DataFrame:
-    """Writes one flat file of ids for each partition; returns path, number, doc_id of each document written.
+    """Writes one flat file of ids for each partition; returns path, first, doc_ids: the documents of a file in order,
+    some hundred to a row, of which the first has number `first`.
 
     folder must be one that all executors and the driver share. The result is checkpointed: a task that is run again
     writes another file, and files that the result doesn't name don't count.
@@ -51,14 +52,14 @@ def write_token_files(docs: DataFrame, folder: str, model: str = MODEL, end: int
             if int(closed.max()) > np.iinfo(dtype).max:
                 raise ValueError(f"{dtype} can't hold these ids")
             out.write(closed.astype(dtype).tobytes())
-            n = block.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array(np.arange(number, number + n)), block.column("doc_id")], names=["path", "number", "doc_id"])
-            number += n
+            doc_ids = pa.ListArray.from_arrays(pa.array([0, block.num_rows], pa.int32()), block.column("doc_id"))
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([number], pa.int64()), doc_ids], names=["path", "first", "doc_ids"])
+            number += block.num_rows
         if out is not None:
             out.close()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return saved(source.mapInArrow(each, "path string, number long, doc_id long"))
+    return saved(source.mapInArrow(each, "path string, first long, doc_ids array<bigint>"))
 
 
 def count_tokens(files: DataFrame, end: int = END, dtype: str = "<u2", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -123,4 +124,6 @@ def document_token_counts(docs: DataFrame, model: str = MODEL, block_bytes: int
     session_checkpoints(spark)
     written = write_token_files(docs, f"{spark.sparkContext.getCheckpointDir()}/tokens-{uuid.uuid4().hex}", model)
     counts = count_tokens(written.select("path").distinct(), block_bytes=block_bytes)
-    return written.join(counts, ["path", "number"]).select("doc_id", "n_tokens")
+    documents = written.select("path", "first", F.posexplode("doc_ids").alias("nth", "doc_id")).select("path", (F.col("first") + F.col("nth")).alias("number"), "doc_id")
+    # Both sides grow with the documents, so neither is to be broadcast.
+    return documents.hint("merge").join(counts, ["path", "number"]).select("doc_id", "n_tokens")
