@@ -65,7 +65,7 @@ def test_encode_and_decode_tables(spark, pieces):
     kept = got.collect()
     assert len(kept) == len(rows) and all(r.round_trip and r.n_ids == len(r.ids) for r in kept)
     assert sortable(decode(got).collect()) == sortable([(r[0], r[1] or "") for r in rows])
-    clash = frame(spark, rows).withColumnRenamed("h", "IDS").withColumnRenamed("source", "_text")
+    clash = frame(spark, rows).withColumnRenamed("h", "IDS")
     assert encode(clash).columns[-3:] == ["_ids", "n_ids", "round_trip"]
     assert encode(frame(spark, rows).limit(0)).count() == 0
 

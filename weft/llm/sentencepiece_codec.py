@@ -25,7 +25,7 @@ BLANK = "▁"
 PENALTY = 10.0
 #: Stretches longer than this are streamed.
 LONG = 192
-LANES = 1 << 15
+LANES, CELLS = 1 << 15, 1 << 19
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -278,8 +278,12 @@ def encode_block(pieces: Pieces, texts: list[str]) -> tuple[np.ndarray, np.ndarr
     n_ids = np.zeros(len(first), dtype=np.int64)
     order = np.argsort(size[first], kind="stable")
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # stretch, number of its id, id
-    for at in range(0, len(order), LANES):
-        lanes = order[at : at + LANES]
+    at = 0
+    while at < len(order):
+        # So many side by side that their letters, filled up to the longest, stay below a bound.
+        ahead = size[first[order[at : at + LANES]]]
+        lanes = order[at : at + max(1, int(((np.arange(len(ahead)) + 1) * np.minimum(ahead, LONG) <= CELLS).sum()))]
+        at += len(lanes)
         lengths = size[first[lanes]]
         for i in lanes[lengths > LONG].tolist():
             s = start[first[i]]
@@ -384,20 +388,17 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     names, the new ones get underscores before. Each row gives a row; an empty table gives an empty one.
     """
     data = read_model(model)
-    text, ids, n_ids, trip = (free_name(docs.columns, x) for x in ("_text", "ids", "n_ids", "round_trip"))
-    source = docs.withColumn(text, F.coalesce(F.col("text").cast("string"), F.lit("")))
+    ids, n_ids, trip = (free_name(docs.columns, x) for x in ("ids", "n_ids", "round_trip"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(data)
-        for block in blocks(batches, text):
-            found, at, same = encode_exactly(pieces, block.column(text).to_pylist())
-            keep = [i for i, x in enumerate(block.schema.names) if x != text]
+        for block in blocks(batches):
+            found, at, same = encode_exactly(pieces, [t or "" for t in block.column("text").to_pylist()])
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(found.astype(np.int32)))
-            columns = [*(block.column(i) for i in keep), lists, pa.array(np.diff(at)), pa.array(same)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*(block.schema.names[i] for i in keep), ids, n_ids, trip])
+            yield pa.RecordBatch.from_arrays([*block.columns, lists, pa.array(np.diff(at)), pa.array(same)], names=[*block.schema.names, ids, n_ids, trip])
 
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    return source.mapInArrow(each, f"{fields}, `{ids}` array<int>, `{n_ids}` long, `{trip}` boolean")
+    return docs.mapInArrow(each, f"{fields}, `{ids}` array<int>, `{n_ids}` long, `{trip}` boolean")
 
 
 def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids") -> DataFrame:
