@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import decontamination, line_dedup, sentencepiece_codec, simhash, toxicity
-from weft.llm.common import session_checkpoints
+from weft.session import use_checkpoints
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -55,7 +55,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over the documents of sf_dir. The stages' tables stay in the shared checkpoint folder."""
-    session_checkpoints(spark)
+    use_checkpoints(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):

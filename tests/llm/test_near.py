@@ -9,9 +9,9 @@ import xxhash
 
 from tests.llm.texts import documents, frame, key, sortable, unique
 from weft.llm import line_dedup, simhash
-from weft.llm.components import components
 from weft.llm.decontamination import Index, contained_items
 from weft.llm.line_dedup import BLANK, dedup_lines, edit_distance, segments, signatures
+from weft.operators.components import components
 
 
 def plain_edit_distance(a: str, b: str) -> int:

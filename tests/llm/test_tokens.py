@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 
 from tests.llm.texts import documents, frame, sortable
-from weft.llm.common import session_checkpoints
 from weft.llm.sentencepiece_codec import LONG, Pieces, StreamingViterbi, decode, encode, encode_block, encode_exactly, normalised, read_model, stream
 from weft.llm.token_counts import count_tokens, document_token_counts
+from weft.session import use_checkpoints
 
 
 @pytest.fixture(scope="module")
@@ -95,5 +95,5 @@ def test_counts_of_documents(spark, pieces):
 
 
 def test_checkpoints_need_a_shared_folder(spark):
-    session_checkpoints(spark)
+    use_checkpoints(spark)
     assert spark.sparkContext.getCheckpointDir()

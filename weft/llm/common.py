@@ -1,14 +1,13 @@
-"""What the text operators share: Arrow access, word boundaries, hashes, checkpoints."""
+"""What the text operators share: Arrow access, word boundaries, hashes."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word is a run of bytes other than these (space and \t \n \v \f \r).
@@ -23,25 +22,6 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def session_checkpoints(spark: SparkSession) -> None:
-    """Uses the folder that the cluster names; a folder of its own only in local mode, where none is set."""
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        context.setCheckpointDir(named)
-    elif context.master.startswith("local[") or context.master == "local":
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints"))
-    else:
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-
-
-def saved(frame: DataFrame) -> DataFrame:
-    """The frame with its lineage cut, in the shared checkpoint folder."""
-    session_checkpoints(frame.sparkSession)
-    return frame.checkpoint()
-
-
 def carried(docs: DataFrame, keep: tuple[str, ...]) -> list[Column]:
     """The columns to keep, as one private struct; none for none."""
     return [F.struct(*(docs[c] for c in keep)).alias("_keep")] if keep else []

@@ -17,8 +17,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import LAST, blocks, carried_back, carried_type, groups, keyed, saved
+from weft.llm.common import LAST, blocks, carried_back, carried_type, groups, keyed
 from weft.llm.repeats import SPREAD, TEXTS, listed
+from weft.session import saved
 
 THRESHOLD, MIN_CHARS = 2, 30
 BLANK = " \t\n\x0b\x0c\r"

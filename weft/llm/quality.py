@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import WHITE, blocks, saved
+from weft.llm.common import WHITE, blocks
+from weft.session import saved
 
 # Frequent function words of each language.
 COMMON = {

@@ -17,8 +17,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import LAST, blocks, keyed, saved
-from weft.llm.components import components
+from weft.llm.common import LAST, blocks, keyed
+from weft.operators.components import components
+from weft.session import saved
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
 #: A bucket with more fingerprints is covered again.

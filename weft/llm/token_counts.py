@@ -17,8 +17,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import blocks, saved, session_checkpoints
+from weft.llm.common import blocks
 from weft.llm.sentencepiece_codec import MODEL, encode_block, load, read_model
+from weft.session import saved, use_checkpoints
 
 #: Bytes of a block.
 BLOCK_BYTES = 8 << 20
@@ -121,7 +122,7 @@ def document_token_counts(docs: DataFrame, model: str = MODEL, block_bytes: int
     empty one; further columns are ignored. The files stay until the owner of that folder removes them.
     """
     spark = docs.sparkSession
-    session_checkpoints(spark)
+    use_checkpoints(spark)
     written = write_token_files(docs, f"{spark.sparkContext.getCheckpointDir()}/tokens-{uuid.uuid4().hex}", model)
     counts = count_tokens(written.select("path").distinct(), block_bytes=block_bytes)
     documents = written.select("path", "first", F.posexplode("doc_ids").alias("nth", "doc_id")).select("path", (F.col("first") + F.col("nth")).alias("number"), "doc_id")
