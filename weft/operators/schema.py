@@ -115,12 +115,13 @@ def _python_classes(files: DataFrame, gate: str) -> DataFrame:
 
 def _derived(classes: DataFrame, roots: str, rounds: int = 3) -> DataFrame:
     """path, entity of classes that derive from a base matching `roots`, over classes of the same file."""
-    known = classes.select("path", "entity", "bases").distinct()
-    found = known.where(F.exists("bases", lambda b: b.rlike(roots))).select("path", "entity")
-    for _ in range(rounds):  # each round reaches one class deeper; all of it is one lazy plan
-        wider = known.select("path", "entity", F.explode("bases").alias("base")).join(found.withColumnRenamed("entity", "base"), ["path", "base"]).select("path", "entity")
-        found = found.unionByName(wider).distinct()
-    return found
+    known = classes.groupBy("path").agg(F.collect_set(F.struct("entity", "bases")).alias("_all"))
+    direct = F.filter("_all", lambda c: F.exists(c.bases, lambda b: b.rlike(roots)))
+    found = known.select("path", "_all", F.transform(direct, lambda c: c.entity).alias("_found"))
+    for _ in range(rounds):  # each round reaches one class deeper
+        wider = F.filter("_all", lambda c: F.array_contains("_found", c.entity) | F.arrays_overlap(c.bases, F.col("_found")))
+        found = found.select("path", "_all", F.transform(wider, lambda c: c.entity).alias("_found"))
+    return found.select("path", F.explode("_found").alias("entity"))
 
 
 def django(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -258,12 +259,18 @@ def mongoose(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 READERS = (prisma, sql_ddl, django, mongoengine, typeorm, typegoose, jpa, spring_data, gorm, drift, mongoose)
 
 
-def data_model(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """entities with ids, fields and resolved relations of all readers."""
+def declared(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """entities with ids, fields and relations by name, of all readers."""
     found = [reader(files) for reader in READERS]
     entities, fields, relations = (reduce(DataFrame.unionByName, x) for x in zip(*found))
     entities = entities.withColumn("id", ids.entity_id("entity", F.col("entity"), F.col("variant"), F.col("file"), F.col("entity")))
-    return entities, fields.distinct(), resolve(entities, relations)
+    return entities, fields.distinct(), relations
+
+
+def data_model(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """entities with ids, fields and resolved relations of all readers."""
+    entities, fields, relations = declared(files)
+    return entities, fields, resolve(entities, relations)
 
 
 def resolve(entities: DataFrame, relations: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ class Workspace:
 
     @cached_property
     def imports(self) -> DataFrame:
-        return imports.resolved(imports.imports(self.files), self.files).persist()
+        return imports.resolved(imports.imports(self.files).persist(), self.files).persist()
 
     @cached_property
     def modules(self) -> DataFrame:
@@ -74,8 +74,9 @@ class Workspace:
 
     @cached_property
     def _model(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        entities, fields, relations = schema.data_model(self.files)
-        return entities.persist(), fields.persist(), relations.persist()
+        entities, fields, relations = schema.declared(self.files)
+        entities = entities.persist()
+        return entities, fields.persist(), schema.resolve(entities, relations).persist()
 
     @property
     def entities(self) -> DataFrame:

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weft.fixture import workspace_files
 from weft.functions import ids, paths, text
 from weft.operators import asof, components, graph, ranking, rollup
+from weft.operators.areas import tree_rows
+from weft.plans.schema_document import schema_document
+from weft.plans.workspace import Workspace
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -238,13 +242,64 @@ def carried_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.where("rank <= 12").select("id", "arriving", "leaving", F.col("rank").cast("long").alias("rank"))
 
 
+def _own(spark: SparkSession) -> Workspace:
+    return Workspace(spark, workspace_files(spark))
+
+
+def workspace_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imports of the small workspace that comes with the library; its sources are not in sf_dir."""
+    return _own(spark).imports.withColumn("targets", F.concat_ws(",", "targets"))
+
+
+def workspace_module_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _own(spark).module_edges.withColumn("sources", F.concat_ws(",", "sources"))
+
+
+def workspace_externals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _own(spark).externals
+
+
+def workspace_file_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _own(spark).file_table
+
+
+def workspace_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _own(spark).endpoints
+
+
+def workspace_ports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _own(spark).ports
+
+
+def workspace_flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _own(spark).flow_edges
+
+
+def workspace_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _own(spark).fields
+
+
+def workspace_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _own(spark).relations
+
+
+def workspace_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _own(spark)
+    return schema_document(own.entities, own.fields, own.relations)
+
+
+def workspace_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_rows(_own(spark).tree)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         module_edges, external_topk, fan_in_out, path_parts, normal_paths, longest_prefix, subtree_counts, first_candidate, left_anti, asof_backward,
         asof_forward_limit, lead_extent, carry_state, dedupe_prefer, top_with_hidden, composition, min_confidence, undirected_pairs, neighbour_limit,
         degree, isolated, graph_health, hubs, component_roots, crossings, area_rollup, boundary_folding, session_debounce, regex_extract, line_explode,
-        identifiers, stats, carried_ranks,
+        identifiers, stats, carried_ranks, workspace_imports, workspace_module_edges, workspace_externals, workspace_file_table, workspace_endpoints,
+        workspace_ports, workspace_flow_edges, workspace_fields, workspace_relations, workspace_document, workspace_tree,
     )
 }
 
