@@ -8,22 +8,35 @@ earlier blocks.
 
 from __future__ import annotations
 
+import base64
+import functools
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm.common import blocks
-from weft.llm.sentencepiece_codec import MODEL, encode_block, load, read_model
 from weft.session import saved, use_checkpoints
 
 #: Bytes of a block.
 BLOCK_BYTES = 8 << 20
-END = 2  # </s>: a control piece, which no text gives
+#: Ranks of a byte-level BPE of 50,256 ids; the id behind them is free and ends documents.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+END = 50_256
+# A fixed value: how that vocabulary splits texts before merging.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+@functools.lru_cache(maxsize=2)
+def encoding(ranks: bytes) -> tiktoken.Encoding:
+    """One table for each Python worker."""
+    merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
@@ -32,27 +45,25 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-def write_token_files(docs: DataFrame, folder: str, model: str = MODEL, end: int = END, dtype: str = "<u2") -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, ranks: str = RANKS, end: int = END, dtype: str = "<u2") -> DataFrame:
     """Writes one flat file of ids for each partition; returns path, first, doc_ids: the documents of a file in order,
     some hundred to a row, of which the first has number `first`.
 
-    folder must be one that all executors and the driver share. The result is checkpointed: a task that is run again
+    The driver reads the rank file and sends it along. folder must be one that all executors and the driver share. The result is checkpointed: a task that is run again
     writes another file, and files that the result doesn't name don't count.
     """
-    data = read_model(model)
+    with open(ranks, "rb") as f:
+        data = f.read()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, path, out, number = load(data), f"{folder}/{uuid.uuid4().hex}.bin", None, 0
-        for block in blocks(batches, limit=8 << 20):
+        encode, path, out, number = encoding(data).encode_ordinary, f"{folder}/{uuid.uuid4().hex}.bin", None, 0
+        for block in blocks(batches):
             if out is None:
                 store, inside = _open(path)
                 store.create_dir(inside.rsplit("/", 1)[0], recursive=True)
                 out = store.open_output_stream(inside)
-            ids, at = encode_block(pieces, block.column("text").to_pylist())
-            closed = np.insert(ids, at[1:], end)
-            if int(closed.max()) > np.iinfo(dtype).max:
-                raise ValueError(f"{dtype} can't hold these ids")
-            out.write(closed.astype(dtype).tobytes())
+            for text in block.column("text").to_pylist():
+                out.write(np.array([*encode(text), end], dtype=dtype).tobytes())  # an id too large for dtype is an error
             doc_ids = pa.ListArray.from_arrays(pa.array([0, block.num_rows], pa.int32()), block.column("doc_id"))
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([number], pa.int64()), doc_ids], names=["path", "first", "doc_ids"])
             number += block.num_rows
@@ -115,7 +126,7 @@ def count_tokens(files: DataFrame, end: int = END, dtype: str = "<u2", block_byt
     return closed.select("path", (F.col("first") + F.col("nth")).alias("number"), "n_tokens", F.lit(True).alias("closed")).unionByName(tail)
 
 
-def document_token_counts(docs: DataFrame, model: str = MODEL, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def document_token_counts(docs: DataFrame, ranks: str = RANKS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_tokens: docs written as flat token files in the shared checkpoint folder, and counted there.
 
     Null and empty texts have none; null ids and repeated rows are returned as they are; an empty table gives an
@@ -123,7 +134,7 @@ def document_token_counts(docs: DataFrame, model: str = MODEL, block_bytes: int
     """
     spark = docs.sparkSession
     use_checkpoints(spark)
-    written = write_token_files(docs, f"{spark.sparkContext.getCheckpointDir()}/tokens-{uuid.uuid4().hex}", model)
+    written = write_token_files(docs, f"{spark.sparkContext.getCheckpointDir()}/tokens-{uuid.uuid4().hex}", ranks)
     counts = count_tokens(written.select("path").distinct(), block_bytes=block_bytes)
     documents = written.select("path", "first", F.posexplode("doc_ids").alias("nth", "doc_id")).select("path", (F.col("first") + F.col("nth")).alias("number"), "doc_id")
     # Both sides grow with the documents, so neither is to be broadcast.
