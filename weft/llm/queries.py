@@ -69,7 +69,30 @@ QUERIES = {
     )
 }
 
+_LOW = f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORDS}')"
+
 ORACLES = {
+    "op2_suffix_array_dedup": """
+        WITH docs AS (SELECT doc_id, encode(coalesce(text, '')) AS t, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        wins AS (SELECT doc_id, s, row_number() OVER (PARTITION BY m ORDER BY doc_id, s) AS nth
+                 FROM (SELECT doc_id, unnest(list_transform(range(n - 99), lambda s: md5_number(array_slice(t, s + 1, s + 100)))) AS m, unnest(range(n - 99)) AS s FROM docs WHERE n >= 100)),
+        later AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM wins WHERE nth > 1),
+        runs AS (SELECT doc_id, s, sum(CASE WHEN before IS NULL OR s > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM later),
+        spans AS (SELECT doc_id, run, min(s) AS a, max(s) + 100 AS b FROM runs GROUP BY 1, 2),
+        edges AS (SELECT doc_id, b AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM spans
+                  UNION ALL SELECT doc_id, 0, min(a) FROM spans GROUP BY 1),
+        kept AS (SELECT d.doc_id, string_agg(hex(array_slice(t, a + 1, coalesce(b, n))), '' ORDER BY a) AS k FROM docs d JOIN edges e ON d.doc_id = e.doc_id GROUP BY 1),
+        counts AS (SELECT doc_id, count(*) AS n_spans FROM spans GROUP BY 1)
+        SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(n - coalesce(length(k) // 2, n) AS BIGINT) AS n_removed,
+               CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, hex(t)))) AS kept_sha256
+        FROM docs d LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)""",
+    "op9_decontamination": f"""
+        WITH i AS (SELECT item_id, {_LOW} AS w FROM benchmark), d AS (SELECT doc_id, {_LOW} AS w FROM documents),
+        si AS (SELECT DISTINCT item_id, list_slice(w, s, s + 4) AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS s FROM i WHERE len(w) > 4)),
+        sd AS (SELECT DISTINCT doc_id, list_slice(w, s, s + 4) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS s FROM d WHERE len(w) > 4)),
+        n AS (SELECT item_id, count(*) AS n_shingles FROM si GROUP BY 1),
+        c AS (SELECT doc_id, item_id, count(*) AS n_shared FROM sd JOIN si ON sd.g = si.g GROUP BY 1, 2)
+        SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment FROM c JOIN n USING (item_id) WHERE n_shared >= 0.8 * n_shingles""",
     "op5_substring_dedup": rf"""
         WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS w FROM documents),
         starts AS (SELECT doc_id, w, unnest(range(len(w) - 19)) AS s FROM docs WHERE len(w) >= 20),
