@@ -150,35 +150,69 @@ def neighbour_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.neighbours(edges, "7", 4)
 
 
-def _sparse(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A sparse graph of parts (a tenth of them external): orders of one line link its part to that of the next order."""
+def _graph(spark: SparkSession, sf_dir: str, lines: str = "true") -> tuple[DataFrame, DataFrame]:
+    """A graph of parts (a tenth of them external): each line links its part to the part that its supplier stands for."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 10 == 0, "external").otherwise("module").alias("kind"))
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_orderkey % 16 = 0").select("l_partkey", "l_suppkey")
+    linked = table(spark, sf_dir, "lineitem").where(lines).select("l_partkey", "l_suppkey")
     sure = F.when(F.col("l_suppkey") % 3 == 0, "exact").when(F.col("l_suppkey") % 3 == 1, "inferred").otherwise("unresolved")
-    return parts, lines.select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") * 7).alias("dst"), sure.alias("confidence")).where("src <> dst")
+    return parts, linked.select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") * 7).alias("dst"), sure.alias("confidence")).where("src <> dst")
+
+
+def _sparse(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The same parts with the edges of a sample: first lines of every sixteenth order, as the SQL of these queries has it."""
+    return _graph(spark, sf_dir, "l_linenumber = 1 AND l_orderkey % 16 = 0")
 
 
 def degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degrees over the sample of _sparse(); degree_all() takes every line."""
     return graph.degrees(*_sparse(spark, sf_dir))
 
 
+def degree_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.degrees(*_graph(spark, sf_dir))
+
+
 def isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts without an edge in the sample of _sparse(); isolated_all() takes every line."""
     return graph.isolated(*_sparse(spark, sf_dir)).select("id")
 
 
+def isolated_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.isolated(*_graph(spark, sf_dir)).select("id")
+
+
 def graph_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts over the sample of _sparse(); graph_health_all() takes every line."""
     return graph.health(*_sparse(spark, sf_dir))
 
 
+def graph_health_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.health(*_graph(spark, sf_dir))
+
+
 def hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hubs of the sample of _sparse(); hubs_all() takes every line."""
     return graph.hubs(*_sparse(spark, sf_dir), least=12, share=0.001)
 
 
-def component_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, edges = _sparse(spark, sf_dir)
+def hubs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.hubs(*_graph(spark, sf_dir), least=12, share=0.001)
+
+
+def _roots(edges: DataFrame) -> DataFrame:
     return components.components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
+def component_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the sample of _sparse(); component_roots_all() takes every line."""
+    return _roots(_sparse(spark, sf_dir)[1])
+
+
+def component_roots_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without SQL: the recursive one would hold all pairs of a component's parts."""
+    return _roots(_graph(spark, sf_dir)[1])
+
+
 def crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     return graph.crossings(lines.select(F.col("l_linenumber").alias("column"), (F.col("l_partkey") % 40).alias("top"), (F.col("l_suppkey") % 40).alias("bottom")))
@@ -297,7 +331,7 @@ QUERIES = {
     for f in (
         module_edges, external_topk, fan_in_out, path_parts, normal_paths, longest_prefix, subtree_counts, first_candidate, left_anti, asof_backward,
         asof_forward_limit, lead_extent, carry_state, dedupe_prefer, top_with_hidden, composition, min_confidence, undirected_pairs, neighbour_limit,
-        degree, isolated, graph_health, hubs, component_roots, crossings, area_rollup, boundary_folding, session_debounce, regex_extract, line_explode,
+        degree, isolated, graph_health, hubs, component_roots, degree_all, isolated_all, graph_health_all, hubs_all, component_roots_all, crossings, area_rollup, boundary_folding, session_debounce, regex_extract, line_explode,
         identifiers, stats, carried_ranks, workspace_imports, workspace_module_edges, workspace_externals, workspace_file_table, workspace_endpoints,
         workspace_ports, workspace_flow_edges, workspace_fields, workspace_relations, workspace_document, workspace_tree,
     )
@@ -312,6 +346,9 @@ _PARTS = "(SELECT p_partkey AS id, CASE WHEN p_partkey % 10 = 0 THEN 'external'
 _LINKS = """(SELECT l_partkey AS src, l_suppkey * 7 AS dst,
     CASE l_suppkey % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'inferred' ELSE 'unresolved' END AS confidence
     FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 16 = 0 AND l_partkey <> l_suppkey * 7)"""
+_ALL_LINKS = """(SELECT l_partkey AS src, l_suppkey * 7 AS dst,
+    CASE l_suppkey % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'inferred' ELSE 'unresolved' END AS confidence
+    FROM lineitem WHERE l_partkey <> l_suppkey * 7)"""
 _RANK = "CASE confidence WHEN 'exact' THEN 2 WHEN 'inferred' THEN 1 ELSE 0 END"
 _ABOVE = f"""(SELECT page_id, path, unnest(list_transform(range(1, len(string_split(path, '/'))),
     lambda n: array_to_string(list_slice(string_split(path, '/'), 1, n), '/'))) AS root FROM {_PAGES})"""
@@ -393,6 +430,17 @@ ORACLES = {
         WITH RECURSIVE e AS (SELECT DISTINCT src AS a, dst AS b FROM {_LINKS} UNION SELECT dst, src FROM {_LINKS}),
         r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a)
         SELECT node, min(seen) AS root FROM r GROUP BY 1""",
+    "degree_all": f"""
+        SELECT id, coalesce(n, 0) AS degree FROM {_PARTS}
+        LEFT JOIN (SELECT e AS k, count(*) AS n FROM (SELECT src AS e FROM {_ALL_LINKS} UNION ALL SELECT dst FROM {_ALL_LINKS}) GROUP BY 1) ON k = id""",
+    "isolated_all": f"SELECT id FROM {_PARTS} WHERE kind <> 'external' AND id NOT IN (SELECT src FROM {_ALL_LINKS} UNION ALL SELECT dst FROM {_ALL_LINKS})",
+    "graph_health_all": f"""
+        SELECT count(*) FILTER (confidence = 'inferred') AS inferred, count(*) FILTER (confidence = 'unresolved') AS unresolved,
+               (SELECT count(*) FROM {_PARTS} WHERE kind <> 'external' AND id NOT IN (SELECT src FROM {_ALL_LINKS} UNION ALL SELECT dst FROM {_ALL_LINKS})) AS isolated
+        FROM {_ALL_LINKS}""",
+    "hubs_all": f"""
+        SELECT id, n AS degree FROM {_PARTS} JOIN (SELECT e AS k, count(*) AS n FROM (SELECT src AS e FROM {_ALL_LINKS} UNION ALL SELECT dst FROM {_ALL_LINKS}) GROUP BY 1) ON k = id
+        WHERE n >= greatest(12, 0.001 * (SELECT count(*) FROM part))""",
     "crossings": """
         WITH c AS (SELECT l_linenumber AS k, l_partkey % 40 AS t, l_suppkey % 40 AS b, count(*) AS m FROM lineitem GROUP BY 1, 2, 3)
         SELECT x.k AS "column", CAST(sum(x.m * y.m) AS BIGINT) AS n FROM c x JOIN c y ON x.k = y.k AND x.t < y.t AND x.b > y.b GROUP BY 1""",
