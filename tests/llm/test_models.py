@@ -159,3 +159,12 @@ def test_scores_of_odd_tables(spark):
 def test_few_nodes_still_give_probabilities(spark):
     rows = documents(12, 20)
     assert all(-1e9 < r.score < 0 for r in ppm.scores(frame(spark, rows), nodes=50).collect())
+
+
+@pytest.mark.parametrize("nodes", [50, 1])
+def test_runs_beyond_the_broadcast_are_scored_exactly(spark, nodes):
+    rows = documents(12, 30)
+    low = lambda t: bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode())
+    train = [low(r[1]) for r in rows if r[0] is None or zlib.crc32(str(r[0]).encode()) % 5 != 1]
+    expected = sorted(plain_ppm(train, low(r[1]), 4) for r in rows)
+    assert sorted(r.score for r in ppm.scores(frame(spark, rows), nodes=nodes).collect()) == pytest.approx(expected)

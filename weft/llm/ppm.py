@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +21,10 @@ from weft.session import saved
 
 ORDER = 4
 END = 0xFF  # no byte of UTF-8
-#: The trie keeps at most so many nodes of an order, those seen most: with a threshold on the count, not a cut within it.
+#: Contexts of so many bytes are a bounded table (at most 256 ** 2 runs) that every task gets whole; longer ones are dealt by it.
+SHORT = 2
+#: Runs whose logarithms are handed to all tasks, and words whose counts are; all others are joined.
 NODES = 1 << 20
-#: Words whose counts are handed to all tasks; all others are joined.
 WORDS = 1 << 19
 END_WORD = 1  # the key of the end token; hashes of words are even
 _LOWER = np.frombuffer(LOWER, dtype=np.uint8)
@@ -89,7 +91,7 @@ class Trie:
 
     def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]):
         """counts[k]: sorted runs of k + 1 symbols and how often each occurred."""
-        self.runs, self.logs, self.seen = [], [], None
+        self.runs, self.logs = [], []
         self.contexts: list[tuple] = []
         for k, (runs, count) in enumerate(counts):
             context = runs >> np.uint64(8)
@@ -112,18 +114,7 @@ class Trie:
         return at, (known[at] == key) if len(known) else np.zeros(len(key), dtype=bool)
 
     def log10(self, wanted: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each run's last symbol after the others, found once for each different run; those that
-        training has seen are looked up."""
-        if self.seen is None:
-            self.seen = Lookup(self.runs[-1], self._coded(self.runs[-1]))
-        out, known = self.seen.get(wanted)
-        left = np.flatnonzero(~known)
-        if len(left):
-            new, which = np.unique(wanted[left], return_inverse=True)
-            out[left] = self._coded(new)[which]
-        return out
-
-    def _coded(self, wanted: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each run's last symbol after the others."""
         out = np.zeros(len(wanted))
         left = np.arange(len(wanted))
         ruled_n, ruled_q = np.zeros(len(wanted)), np.zeros(len(wanted))
@@ -153,22 +144,30 @@ class Trie:
 
 
 def counted(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """kind (0: runs of order + 1 symbols, 1: words and ends), key, n over all rows of docs (text).
+    """kind (0: runs of order + 1 symbols, 1: words and ends), key, n over the rows of docs (text, held_out) that are not
+    held out, and m over all rows. Words of held-out rows are not counted.
 
     A task adds up what its blocks count before Spark does; it holds a bounded number of entries.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, list] = ([], [])
-        for block in blocks(batches):
-            data, offsets = flat(block.column("text"))
-            data = _LOWER[data]
-            starts, ends, _ = word_bounds(data, offsets)
-            words, n = np.unique(_words(data, starts, ends), return_counts=True)
-            held[0].append(np.unique(grams(data, offsets, order)[0], return_counts=True))
-            held[1].append((np.append(words, END_WORD), np.append(n, block.num_rows)))
+        for whole in blocks(batches):
+            out = whole.column("held_out")
+            for block, learns in ((whole.filter(pc.invert(out)), 1), (whole.filter(out), 0)):
+                if not block.num_rows:
+                    continue
+                data, offsets = flat(block.column("text"))
+                data = _LOWER[data]
+                key, m = np.unique(grams(data, offsets, order)[0], return_counts=True)
+                held[0].append((key, m * learns, m))
+                if learns:
+                    starts, ends, _ = word_bounds(data, offsets)
+                    words, n = np.unique(_words(data, starts, ends), return_counts=True)
+                    n = np.append(n, block.num_rows)
+                    held[1].append((np.append(words, END_WORD), n, n))
             for kind in (0, 1):
-                if sum(len(k) for k, _ in held[kind]) > PENDING:
+                if sum(len(x[0]) for x in held[kind]) > PENDING:
                     total = _added(held[kind])
                     held[kind][:] = [total]
                     if len(total[0]) > PENDING // 2:
@@ -178,24 +177,27 @@ def counted(docs: DataFrame, order: int = ORDER) -> DataFrame:
             if held[kind]:
                 yield from _counts(kind, *_added(held[kind]))
 
-    return docs.select("text").mapInArrow(each, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    found = docs.select("text", "held_out").mapInArrow(each, "kind int, key long, n long, m long")
+    return found.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
-def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    key, n = (np.concatenate(x) for x in zip(*parts))
+def _added(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    key, *numbers = (np.concatenate(x) for x in zip(*parts))
+    if not len(key):
+        return key, *numbers
     order, new = groups(key)
     start = np.flatnonzero(new)
-    return key[order][start], np.add.reduceat(n[order], start)
+    return key[order][start], *(np.add.reduceat(n[order], start) for n in numbers)
 
 
 def _words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return (word_hashes(data, starts, ends) & ~np.uint64(1)).view(np.int64)
 
 
-def _counts(kind: int, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _counts(kind: int, key: np.ndarray, n: np.ndarray, m: np.ndarray) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(key), 1 << 16):
-        part, count = key[at : at + (1 << 16)].view(np.int64), n[at : at + (1 << 16)].astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, dtype=np.int32)), pa.array(part), pa.array(count)], names=["kind", "key", "n"])
+        part, *numbers = key[at : at + (1 << 16)].view(np.int64), *(x[at : at + (1 << 16)].astype(np.int64) for x in (n, m))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, dtype=np.int32)), pa.array(part), *map(pa.array, numbers)], names=["kind", "key", "n", "m"])
 
 
 def _least_count(counts: DataFrame, most: int) -> int:
@@ -209,18 +211,46 @@ def _least_count(counts: DataFrame, most: int) -> int:
     return 1
 
 
-def train(counts: DataFrame, order: int = ORDER, nodes: int = NODES) -> Trie:
-    """The trie of the most frequent runs, at most `nodes` for each order: so large it comes to the driver and the tasks."""
-    runs = counts.where("kind = 0").select("key", "n")
-    tables, least = [], 1
-    for k in range(order + 1):
-        short = runs.groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("key")).agg(F.sum("n").alias("n"))
-        least = max(least, _least_count(short, nodes))
-        table = short.where(F.col("n") >= least).toArrow()
-        key, n = table.column("key").to_numpy().astype(np.uint64), table.column("n").to_numpy().astype(np.float64)
-        by = np.argsort(key)
-        tables.append((key[by], n[by]))
-    return Trie(tables)
+def _endings(key: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted runs of `size` symbols that the runs end with, and their counts."""
+    runs, count = _added([(key & np.uint64((1 << (8 * size)) - 1), n)])
+    return runs, count.astype(np.float64)
+
+
+def coded(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """key, m, v: every run, how often it occurs and log10 of the probability of its last symbol after the others.
+
+    Runs meet by the symbols just before the last one. So a task has all training runs that follow a context of SHORT
+    symbols or of more, and the counts of shorter ones come whole with it: nothing of the trie is left out.
+    """
+    runs = counts.where("kind = 0").select("key", "n", "m")
+    short = min(order, SHORT)
+    table = runs.where("n > 0").groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * short)) - 1)).alias("key")).agg(F.sum("n").alias("n")).toArrow() if short else None
+    base = [_endings(table.column("key").to_numpy().astype(np.uint64), table.column("n").to_numpy(), k + 1) for k in range(short)]
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [b for b in batches if b.num_rows]
+        if not found:
+            return
+        key, n, m = (pa.concat_arrays([b.column(c) for b in found]).to_numpy() for c in ("key", "n", "m"))
+        key = key.view(np.uint64)
+        known = n > 0
+        trie = Trie([*base, *(_endings(key[known], n[known], k + 1) for k in range(short, order + 1))])
+        for at in range(0, len(key), 1 << 18):
+            part = slice(at, at + (1 << 18))
+            yield pa.RecordBatch.from_arrays([pa.array(key[part].view(np.int64)), pa.array(m[part]), pa.array(trie.log10(key[part]))], names=["key", "m", "v"])
+
+    context = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << (8 * short)) - 1))
+    return runs.repartition(context).mapInArrow(code, "key long, m long, v double")
+
+
+def _lists(row: np.ndarray, key: np.ndarray, rows: int) -> tuple[pa.ListArray, pa.ListArray]:
+    """For each of the rows its different keys, and how often each occurs."""
+    order, new = groups(row, key)
+    start = np.flatnonzero(new)
+    at = pa.array(np.append(0, np.cumsum(np.bincount(row[order][start], minlength=rows))).astype(np.int32))
+    times = np.diff(np.append(start, len(key))).astype(np.int32)
+    return pa.ListArray.from_arrays(at, pa.array(key[order][start])), pa.ListArray.from_arrays(at, pa.array(times))
 
 
 def scores(docs: DataFrame, order: int = ORDER, nodes: int = NODES, words: int = WORDS) -> DataFrame:
@@ -234,34 +264,34 @@ def scores(docs: DataFrame, order: int = ORDER, nodes: int = NODES, words: int =
     columns are ignored.
     """
     docs = keyed(docs).withColumn("held_out", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)))
-    counts = saved(counted(docs.where("NOT held_out"), order))
+    counts = saved(counted(docs, order))
     spark = docs.sparkSession
     vocabulary = counts.where("kind = 1").select(F.col("key").alias("w"), F.col("n").alias("c"))
     total, different = vocabulary.select(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     least = _least_count(vocabulary.withColumnRenamed("c", "n"), words)
     table = vocabulary.where(F.col("c") >= least).toArrow()
     key, number = table.column("w").to_numpy(), table.column("c").to_numpy()
-    shared = spark.sparkContext.broadcast((train(counts, order, nodes), Lookup(key, np.log10(number + 0.5))))
+    runs = saved(coded(counts, order))
+    least_run = _least_count(runs.withColumnRenamed("m", "n"), nodes)
+    table = runs.where(F.col("m") >= least_run).toArrow()
+    shared = spark.sparkContext.broadcast((Lookup(table.column("key").to_numpy(), table.column("v").to_numpy()), Lookup(key, np.log10(number + 0.5))))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, known = shared.value
+        logs_of, known = shared.value
         for block in blocks(batches):
             data, offsets = flat(block.column("text"))
             data = _LOWER[data]
-            runs, at = grams(data, offsets, order)
-            value = np.add.reduceat(trie.log10(runs), at[:-1])
-            del runs
+            run, at = grams(data, offsets, order)
+            logs, hit = logs_of.get(run)
+            value = np.add.reduceat(np.where(hit, logs, 0), at[:-1])
+            rare_runs = _lists(np.repeat(np.arange(block.num_rows), np.diff(at))[~hit], run[~hit].view(np.int64), block.num_rows)
+            del run
             starts, ends, first = word_bounds(data, offsets)
             w = np.insert(_words(data, starts, ends), first[1:], END_WORD)  # an end after each row's words
             row = np.repeat(np.arange(block.num_rows), np.diff(first) + 1)
             logs, hit = known.get(w)
             base = np.bincount(row[hit], weights=logs[hit], minlength=block.num_rows)
             n_known = np.bincount(row[hit], minlength=block.num_rows)
-            rare, rare_row = w[~hit], row[~hit]
-            order_, new = groups(rare_row, rare)
-            start = np.flatnonzero(new)
-            times = np.diff(np.append(start, len(rare)))
-            lists = np.append(0, np.cumsum(np.bincount(rare_row[order_][start], minlength=block.num_rows)))
             yield pa.RecordBatch.from_arrays(
                 [
                     *(block.column(c) for c in ("doc_id", "_k", "held_out")),
@@ -269,26 +299,29 @@ def scores(docs: DataFrame, order: int = ORDER, nodes: int = NODES, words: int =
                     pa.array(n_known.astype(np.int64)),
                     pa.array(base.astype(np.float64)),
                     pa.array(value.astype(np.float64)),
-                    pa.ListArray.from_arrays(pa.array(lists.astype(np.int32)), pa.array(rare[order_][start])),
-                    pa.ListArray.from_arrays(pa.array(lists.astype(np.int32)), pa.array(times.astype(np.int32))),
+                    *_lists(row[~hit], w[~hit], block.num_rows),
+                    *rare_runs,
                 ],
-                names=["doc_id", "_k", "held_out", "n_tokens", "n_known", "base", "score", "words", "times"],
+                names=["doc_id", "_k", "held_out", "n_tokens", "n_known", "base", "score", "words", "times", "runs", "run_times"],
             )
 
-    schema = "doc_id long, _k long, held_out boolean, n_tokens long, n_known long, base double, score double, words array<bigint>, times array<int>"
+    schema = "doc_id long, _k long, held_out boolean, n_tokens long, n_known long, base double, score double, words array<bigint>, times array<int>, runs array<bigint>, run_times array<int>"
     scored = saved(docs.select("doc_id", "_k", "held_out", "text").mapInArrow(each, schema))
-    rare = scored.dropDuplicates(["_k"]).select("_k", F.explode(F.arrays_zip("words", "times")).alias("r")).select("_k", F.col("r.words").alias("w"), F.col("r.times").alias("m"))
+    once = scored.select("_k", "words", "times", "runs", "run_times").where("size(words) + size(runs) > 0").dropDuplicates(["_k"])
+    rare = once.select("_k", F.explode(F.arrays_zip("words", "times")).alias("r")).select("_k", F.col("r.words").alias("w"), F.col("r.times").alias("m"))
     looked = rare.join(vocabulary.where(F.col("c") < least), "w", "left")
     sums = looked.groupBy("_k").agg(
         F.sum(F.col("m") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("known")
     )
+    rare = once.select("_k", F.explode(F.arrays_zip("runs", "run_times")).alias("r")).select("_k", F.col("r.runs").alias("key"), F.col("r.run_times").alias("times"))
+    tails = rare.join(runs.where(F.col("m") < least_run).select("key", "v"), "key").groupBy("_k").agg(F.sum(F.col("times") * F.col("v")).alias("tail"))
     part = np.log10(total + 0.5 * (different + 1))
-    return scored.join(sums, "_k", "left").select(
+    return scored.join(sums, "_k", "left").join(tails, "_k", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(part))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("tail", F.lit(0.0))).alias("score"),
     )
