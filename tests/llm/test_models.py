@@ -11,7 +11,7 @@ import pytest
 
 from tests.llm.texts import documents, frame, sortable
 from weft.llm import ppm, quality
-from weft.llm.toxicity import label_model, toxicity
+from weft.llm.toxicity import SHOUT, Voters, label_model, toxicity
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -168,3 +168,13 @@ def test_runs_beyond_the_broadcast_are_scored_exactly(spark, nodes):
     train = [low(r[1]) for r in rows if r[0] is None or zlib.crc32(str(r[0]).encode()) % 5 != 1]
     expected = sorted(plain_ppm(train, low(r[1]), 4) for r in rows)
     assert sorted(r.score for r in ppm.scores(frame(spark, rows), nodes=nodes).collect()) == pytest.approx(expected)
+
+
+def test_shouting_counts_over_the_whole_text():
+    voters = Voters(["moron", *SHOUT])
+    upper = voters.place["!upper"]
+    calm, loud = ["calm"] * 450, ["SHOUTED"] * 100
+    assert upper in voters.fired(" ".join(calm + loud))[0]
+    assert upper not in voters.fired(" ".join(["SHOUTED"] * 45 + calm))[0]
+    assert upper not in voters.fired(" ".join(calm))[0] and upper not in voters.fired("")[0]
+    assert voters.fired("Moron MORON moron OK") == ([0, upper], 3, 4)
