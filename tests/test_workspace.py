@@ -224,3 +224,12 @@ def test_scan_reads_what_it_should(spark, tmp_path, monkeypatch):
     assert "SCAN_LIMIT_REACHED" in {r.code for r in told.collect()}
     again = Workspace.read(spark, f"file://{tmp_path}")
     assert again.files.count() == 2
+
+
+def test_every_go_module_is_known(spark):
+    n = 100_200
+    mods = spark.range(n).selectExpr("concat('r', id, '/go.mod') AS path", "concat('module example.com/r', id, '\\n') AS content")
+    code = spark.range(n).selectExpr("concat('r', id, '/pkg/a.go') AS path", "'package pkg\\n' AS content")
+    found = imports.symbols(mods.unionByName(code)).where("grp = 'go'")
+    assert found.count() == n
+    assert found.where("target = 'r77/pkg/a.go'").first().name == "example.com/r77/pkg"
