@@ -233,3 +233,23 @@ def test_every_go_module_is_known(spark):
     found = imports.symbols(mods.unionByName(code)).where("grp = 'go'")
     assert found.count() == n
     assert found.where("target = 'r77/pkg/a.go'").first().name == "example.com/r77/pkg"
+
+
+def test_models_are_found_at_any_depth(spark, workspace):
+    classes = ["from django.db import models", "class A0(models.Model):", "    name = models.CharField(max_length=9)"]
+    for i in range(1, 9):
+        classes += [f"class A{i}(A{i - 1}):", f"    f{i} = models.IntegerField()"]
+    classes += ["class Other(Thing):", "    x = models.IntegerField()"]
+    entities, fields, _ = schema.data_model(table(spark, {"m.py": "\n".join(reversed_pairs(classes)) + "\n"}))
+    assert {r.entity for r in entities.collect()} == {f"A{i}" for i in range(9)}
+    assert {r.field for r in fields.collect()} == {"name", "id", *(f"f{i}" for i in range(1, 9))}
+
+
+def reversed_pairs(lines: list[str]) -> list[str]:
+    """The first line and then the classes of two lines each, last one first."""
+    return lines[:1] + [x for i in range(len(lines) - 2, 0, -2) for x in lines[i : i + 2]]
+
+
+def test_the_workspace_suppresses_inverses(workspace):
+    kept = {(r.entity, r.field) for r in workspace.relations.collect()}
+    assert ("Post", "author") in kept and ("User", "posts") not in kept

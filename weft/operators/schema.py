@@ -113,15 +113,20 @@ def _python_classes(files: DataFrame, gate: str) -> DataFrame:
     return rows.select("*", F.regexp_extract("head", head, 1).alias("entity"), F.split(F.regexp_extract("head", head, 2), r"\s*,\s*").alias("bases"))
 
 
-def _derived(classes: DataFrame, roots: str, rounds: int = 3) -> DataFrame:
-    """path, entity of classes that derive from a base matching `roots`, over classes of the same file."""
+def _derived(classes: DataFrame, roots: str) -> DataFrame:
+    """path, entity of classes that derive, at any depth, from a base matching `roots`, over classes of the same file."""
     known = classes.groupBy("path").agg(F.collect_set(F.struct("entity", "bases")).alias("_all"))
-    direct = F.filter("_all", lambda c: F.exists(c.bases, lambda b: b.rlike(roots)))
-    found = known.select("path", "_all", F.transform(direct, lambda c: c.entity).alias("_found"))
-    for _ in range(rounds):  # each round reaches one class deeper
-        wider = F.filter("_all", lambda c: F.array_contains("_found", c.entity) | F.arrays_overlap(c.bases, F.col("_found")))
-        found = found.select("path", "_all", F.transform(wider, lambda c: c.entity).alias("_found"))
-    return found.select("path", F.explode("_found").alias("entity"))
+    names = lambda rows: F.transform(rows, lambda c: c.entity)
+    step = lambda found, grown: F.struct(found.alias("found"), grown.alias("grown"))
+    direct = names(F.filter("_all", lambda c: F.exists(c.bases, lambda b: b.rlike(roots))))
+
+    def wider(state: Column, _: Column) -> Column:
+        more = names(F.filter("_all", lambda c: F.array_contains(state.found, c.entity) | F.arrays_overlap(c.bases, state.found)))
+        return F.when(state.grown, step(more, F.size(more) > F.size(state.found))).otherwise(state)
+
+    # Each step reaches one class deeper, and a file has no longer chain than it has classes; without growth nothing is left to do.
+    found = F.aggregate("_all", step(direct, F.lit(True)), wider)
+    return known.select("path", F.explode(found.found).alias("entity"))
 
 
 def django(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -76,7 +76,7 @@ class Workspace:
     def _model(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         entities, fields, relations = schema.declared(self.files)
         entities = entities.persist()
-        return entities, fields.persist(), schema.resolve(entities, relations).persist()
+        return entities, fields.persist(), schema.without_inverses(schema.resolve(entities, relations)).persist()
 
     @property
     def entities(self) -> DataFrame:
