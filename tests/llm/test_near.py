@@ -91,6 +91,22 @@ def test_lines_match_brute_force(spark, monkeypatch, cell, broadcast):
     assert sortable(dedup_lines(frame(spark, rows)).collect()) == sortable(expected)
 
 
+def test_short_lines_go_where_they_repeat_exactly(spark):
+    hot = "All rights reserved"
+    rows = [(i, f"own text {i} of this row\n  {hot}\n\n{hot if i % 2 else hot + '.'}", "en", "s", 1, "x", "y", "z", 1) for i in range(30)]
+    got = {r.doc_id: r for r in dedup_lines(frame(spark, rows), short=True).collect()}
+    plain = {r.doc_id: r for r in dedup_lines(frame(spark, rows)).collect()}
+    seen = set()
+    for i, text, *_ in rows:
+        kept = []
+        for raw in text.split("\n"):
+            if not raw.strip(BLANK) or raw.strip(BLANK) not in seen:
+                kept.append(raw)
+            seen.add(raw.strip(BLANK))
+        assert got[i].kept_text == "\n".join(kept) and got[i].n_links == 0
+        assert got[i].class_id == 0 and plain[i].n_removed == 0
+
+
 def print_of(text: str) -> int:
     words = text.encode().lower().split()
     n = max(1, len(words) - 2)

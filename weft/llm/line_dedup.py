@@ -266,18 +266,18 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: int, min_chars: int)
     return both.mapInArrow(check, "a long, b long")
 
 
-def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, keep: tuple[str, ...] = (), short: bool = False) -> DataFrame:
     """doc_id, n_lines, n_removed, n_links, class_id, kept_sha256, kept_text and the columns to keep: a line is removed if the same line, or one
     within `threshold` edits, occurs earlier (smaller doc_id, or same document, earlier line).
 
-    Lines are split at \\n and compared without white space around them; lines under `min_chars` characters stay. n_links
-    counts, over the document's lines, other line texts within the threshold; class_id is the smallest doc_id that
-    has one of its lines or a near one. Null texts are empty and have one empty line; null ids come after all others;
+    Lines are split at \\n and compared without white space around them; lines under `min_chars` characters stay;
+    with `short` those too go where the same line, blank ones aside, occurs earlier. n_links counts, over the document's
+    lines, other line texts within the threshold; class_id is the smallest doc_id that has one of its lines or a near one. Null texts are empty and have one empty line; null ids come after all others;
     rows equal in id and text count as one document and each gets the same result; an empty table gives an empty one;
     further columns are ignored. Equal lines are told by 63 bits of a hash.
     """
     docs = keyed(docs, keep)
-    places = saved(occurrences(docs, min_chars))
+    places = saved(occurrences(docs, 1 if short else min_chars))
     kinds = saved(places.groupBy("line").agg(F.min(F.struct("o", "k", "i")).alias("first"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("x").alias("x"), F.first("y").alias("y")))
     links = verified(docs, candidates(meetings(docs, threshold, min_chars), kinds, threshold), threshold, min_chars)
     links = saved(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))

@@ -42,7 +42,7 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).drop("kept_text")
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), short=True).drop("kept_text")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
