@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tests.llm.texts import documents, frame, sortable
-from weft.llm.sentencepiece_codec import LONG, Pieces, StreamingViterbi, decode, encode, encode_block, encode_exactly, normalised, read_model, stream
+from weft.llm.sentencepiece_codec import BLANK, Lanes, Pieces, StreamingViterbi, decode, encode, encode_block, encode_exactly, normalised, read_model, stream
 from weft.llm.token_counts import RANKS, count_tokens, document_token_counts, encoding
 from weft.session import use_checkpoints
 
@@ -34,7 +34,7 @@ def whole_search(pieces: Pieces, text: str) -> list[int]:
     return pieces.spelled(out[::-1])
 
 
-SAMPLES = ["", "a", " ", "  two  blanks ", "Hello world, this is a test.", "日本語 テキスト", "line\nbreak\ttab\r\n", "😀 smile", "x" * (LONG + 30), "ab" * LONG, "naïve façade", "aaaaaaaaaaaa" * 40]
+SAMPLES = ["", "a", " ", "  two  blanks ", "Hello world, this is a test.", "日本語 テキスト", "line\nbreak\ttab\r\n", "😀 smile", "x" * 230, "ab" * 192, "naïve façade", "aaaaaaaaaaaa" * 40]
 
 
 def test_all_ways_find_the_best_path(pieces):
@@ -52,6 +52,31 @@ def test_the_stream_keeps_a_bounded_window(pieces):
     assert out and search.held <= 4 * pieces.longest
 
 
+def test_all_lanes_commit_on_convergence_within_a_window(pieces):
+    """Every piece of every stretch comes from the windowed search, most of them before the stretch's end."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdeginorstuü日😀"), int(n))) for n in rng.integers(1, 400, 60)]
+    words = sorted({BLANK + w for w in words} | {"ab" * 9}, key=len)
+    lengths = np.array([len(w) for w in words])
+    codes = np.full((len(words), lengths.max()), 0xFFFF, dtype=np.uint16)
+    for row, w in zip(codes, words):
+        row[: len(w)] = pieces.letter[[ord(c) for c in w]]
+    lanes = Lanes(pieces, codes, lengths)
+    lane, begin, ids = lanes.run()
+    for i, w in enumerate(words):
+        spans = [*begin[lane == i].tolist(), len(w)]
+        found = [(k, w[a:b]) for k, a, b in zip(ids[lane == i].tolist(), spans, spans[1:])]
+        assert pieces.spelled(found) == whole_search(pieces, w)
+    assert lanes.early > 0.9 * lengths.sum() and lanes.widest <= 8 * pieces.longest
+
+
+def test_blocks_of_many_long_stretches(pieces):
+    texts = ["".join(chr(97 + (i * j + j * j // 7) % 5) for j in range(250 + i)) for i in range(20)]
+    texts += [c * (200 + 9 * i) for i, c in enumerate("a=-.xo")]  # paths of all phases live on, so the ring grows
+    ids, at = encode_block(pieces, texts)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [whole_search(pieces, normalised(t)) for t in texts]
+
+
 def test_round_trips(pieces):
     ids, at, same = encode_exactly(pieces, [*SAMPLES, "a▁b"])
     assert same[:-1].all() and not same[-1]

@@ -3,8 +3,8 @@
 The best segmentation by the sum of piece scores is searched from left to right. Only a window as long as the longest
 piece can still be extended, and once all surviving paths of the window agree on a boundary, the ids before it are committed. Where
 no piece holds two neighbouring characters together, all paths converge for certain: a block of text is cut there, and
-its distinct stretches are searched side by side, one array operation for a step of all of them. Stretches beyond a
-limit are streamed one character at a time in constant memory.
+its distinct stretches are streamed side by side, a character of all of them in a few array operations. Both forms of the search,
+for many stretches and for one, hold a window and commit on convergence, whatever a stretch's length.
 """
 
 from __future__ import annotations
@@ -23,9 +23,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 BLANK = "▁"
 PENALTY = 10.0
-#: Stretches longer than this are streamed.
-LONG = 192
-LANES, CELLS = 1 << 15, 1 << 19
+#: At most so many stretches are searched side by side, with so many letters; so few are better searched one by one.
+LANES, CELLS, FEW = 1 << 15, 1 << 19, 8
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -217,45 +216,122 @@ def normalised(text: str, prefix: bool = True) -> str:
     return (BLANK if prefix and text else "") + text.replace(" ", BLANK)
 
 
-def _side_by_side(pieces: Pieces, codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and lengths, from the last to the first, of stretches of at most `size` letters: a row each, 0 where done.
-    codes has a row for each, filled up with 0xFFFF, which is in no piece.
+class Lanes:
+    """The same search over many stretches side by side, a step of all of them being a few array operations.
+
+    Of each lane only a window is held: boundaries since the last committed one, in a ring of slots that all lanes
+    share. Pieces are committed, one in a step, when the paths to all boundaries that can still be extended agree
+    on the first boundary ahead; what a lane has left at its end lies on one path. `early` counts characters committed
+    before their stretch's end, `widest` the largest ring.
     """
-    n = len(codes)
-    score = np.full((n, size + 1), -np.inf)
-    score[:, 0] = 0
-    back, ids = np.zeros((n, size + 1), dtype=np.int16), np.zeros((n, size + 1), dtype=np.int32)
-    for start in range(size):
-        rows = np.flatnonzero(codes[:, start] != 0xFFFF)
-        nodes = np.zeros(len(rows), dtype=np.int32)
-        alone = np.zeros(n, dtype=bool)
-        for end in range(start + 1, min(size, start + pieces.longest) + 1):
-            nodes = pieces.step(nodes, codes[rows, end - 1])
+
+    def __init__(self, pieces: Pieces, codes: np.ndarray, lengths: np.ndarray):
+        """codes has a row of letters for each stretch, filled up with 0xFFFF, which is in no piece; lengths ascend."""
+        self.pieces, self.codes, self.lengths = pieces, codes, lengths
+        n = len(codes)
+        self.slots = 1 << int(pieces.longest + 1).bit_length()
+        self.score = np.full((self.slots, n), -np.inf)
+        self.score[0] = 0
+        self.back, self.ids, self.root = (np.zeros((self.slots, n), dtype=np.int32) for _ in range(3))
+        self.done, self.count = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int32)
+        self.open: list[tuple[int, np.ndarray, np.ndarray]] = []  # start of pieces that may still grow, lanes, trie nodes
+        self.out: list[tuple[np.ndarray, ...]] = []
+        self.early = 0
+        self.widest = self.slots
+
+    def run(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lane, first character and id of all pieces, by lane and place."""
+        size = int(self.lengths.max())
+        ends = np.searchsorted(self.lengths, np.arange(size + 2))  # lanes from ends[t] on have t characters or more
+        for t in range(size):
+            live = np.arange(ends[t + 1], len(self.lengths))
+            if t + 1 - int(self.done[live[0] :].min()) >= self.slots:
+                self._widen(t)
+            self._advance(t, live)
+            self._converge(t + 1, live)
+            self._finish(t + 1, np.arange(ends[t + 1], ends[t + 2]))
+        lane, number, begin, ids = (np.concatenate(x) for x in zip(*self.out))
+        order = np.lexsort((number, lane))
+        return lane[order], begin[order], ids[order]
+
+    def _widen(self, last: int) -> None:
+        """Twice as many slots; the boundaries up to `last` keep their values."""
+        held = np.arange(max(0, last - self.slots + 1), last + 1)
+        for name in ("score", "back", "ids", "root"):
+            old = getattr(self, name)
+            new = np.zeros((2 * self.slots, old.shape[1]), dtype=old.dtype)
+            new[held % (2 * self.slots)] = old[held % self.slots]
+            setattr(self, name, new)
+        self.slots *= 2
+        self.widest = self.slots
+
+    def _advance(self, t: int, live: np.ndarray) -> None:
+        """Reads character t: the best path to the boundary behind it. Ties go to the longer last piece."""
+        pieces, slot, n = self.pieces, (t + 1) % self.slots, self.slots
+        best, back, ids = self.score[slot], self.back[slot], self.ids[slot]
+        best[:] = -np.inf
+        alone, grown = np.zeros(len(best), dtype=bool), []
+        for start, rows, nodes in [*self.open, (t, live, np.zeros(len(live), dtype=np.int32))]:
+            nodes = pieces.step(nodes, self.codes[rows, t])
             keep = nodes > 0
             rows, nodes = rows[keep], nodes[keep]
             if not len(rows):
-                break
+                continue
+            grown.append((start, rows, nodes))
             found = pieces.ids[nodes] >= 0
             hit, node = rows[found], nodes[found]
-            if end == start + 1:
+            if start == t:
                 alone[hit] = True
-            value = score[hit, start] + pieces.scores[node]
-            better = value > score[hit, end]
+            value = self.score[start % n, hit] + pieces.scores[node]
+            better = value > best[hit]
             hit, node = hit[better], node[better]
-            score[hit, end], back[hit, end], ids[hit, end] = value[better], end - start, pieces.ids[node]
-        rest = np.flatnonzero(~alone & (codes[:, start] != 0xFFFF))
-        value = score[rest, start] + pieces.unknown_score
-        better = value > score[rest, start + 1]
+            best[hit], back[hit], ids[hit] = value[better], start, pieces.ids[node]
+        rest = live[~alone[live]]
+        value = self.score[t % n, rest] + pieces.unknown_score
+        better = value > best[rest]
         rest = rest[better]
-        score[rest, start + 1], back[rest, start + 1], ids[rest, start + 1] = value[better], 1, pieces.unknown
-    place = (codes != 0xFFFF).sum(axis=1)
-    out, steps = [], []
-    row = np.arange(n)
-    while (place > 0).any():
-        out.append(np.where(place > 0, ids[row, place], -1))
-        steps.append(np.where(place > 0, back[row, place], 0))
-        place = place - steps[-1]
-    return np.array(out).T, np.array(steps).T
+        best[rest], back[rest], ids[rest] = value[better], t, pieces.unknown
+        self.open = grown
+        b = back[live]
+        self.root[slot, live] = np.where(b == self.done[live], t + 1, self.root[b % n, live])
+
+    def _converge(self, end: int, live: np.ndarray) -> None:
+        """Commits one piece of each lane whose surviving paths, to `end` and to where a piece is still open, share it."""
+        n = self.slots
+        first = self.root[end % n]
+        agree = np.zeros(len(first), dtype=bool)
+        agree[live] = True
+        for start, rows, _ in self.open:
+            agree[rows] &= (start > self.done[rows]) & (self.root[start % n, rows] == first[rows])
+        who = np.flatnonzero(agree)
+        if not len(who):
+            return
+        to = first[who].copy()
+        self._emit(who, self.count[who], self.done[who], self.ids[to % n, who])
+        self.early += int((to - self.done[who])[self.lengths[who] > end].sum())
+        self.count[who] += 1
+        self.done[who] = to
+        for p in range(int(to.min()) + 1, end + 1):
+            b = self.back[p % n, who]
+            self.root[p % n, who] = np.where(b == to, p, self.root[b % n, who])
+
+    def _finish(self, end: int, who: np.ndarray) -> None:
+        """Commits what is left of lanes that end here."""
+        place, steps = np.full(len(who), end, dtype=np.int32), []
+        while len(on := np.flatnonzero(place > self.done[who])):
+            slot = place[on] % self.slots
+            before = self.back[slot, who[on]]
+            steps.append((on, before, self.ids[slot, who[on]]))
+            place[on] = before
+        left = np.zeros(len(who), dtype=np.int32)
+        for on, *_ in steps:
+            left[on] += 1
+        for on, before, ids in steps:
+            left[on] -= 1
+            self._emit(who[on], self.count[who[on]] + left[on], before, ids)
+
+    def _emit(self, lane: np.ndarray, number: np.ndarray, begin: np.ndarray, ids: np.ndarray) -> None:
+        self.out.append((lane, number, begin, ids))
 
 
 def encode_block(pieces: Pieces, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -275,45 +351,33 @@ def encode_block(pieces: Pieces, texts: list[str]) -> tuple[np.ndarray, np.ndarr
     inside = np.arange(len(points)) - np.repeat(start, size)
     value = mix(points.astype(np.uint64) + np.uint64(1)) * powers(int(size.max()))[inside]
     _, first, which = np.unique(mix(np.add.reduceat(value, start) + size.astype(np.uint64)), return_index=True, return_inverse=True)
+    del inside, value
     n_ids = np.zeros(len(first), dtype=np.int64)
     order = np.argsort(size[first], kind="stable")
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # stretch, number of its id, id
+    found: list[tuple[np.ndarray, np.ndarray]] = []  # stretches and their ids, in order of place
     at = 0
     while at < len(order):
         # So many side by side that their letters, filled up to the longest, stay below a bound.
         ahead = size[first[order[at : at + LANES]]]
-        lanes = order[at : at + max(1, int(((np.arange(len(ahead)) + 1) * np.minimum(ahead, LONG) <= CELLS).sum()))]
+        lanes = order[at : at + max(1, int(((np.arange(len(ahead)) + 1) * ahead <= CELLS).sum()))]
         at += len(lanes)
-        lengths = size[first[lanes]]
-        for i in lanes[lengths > LONG].tolist():
-            s = start[first[i]]
-            got = np.array(stream(pieces, joined[s : s + size[first[i]]]), dtype=np.int32)
-            n_ids[i] = len(got)
-            found.append((np.full(len(got), i), np.arange(len(got)), got))
-        lanes, lengths = lanes[lengths <= LONG], lengths[lengths <= LONG]
-        if not len(lanes):
-            continue
-        most = int(lengths.max())
-        grid = start[first[lanes]][:, None] + np.arange(most)
-        block = np.where(np.arange(most) < lengths[:, None], codes[np.minimum(grid, len(codes) - 1)], np.uint16(0xFFFF))
-        ids, steps = _side_by_side(pieces, block, most)
-        if (unknown := np.flatnonzero((ids == pieces.unknown).any(axis=1))).size:
-            for r in unknown.tolist():
-                s, k = start[first[lanes[r]]], int((ids[r] >= 0).sum())
-                ends = s + np.append(0, np.cumsum(steps[r][:k][::-1]))
-                got = pieces.spelled([(int(i), joined[a:b]) for i, a, b in zip(ids[r][:k][::-1], ends, ends[1:])])
-                n_ids[lanes[r]] = len(got)
-                found.append((np.full(len(got), lanes[r]), np.arange(len(got)), np.array(got, dtype=np.int32)))
-            plain = np.setdiff1d(np.arange(len(lanes)), unknown)
-            ids, lanes = ids[plain], lanes[plain]
-        count = (ids >= 0).sum(axis=1)
-        n_ids[lanes] = count
-        r, c = np.nonzero(ids >= 0)
-        found.append((lanes[r], count[r] - 1 - c, ids[r, c]))
+        lengths, begin = size[first[lanes]], start[first[lanes]]
+        if len(lanes) <= FEW:
+            parts = [np.array(stream(pieces, joined[a : a + n]), dtype=np.int32) for a, n in zip(begin.tolist(), lengths.tolist())]
+            ids, counts = np.concatenate(parts), np.array([len(x) for x in parts])
+        else:
+            grid = np.arange(int(lengths.max()))
+            block = np.where(grid < lengths[:, None], codes[np.minimum(begin[:, None] + grid, len(codes) - 1)], np.uint16(0xFFFF))
+            lane, place, ids = Lanes(pieces, block, lengths).run()
+            ids, times = _with_bytes(pieces, ids, points[begin[lane] + place])
+            counts = np.bincount(lane, weights=times, minlength=len(lanes)).astype(np.int64)
+        n_ids[lanes] = counts
+        found.append((lanes, ids))
     base = np.append(0, np.cumsum(n_ids))
     table = np.zeros(int(base[-1]), dtype=np.int32)
-    for lane, number, ids in found:
-        table[base[lane] + number] = ids
+    for lanes, ids in found:
+        count = n_ids[lanes]
+        table[np.repeat(base[lanes] - np.cumsum(count) + count, count) + np.arange(len(ids))] = ids
     count = n_ids[which]
     inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
     out = table[np.repeat(base[which], count) + inside]
@@ -321,6 +385,19 @@ def encode_block(pieces: Pieces, texts: list[str]) -> tuple[np.ndarray, np.ndarr
     return out, at
 
 
+def _with_bytes(pieces: Pieces, ids: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids, those of characters that no piece covers replaced by their bytes' ids; how many each has become."""
+    times = np.ones(len(ids), dtype=np.int64)
+    unknown = np.flatnonzero(ids == pieces.unknown)
+    raw = [chr(c).encode() for c in points[unknown].tolist()]
+    times[unknown] = [len(x) for x in raw]
+    out = np.repeat(ids, times)
+    place = (np.cumsum(times) - times)[unknown]
+    for a, x in zip(place.tolist(), raw):
+        out[a : a + len(x)] = pieces.byte_ids[list(x)]
+    return out, times
+
+
 def decode_block(pieces: Pieces, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of the texts one after another, and where each begins (one more at the end)."""
     size = np.diff(pieces.surface_at)[ids]
@@ -384,8 +461,10 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """All columns of docs, and ids (the pieces of text), n_ids, round_trip (whether they decode to the text).
 
     A blank is put before each text, as the model asks, and taken away again when decoding; an empty or null text has no
-    ids. Characters that no piece has become byte pieces. Ties go to the longer last piece. If docs has columns of these
-    names, the new ones get underscores before. Each row gives a row; an empty table gives an empty one.
+    ids. Characters that no piece has become byte pieces. Ties go to the longer last piece. A text of any length goes
+    through a window of bounded size; it is in memory as one value, like its ids. If docs has columns of these
+    names, the new ones get underscores before; all others, null ids among them, are kept. Each row, repeated ones too, gives a row; an empty table
+    gives an empty one.
     """
     data = read_model(model)
     ids, n_ids, trip = (free_name(docs.columns, x) for x in ("ids", "n_ids", "round_trip"))
