@@ -106,12 +106,13 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """A 64-bit hash of each range's bytes."""
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
-    lengths = (ends - starts).astype(np.int32)
+    lengths = ends - starts
     begin = np.cumsum(lengths, dtype=np.int64) - lengths
     total = int(begin[-1]) + int(lengths[-1])
-    inside = np.arange(total, dtype=np.int32) - np.repeat(begin.astype(np.int32), lengths)
+    kind = np.int32 if max(total, len(data)) < 1 << 31 else np.int64  # the narrow one is faster
+    inside = np.arange(total, dtype=kind) - np.repeat(begin.astype(kind), lengths)
     value = powers(int(lengths.max()))[inside]
-    value *= _BYTE[data[np.repeat(starts.astype(np.int32), lengths) + inside]]
+    value *= _BYTE[data[np.repeat(starts.astype(kind), lengths) + inside]]
     return mix(np.add.reduceat(value, begin) + lengths.astype(np.uint64))
 
 
@@ -185,3 +186,32 @@ def minima(values: np.ndarray, width: int) -> np.ndarray:
         size *= 2
     rest = width - size
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
+
+
+def least_places(values: np.ndarray, width: int) -> np.ndarray:
+    """Where the minimum of each window of `width` lies, the first of equal ones, by doubling."""
+    at, size = np.arange(len(values), dtype=np.int32 if len(values) < 1 << 31 else np.int64), 1
+
+    def joined(step: int) -> None:
+        nonlocal values, at
+        n = len(values) - step
+        later = values[step:] < values[:n]
+        values, at = np.where(later, values[step:], values[:n]), np.where(later, at[step:], at[:n])
+
+    while 2 * size <= width:
+        joined(size)
+        size *= 2
+    if width > size:
+        joined(width - size)
+    return at
+
+
+def least_count(counts: DataFrame, most: int) -> int:
+    """The smallest threshold on column n (by eighths of a power of two) that at most `most` rows reach."""
+    step = F.floor(F.log2("n") * 8).cast("int").alias("step")
+    total = 0
+    for row in sorted(counts.groupBy(step).agg(F.count("*").alias("rows")).collect(), key=lambda r: -r["step"]):
+        total += row["rows"]
+        if total > most:
+            return int(np.ceil(2 ** ((row["step"] + 1) / 8)))
+    return 1

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.common import LAST, blocks, carried_back, carried_type, groups, keyed
-from weft.llm.repeats import SPREAD, TEXTS, listed
+from weft.llm.repeats import TEXTS, listed, spread
 from weft.session import saved
 
 THRESHOLD, MIN_CHARS = 2, 30
@@ -140,7 +140,7 @@ def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
 
 def meetings(docs: DataFrame, threshold: int, min_chars: int) -> DataFrame:
     """cell, line, indexed: lines that share a signature, in cells of at most 4096 indexed and 4096 other lines."""
-    buckets = np.uint64(SPREAD * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = np.uint64(spread(docs))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):

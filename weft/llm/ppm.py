@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import LOWER, blocks, flat, fold, groups, keyed, mix, word_bounds, word_hashes
+from weft.llm.common import LOWER, blocks, flat, fold, groups, keyed, least_count, mix, word_bounds, word_hashes
 from weft.session import saved
 
 ORDER = 4
@@ -200,17 +200,6 @@ def _counts(kind: int, key: np.ndarray, n: np.ndarray, m: np.ndarray) -> Iterato
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, dtype=np.int32)), pa.array(part), *map(pa.array, numbers)], names=["kind", "key", "n", "m"])
 
 
-def _least_count(counts: DataFrame, most: int) -> int:
-    """The smallest threshold (by eighths of a power of two) that at most `most` rows reach."""
-    step = F.floor(F.log2("n") * 8).cast("int").alias("step")
-    total = 0
-    for row in sorted(counts.groupBy(step).agg(F.count("*").alias("rows")).collect(), key=lambda r: -r["step"]):
-        total += row["rows"]
-        if total > most:
-            return int(np.ceil(2 ** ((row["step"] + 1) / 8)))
-    return 1
-
-
 def _endings(key: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The sorted runs of `size` symbols that the runs end with, and their counts."""
     runs, count = _added([(key & np.uint64((1 << (8 * size)) - 1), n)])
@@ -268,11 +257,11 @@ def scores(docs: DataFrame, order: int = ORDER, nodes: int = NODES, words: int =
     spark = docs.sparkSession
     vocabulary = counts.where("kind = 1").select(F.col("key").alias("w"), F.col("n").alias("c"))
     total, different = vocabulary.select(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = _least_count(vocabulary.withColumnRenamed("c", "n"), words)
+    least = least_count(vocabulary.withColumnRenamed("c", "n"), words)
     table = vocabulary.where(F.col("c") >= least).toArrow()
     key, number = table.column("w").to_numpy(), table.column("c").to_numpy()
     runs = saved(coded(counts, order))
-    least_run = _least_count(runs.withColumnRenamed("m", "n"), nodes)
+    least_run = least_count(runs.withColumnRenamed("m", "n"), nodes)
     table = runs.where(F.col("m") >= least_run).toArrow()
     shared = spark.sparkContext.broadcast((Lookup(table.column("key").to_numpy(), table.column("v").to_numpy()), Lookup(key, np.log10(number + 0.5))))
 

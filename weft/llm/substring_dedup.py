@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from weft.llm.common import blocks, flat, groups, keyed, minima, mix, rolling, spans_union, word_bounds, word_hashes
-from weft.llm.repeats import later, listed, repeated, span_lists, with_places, with_spans
+from weft.llm.repeats import among, hottest, later, placed, repeated, span_lists, spread, with_places, with_spans
+from weft.session import saved
 
 PERIOD, COVER = 13, (0, 1, 3, 9)
 WINDOW = 20
@@ -32,20 +33,23 @@ def _windows(values: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray
     return mix(h), at[row + 1] - at[row] >= pos + width, row, pos
 
 
-def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def spans(docs: DataFrame, window: int = WINDOW, heavy: int | None = None) -> DataFrame:
     """`_k`, o, s, e: ranges of words in windows that also start earlier (smaller doc_id, or same document before).
 
-    docs comes from keyed(). The ranges may overlap. Rows that repeat both id and text are one document.
+    docs comes from keyed(). The ranges may overlap. Rows that repeat both id and text are one document. Windows meet
+    where their least anchor leads them, or, if more than `heavy` have that one, each where its own hash leads it.
     """
+    buckets = spread(docs)
     size = window - PERIOD + 1
     if size < 1:
         raise ValueError(f"a window needs {PERIOD} words or more")
 
     def anchors(data: np.ndarray, offsets: np.ndarray):
         starts, ends, at = word_bounds(data, offsets)
-        h, whole, row, pos = _windows(word_hashes(data, starts, ends), at, size)
+        values = word_hashes(data, starts, ends)
+        h, whole, row, pos = _windows(values, at, size)
         keep = whole & _COVER[pos % PERIOD]
-        return h[keep], row[keep], pos[keep]
+        return h[keep], row[keep], pos[keep], _leading(h, at, window, size)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Windows around repeated anchors; those with an earlier one in the same block are settled here."""
@@ -58,7 +62,7 @@ def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 continue
             n = np.bincount(row, minlength=block.num_rows)
             base = np.cumsum(n) - n
-            where, anchor = listed(block.column("_at"), "pos")
+            where, anchor = placed(block)
             mark = np.zeros(len(h) + 1, dtype=np.int64)
             last = base[where] + n[where]
             np.add.at(mark, np.minimum(np.maximum(base[where] + anchor - PERIOD + 1, base[where]), last), 1)
@@ -75,15 +79,16 @@ def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 ro, b, e = k[known][new], s[known][new], s[known][to] + window
                 yield _rows(ro, o[known][new], ro, b, e, [b""] * len(new))
             # Windows in a row that share their least anchor go as one row, to where their equals go too.
-            least = minima((rolling(values, size) & ~np.uint64(0xFFFF)) | (np.arange(len(values) - size + 1, dtype=np.uint64) & np.uint64(0xFFFF)), PERIOD)[at]
+            least = minima(mix(rolling(values, size)), PERIOD)[at]
             keep = ~known
             w, s, r, o, k, least = w[keep], s[keep], r[keep], o[keep], k[keep], least[keep]
-            new = _breaks(r, s, 1)
+            alone = among(least, hot, buckets)
+            new = _breaks(r, s, 1) | alone
             new[1:] |= least[1:] != least[:-1]
             new = np.flatnonzero(new)
             to = np.append(new[1:], len(s))
             packed = [w[a:b].tobytes() for a, b in zip(new.tolist(), to.tolist())]
-            yield _rows((least[new] >> np.uint64(16)).view(np.int64), o[new], k[new], s[new], np.full(len(new), -1), packed)
+            yield _rows(np.where(alone, w, least)[new].view(np.int64), o[new], k[new], s[new], np.full(len(new), -1), packed)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = list(batches)
@@ -106,11 +111,25 @@ def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for columns in out:
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(columns, ("i8", "i8", "i4", "i4"))], names=["_k", "o", "s", "e"])
 
-    near = with_places(docs, repeated(docs, anchors))
+    found = saved(repeated(docs, anchors, heavy))
+    hot = hottest(found)
+    near = with_places(docs, found)
     windows = near.mapInArrow(extend, "w long, o long, k long, s int, e int, windows binary")
     return windows.repartition("w").mapInArrow(settle, "_k long, o long, s int, e int")
 
 
+def _leading(h: np.ndarray, at: np.ndarray, window: int, size: int) -> np.ndarray:
+    """The least anchors that lead the windows of a block, once for each stretch of windows that one leads."""
+    if len(h) < PERIOD:
+        return np.zeros(0, dtype=np.uint64)
+    least = minima(h, PERIOD)
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(least)]
+    whole = at[row + 1] - at[row] >= np.arange(len(least)) - at[row] + window
+    new = whole.copy()
+    new[1:] &= (least[1:] != least[:-1]) | ~whole[:-1] | (row[1:] != row[:-1])
+    return least[new]
+
+
 def _breaks(key: np.ndarray, start: np.ndarray, reach: int) -> np.ndarray:
     """True where a new run begins: another key, or a start more than `reach` after the one before."""
     new = np.ones(len(key), dtype=bool)
