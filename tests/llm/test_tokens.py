@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 
 from tests.llm.texts import documents, frame, sortable
 from weft.llm.sentencepiece_codec import BLANK, Lanes, Pieces, StreamingViterbi, decode, encode, encode_block, encode_exactly, normalised, read_model, stream
-from weft.llm.token_counts import RANKS, count_tokens, document_token_counts, encoding
+from weft.llm.token_counts import RANKS, RUN, count_tokens, document_token_counts, encoded, encoding
+from weft.llm import token_counts
 from weft.session import use_checkpoints
 
 
@@ -125,3 +128,24 @@ def test_counts_of_documents(spark):
 def test_checkpoints_need_a_shared_folder(spark):
     use_checkpoints(spark)
     assert spark.sparkContext.getCheckpointDir()
+
+
+def test_long_blanks_keep_their_ids(monkeypatch):
+    with open(RANKS, "rb") as f:
+        table = encoding(f.read())
+    rng = np.random.default_rng(4)
+    signs = [" ", "\n", "\t", "\u3000", "\x1c", "a", "'s", "!", "7", "é"]
+    short = re.compile(token_counts._BLANKS.pattern.replace(str(RUN), "3"))
+    monkeypatch.setattr(token_counts, "RUN", 0)
+    monkeypatch.setattr(token_counts, "_BLANKS", short)
+    for _ in range(300):
+        text = "".join(x * int(n) for x, n in zip(rng.choice(signs, 12), rng.integers(1, 7, 12)))
+        assert encoded(table, text) == table.encode_ordinary(text)
+
+
+def test_very_long_blank_and_solid_texts(spark):
+    with open(RANKS, "rb") as f:
+        table = encoding(f.read())
+    texts = [" " * 5_000_000, "word" + "\n" * 2_000_000 + "x", "plain text", "a" * 1_000_000]
+    got = {r.doc_id: r.n_tokens for r in document_token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: 5_000_000, 1: 1 + len(table._encode_single_piece("\n" * 1_999_999)) + 2, 2: 2, 3: len(table.encode_ordinary(texts[3]))}

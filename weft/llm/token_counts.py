@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -32,6 +33,11 @@ END = 50_256
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: Runs of white space (as the pattern has it) that are too long for the pattern's search, which recurses on them.
+RUN = 100_000
+_BLANKS = re.compile(f"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{RUN},}}")
+
+
 @functools.lru_cache(maxsize=2)
 def encoding(ranks: bytes) -> tiktoken.Encoding:
     """One table for each Python worker."""
@@ -39,6 +45,22 @@ def encoding(ranks: bytes) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
 
 
+def encoded(table: tiktoken.Encoding, text: str) -> list[int]:
+    """The ids of a text of any length.
+
+    A long run of white space is one piece of the pattern, but for its last character, which goes to what follows; so it
+    is cut out and merged by itself, and all ids are those of the whole text.
+    """
+    if len(text) < RUN:
+        return table.encode_ordinary(text)
+    out, at = [], 0
+    for run in _BLANKS.finditer(text):
+        out += table.encode_ordinary(text[at : run.start()])
+        at = run.end() if run.end() == len(text) else run.end() - 1
+        out += table._encode_single_piece(text[run.start() : at])
+    return out + table.encode_ordinary(text[at:])
+
+
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
     if uri.startswith("file:/") and not uri.startswith("file:///"):
         uri = "file:///" + uri[6:].lstrip("/")
@@ -56,14 +78,14 @@ def write_token_files(docs: DataFrame, folder: str, ranks: str = RANKS, end: int
         data = f.read()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, path, out, number = encoding(data).encode_ordinary, f"{folder}/{uuid.uuid4().hex}.bin", None, 0
+        table, path, out, number = encoding(data), f"{folder}/{uuid.uuid4().hex}.bin", None, 0
         for block in blocks(batches):
             if out is None:
                 store, inside = _open(path)
                 store.create_dir(inside.rsplit("/", 1)[0], recursive=True)
                 out = store.open_output_stream(inside)
             for text in block.column("text").to_pylist():
-                out.write(np.array([*encode(text), end], dtype=dtype).tobytes())  # an id too large for dtype is an error
+                out.write(np.array([*encoded(table, text), end], dtype=dtype).tobytes())  # an id too large for dtype is an error
             doc_ids = pa.ListArray.from_arrays(pa.array([0, block.num_rows], pa.int32()), block.column("doc_id"))
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([number], pa.int64()), doc_ids], names=["path", "first", "doc_ids"])
             number += block.num_rows
@@ -111,31 +133,39 @@ def count_tokens(files: DataFrame, end: int = END, dtype: str = "<u2", block_byt
                 )
 
     parts = files.select("path").mapInArrow(cut, "path string, block long").repartition("path", "block")
-    found = parts.mapInArrow(scan, "path string, block long, n long, head long, last long, ends long, inner array<bigint>")
+    found = saved(parts.mapInArrow(scan, "path string, block long, n long, head long, last long, ends long, inner array<bigint>"))
+    # Only numbers go through the scan over a file's blocks; the lists of its documents are joined to the result.
     before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("n").over(before), F.lit(0))
     opened = F.coalesce(F.max("last").over(before) + 1, F.lit(0))
     first = F.coalesce(F.sum("ends").over(before), F.lit(0))
     at_end = F.lead("block").over(Window.partitionBy("path").orderBy("block")).isNull()
-    stitched = found.select("path", "n", "head", "last", "ends", "inner", start.alias("start"), opened.alias("opened"), first.alias("first"), at_end.alias("at_end"))
-    closed = stitched.where("ends > 0").select(
-        "path", "first", F.posexplode(F.concat(F.array(F.col("start") - F.col("opened") + F.col("head")), "inner")).alias("nth", "n_tokens")
-    )
+    stitched = found.select("path", "block", "n", "head", "last", "ends", start.alias("start"), opened.alias("opened"), first.alias("first"), at_end.alias("at_end"))
+    yes, no = F.lit(True).alias("closed"), F.lit(False).alias("closed")
+    heads = stitched.where("ends > 0").select("path", F.col("first").alias("number"), (F.col("start") - F.col("opened") + F.col("head")).alias("n_tokens"), yes)
+    lists = found.where("ends > 1").select("path", "block", "inner").join(stitched.select("path", "block", "first"), ["path", "block"])
+    inside = lists.select("path", "first", F.posexplode("inner").alias("nth", "n_tokens")).select("path", (F.col("first") + F.col("nth") + 1).alias("number"), "n_tokens", yes)
     rest = F.col("start") + F.col("n") - F.greatest(F.col("opened"), F.coalesce(F.col("last") + 1, F.lit(0)))
-    tail = stitched.where(F.col("at_end") & (rest > 0)).select("path", (F.col("first") + F.col("ends")).alias("number"), rest.alias("n_tokens"), F.lit(False).alias("closed"))
-    return closed.select("path", (F.col("first") + F.col("nth")).alias("number"), "n_tokens", F.lit(True).alias("closed")).unionByName(tail)
+    tail = stitched.where(F.col("at_end") & (rest > 0)).select("path", (F.col("first") + F.col("ends")).alias("number"), rest.alias("n_tokens"), no)
+    return heads.unionByName(inside).unionByName(tail)
 
 
 def document_token_counts(docs: DataFrame, ranks: str = RANKS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_tokens: docs written as flat token files in the shared checkpoint folder, and counted there.
 
-    Null and empty texts have none; null ids and repeated rows are returned as they are; an empty table gives an
-    empty one; further columns are ignored. The files stay until the owner of that folder removes them.
+    Null and empty texts have none; texts of any length are encoded whole; null ids and repeated rows are returned as they
+    are; an empty table gives an empty one; further columns are ignored. The result is checkpointed and the files are
+    removed then, those of failed tasks too.
     """
     spark = docs.sparkSession
     use_checkpoints(spark)
-    written = write_token_files(docs, f"{spark.sparkContext.getCheckpointDir()}/tokens-{uuid.uuid4().hex}", ranks)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/tokens-{uuid.uuid4().hex}"
+    written = write_token_files(docs, folder, ranks)
     counts = count_tokens(written.select("path").distinct(), block_bytes=block_bytes)
     documents = written.select("path", "first", F.posexplode("doc_ids").alias("nth", "doc_id")).select("path", (F.col("first") + F.col("nth")).alias("number"), "doc_id")
     # Both sides grow with the documents, so neither is to be broadcast.
-    return documents.hint("merge").join(counts, ["path", "number"]).select("doc_id", "n_tokens")
+    result = saved(documents.hint("merge").join(counts, ["path", "number"]).select("doc_id", "n_tokens"))
+    store, inside = _open(folder)
+    if store.get_file_info(inside).type == fs.FileType.Directory:
+        store.delete_dir(inside)
+    return result
