@@ -11,6 +11,7 @@ import pytest
 
 from tests.llm.texts import documents, frame, sortable
 from weft.llm import ppm, quality
+from weft.llm import toxicity as weak
 from weft.llm.toxicity import SHOUT, Voters, label_model, toxicity
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -47,6 +48,67 @@ def test_divergence_rejects_odd_texts_only(spark):
     assert not got[101].kept and got[101].word_distance > 0.5
 
 
+def plain_distance(p: list[float], q: list[float]) -> float:
+    p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+    half = lambda a, b: sum(x * math.log2(2 * x / (x + y)) for x, y in zip(a, b) if x)
+    return math.sqrt(max(0.0, (half(p, q) + half(q, p)) / 2))
+
+
+def plain_verdicts(rows: list[tuple], base: dict, min_docs: int) -> dict:
+    """(char_distance, word_distance, kept) of each row, by plain loops over texts and words."""
+    hists = {}
+    for i, r in enumerate(rows):
+        text = r[1] or ""
+        chars = [0] * 9
+        for c in text:
+            wide = ord(c) >= 0xC0 and c not in "×÷" and not 0x2000 <= ord(c) < 0x3040
+            kind = 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 3 if "0" <= c <= "9" else 4 if c in " \t" else 5 if c in "\n\r\x0b\x0c" else 6 if c in ".,;:!?'\"-" else 7 if ord(c) < 128 else 2 if wide else 8
+            chars[kind] += 1
+        words = [w.strip(b".,;:!?'\"-").lower().decode(errors="replace") for w in WORD.findall(text.encode())]
+        best = None
+        for lang in sorted(quality.COMMON):
+            if r[2] not in (lang, None):
+                continue
+            known = list(dict.fromkeys(quality.COMMON[lang].split()))
+            count = [words.count(w) for w in known]
+            count += [0] * (quality.N_WORDS - 1 - len(known)) + [len(words) - sum(count)]
+            if best is None or count[-1] < best[1][-1]:
+                best = lang, count
+        hists[i] = best and best[0], chars, best and best[1], len(text), len(words)
+    means = {}
+    for lang in quality.COMMON:
+        own = [h for i, h in hists.items() if h[0] == lang and h[3] >= 200 and h[4] >= 50 and not base[i]]
+        if len(own) >= min_docs:
+            means[lang] = [sum(h[1][k] / h[3] for h in own) for k in range(9)], [sum(h[2][k] / h[4] for h in own) for k in range(quality.N_WORDS)]
+    out = {}
+    for i, (lang, chars, count, n_chars, n_words) in hists.items():
+        a = plain_distance(chars, means[lang][0]) if lang in means and n_chars >= 200 else None
+        b = plain_distance(count, means[lang][1]) if lang in means and n_words >= 50 else None
+        out[i] = a, b, not base[i] and (a or 0) <= 0.25 and (b or 0) <= 0.24 + 0.8 / math.sqrt(max(1, n_words))
+    return out
+
+
+def test_verdicts_match_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(90):
+        lang = rng.choice(["en", "en", "de", None, "xx"])
+        common = quality.COMMON[lang if lang in quality.COMMON else "en"].split()
+        share = rng.choice([0.0, 0.3, 0.5, 0.6])
+        words = [rng.choice(common) if rng.random() < share else "".join(rng.choice("abcdefghiÉ#7") for _ in range(6)) for _ in range(rng.randint(5, 150))]
+        rows.append((i, " ".join(words), lang))
+    rows += [(90, "#|&%" * 300, "en"), (91, None, "en"), (92, "", None), (93, "same words here " * 60, "en"), (94, "x" * 500, "fr"), (None, rows[0][1], "en")]
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), min_docs=5).collect()}
+    expected = plain_verdicts(rows, {i: got[r[0]].base_failed for i, r in enumerate(rows)}, 5)
+    for i, r in enumerate(rows):
+        a, b, kept = expected[i]
+        assert got[r[0]].char_distance == (None if a is None else pytest.approx(a, abs=1e-9))
+        assert got[r[0]].word_distance == (None if b is None else pytest.approx(b, abs=1e-9))
+        assert got[r[0]].kept == kept
+    assert {r.kept for r in got.values() if not r.base_failed} == {True, False}
+    assert all(got[r[0]].word_distance is None for r in rows if r[2] in ("xx", "fr"))  # another language; too few for a reference
+
+
 def test_jensen_shannon_distance():
     p, q = np.array([1, 0, 3]), np.array([0, 5, 0])
     assert quality.distance(p, p * 7) == pytest.approx(0)
@@ -99,6 +161,76 @@ def test_toxicity_on_held_out_rows(spark):
     assert alone[5000] == 1 and alone[1000] == 0
 
 
+def plain_fit(rows: list[tuple[str, int]], voters: Voters, prior: float) -> tuple[list[float], list[float], float]:
+    """Posteriors, weights and bias by loops: the label model on votes and labels, then the classifier."""
+    fired = [voters.fired(t) for t, _ in rows]
+    n, size = len(rows), len(voters.names)
+    votes = [[float(k in f[0]) for k in range(size)] + [float(y == 1), float(y == 0)] for f, (_, y) in zip(fired, rows)]
+    m = size + 2
+    post, weight = [0.95 if y else 0.05 for _, y in rows], [1.0] * m
+    for turn in range(25):
+        rate = []
+        for w in ([1 - p for p in post], post):
+            rate.append([(sum(w[i] * votes[i][k] for i in range(n)) + 0.05) / (sum(w) + 1) for k in range(m)])
+        if turn % 5 == 2:
+            left = [[votes[i][k] - rate[0][k] - post[i] * (rate[1][k] - rate[0][k]) for k in range(m)] for i in range(n)]
+            cov = [[sum(left[i][a] * left[i][b] for i in range(n)) / n for b in range(m)] for a in range(m)]
+            spread = [math.sqrt(max(cov[k][k], 1e-12)) for k in range(m)]
+            for a in range(m):
+                tied = [1.0 if a == b else min(1.0, max(0.0, cov[a][b] / (spread[a] * spread[b]))) for b in range(m)]
+                weight[a] = 1 / sum(x if x >= 0.1 else 0 for x in tied)
+        for i in range(n):
+            odds = math.log(prior / (1 - prior))
+            for k in range(m):
+                a, b = (rate[1][k], rate[0][k]) if votes[i][k] else (1 - rate[1][k], 1 - rate[0][k])
+                odds += weight[k] * math.log(a / b)
+            post[i] = 1 / (1 + math.exp(-min(30, max(-30, odds))))
+        prior = min(0.5, max(1e-3, sum(post) / n))
+    x = [[float(k in f[0]) for k in range(size)] + [float(f[1] > 0), math.log1p(f[1]), min(1.0, 20 * f[1] / max(1, f[2]))] for f in fired]
+    mean = sum(post) / n
+    w, b = [0.0] * (size + 3), math.log((mean + 1e-3) / (1 - mean + 1e-3))
+    first, second = [0.0] * (size + 4), [0.0] * (size + 4)
+    for t in range(1, 401):
+        gap = [1 / (1 + math.exp(-min(30, max(-30, sum(p * q for p, q in zip(row, w)) + b)))) - y for row, y in zip(x, post)]
+        grad = [sum(g * row[k] for g, row in zip(gap, x)) / n + 1e-4 * w[k] for k in range(size + 3)] + [sum(gap) / n]
+        for k, g in enumerate(grad):
+            first[k], second[k] = 0.9 * first[k] + 0.1 * g, 0.999 * second[k] + 0.001 * g * g
+            step = 0.1 * (first[k] / (1 - 0.9**t)) / (math.sqrt(second[k] / (1 - 0.999**t)) + 1e-8)
+            if k < size + 3:
+                w[k] -= step
+            else:
+                b -= step
+    return post, w, b
+
+
+def test_label_model_and_scores_match_plain_loops(spark, monkeypatch):
+    monkeypatch.setattr(weak, "SEEDS", "moron idiot scum")
+    rng = random.Random(11)
+    rows, labels = [], []
+    for i in range(60):
+        toxic = i % 4 == 0
+        words = [rng.choice(["calm", "plain", "nice", "day", "tea"]) for _ in range(12)] + [rng.choice(["moron", "vornak", "scum"])] * (toxic or i % 11 == 0)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    rows += [rows[3], (3, "another text of that id")]  # ids that repeat add no rows to the fit
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string").repartition(2), spark.createDataFrame(labels, "doc_id long, toxic int")
+    fitted = weak.fit(docs, table)
+    train = [(t, labels[i][1]) for i, t in rows[:60] if zlib.crc32(str(i).encode()) % 5]
+    assert fitted.rows == len(train)
+    if "another text of that id" in {t for t, _ in map(tuple, weak._labelled(docs, table, 1000).collect())}:
+        train = [(t if t != rows[3][1] else "another text of that id", y) for t, y in train]
+    share = sum(y for _, y in train) / len(train)
+    post, w, b = plain_fit(train, fitted.voters, min(0.5, max(0.001, share)))
+    assert fitted.weights.tolist() == pytest.approx(w, abs=0.02) and fitted.bias == pytest.approx(b, abs=0.02)
+    assert fitted.moved == sum((p >= 0.5) != bool(y) for p, (_, y) in zip(post, train))
+    for r in toxicity(docs, table).collect():
+        text = next(t for i, t in rows if i == r.doc_id) if r.doc_id != 3 else None
+        if text is not None:
+            on, hits, tokens = fitted.voters.fired(text)
+            odds = b + sum(w[k] for k in on) + (hits > 0) * w[-3] + math.log1p(hits) * w[-2] + min(1.0, 20 * hits / tokens) * w[-1]
+            assert r.score == pytest.approx(1 / (1 + math.exp(-odds)), abs=0.01)
+
+
 def plain_ppm(train: list[bytes], text: bytes, order: int) -> float:
     lead = bytes([255]) * order
     seen: list[dict] = [defaultdict(Counter) for _ in range(order + 1)]

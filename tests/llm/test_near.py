@@ -128,7 +128,9 @@ def roots(nodes, linked) -> dict:
     return {x: top(x) for x in nodes}
 
 
-def test_simhash_matches_brute_force(spark):
+@pytest.mark.parametrize("hot", [50_000, 1])
+def test_simhash_matches_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT", hot)
     rng = random.Random(2)
     rows = documents(9, 40)
     for i in range(60):
@@ -186,9 +188,31 @@ def test_items_match_brute_force(spark, monkeypatch):
         expected += [(d, i, len(own), len(own & s), len(own & s) / len(own)) for d, s in docs if own and len(own & s) >= 0.8 * len(own)]
     assert len(expected) > 20
     table = spark.createDataFrame(items, "item_id long, text string, doc_id string")
-    for block in (20_000, 7):
+    for block, size in ((20_000, 16 << 20), (7, 16 << 20), (20_000, 300)):
         monkeypatch.setattr("weft.llm.decontamination.ITEMS", block)
+        monkeypatch.setattr("weft.llm.decontamination.ITEM_BYTES", size)
         assert sortable(contained_items(frame(spark, rows), table).collect()) == sortable(expected)
     assert contained_items(frame(spark, rows), table.limit(0)).count() == 0
     assert contained_items(frame(spark, rows).limit(0), table).count() == 0
     assert Index([], 5, 8).classes == {}
+
+
+def test_recall_of_damaged_items_in_long_documents(spark):
+    """Passages that keep 80 % or a little more of an item's shingles, somewhere in 3,000 other words."""
+    rng = random.Random(6)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+    items, docs = [], []
+    for i in range(400):
+        own = words(rng.choice([12, 30, 60, 130]))
+        part, left = list(own), int(0.2 * (len(own) - 4))
+        while left >= 5:  # a changed word breaks five shingles
+            part[rng.randrange(len(part))] = "zzzzz"
+            left -= 5
+        at = rng.randint(0, 3000)
+        around = words(3000)
+        items.append((i, " ".join(own)))
+        docs.append((i, " ".join(around[:at] + part + around[at:])))
+    cut = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    near = {i for i in range(400) if len(cut(items[i][1]) & cut(docs[i][1])) >= 0.8 * len(cut(items[i][1]))}
+    got = contained_items(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(near) > 300 and {(r.doc_id, r.item_id) for r in got} == {(i, i) for i in near}

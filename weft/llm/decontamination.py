@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from weft.llm.common import LOWER, blocks, flat, keyed, mix, rolling, word_bounds, word_hashes
 
 SHINGLE, THRESHOLD, PERMUTATIONS = 5, 0.8, 64
-#: Items that are handed to the tasks at once.
-ITEMS = 20_000
+#: Items that are handed to the tasks at once, and bytes of their texts (one item may be longer).
+ITEMS, ITEM_BYTES = 20_000, 16 << 20
 SCHEMA = "doc_id long, item_id long, n_shingles long, n_shared long, containment double"
 _LOWER = np.frombuffer(LOWER, dtype=np.uint8)
 
@@ -109,8 +109,8 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
     distinct `shingle`-word shingles of an item (item_id, text).
 
     Words are lower-cased (A-Z). Items and documents with fewer words than a shingle, or null, have no shingles and
-    are in no pair. Null ids are returned as they are; repeated rows of either table give repeated pairs; empty tables
-    give none; further columns are ignored.
+    are in no pair. Documents of any length are read whole; containment of exactly `threshold` counts. Null ids are returned as they
+    are; repeated rows of either table give repeated pairs; empty tables give none; further columns are ignored.
     """
     docs = keyed(docs)
 
@@ -142,12 +142,13 @@ def without_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
 
 
 def _indexes(items: DataFrame, shingle: int, permutations: int) -> Iterator:
-    """The items as broadcast indexes of a bounded number each; one empty index if there are none."""
-    context, held, empty = items.sparkSession.sparkContext, [], True
+    """The items as broadcast indexes of a bounded number and size each; one empty index if there are none."""
+    context, held, size, empty = items.sparkSession.sparkContext, [], 0, True
     for row in items.selectExpr("CAST(item_id AS BIGINT)", "CAST(coalesce(text, '') AS BINARY) AS text").toLocalIterator():
         held.append((row[0], bytes(row[1])))
-        if len(held) == ITEMS:
+        size += len(row[1])
+        if len(held) == ITEMS or size >= ITEM_BYTES:
             yield context.broadcast(Index(held, shingle, permutations))
-            held, empty = [], False
+            held, size, empty = [], 0, False
     if held or empty:
         yield context.broadcast(Index(held, shingle, permutations))

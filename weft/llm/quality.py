@@ -1,8 +1,9 @@
 """Quality rules by distribution divergence.
 
 A document's histogram over character classes and its histogram over common words are held against references of its
-language by Jensen-Shannon distance. References are means over all documents long enough; common words are a fixed list for
-each language. Short documents are guarded: below a minimum length a histogram says nothing and is not judged.
+language by Jensen-Shannon distance. References are means over all documents long enough and sound by the base rules, where
+there are enough of them; common words are a fixed list for each language. Short documents are guarded: below a minimum
+length a histogram says nothing and is not judged, and neither are documents of a language without a reference.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.common import WHITE, blocks
@@ -30,6 +31,8 @@ N_CLASSES = 9
 N_WORDS = 1 + max(len(set(x.split())) for x in COMMON.values())
 SYMBOLS = b"#*$%&|<>"
 MIN_CHARS, MIN_WORDS = 200, 50
+#: Documents behind a reference.
+MIN_DOCS = 20
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.24
 #: Few words stray further from a reference by chance: this over the square root of their number is added to the limit.
 SLACK = 0.8
@@ -123,8 +126,8 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = text.encode().split()
             lower = [w.strip(b".,;:!?'\"-").lower() for w in words]
             kinds = char_histogram(text)
-            # The language is the stated one, or the one whose common words cover most of the text.
-            hists = {x: word_histogram(lower, x) for x in ((lang,) if lang in _RANKS else LANGUAGES)}
+            # The language is the stated one, or without any the one whose common words cover most of the text.
+            hists = {x: word_histogram(lower, x) for x in LANGUAGES if lang in (x, None)} or {None: np.zeros(N_WORDS, dtype=np.int64)}
             best = min(hists, key=lambda x: (hists[x][-1], x))
             out.append((len(words), *base_counts(text, words), best, int(kinds.sum()), kinds.tolist(), hists[best].tolist()))
         columns = list(zip(*out))
@@ -139,15 +142,20 @@ MEASURES = (
 )
 
 
-def references(measured: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """For each language, the mean of the shares of each class and common word over documents long enough.
+def _base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def references(measured: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, min_docs: int = MIN_DOCS) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """For each language with `min_docs` documents that are long enough and don't fail the base rules, the mean of their shares of
+    each class and common word.
 
     A row for each of four languages comes to the driver, whatever the input.
     """
     share = lambda c, n: [F.sum(F.element_at(c, i + 1) / n).alias(f"{c}{i}") for i in range(N_CLASSES if c == "chars" else N_WORDS)]
-    long = measured.where((F.col("n_chars") >= min_chars) & (F.col("n_words") >= min_words))
-    sums = long.groupBy("language").agg(*share("chars", F.col("n_chars")), *share("words", F.col("n_words"))).collect()
-    return {r["language"]: (np.array(r[1 : 1 + N_CLASSES]), np.array(r[1 + N_CLASSES :])) for r in sums}
+    long = measured.where((F.col("n_chars") >= min_chars) & (F.col("n_words") >= min_words) & ~_base_failed() & F.col("language").isNotNull())
+    sums = long.groupBy("language").agg(F.count("*").alias("n"), *share("chars", F.col("n_chars")), *share("words", F.col("n_words"))).where(F.col("n") >= min_docs).collect()
+    return {r["language"]: (np.array(r[2 : 2 + N_CLASSES]), np.array(r[2 + N_CLASSES :])) for r in sums}
 
 
 def quality(
@@ -157,6 +165,7 @@ def quality(
     slack: float = SLACK,
     min_chars: int = MIN_CHARS,
     min_words: int = MIN_WORDS,
+    min_docs: int = MIN_DOCS,
 ) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance,
     word_distance.
@@ -164,14 +173,15 @@ def quality(
     base_failed: under 50 words, or more than half of them in 3-word windows that occur twice. kept is false then;
     otherwise both distances to the references of the document's language must be within their limits (that for words
     grows by slack / sqrt(n_words)). A histogram of
-    fewer than `min_chars` characters or `min_words` words is not judged (its distance is null). A null or unknown language
-    is replaced by that whose common words cover most of the text. Null texts have no words. Each row gives a row; an
-    empty table gives an empty one; further columns are ignored.
+    fewer than `min_chars` characters or `min_words` words is not judged (its distance is null), nor is any of a language that
+    is not one of the four, or that has fewer than `min_docs` documents fit for a reference. A null language
+    is replaced by that whose common words cover most of the text (of equal ones the first by name). Null texts have no words; texts of any length are
+    read whole. Each row, repeated ones and null ids too, gives a row; an empty table gives an empty one; further columns are ignored.
     """
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"))
     measured = saved(docs.mapInArrow(_measure, MEASURES))
-    known = references(measured, min_chars, min_words)
+    known = references(measured, min_chars, min_words, min_docs)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,7 +195,7 @@ def quality(
             yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names[:6], "char_distance", "word_distance"])
 
     judged = measured.mapInArrow(judge, MEASURES.split(", language")[0] + ", char_distance double, word_distance double")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    fits = (F.coalesce("char_distance", F.lit(0.0)) <= max_char_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= max_word_distance + slack / F.sqrt("n_words"))
+    failed = _base_failed()
+    fits = (F.coalesce("char_distance", F.lit(0.0)) <= max_char_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= max_word_distance + slack / F.sqrt(F.greatest("n_words", F.lit(1))))
     names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return judged.select(*names, failed.alias("base_failed"), (~failed & fits).alias("kept"), "char_distance", "word_distance")

@@ -27,6 +27,8 @@ BUCKET = 32
 DEPTH = 3
 #: Rows of a small table that every task may be given; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: A fingerprint of more documents than this is looked up apart, from a table that has at most one row for so many documents.
+HOT = 50_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -98,12 +100,18 @@ def _pairs(rows: DataFrame, radius: int) -> DataFrame:
 def grouped(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, `_k`, fp and component_id of keyed documents."""
     prints = saved(fingerprints(docs, shingle))
-    distinct = saved(prints.groupBy("fp").agg(F.min("_o").alias("first")))
+    distinct = saved(prints.groupBy("fp").agg(F.min("_o").alias("first"), F.count("*").alias("n")))
     member = components(close_pairs(distinct.select("fp"), radius))
-    roots = distinct.join(member, distinct.fp == member.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    roots = distinct.join(member, distinct.fp == member.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     names = roots.groupBy("root").agg(F.min("first").alias("least"))
-    named = roots.join(names, "root").select("fp", F.when(F.col("least") < LAST, F.col("least")).alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "_k", "fp", "component_id")
+    named = saved(roots.join(names, "root").select("fp", "n", F.when(F.col("least") < LAST, F.col("least")).alias("component_id")))
+    columns = ["doc_id", "_k", "fp", "component_id"]
+    hot = named.where(F.col("n") > HOT)
+    if hot.isEmpty():
+        return prints.join(named, "fp").select(*columns)
+    # Copies of one text may be a third of all rows: their fingerprint goes to where the rows are.
+    cold = prints.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(named, "fp")
+    return prints.join(F.broadcast(hot), "fp").select(*columns).unionByName(cold.select(*columns))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -111,8 +119,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     fingerprints with at most `radius` differing bits.
 
     Texts are lower-cased (A-Z); null or blank texts have fingerprint zero, which links like any other. Rows with a
-    null id take part and get a component; component_id is null only where all members' ids are null. Repeated rows are
-    each returned; an empty table gives an empty one; further columns are ignored.
+    null id take part and get a component; component_id is null only where all members' ids are null. Bits set in exactly half
+    of the shingles are 0. Texts of any length are read whole. Repeated rows are each returned; an empty table gives an empty one;
+    further columns are ignored.
     """
     hexa = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return grouped(keyed(docs), radius, shingle).select("doc_id", hexa, "component_id")
@@ -123,8 +132,10 @@ def first_of_groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
     Rows that repeat that id and text stay together. The keys of the others are handed to all tasks if they are few.
     """
-    gone = saved(grouped(keyed(docs), radius, shingle).where("component_id IS NOT NULL AND NOT doc_id <=> component_id").select(F.col("_k").alias("_gone")).distinct())
+    found = grouped(keyed(docs), radius, shingle).where("component_id IS NOT NULL AND NOT doc_id <=> component_id")
+    gone = saved(found.select(F.col("_k").alias("_gone"), F.col("doc_id").alias("_gone_id")).distinct())
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    return docs.join(gone, F.xxhash64(docs["doc_id"].cast("long"), text) == gone["_gone"], "left_anti")
+    doc_id = docs["doc_id"].cast("long")
+    return docs.join(gone, (F.xxhash64(doc_id, text) == gone["_gone"]) & doc_id.eqNullSafe(gone["_gone_id"]), "left_anti")
