@@ -3,13 +3,16 @@
 A line of L characters is split into threshold + 1 segments. Of two lines within the threshold, the longer holds one
 segment of the shorter unchanged, near its place; so lines index their segments under (L, number, content) and probe the
 few substrings, by length and place, that could be a segment of a shorter line (the multi-match-aware choice).
-What meets is filtered by counts of characters and verified with a banded bit-parallel edit distance.
+That choice also bounds the edits on each side of a segment, so lines of a segment that very many share are split again
+on one side of it, until few enough meet. What meets is filtered by counts of characters and verified with a banded
+bit-parallel edit distance.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,8 @@ THRESHOLD, MIN_CHARS = 2, 30
 BLANK = " \t\n\x0b\x0c\r"
 #: Lines to compare that are handed to every task; more of them are joined instead.
 BROADCAST_LINES = 500_000
-CELL = 4096
+#: Lines with a signature in common that are compared with one another; more of them are split by what lies beside it, so many times.
+CELL, DEPTH = 4096, 5
 CLASSES = 16
 
 
@@ -36,10 +40,10 @@ def segments(length: int, count: int) -> list[tuple[int, int]]:
     return [(sum(sizes[:i]), n) for i, n in enumerate(sizes)]
 
 
-def signatures(line: str, threshold: int, min_chars: int) -> tuple[list[int], list[int]]:
+def signatures(line: str, threshold: int, min_chars: int, salt: int = 0) -> tuple[list[int], list[int]]:
     """Hashes of the segments that a line is found under, and of the substrings that it looks for besides those."""
     h, length, count = xxhash.xxh3_64_intdigest, len(line), threshold + 1
-    own = [h(line[p : p + n].encode(), length * 64 + i) for i, (p, n) in enumerate(segments(length, count))]
+    own = [h(line[p : p + n].encode(), length * 64 + i ^ salt) for i, (p, n) in enumerate(segments(length, count))]
     probes = []
     for shorter in range(max(min_chars, length - threshold), length + 1):
         shift = length - shorter
@@ -48,10 +52,51 @@ def signatures(line: str, threshold: int, min_chars: int) -> tuple[list[int], li
             high = min(length - n, p + i, p + shift + (threshold - i))
             for at in range(low, high + 1):
                 if shift or at != p:
-                    probes.append(h(line[at : at + n].encode(), shorter * 64 + i))
+                    probes.append(h(line[at : at + n].encode(), shorter * 64 + i ^ salt))
     return own, probes
 
 
+def _beside(line: str, threshold: int, min_chars: int) -> list[tuple[str, int, str]]:
+    """For each of the line's signatures, in their order: the text on one side, the edits allowed there, and what else has to agree.
+
+    A segment number i has at most i edits before it and `threshold` - i behind it.
+    """
+    length, out = len(line), []
+
+    def side(i: int, at: int, n: int) -> None:
+        last = i == threshold and i > 0
+        out.append((line[:at], threshold, line[at + n :]) if last else (line[at + n :], threshold - i, ""))
+
+    for i, (p, n) in enumerate(segments(length, threshold + 1)):
+        side(i, p, n)
+    for shorter in range(max(min_chars, length - threshold), length + 1):
+        shift = length - shorter
+        for i, (p, n) in enumerate(segments(shorter, threshold + 1)):
+            for at in range(max(0, p - i, p + shift - (threshold - i)), min(length - n, p + i, p + shift + (threshold - i)) + 1):
+                if shift or at != p:
+                    side(i, at, n)
+    return out
+
+
+def _within(line: str, hot: set[int], level: int, threshold: int, min_chars: int, buckets: int) -> list[tuple[int, str, int]]:
+    """Salt, text and edits allowed of what a line is split by at a level, where it lies in hot cells at all levels before."""
+    parts = [(0, line, threshold, min_chars)]
+    for _ in range(level):
+        found = []
+        for salt, text, edits, least in parts:
+            own, probes = signatures(text, edits, least, salt)
+            for h, (rest, left, same) in zip(own + probes, _beside(text, edits, least)):
+                if (cell := _cell(h, buckets)) in hot:
+                    found.append((xxhash.xxh3_64_intdigest(same.encode(), cell), rest, left, 0))
+        parts = list(dict.fromkeys(found))
+    return [p[:3] for p in parts]
+
+
+def _cell(h: int, buckets: int) -> int:
+    """The number of a signature's cell, as meetings() has it, unsigned."""
+    return (h & (1 << 40) - 1) << 16 ^ (h >> 40) % buckets
+
+
 def edit_distance(a: str, b: str, limit: int) -> int:
     """The edit distance if it is at most `limit`, else limit + 1: bit-parallel over a band of 2 * limit + 1 diagonals."""
     if a == b:
@@ -139,64 +184,99 @@ def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def meetings(docs: DataFrame, threshold: int, min_chars: int) -> DataFrame:
-    """cell, line, indexed: lines that share a signature, in cells of at most 4096 indexed and 4096 other lines."""
-    buckets = np.uint64(spread(docs))
+    """cell, line, indexed: lines that share a signature, in cells of at most CELL lines; of the few that still share more
+    after DEPTH splits, in cells of CELL indexed and CELL other lines."""
+    buckets, most, depth = spread(docs), CELL, DEPTH
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             lines = {_id(s): s for t in block.column("text").to_pylist() for _, s in _lines(t, min_chars)}
-            h, who = [], []
-            for line, s in lines.items():
-                own, probes = signatures(s, threshold, min_chars)
-                h += own + probes
-                who += [line | 1] * len(own) + [line] * len(probes)
-            if not h:
-                continue
-            h, who = np.array(h, dtype=np.uint64), np.array(who, dtype=np.int64)
-            bucket = ((h >> np.uint64(40)) % buckets).astype(np.int32)
-            order, new = groups(bucket)
-            first = np.flatnonzero(new)
-            to = np.append(first[1:], len(h))
-            packed = [_pack(h[order[a:b]], who[order[a:b]]) for a, b in zip(first, to)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][first]), pa.array(packed, pa.binary())], names=["bucket", "rows"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_bucket: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by_bucket.setdefault(bucket, []).append(packed)
-        while by_bucket:
-            bucket, rows = by_bucket.popitem()
-            h, who = (np.concatenate(x) for x in zip(*map(_unpack, rows)))
-            order, new = groups(h, who)
-            fresh = np.ones(len(h), dtype=bool)
-            fresh[1:] = (h[order][1:] != h[order][:-1]) | (who[order][1:] != who[order][:-1])
-            h, who = h[order][fresh], who[order][fresh]
-            start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            n = np.diff(np.append(start, len(h)))
-            line, own = who & ~1, (who & 1).astype(np.int64)
-            indexed = np.add.reduceat(own, start)
-            several = np.minimum.reduceat(line, start) != np.maximum.reduceat(line, start)
-            good = (indexed > 0) & several
-            plain = good & (n <= CELL)
-            keep = np.repeat(plain, n)
-            cell = (h << np.uint64(16) ^ np.uint64(bucket)).view(np.int64)
-            yield _met(cell[keep], line[keep], own[keep])
-            for a, size in zip(start[good & ~plain], n[good & ~plain]):
-                ids, roles = line[a : a + size], own[a : a + size]
-                left, right = ids[roles == 1], np.unique(ids)
-                for x in range(0, len(left), CELL):
-                    for y in range(0, len(right), CELL):
-                        one, two = left[x : x + CELL], right[y : y + CELL]
-                        tile = np.uint64(int(cell[a]) & (2**64 - 1)) ^ np.uint64((x * 7919 + y + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
-                        yield _met(np.full(len(one) + len(two), tile).view(np.int64), np.concatenate([one, two]), np.repeat([1, 0], [len(one), len(two)]))
-
-    packed = docs.select("text").mapInArrow(emit, "bucket int, rows binary")
-    return packed.repartition("bucket").mapInArrow(meet, "cell long, line long, indexed int")
-
-
-def _met(cell: np.ndarray, line: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(line), pa.array(own.astype(np.int32))], names=["cell", "line", "indexed"])
+            yield from _emitted(((line, *signatures(s, threshold, min_chars)) for line, s in lines.items()), buckets)
+
+    def again(level: int):
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = zip(*(batch.column(c).to_pylist() for c in ("line", "s", "hot")))
+                parts = ((line, x) for line, s, hot in rows for x in _within(s, {c & (1 << 64) - 1 for c in hot}, level, threshold, min_chars, buckets))
+                yield from _emitted(((line, *signatures(text, edits, 0, salt)) for line, (salt, text, edits) in parts), buckets)
+
+        return split
+
+    def meet(last: bool):
+        return lambda batches: _meetings(batches, most, last)
+
+    schema = "cell long, line long, indexed int, hot boolean"
+    met = saved(docs.select("text").mapInArrow(first, "bucket int, rows binary").repartition("bucket").mapInArrow(meet(not depth), schema))
+    found, crowded = [met.where("NOT hot")], met.where("hot").select("cell", "line")
+    for level in range(1, depth + 1):
+        if crowded.isEmpty():
+            break
+        cells = crowded.groupBy("line").agg(F.collect_set("cell").alias("hot"))
+        texts = line_texts(docs, cells.select("line"), min_chars).join(cells, "line")
+        met = saved(texts.mapInArrow(again(level), "bucket int, rows binary").repartition("bucket").mapInArrow(meet(level == depth), schema))
+        found.append(met.where("NOT hot"))
+        new = met.where("hot").select("cell", "line")
+        # A line's hot cells of all levels lead to its next parts, while it has one at the last level.
+        crowded = new if new.isEmpty() else saved(crowded.join(new.select("line").distinct(), "line", "left_semi").select("cell", "line").unionByName(new))
+    return reduce(DataFrame.unionByName, found).select("cell", "line", "indexed")
+
+
+def _emitted(lines: Iterator[tuple[int, list[int], list[int]]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Signatures with the lines that have them (odd: as their own segment), a row for each bucket."""
+    h, who = [], []
+    for line, own, probes in lines:
+        h += own + probes
+        who += [line | 1] * len(own) + [line] * len(probes)
+    if not h:
+        return
+    h, who = np.array(h, dtype=np.uint64), np.array(who, dtype=np.int64)
+    bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
+    order, new = groups(bucket)
+    first = np.flatnonzero(new)
+    to = np.append(first[1:], len(h))
+    packed = [_pack(h[order[a:b]], who[order[a:b]]) for a, b in zip(first, to)]
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[order][first]), pa.array(packed, pa.binary())], names=["bucket", "rows"])
+
+
+def _meetings(batches: Iterator[pa.RecordBatch], most: int, last: bool) -> Iterator[pa.RecordBatch]:
+    """The cells of the buckets of a partition; those of too many lines are marked hot, or at last cut into tiles."""
+    by_bucket: dict[int, list[bytes]] = {}
+    for batch in batches:
+        for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            by_bucket.setdefault(bucket, []).append(packed)
+    while by_bucket:
+        bucket, rows = by_bucket.popitem()
+        h, who = (np.concatenate(x) for x in zip(*map(_unpack, rows)))
+        order, new = groups(h, who)
+        fresh = np.ones(len(h), dtype=bool)
+        fresh[1:] = (h[order][1:] != h[order][:-1]) | (who[order][1:] != who[order][:-1])
+        h, who = h[order][fresh], who[order][fresh]
+        start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        n = np.diff(np.append(start, len(h)))
+        line, own = who & ~1, (who & 1).astype(np.int64)
+        indexed = np.add.reduceat(own, start)
+        several = np.minimum.reduceat(line, start) != np.maximum.reduceat(line, start)
+        good = (indexed > 0) & several
+        plain = good & (n <= most)
+        cell = (h << np.uint64(16) ^ np.uint64(bucket)).view(np.int64)
+        keep = np.repeat(plain, n)
+        yield _met(cell[keep], line[keep], own[keep])
+        if not last:
+            keep = np.repeat(good & ~plain, n)
+            yield _met(cell[keep], line[keep], own[keep], True)
+            continue
+        for a, size in zip(start[good & ~plain], n[good & ~plain]):
+            ids, roles = line[a : a + size], own[a : a + size]
+            left, right = ids[roles == 1], np.unique(ids)
+            for x in range(0, len(left), most):
+                for y in range(0, len(right), most):
+                    one, two = left[x : x + most], right[y : y + most]
+                    tile = np.uint64(int(cell[a]) & (2**64 - 1)) ^ np.uint64((x * 7919 + y + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
+                    yield _met(np.full(len(one) + len(two), tile).view(np.int64), np.concatenate([one, two]), np.repeat([1, 0], [len(one), len(two)]))
+
+
+def _met(cell: np.ndarray, line: np.ndarray, own: np.ndarray, hot: bool = False) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(line), pa.array(own.astype(np.int32)), pa.array(np.full(len(cell), hot))], names=["cell", "line", "indexed", "hot"])
 
 
 def _pack(h: np.ndarray, who: np.ndarray) -> bytes:
@@ -242,14 +322,23 @@ def candidates(met: DataFrame, kinds: DataFrame, threshold: int) -> DataFrame:
     return rows.repartition("cell").mapInArrow(pairs, "a long, b long").distinct()
 
 
-def verified(docs: DataFrame, pairs: DataFrame, threshold: int, min_chars: int) -> DataFrame:
-    """a, b: the pairs within the threshold. Only lines that occur in a pair are brought together."""
+def line_texts(docs: DataFrame, need: DataFrame, min_chars: int) -> DataFrame:
+    """line, s: the texts of the lines in `need` (line)."""
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             lines = {_id(s): s for t in block.column("text").to_pylist() for _, s in _lines(t, min_chars)}
             yield pa.RecordBatch.from_arrays([pa.array(lines.keys(), pa.int64()), pa.array(lines.values(), pa.string())], names=["line", "s"])
 
+    need = saved(need.distinct())
+    if need.count() <= BROADCAST_LINES:
+        need = F.broadcast(need)
+    return saved(docs.select("text").mapInArrow(texts, "line long, s string").join(need, "line", "left_semi").groupBy("line").agg(F.first("s").alias("s")))
+
+
+def verified(docs: DataFrame, pairs: DataFrame, threshold: int, min_chars: int) -> DataFrame:
+    """a, b: the pairs within the threshold. Only lines that occur in a pair are brought together."""
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, s, t = (batch.column(c) for c in ("a", "b", "s", "t"))
@@ -257,22 +346,19 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: int, min_chars: int)
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
     pairs = saved(pairs)
-    need = saved(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct())
-    if need.count() <= BROADCAST_LINES:
-        need = F.broadcast(need)
-    lines = docs.select("text").mapInArrow(texts, "line long, s string").join(need, "line", "left_semi").groupBy("line").agg(F.first("s").alias("s"))
-    lines = saved(lines)
+    lines = line_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("line")), min_chars)
     both = pairs.join(lines.select(F.col("line").alias("a"), "s"), "a").join(lines.select(F.col("line").alias("b"), F.col("s").alias("t")), "b")
     return both.mapInArrow(check, "a long, b long")
 
 
 def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, keep: tuple[str, ...] = (), short: bool = False) -> DataFrame:
-    """doc_id, n_lines, n_removed, n_links, class_id, kept_sha256, kept_text and the columns to keep: a line is removed if the same line, or one
-    within `threshold` edits, occurs earlier (smaller doc_id, or same document, earlier line).
+    """doc_id, n_lines, n_removed, n_links, class_id, kept_sha256, kept_text and the columns to keep: a line is removed if
+    the same line, or one within `threshold` edits, occurs earlier (smaller doc_id, or same document, earlier line).
 
     Lines are split at \\n and compared without white space around them; lines under `min_chars` characters stay;
     with `short` those too go where the same line, blank ones aside, occurs earlier. n_links counts, over the document's
-    lines, other line texts within the threshold; class_id is the smallest doc_id that has one of its lines or a near one. Null texts are empty and have one empty line; null ids come after all others;
+    lines, other line texts within the threshold; class_id is the smallest doc_id that has one of its lines or a near one.
+    Null texts are empty and have one empty line; null ids come after all others; texts and lines of any length are read whole;
     rows equal in id and text count as one document and each gets the same result; an empty table gives an empty one;
     further columns are ignored. Equal lines are told by 63 bits of a hash.
     """
