@@ -12,15 +12,21 @@ from pyspark.sql import functions as F
 from weft.functions import ids, text
 from weft.operators import ranking
 from weft.operators.asof import asof, extents
-from weft.operators.interfaces import callables, endpoints, lines
+from weft.operators.interfaces import callables, declared, lines
 
 #: A call depends on a decision at most so many lines above it; of each callable so many decisions and steps are drawn.
 DECISION_WITHIN, DECISIONS, STEPS, EXTERNALS = 8, 4, 6, 8
-DECISION = r"^\s*(?:\}?\s*else\s+)?(?:if\b\s*\(?|switch\s*\(|when\s*\(|match\s+)(.*?)\)?\s*[:{]?\s*$"
-CALL = r"\b([A-Za-z_][\w]*(?:\.[A-Za-z_]\w*)*)\s*\("
-NOT_CALLS = "if for while switch catch return function def func fn fun when elif except with print len str int range super sizeof typeof await new require import".split()
-EXTERNAL = r"(?i)(?:\.(?:query|execute|fetch|send|save|insert|update|delete|find\w*|publish|emit)|^(?:fetch|axios(?:\.\w+)?|http\.\w+|requests\.\w+|db\.\w+|prisma\..+|redis\.\w+|fs\.\w+))$"
-ENTRY = r"^(?:main|run|start|bootstrap|handler|handle|execute|init|setup|serve|listen)$"
+#: A condition in brackets anywhere on a line, or after an if that begins it.
+DECISIONS_OF = (r"\bif\s*\(([^)]+)\)", r"^\s*(?:else\s+)?if\s+(.+?)\s*(?::|\{)?\s*$", r"\b(?:switch|when)\s*\(([^)]+)\)")
+CALL = r"(?<![\w$.])([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*\("
+# What looks like a call and is none; verbs at the end of a call and receivers that mean input or output;
+# names by which a program or a listener conventionally begins.
+NOT_CALLS = "if for while switch catch return new typeof sizeof super this".split()
+VERBS = "fetch request get post put patch delete query execute save insert update remove publish emit send dispatch enqueue navigate redirect"
+RECEIVERS = "repository database client gateway queue producer http axios"
+ENTRIES = "main run start bootstrap handle handler execute process"
+EXTERNAL = rf"(?i)(?:^|\.)(?:{VERBS.replace(' ', '|')})$|(?:{RECEIVERS.replace(' ', '|')})\."
+ENTRY = rf"(?i)^(?:{ENTRIES.replace(' ', '|')}|on[A-Z_]|.*Controller)$"
 
 
 def extents_of(rows: DataFrame) -> DataFrame:
@@ -32,7 +38,8 @@ def extents_of(rows: DataFrame) -> DataFrame:
 
 def decisions(rows: DataFrame) -> DataFrame:
     """path, number, label, nth of the first decisions of each callable."""
-    found = rows.where(F.col("line").rlike(DECISION)).select("path", "number", text.truncated(F.trim(F.regexp_extract("line", DECISION, 1)), 44).alias("label"))
+    label = F.coalesce(*(F.nullif(F.regexp_extract("line", p, 1), F.lit("")) for p in DECISIONS_OF))
+    found = rows.select("path", "number", text.truncated(F.trim(label), 44).alias("label")).where("label IS NOT NULL")
     inside = asof(found, extents_of(rows).select("path", F.col("start").alias("number"), "name", F.col("start")), ["path"], "number", ["name", "start"]).where("name IS NOT NULL")
     return ranking.top(inside, ["path", "start"], [F.col("number")], DECISIONS).select("path", "number", "label", "name", "start")
 
@@ -40,7 +47,7 @@ def decisions(rows: DataFrame) -> DataFrame:
 def calls(rows: DataFrame) -> DataFrame:
     """path, number, callee, caller, start of the calls inside callables; comments at the ends of lines are no calls."""
     plain = F.regexp_replace("line", "(?://|#).*$", "")
-    found = rows.select("path", "number", plain.alias("line")).select("path", "number", F.explode(F.array_distinct(F.expr(f"regexp_extract_all(line, '{CALL.replace(chr(92), chr(92) * 2)}', 1)"))).alias("callee"))
+    found = rows.select("path", "number", plain.alias("line")).select("path", "number", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(CALL), F.lit(1)))).alias("callee"))
     found = found.where(~F.element_at(F.split("callee", "\\."), -1).isin(*NOT_CALLS))
     around = asof(found, extents_of(rows).select("path", F.col("start").alias("number"), F.col("name").alias("caller"), F.col("start")), ["path"], "number", ["caller", "start"])
     return around.where("caller IS NOT NULL AND number > start").select("path", "number", "callee", "caller", "start")
@@ -76,7 +83,8 @@ def flow_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     fork = F.when(F.col("decision_line").isNotNull(), _node("decision", "path", "decision_line"))
     drawn = steps.select("unit", F.coalesce(fork, caller).alias("src"), target.alias("dst"), F.col("kind"), F.coalesce("branch", F.lit("")).alias("label"))
     forks = steps.where("decision_line IS NOT NULL").select("unit", caller.alias("src"), fork.alias("dst"), F.lit("fork").alias("kind"), F.lit("").alias("label"))
-    routes = endpoints(files).where("handler IS NOT NULL").select(F.col("file").alias("path"), F.col("handler").alias("callee_name"), F.concat_ws(" ", "operation", "address").alias("route"), "line")
+    # A route goes to the next callable below, however far; one that nothing follows goes nowhere.
+    routes = declared(files).where("handler IS NOT NULL AND protocol = 'http'").select("path", F.element_at(F.split("handler", "\\."), -1).alias("callee_name"), F.concat_ws(" ", "operation", "address").alias("route"), F.col("number").alias("line"))
     dispatched = routes.join(last, ["path", "callee_name"])
     starts = dispatched.select(F.col("path").alias("unit"), _node("route", "path", "route").alias("src"), _node("callable", "path", "callee_start").alias("dst"), F.lit("dispatch").alias("kind"), F.lit("").alias("label"))
     edges = drawn.unionByName(forks).unionByName(starts).distinct()
