@@ -6,7 +6,7 @@ import random
 import numpy as np
 
 from tests.llm.texts import documents, frame, key, sortable, unique
-from weft.llm import repeats, suffix_dedup
+from weft.llm import repeats, substring_dedup, suffix_dedup
 from weft.llm.common import byte_values, keyed, least_places, mix, rolling, word_bounds, word_hashes
 from weft.llm.substring_dedup import COVER, PERIOD, dedup_words
 from weft.llm.suffix_dedup import common_prefix_classes, dedup_bytes
@@ -86,6 +86,7 @@ def test_a_passage_of_every_document(spark, monkeypatch):
     words, raw = sortable(words_expected(rows)), sortable(bytes_expected(rows))
     for heavy in (5, 20_000):
         monkeypatch.setattr(repeats, "HEAVY", heavy)
+        monkeypatch.setattr(substring_dedup, "HEAVY", heavy)
         assert sortable(dedup_words(frame(spark, rows)).collect()) == words
         assert sortable((*r[:5], bytes(r[5])) for r in dedup_bytes(frame(spark, rows)).collect()) == raw
     monkeypatch.setattr(repeats, "HEAVY", 5)

@@ -21,6 +21,8 @@ from weft.session import saved
 
 PERIOD, COVER = 13, (0, 1, 3, 9)
 WINDOW = 20
+#: Windows that share a least anchor meet in one task as long as it leads no more of them than this.
+HEAVY = 2_000
 _COVER = np.zeros(PERIOD, dtype=bool)
 _COVER[list(COVER)] = True
 
@@ -111,7 +113,7 @@ def spans(docs: DataFrame, window: int = WINDOW, heavy: int | None = None) -> Da
         for columns in out:
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(columns, ("i8", "i8", "i4", "i4"))], names=["_k", "o", "s", "e"])
 
-    found = saved(repeated(docs, anchors, heavy))
+    found = saved(repeated(docs, anchors, HEAVY if heavy is None else heavy))
     hot = hottest(found)
     near = with_places(docs, found)
     windows = near.mapInArrow(extend, "w long, o long, k long, s int, e int, windows binary")
