@@ -26,10 +26,10 @@ def resolved(spark, sources):
 
 def test_imports_of_the_fixture(workspace):
     found = {(r.path, r.specifier): r for r in workspace.imports.collect()}
-    assert found["src/ui/App.tsx", "../api/users"].targets == ["src/api/users.ts"]
-    assert found["src/ui/App.tsx", "../api/users"].line == 4  # the specifier's own line
-    assert found["src/api/users.ts", "./gone"].unresolved_local
-    assert found["src/ui/App.tsx", "react"].package == "react"
+    assert found["src/ui/Deck.tsx", "../api/ships"].targets == ["src/api/ships.ts"]
+    assert found["src/ui/Deck.tsx", "../api/ships"].line == 4  # the specifier's own line
+    assert found["src/api/ships.ts", "./gone"].unresolved_local
+    assert found["src/ui/Deck.tsx", "react"].package == "react"
     assert found["go/cmd/api/main.go", "example.com/shop/internal/store"].targets == ["go/internal/store/store.go"]
     assert found["go/cmd/api/main.go", "github.com/gin-gonic/gin"].package == "github.com/gin-gonic/gin"
     assert found["go/cmd/api/main.go", "fmt"].package is None
@@ -49,7 +49,7 @@ def test_file_table_and_reports(workspace):
     rows = {r.path: r for r in workspace.file_table.collect()}
     assert rows["app/test_views.py"].role == "test" and rows["package.json"].role == "config"
     assert rows["go/cmd/api/main.go"].role == "source"  # three folders below its project
-    assert rows["src/api/users.ts"].imported_by == 1 and rows["package.json"].imports is None
+    assert rows["src/api/ships.ts"].imported_by == 1 and rows["package.json"].imports is None
     assert rows["src/domain/user.ts"].lines == 1
     lists = modules.reports(workspace.file_table)
     assert [r.path for r in lists["load_bearing"].collect()][0] == "app/models.py"
@@ -91,8 +91,8 @@ def test_order_of_files_does_not_matter(spark):
 
 def test_endpoints_and_ports(workspace):
     rows = {(r.operation, r.address): r for r in workspace.endpoints.collect()}
-    assert rows["GET", "/users/:id"].handler == "find"
-    assert rows["GET", "/teams"].handler == "teams" and rows["GET", "/ping"].handler == "ping"
+    assert rows["GET", "/ships/:id"].handler == "find"
+    assert rows["GET", "/crews"].handler == "crews" and rows["GET", "/ping"].handler == "ping"
     assert rows["rpc", "Greeter/Hello"].protocol == "grpc"
     ports = {(r.port, r.kind): r for r in workspace.ports.collect()}
     assert ports[5432, "expose"].note == "PostgreSQL" and ports[9092, "expose"].protocol == "kafka"
@@ -118,11 +118,11 @@ def test_a_port_takes_the_protocol_of_its_file(spark):
 
 
 def test_flow_forks_only_where_a_call_is_drawn(workspace):
-    nodes = [r for r in workspace.flow_nodes.collect() if r.unit == "src/api/users.ts"]
+    nodes = [r for r in workspace.flow_nodes.collect() if r.unit == "src/api/ships.ts"]
     assert {(r.kind, r.label) for r in nodes} == {("step", "load"), ("step", "fail"), ("decision", "id"), ("io", "db.query")}
-    edges = {(r.kind, r.label) for r in workspace.flow_edges.collect() if r.unit == "src/api/users.ts"}
+    edges = {(r.kind, r.label) for r in workspace.flow_edges.collect() if r.unit == "src/api/ships.ts"}
     assert edges == {("fork", ""), ("io", "Yes"), ("call", "No")}
-    assert workspace.flow_units.first().unit == "src/api/users.ts" or workspace.flow_units.count() > 3
+    assert workspace.flow_units.first().unit == "src/api/ships.ts" or workspace.flow_units.count() > 3
 
 
 def test_extents_and_decisions(spark):
@@ -134,15 +134,15 @@ def test_extents_and_decisions(spark):
 
 def test_data_model_of_the_fixture(workspace):
     entities = {r.entity: r for r in workspace.entities.collect()}
-    assert set(entities) == {"User", "Post", "orders", "customers", "Team", "Member", "Activity", "place"}
-    assert entities["User"].physical == "users" and entities["Activity"].physical == "activity_log" and entities["place"].kind == "embedded"
+    assert set(entities) == {"Ship", "Cargo", "orders", "customers", "Crew", "Sailor", "Voyage", "berth"}
+    assert entities["Ship"].physical == "ships" and entities["Voyage"].physical == "voyage_book" and entities["berth"].kind == "embedded"
     fields = {(r.entity, r.field): r for r in workspace.fields.collect()}
-    assert fields["User", "email"].nullable and fields["User", "email"].uniq and fields["orders", "price"].nullable is False
-    assert fields["customers", "id"].pk and fields["customers", "name"].nullable is None and fields["Team", "id"].pk
+    assert fields["Ship", "email"].nullable and fields["Ship", "email"].uniq and fields["orders", "price"].nullable is False
+    assert fields["customers", "id"].pk and fields["customers", "name"].nullable is None and fields["Crew", "id"].pk
     state = {(r.entity, r.field): (r.target, r.state) for r in workspace.relations.collect()}
-    assert state["orders", "customer_id"] == ("customers", "resolved") and state["Member", "team"] == ("Team", "resolved")
-    assert state["Activity", "session"] == ("Session", "missing") and state["Activity", "where"] == ("place", "resolved")
-    assert [r.entity for r in schema.placeholders(workspace.relations).collect()] == ["Session"]
+    assert state["orders", "customer_id"] == ("customers", "resolved") and state["Sailor", "crew"] == ("Crew", "resolved")
+    assert state["Voyage", "harbour"] == ("Harbour", "missing") and state["Voyage", "where"] == ("berth", "resolved")
+    assert [r.entity for r in schema.placeholders(workspace.relations).collect()] == ["Harbour"]
 
 
 def test_names_that_several_entities_answer_to_are_ambiguous(spark):
@@ -153,7 +153,7 @@ def test_names_that_several_entities_answer_to_are_ambiguous(spark):
 
 def test_inverse_relations_are_suppressed(spark, workspace):
     kept = {(r.entity, r.field) for r in schema.without_inverses(workspace.relations).collect()}
-    assert ("Post", "author") in kept and ("User", "posts") not in kept
+    assert ("Cargo", "carrier") in kept and ("Ship", "cargoes") not in kept
 
 
 def test_readers_of_classes_and_structs(spark):
@@ -187,17 +187,17 @@ def test_small_areas_fold_and_two_remain(spark):
 def test_tree_rows(spark, workspace):
     rows = areas.tree_rows(workspace.tree).collect()
     paths = [r.path for r in rows]
-    assert paths.index("src") < paths.index("src/api") < paths.index("src/api/users.ts") < paths.index("package.json")
+    assert paths.index("src") < paths.index("src/api") < paths.index("src/api/ships.ts") < paths.index("package.json")
     assert {r.path: r.files for r in rows}["src"] == 5
-    found = areas.tree_rows(workspace.tree, "USERS").collect()
-    assert [r.path for r in found] == ["src", "src/api", "src/api/users.controller.ts", "src/api/users.ts"]
+    found = areas.tree_rows(workspace.tree, "SHIPS").collect()
+    assert [r.path for r in found] == ["src", "src/api", "src/api/ships.controller.ts", "src/api/ships.ts"]
     assert areas.tree_rows(workspace.tree, limit=3).first().left_out == len(rows) - 3
 
 
 def test_document_and_views(spark, workspace, tmp_path):
     texts = schema_document(workspace.entities, workspace.fields, workspace.relations)
     whole = "\n".join(r.markdown for r in texts.collect())
-    assert "### orders" in whole and "| price | decimal(10,2) | NOT NULL |" in whole and "→ Session (one, missing)" in whole
+    assert "### orders" in whole and "| price | decimal(10,2) | NOT NULL |" in whole and "→ Harbour (one, missing)" in whole
     assert spark.range(1).select(cell(__import__("pyspark").sql.functions.lit("a|b\nc"))).first()[0] == "a\\|b c"
     write_schema_document(texts, str(tmp_path / "doc"))
     assert "### orders" in "\n".join(r.value for r in spark.read.text(str(tmp_path / "doc")).collect())
@@ -252,4 +252,4 @@ def reversed_pairs(lines: list[str]) -> list[str]:
 
 def test_the_workspace_suppresses_inverses(workspace):
     kept = {(r.entity, r.field) for r in workspace.relations.collect()}
-    assert ("Post", "author") in kept and ("User", "posts") not in kept
+    assert ("Cargo", "carrier") in kept and ("Ship", "cargoes") not in kept
