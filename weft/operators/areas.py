@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions import paths
+from weft.operators import graph
+from weft.operators.reports import frame_pairs, nouns
 from weft.operators.rollup import ancestors
 from weft.session import saved
 
@@ -44,6 +46,29 @@ def subject_areas(entities: DataFrame, large: int = LARGE) -> DataFrame:
     return named.join(after, "area")
 
 
+def area_summary(placed: DataFrame, relations: DataFrame) -> DataFrame:
+    """area, members, noun, internal, crossing, neighbours, unresolved, oversized of subject_areas(); each crossing relation counts
+    for both its areas."""
+    edges = relations.where("target_id IS NOT NULL AND source_id IS NOT NULL").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
+    counts = graph.areas(placed.select("id", "area"), edges)
+    missing = relations.where("target_id IS NULL").join(placed.select(F.col("id").alias("source_id"), "area"), "source_id").groupBy("area").agg(F.count("*").alias("unresolved"))
+    large = placed.groupBy("area").agg(F.max("oversized").alias("oversized"))
+    named = counts.join(nouns(placed), "area").join(missing, "area", "left").join(large, "area")
+    return named.select("area", "members", "noun", "internal", "crossing", "neighbours", F.coalesce("unresolved", F.lit(0)).alias("unresolved"), "oversized")
+
+
+def area_links(placed: DataFrame, relations: DataFrame) -> DataFrame:
+    """a, b, n: relations between two areas, whatever their direction."""
+    edges = relations.where("target_id IS NOT NULL").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"))
+    return frame_pairs(edges, placed.select("id", F.col("area").alias("frame")))
+
+
+def area_boundary(placed: DataFrame, relations: DataFrame, area: str) -> DataFrame:
+    """What the entities of an area have to do with other areas, folded by node, far area and direction; see graph.boundary()."""
+    edges = relations.where("target_id IS NOT NULL").select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), "confidence")
+    return graph.boundary(placed.select("id", "area", F.col("entity").alias("label")), edges, area)
+
+
 def tree(files: DataFrame) -> DataFrame:
     """path, parent, depth, kind, files, bytes of every folder and file; a file's own count is null, not 0."""
     folders = files.select(F.explode(ancestors(F.col("path"))).alias("path"), "size").groupBy("path").agg(F.count("*").alias("files"), F.sum("size").alias("bytes")).withColumn("kind", F.lit("folder"))

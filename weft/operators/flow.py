@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions import ids, text
-from weft.operators import ranking
+from weft.operators import graph, ranking
 from weft.operators.asof import asof, extents
 from weft.operators.interfaces import callables, declared, lines
 
@@ -107,10 +107,72 @@ def units(nodes: DataFrame, edges: DataFrame, limit: int = 180) -> DataFrame:
     return scored.orderBy(F.desc("score"), "unit").limit(limit)
 
 
+#: A flow's begin and end are marked if so many nodes begin or end it at most.
+BOUNDARY = 8
+
+
 def degrees_of_flow(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """unit, id, position of nodes where a flow begins or ends: start without an edge in, end without one out."""
-    into, out = edges.select(F.col("dst").alias("id")).distinct(), edges.select(F.col("src").alias("id")).distinct()
-    first = nodes.join(into, "id", "left_anti").join(out, "id", "left_semi").select("unit", "id", F.lit("start").alias("position"))
-    last = nodes.join(out, "id", "left_anti").join(into, "id", "left_semi").select("unit", "id", F.lit("end").alias("position"))
-    both = first.unionByName(last).withColumn("_n", F.count("*").over(Window.partitionBy("unit", "position")))
-    return both.where(F.col("_n").between(1, 8)).drop("_n")
+    """unit, id, position of nodes where a flow begins or ends: start for routes, entries and what has only edges out, end for
+    what has only edges in, decisions aside. Positions with more than 8 nodes of a unit are left out."""
+    into, out = edges.select(F.col("dst").alias("id"), F.lit(True).alias("_in")).distinct(), edges.select(F.col("src").alias("id"), F.lit(True).alias("_out")).distinct()
+    placed = nodes.join(into, "id", "left").join(out, "id", "left")
+    arrives, leaves = F.col("_in").isNotNull(), F.col("_out").isNotNull()
+    starts = F.when(F.col("kind").isin("start", "entry") | (~arrives & leaves), "start")
+    ends = F.when((F.col("kind") != "decision") & arrives & ~leaves, "end")
+    both = placed.select("unit", "id", F.explode(F.array_compact(F.array(starts, ends))).alias("position"))
+    return both.withColumn("_n", F.count("*").over(Window.partitionBy("unit", "position"))).where(F.col("_n") <= BOUNDARY).drop("_n")
+
+
+def with_boundaries(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """nodes and edges with a node of each unit where its flow begins and one where it ends, tied to what begins and ends it."""
+    places = degrees_of_flow(nodes, edges)
+    mark = ids.node_id("boundary", F.col("unit"), F.col("position"))
+    marks = places.select("unit", mark.alias("id"), F.concat(F.lit("flow-"), "position").alias("kind"), F.col("position").alias("label"), F.lit(None).cast("int").alias("line")).distinct()
+    begins = F.col("position") == "start"
+    ties = places.select("unit", F.when(begins, mark).otherwise(F.col("id")).alias("src"), F.when(begins, F.col("id")).otherwise(mark).alias("dst"), F.when(begins, "starts").otherwise("finishes").alias("kind"), F.lit("").alias("label"))
+    return nodes.unionByName(marks), edges.unionByName(ties)
+
+
+#: A project with more modules than this is shown by areas.
+MODULES = 18
+
+
+def project_flow(modules: DataFrame, edges: DataFrame, most: int = MODULES) -> tuple[DataFrame, DataFrame]:
+    """nodes (id, label, modules, files, examples) and edges (src, dst, n) of a project: how its modules (module, files) hand off
+    to one another (src, dst, n); of more than `most` modules their areas, with n the hand-offs between modules of two areas.
+    External packages are no part of it."""
+    placed = graph.path_areas(modules.select("module", "files"), "module", ("apps", "packages", "services", "libs", "src"))
+    count = F.broadcast(modules.agg((F.count("*") > most).alias("_folded")))  # one row
+    placed = placed.crossJoin(count).select("module", "files", F.when(F.col("_folded"), F.col("area")).otherwise(F.col("module")).alias("label"), "_folded")
+    first = F.row_number().over(Window.partitionBy("label").orderBy("module"))
+    nodes = placed.withColumn("_nth", first).groupBy("label").agg(
+        F.count("*").alias("modules"), F.sum("files").alias("files"), F.array_sort(F.collect_list(F.when(F.col("_nth") <= 5, F.col("module")))).alias("examples")
+    )
+    of = lambda end: placed.select(F.col("module").alias(f"_{end}"), F.col("label").alias(end), *(["_folded"] if end == "src" else []))
+    drawn = edges.select(F.col("src").alias("_src"), F.col("dst").alias("_dst"), F.col("n").alias("_n")).join(of("src"), "_src").join(of("dst"), "_dst").where("src <> dst")
+    weight = F.sum(F.when(F.col("_folded"), 1).otherwise(F.col("_n")))
+    return nodes.select(ids.node_id("flow-area", F.col("label")).alias("id"), "label", "modules", "files", "examples"), drawn.groupBy("src", "dst").agg(weight.alias("n"))
+
+
+def all_units(nodes: DataFrame, edges: DataFrame, modules: DataFrame, project: str, limit: int = 180) -> DataFrame:
+    """kind, unit, files, nodes, edges of the project, of each module with a flow (modules: path, module), and of the files that say most."""
+    own = nodes.join(modules.select(F.col("path").alias("unit"), "module"), "unit", "left").withColumn("module", F.coalesce("module", F.lit("(root)")))
+    drawn = edges.groupBy("unit").agg(F.count("*").alias("edges"))
+    per_file = own.groupBy("module", "unit").agg(F.count("*").alias("nodes")).join(drawn, "unit", "left").withColumn("edges", F.coalesce("edges", F.lit(0)))
+    services = per_file.groupBy("module").agg(F.count("*").alias("files"), F.sum("nodes").alias("nodes"), F.sum("edges").alias("edges"))
+    whole = services.agg(F.sum("files").alias("files"), F.count("*").alias("nodes"), F.sum("edges").alias("edges")).where("files > 0")
+    chosen = per_file.join(units(nodes, edges, limit).select("unit"), "unit")
+    parts = [
+        whole.select(F.lit("project").alias("kind"), F.lit(project).alias("unit"), "files", "nodes", "edges"),
+        services.select(F.lit("service").alias("kind"), F.col("module").alias("unit"), "files", "nodes", "edges"),
+        chosen.select(F.lit("file").alias("kind"), "unit", F.lit(1).cast("long").alias("files"), "nodes", "edges"),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def diagnostics(nodes: DataFrame, limit: int = 180) -> DataFrame:
+    """code, severity, message: that flows are read off the source, and how many files are left out of the list of units."""
+    files = nodes.agg(F.count_distinct("unit").alias("n")).where("n > 0")
+    said = files.select(F.lit("FLOW_STATIC_HEURISTIC").alias("code"), F.lit("info").alias("severity"), F.lit("Flows are read off routes, callables, branches and calls; nothing is run.").alias("message"))
+    cut = files.where(F.col("n") > limit).select(F.lit("FLOW_FILE_LIMIT").alias("code"), F.lit("info").alias("severity"), F.concat((F.col("n") - limit).cast("string"), F.lit(" files with less to say have no flow of their own.")).alias("message"))
+    return said.unionByName(cut)

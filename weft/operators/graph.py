@@ -61,11 +61,19 @@ def weakest(edges: DataFrame, by: list[str]) -> DataFrame:
 def crossings(edges: DataFrame) -> DataFrame:
     """column, n: pairs of edges (column, top, bottom) of one column that cross, that is, whose ends are in opposite order.
 
-    Parallel edges are folded first, so what meets is bounded by the positions of a column, not by its edges.
+    Parallel edges are folded first; pairs are counted by running sums over sorted positions, not by meeting.
     """
     a = edges.groupBy("column", "top", "bottom").agg(F.count("*").alias("m"))
-    b = a.select("column", F.col("top").alias("top2"), F.col("bottom").alias("bottom2"), F.col("m").alias("m2"))
-    return a.join(b, "column").where("top < top2 AND bottom > bottom2").groupBy("column").agg(F.sum(F.col("m") * F.col("m2")).alias("n"))
+    # Two tops differ first at one bit of their ranks: within what is equal above it, the edges with the bit that end at smaller
+    # bottoms cross those without it. So each bit takes one running sum over the bottoms of a group of tops.
+    ranks = a.select("column", "top").distinct().withColumn("rank", F.dense_rank().over(Window.partitionBy("column").orderBy("top")))
+    bits = int(ranks.agg(F.max("rank")).first()[0] or 0).bit_length()
+    levels = a.join(ranks, ["column", "top"]).select("column", "bottom", "m", "rank", F.explode(F.sequence(F.lit(0), F.lit(max(0, bits - 1)))).alias("level"))
+    high = F.expr("(rank >> level) & 1")
+    sums = levels.groupBy("column", "level", F.expr("rank >> (level + 1)").alias("group"), "bottom").agg(F.sum(F.col("m") * high).alias("ones"), F.sum(F.col("m") * (1 - high)).alias("zeros"))
+    before = Window.partitionBy("column", "level", "group").orderBy("bottom").rowsBetween(Window.unboundedPreceding, -1)
+    counted = sums.withColumn("n", F.col("zeros") * F.coalesce(F.sum("ones").over(before), F.lit(0))).groupBy("column").agg(F.sum("n").alias("n"))
+    return counted.where("n > 0")
 
 
 def area_of_path(path: Column, containers: tuple[str, ...] = ("apps", "packages", "services", "libs")) -> Column:
@@ -75,6 +83,13 @@ def area_of_path(path: Column, containers: tuple[str, ...] = ("apps", "packages"
     return F.when(two, F.concat_ws("/", F.slice(parts, 1, 2))).otherwise(parts[0])
 
 
+def path_areas(nodes: DataFrame, path: str, containers: tuple[str, ...] = ("apps", "packages", "services", "libs")) -> DataFrame:
+    """nodes with `area` by their path; if all would lie in one area, their first two segments tell them apart."""
+    one, two = area_of_path(F.col(path), containers), F.concat_ws("/", F.slice(F.split(F.col(path), "/"), 1, 2))
+    found = F.broadcast(nodes.agg(F.count_distinct(one).alias("_areas")))  # one row
+    return nodes.crossJoin(found).withColumn("area", F.when(F.col("_areas") < 2, two).otherwise(one)).drop("_areas")
+
+
 def areas(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """area, members, internal, crossing, neighbours of nodes (id, area): each crossing edge counts for both its areas."""
     of = nodes.select("id", "area")

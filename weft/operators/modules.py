@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions import ids, paths, text
@@ -39,7 +39,7 @@ def with_modules(files: DataFrame) -> DataFrame:
     """files with root (the nearest project) and module: one folder below it, or two where the first is a container."""
     placed = longest_prefix(files, "path", project_roots(files), "root")
     folder = paths.dirname(F.col("path"))
-    inside = F.when(F.col("root").isNull(), folder).otherwise(F.substring(folder, F.length("root") + 2, F.lit(10_000)))
+    inside = F.when(F.col("root").isNull(), folder).otherwise(F.substring(folder, F.length("root") + 2, F.length(folder)))
     parts = F.split(inside, "/")
     take = F.when(F.lower(parts[0]).isin(*CONTAINERS) & (F.size(parts) > 1), 2).otherwise(1)
     module = F.when(inside == "", F.coalesce("root", F.lit(ROOT))).otherwise(F.concat_ws("/", "root", F.array_join(F.slice(parts, F.lit(1), take), "/")))
@@ -63,9 +63,10 @@ def role(path: Column, root: Column) -> Column:
 
 def inventory(files: DataFrame) -> DataFrame:
     """id, module, files, languages, examples of each module of code files."""
-    code = with_modules(files).where(paths.extension(F.col("path")).isin(*CODE))
+    code = with_modules(files).where(paths.extension(F.col("path")).isin(*CODE)).select("path", "module")
+    code = code.withColumn("_nth", F.row_number().over(Window.partitionBy("module").orderBy("path")))
     found = code.groupBy("module").agg(
-        F.count("*").alias("files"), F.array_sort(F.collect_set(language(F.col("path")))).alias("languages"), F.slice(F.array_sort(F.collect_list("path")), 1, 5).alias("examples")
+        F.count("*").alias("files"), F.array_sort(F.collect_set(language(F.col("path")))).alias("languages"), F.array_sort(F.collect_list(F.when(F.col("_nth") <= 5, F.col("path")))).alias("examples")
     )
     return found.select(ids.node_id("module", F.col("module")).alias("id"), "module", "files", "languages", "examples")
 
@@ -78,8 +79,9 @@ def module_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
     placed = reached.join(of.withColumnRenamed("module", "src"), "path").join(of.select(F.col("path").alias("target"), F.col("module").alias("dst")), "target")
     statements = placed.where("src <> dst").select("src", "dst", "path", "specifier", "line").distinct()
     by_file = statements.groupBy("src", "dst", "path").agg(F.count("*").alias("n"), F.min("line").alias("line"))
+    by_file = by_file.withColumn("_nth", F.row_number().over(Window.partitionBy("src", "dst").orderBy("path")))
     return by_file.groupBy("src", "dst").agg(
-        F.sum("n").alias("n"), F.slice(F.array_sort(F.collect_list("path")), 1, 5).alias("sources"), F.min_by("line", "path").alias("line")
+        F.sum("n").alias("n"), F.array_sort(F.collect_list(F.when(F.col("_nth") <= 5, F.col("path")))).alias("sources"), F.min_by("line", "path").alias("line")
     )
 
 
@@ -93,6 +95,12 @@ def external_uses(imports: DataFrame, files: DataFrame, limit: int = 18) -> Data
     return per.join(F.broadcast(most), "package").select("package", "n", "module", "module_n", F.col("first.path").alias("file"), F.col("first.line").alias("line"))
 
 
+def diagnostics(imports: DataFrame, limit: int = 18) -> DataFrame:
+    """code, severity, message: how many external packages the list of those used most leaves out."""
+    n = imports.where("package IS NOT NULL").agg(F.count_distinct("package").alias("n")).where(F.col("n") > limit)
+    return n.select(F.lit("EXTERNAL_DEPENDENCY_LIMIT").alias("code"), F.lit("info").alias("severity"), F.concat((F.col("n") - limit).cast("string"), F.lit(" external packages that are used less are not shown.")).alias("message"))
+
+
 def file_table(imports: DataFrame, files: DataFrame) -> DataFrame:
     """path, module, role, language, bytes, lines, imports, imported_by. What was not measured is null, not 0: lines of
     files without content, imports of files that are no code."""
@@ -126,19 +134,49 @@ def reports(table: DataFrame, limit: int = 8) -> dict[str, DataFrame]:
     return {name: frame.orderBy(*order).limit(limit) for name, (frame, order) in orders.items()}
 
 
-def technologies(files: DataFrame, dependencies: DataFrame) -> DataFrame:
-    """technology: languages of code files and frameworks of the manifests."""
-    # Dependencies that name a technology.
-    named = {
-        "react": "React", "vue": "Vue", "svelte": "Svelte", "next": "Next.js", "express": "Express", "@nestjs/core": "NestJS", "typeorm": "TypeORM", "mongoose": "Mongoose",
-        "@prisma/client": "Prisma", "prisma": "Prisma", "graphql": "GraphQL", "fastify": "Fastify",
-    }
-    languages = files.where(paths.extension(F.col("path")).isin(*CODE)).select(language(F.col("path")).alias("technology"))
-    frameworks = dependencies.select(F.coalesce(*(F.when(F.col("dependency") == k, F.lit(v)) for k, v in named.items())).alias("technology"))
-    marks = {"Django": "(?m)^\\s*(?:from|import)\\s+django\\b", "Spring": "\\borg\\.springframework\\b", "GORM": "\"gorm\\.io/gorm\"", "Flask": "(?m)^\\s*(?:from|import)\\s+flask\\b"}
-    seen = files.select(F.explode(F.array(*(F.when(F.col("content").rlike(p), F.lit(n)) for n, p in marks.items()))).alias("technology"))
-    schema = files.where(paths.extension(F.col("path")) == "prisma").select(F.lit("Prisma").alias("technology"))
-    every = languages.unionByName(frameworks).unionByName(seen).unionByName(schema)
-    return every.where("technology IS NOT NULL AND technology <> 'Other'").distinct()
+# Dependencies, modules, packages, files and words that name a technology.
+NPM = {
+    "react": "React", "next": "Next.js", "vue": "Vue", "svelte": "Svelte", "express": "Express", "fastify": "Fastify", "@nestjs/core": "NestJS", "typeorm": "TypeORM",
+    "prisma": "Prisma", "@prisma/client": "Prisma", "sequelize": "Sequelize", "drizzle-orm": "Drizzle ORM", "drizzle_orm": "Drizzle ORM", "mongoose": "Mongoose",
+    "@typegoose/typegoose": "Typegoose", "mongodb": "MongoDB", "dynamoose": "Dynamoose", "@aws-sdk/client-dynamodb": "DynamoDB", "firebase-admin": "Firebase", "redis": "Redis", "ioredis": "Redis",
+}
+GO = {
+    "github.com/gin-gonic/gin": "Gin", "github.com/labstack/echo": "Echo", "github.com/gofiber/fiber": "Fiber", "github.com/go-chi/chi": "chi", "github.com/gorilla/mux": "Gorilla", "gorm.io/gorm": "GORM",
+    "entgo.io/ent": "Ent", "github.com/uptrace/bun": "Bun", "github.com/jmoiron/sqlx": "sqlx", "go.mongodb.org/mongo-driver": "MongoDB", "github.com/redis/go-redis": "Redis",
+}
+PUB = {
+    "flutter": "Flutter", "drift": "Drift", "moor": "Drift", "floor": "Floor", "isar": "Isar", "objectbox": "ObjectBox", "sqflite": "sqflite", "riverpod": "Riverpod", "flutter_riverpod": "Riverpod",
+    "hooks_riverpod": "Riverpod", "bloc": "Bloc", "flutter_bloc": "Bloc", "provider": "Provider", "get": "GetX",
+}
+FILES_OF = {
+    "go.mod": "Go modules", "cargo.toml": "Cargo", "package.swift": "SwiftPM", "cmakelists.txt": "CMake", "meson.build": "Meson", "pom.xml": "JVM build", "build.gradle": "JVM build", "build.gradle.kts": "JVM build",
+    "dockerfile": "Docker", "compose.yaml": "Docker", "compose.yml": "Docker", "docker-compose.yaml": "Docker", "docker-compose.yml": "Docker",
+}
+EXTENSIONS_OF = {"prisma": "Prisma", "sql": "SQL"}
+WORDS_OF = {
+    "Django": r"\b(?:from|import)\s+django\b|\bmodels\.Model\b", "FastAPI": r"\b(?:from|import)\s+fastapi\b", "Flask": r"\b(?:from|import)\s+flask\b", "SQLAlchemy": r"\bsqlalchemy\b|\bdeclarative_base\b",
+    "Spring Boot": r"\bSpringBootApplication\b|\borg\.springframework\b", "JPA": r"\b(?:jakarta|javax)\.persistence\b", "MongoEngine": r"\bmongoengine\b", "Beanie": r"\b(?:from|import)\s+beanie\b",
+    "MongoDB": r"\b(?:from|import)\s+pymongo\b|\bimport\s+motor\b", "Spring Data MongoDB": r"\borg\.springframework\.data\.mongodb\b",
+}
+
 
+def _named(value: Column, names: dict[str, str]) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), value)
 
+
+def technologies(files: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """technology: languages of code files, what manifests depend on, and what files and their words tell, in order."""
+    name, extension, content = F.lower(paths.basename(F.col("path"))), paths.extension(F.col("path")), F.col("content")
+    none = F.array().cast("array<string>")
+    only = lambda on, value: F.when(on, value).otherwise(none)
+    spelled = F.array(*(F.when(content.rlike(p), F.lit(n)) for n, p in WORDS_OF.items()))
+    required = only(name == "go.mod", F.array(*(F.when(content.contains(m), F.lit(n)) for m, n in GO.items())))
+    # A dependency is a key one level below its list.
+    keys = F.regexp_extract_all("content", F.lit(r"(?m)^ {2}([a-z_][a-z0-9_]*):"), F.lit(1))
+    packages = only(name.isin("pubspec.yaml", "pubspec.yml"), F.concat(F.transform(keys, lambda k: _named(k, PUB)), F.array(F.when(content.rlike(r"\bsdk:\s*flutter\b"), "Flutter"))))
+    monorepo = F.when((name == "package.json") & F.get_json_object("content", "$.workspaces").isNotNull(), "JavaScript monorepo")
+    variant = F.when(name.startswith("dockerfile.") | name.endswith(".dockerfile") | name.contains("docker-compose"), "Docker")
+    one = F.array(F.when(extension.isin(*CODE), language(F.col("path"))), _named(name, FILES_OF), _named(extension, EXTENSIONS_OF), monorepo, variant)
+    seen = files.select(F.explode(F.concat(one, spelled, required, packages)).alias("technology"))
+    every = seen.unionByName(dependencies.select(_named(F.col("dependency"), NPM).alias("technology")))
+    return every.where("technology IS NOT NULL AND technology <> 'Other'").distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions import ids
-from weft.operators import areas, flow, graph, imports, interfaces, modules, schema
+from weft.operators import areas, flow, graph, imports, interfaces, modules, reports, schema
 from weft.sources.files import manifests, scan
 
 
@@ -49,7 +49,12 @@ class Workspace:
 
     @cached_property
     def endpoints(self) -> DataFrame:
-        return interfaces.endpoints(self.files).persist()
+        return interfaces.with_module(interfaces.endpoints(self.files), self.placed).persist()
+
+    @cached_property
+    def placed(self) -> DataFrame:
+        """path, module of every file."""
+        return modules.with_modules(self.files).select("path", "module").persist()
 
     @cached_property
     def ports(self) -> DataFrame:
@@ -103,16 +108,40 @@ class Workspace:
         """code, severity, message of scan and resolution, each once."""
         missing = self.imports.agg(F.count_if("unresolved_local").alias("n")).where("n > 0")
         missing = missing.select(F.lit("LOCAL_IMPORTS_UNRESOLVED").alias("code"), F.lit("info").alias("severity"), F.concat(F.col("n").cast("string"), F.lit(" imports name files that are not there.")).alias("message"))
-        every = missing.unionByName(schema.diagnostics(self.relations))
+        every = missing.unionByName(schema.diagnostics(self.relations)).unionByName(flow.diagnostics(self.flow_nodes)).unionByName(modules.diagnostics(self.imports))
         return (every if self.scanned is None else every.unionByName(self.scanned)).distinct()
 
     @cached_property
     def architecture(self) -> tuple[DataFrame, DataFrame]:
         """nodes (id, kind, label, area) and edges (src, dst, n, confidence) of modules."""
-        nodes = self.modules.select("id", F.lit("module").alias("kind"), F.col("module").alias("label"), graph.area_of_path(F.col("module")).alias("area"))
+        nodes = graph.path_areas(self.modules.select("id", F.lit("module").alias("kind"), F.col("module").alias("label"), "files"), "label")
         name = lambda c: ids.node_id("module", F.col(c)).alias(c)
         return nodes, self.module_edges.select(name("src"), name("dst"), "n", F.lit("inferred").alias("confidence"))
 
+    def project_flow(self) -> tuple[DataFrame, DataFrame]:
+        return flow.project_flow(self.modules, self.module_edges)
+
+    def flow_list(self, project: str = "project") -> DataFrame:
+        """The units of flow: the project, its modules, and the files that say most."""
+        return flow.all_units(self.flow_nodes, self.flow_edges, self.placed, project)
+
+    @cached_property
+    def subjects(self) -> DataFrame:
+        """entities with their area."""
+        return areas.subject_areas(self.entities).persist()
+
+    def schema_map(self) -> tuple[DataFrame, DataFrame]:
+        """Areas of the data model and the relations between them."""
+        return areas.area_summary(self.subjects, self.relations), areas.area_links(self.subjects, self.relations)
+
+    def schema_area(self, name: str) -> DataFrame:
+        return areas.area_boundary(self.subjects, self.relations, name)
+
+    def shown_by_areas(self) -> DataFrame:
+        """view, uses_areas: whether modules (over 24) and entities (over 30) are shown by areas."""
+        one = lambda name, frame, n: reports.uses_areas(frame, n).select(F.lit(name).alias("view"), "uses_areas")
+        return one("modules", self.architecture[0], 24).unionByName(one("entities", self.subjects, 30))
+
     def area_map(self) -> DataFrame:
         return graph.areas(*self.architecture)
 
@@ -126,6 +155,8 @@ class Workspace:
         parts = [
             self.modules.agg(F.count("*").alias("modules"), F.sum("files").alias("code_files")),
             self.module_edges.agg(F.count("*").alias("module_edges")),
+            self.module_edges.select("src").unionAll(self.externals.select("module")).agg(F.count("*").alias("dependencies")),
+            flow.all_units(self.flow_nodes, self.flow_edges, self.placed, "project").agg(F.count("*").alias("flow_units")),
             self.entities.agg(F.count("*").alias("_declared")).crossJoin(schema.placeholders(self.relations).agg(F.count("*").alias("_missing"))).select((F.col("_declared") + F.col("_missing")).alias("entities")),
             interfaces.summary(self.endpoints, self.ports),
         ]
