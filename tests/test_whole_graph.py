@@ -13,9 +13,9 @@ from weft import queries
 def folder(spark, tmp_path_factory):
     rng = random.Random(5)
     out = tmp_path_factory.mktemp("graph")
-    # Few first lines of every sixteenth order, so that a sample of them misses most edges.
-    lines = [(n // 3 + 1, rng.randint(1, 120), rng.randint(1, 25), n % 3 + 1) for n in range(90)] + [(16, 14, 2, 4)]
+    lines = [(n // 3 + 1, rng.randint(1, 120), rng.randint(1, 25), n % 3 + 1) for n in range(90)] + [(900 + n, 3, 5, 1) for n in range(60)] + [(16, 14, 2, 4)]
     spark.createDataFrame([(k,) for k in range(1, 201)], "p_partkey long").write.parquet(f"{out}/part.parquet")
+    spark.createDataFrame([(k,) for k in range(5)], "c_custkey long").write.parquet(f"{out}/customer.parquet")
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{out}/lineitem.parquet")
     return str(out), [(p, s * 7, s % 3) for _, p, s, _ in lines if p != s * 7]
 
@@ -23,12 +23,13 @@ def folder(spark, tmp_path_factory):
 def test_degrees_isolated_health_and_hubs(spark, folder):
     path, edges = folder
     degree = {k: sum((a == k) + (b == k) for a, b, _ in edges) for k in range(1, 201)}
-    got = {r.id: r.degree for r in queries.degree_all(spark, path).collect()}
-    assert got == degree
-    alone = {k for k, n in degree.items() if not n and k % 10}
-    assert {r.id for r in queries.isolated_all(spark, path).collect()} == alone
-    assert tuple(queries.graph_health_all(spark, path).first()) == (sum(x == 1 for *_, x in edges), sum(x == 2 for *_, x in edges), len(alone))
-    assert {(r.id, r.degree) for r in queries.hubs_all(spark, path).collect()} == {(k, n) for k, n in degree.items() if n >= 12}
+    got = {r.id: r.degree for r in queries.degree(spark, path).collect()}
+    more = {10**12 + k for k in range(5)}
+    assert got == degree | dict.fromkeys(more, 0)
+    alone = {k for k, n in degree.items() if not n and k % 10} | more
+    assert {r.id for r in queries.isolated(spark, path).collect()} == alone
+    assert tuple(queries.graph_health(spark, path).first()) == (sum(x == 1 for *_, x in edges), sum(x == 2 for *_, x in edges), len(alone))
+    assert {(r.id, r.degree) for r in queries.hubs(spark, path).collect()} == {(k, n) for k, n in degree.items() if n >= 45}
 
 
 def test_components_of_every_line(spark, folder):
@@ -37,4 +38,4 @@ def test_components_of_every_line(spark, folder):
     while any(root[a] != root[b] for a, b, _ in edges):
         for a, b, _ in edges:
             root[a] = root[b] = min(root[a], root[b])
-    assert {r.node: r.root for r in queries.component_roots_all(spark, path).collect()} == root
+    assert {r.node: r.root for r in queries.component_roots(spark, path).collect()} == root

@@ -30,3 +30,8 @@ def first_candidate(frame: DataFrame, key: str, candidates: str, known: DataFram
     """key, `target`: for each key the first of its ordered candidates that is known. Keys without one are not returned."""
     tried = frame.select(key, F.posexplode(candidates).alias("_priority", target))
     return tried.join(known.select(target).distinct(), target).groupBy(key).agg(F.min_by(target, "_priority").alias(target))
+
+
+def unmatched(frame: DataFrame, known: DataFrame, *by: str) -> DataFrame:
+    """Rows whose key is not among the known ones."""
+    return frame.join(known.select(*by).distinct(), list(by), "left_anti")

@@ -2,47 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.fixture import workspace_files
 from weft.functions import ids, paths, text
-from weft.operators import asof, components, graph, ranking, rollup
+from weft import source_queries
+from weft.operators import asof, components, graph, modules, ranking, reports, rollup
 from weft.operators.areas import tree_rows
 from weft.plans.schema_document import schema_document
 from weft.plans.workspace import Workspace
+from weft.streaming import changes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _deliveries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """imports and files of a workspace of deliveries: each line is an import of its supplier's file by its part's file."""
+    name = lambda folder, key, tail: F.concat(folder, F.lit("/"), F.col(key).cast("string"), F.lit(tail))
+    part = table(spark, sf_dir, "part").select("p_partkey", name(F.replace("p_brand", F.lit("#"), F.lit("")), "p_partkey", ".ts").alias("path"))
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", name(F.concat(F.lit("nation"), F.col("s_nationkey").cast("string")), "s_suppkey", ".go").alias("target"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    placed = lines.join(part, lines.l_partkey == part.p_partkey).join(supplier, lines.l_suppkey == supplier.s_suppkey)
+    imports = placed.select("path", F.col("l_suppkey").cast("string").alias("specifier"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line"), F.array("target").alias("targets"))
+    files = part.select("path").unionByName(supplier.select(F.col("target").alias("path"))).select("path", F.lit("").alias("content"), F.lit(0).cast("long").alias("size"))
+    return imports, files
+
+
 def module_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Brand to nation edges with their weight and the first five sources."""
-    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    # Deliveries are counted for each part and supplier first; names are looked up for these pairs only.
-    pairs = lines.groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"))
-    named = pairs.join(part, pairs.l_partkey == part.p_partkey).join(supplier, pairs.l_suppkey == supplier.s_suppkey)
-    sources = named.groupBy("p_brand", "s_nationkey", "l_suppkey").agg(F.sum("n").alias("n"))
-    return sources.groupBy("p_brand", "s_nationkey").agg(
-        F.sum("n").alias("weight"), F.concat_ws(",", F.transform(F.slice(F.array_sort(F.collect_list("l_suppkey")), 1, 5), lambda x: x.cast("string"))).alias("sources")
-    )
+    """Brand to nation edges with their weight, the first five sources, and the first line of the first source."""
+    return modules.module_edges(*_deliveries(spark, sf_dir)).withColumn("sources", F.concat_ws(",", "sources"))
 
 
 def external_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of parts as packages that the parts' files use, with each brand's own first use."""
     part = table(spark, sf_dir, "part")
-    return part.groupBy(F.col("p_type").alias("name")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(18)
+    path = F.concat(F.replace("p_brand", F.lit("#"), F.lit("")), F.lit("/"), F.lpad(F.col("p_partkey").cast("string"), 12, "0"), F.lit(".ts"))
+    used = part.select(path.alias("path"), F.concat_ws("-", "p_type", F.col("p_size").cast("string")).alias("package"), F.lit(1).cast("long").alias("line"))
+    return modules.external_uses(used, used.select("path", F.lit("").alias("content"), F.lit(0).cast("long").alias("size")))
 
 
 def fan_in_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    used = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
-    out = used.groupBy(F.col("l_suppkey").alias("id")).agg(F.count("*").alias("fan_out"))
-    into = used.groupBy(F.col("l_partkey").alias("id")).agg(F.count("*").alias("fan_in"))
-    ids_ = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
-    zero = F.lit(0).cast("long")
-    return ids_.join(out, "id", "left").join(into, "id", "left").select("id", F.coalesce("fan_out", zero).alias("fan_out"), F.coalesce("fan_in", zero).alias("fan_in"))
+    return modules.file_table(*_deliveries(spark, sf_dir)).select("path", "imports", "imported_by")
 
 
 def _url_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +82,7 @@ def first_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def left_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id", "n_chars")
+    return rollup.unmatched(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "n_chars")
 
 
 def _moments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,67 +153,34 @@ def neighbour_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.neighbours(edges, "7", 4)
 
 
-def _graph(spark: SparkSession, sf_dir: str, lines: str = "true") -> tuple[DataFrame, DataFrame]:
-    """A graph of parts (a tenth of them external): each line links its part to the part that its supplier stands for."""
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A graph of parts (a tenth of them external) and customers: each line links its part to the part that its supplier stands
+    for; customers have no links."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 10 == 0, "external").otherwise("module").alias("kind"))
-    linked = table(spark, sf_dir, "lineitem").where(lines).select("l_partkey", "l_suppkey")
+    parts = parts.unionByName(table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1_000_000_000_000).alias("id"), F.lit("module").alias("kind")))
+    linked = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
     sure = F.when(F.col("l_suppkey") % 3 == 0, "exact").when(F.col("l_suppkey") % 3 == 1, "inferred").otherwise("unresolved")
     return parts, linked.select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") * 7).alias("dst"), sure.alias("confidence")).where("src <> dst")
 
 
-def _sparse(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The same parts with the edges of a sample: first lines of every sixteenth order, as the SQL of these queries has it."""
-    return _graph(spark, sf_dir, "l_linenumber = 1 AND l_orderkey % 16 = 0")
-
-
 def degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Degrees over the sample of _sparse(); degree_all() takes every line."""
-    return graph.degrees(*_sparse(spark, sf_dir))
-
-
-def degree_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degrees(*_graph(spark, sf_dir))
 
 
 def isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts without an edge in the sample of _sparse(); isolated_all() takes every line."""
-    return graph.isolated(*_sparse(spark, sf_dir)).select("id")
-
-
-def isolated_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.isolated(*_graph(spark, sf_dir)).select("id")
 
 
 def graph_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts over the sample of _sparse(); graph_health_all() takes every line."""
-    return graph.health(*_sparse(spark, sf_dir))
-
-
-def graph_health_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.health(*_graph(spark, sf_dir))
 
 
 def hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hubs of the sample of _sparse(); hubs_all() takes every line."""
-    return graph.hubs(*_sparse(spark, sf_dir), least=12, share=0.001)
-
-
-def hubs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.hubs(*_graph(spark, sf_dir), least=12, share=0.001)
-
-
-def _roots(edges: DataFrame) -> DataFrame:
-    return components.components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return graph.hubs(*_graph(spark, sf_dir), least=45, share=0.001)
 
 
 def component_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of the sample of _sparse(); component_roots_all() takes every line."""
-    return _roots(_sparse(spark, sf_dir)[1])
-
-
-def component_roots_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without SQL: the recursive one would hold all pairs of a component's parts."""
-    return _roots(_graph(spark, sf_dir)[1])
+    return components.components(_graph(spark, sf_dir)[1].select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
 def crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,16 +204,16 @@ def boundary_folding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def session_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bursts of a user's events, each closed by 30 minutes without one."""
-    events = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    found = events.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
-    return found.select("user_id", F.unix_millis(F.col("w.start")).alias("start"), "n")
+    events = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("path"), F.col("ts").cast("timestamp").alias("ts"))
+    found = changes.bursts(events, gap="30 minutes", by="user_id")
+    return found.select("user_id", F.unix_millis("start").alias("start"), "n", F.concat_ws(",", "paths").alias("paths"))
 
 
 def regex_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets of links, each at the first place where it occurs on its page."""
     pages = table(spark, sf_dir, "pages")
-    found = pages.select("page_id", F.posexplode(F.expr("regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)")).alias("nth", "target"))
-    return found.groupBy("page_id", "target").agg(F.min("nth").cast("long").alias("nth"), F.count("*").alias("n"))
+    found = pages.select("page_id", F.posexplode(text.located("html", 'href="([^"]*)"')).alias("nth", "link"))
+    return found.groupBy("page_id", F.col("link.value").alias("target")).agg(F.min("nth").cast("long").alias("nth"), F.count("*").alias("n"))
 
 
 def line_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,11 +239,8 @@ def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def carried_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hot spots: nations by the edges that arrive and leave, loops aside."""
-    edges = _trade(spark, sf_dir).where("src <> dst")
-    ends = edges.groupBy("src", "dst").agg(F.count("*").alias("n")).select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.col("n").alias("out"), F.lit(0).cast("long").alias("in")), F.struct(F.col("dst").alias("id"), F.lit(0).cast("long").alias("out"), F.col("n").alias("in")))).alias("e")).select("e.*")
-    total = ends.groupBy("id").agg(F.sum("in").alias("arriving"), F.sum("out").alias("leaving"))
-    ranked = total.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.col("arriving") + F.col("leaving")), "id")))
-    return ranked.where("rank <= 12").select("id", "arriving", "leaving", F.col("rank").cast("long").alias("rank"))
+    edges = _trade(spark, sf_dir).groupBy("src", "dst").agg(F.count("*").alias("n"))
+    return reports.hotspots(edges, 12)
 
 
 def _own(spark: SparkSession) -> Workspace:
@@ -326,12 +293,12 @@ def workspace_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree_rows(_own(spark).tree)
 
 
-QUERIES = {
+QUERIES = source_queries.QUERIES | {
     f.__name__: f
     for f in (
         module_edges, external_topk, fan_in_out, path_parts, normal_paths, longest_prefix, subtree_counts, first_candidate, left_anti, asof_backward,
         asof_forward_limit, lead_extent, carry_state, dedupe_prefer, top_with_hidden, composition, min_confidence, undirected_pairs, neighbour_limit,
-        degree, isolated, graph_health, hubs, component_roots, degree_all, isolated_all, graph_health_all, hubs_all, component_roots_all, crossings, area_rollup, boundary_folding, session_debounce, regex_extract, line_explode,
+        degree, isolated, graph_health, hubs, component_roots, crossings, area_rollup, boundary_folding, session_debounce, regex_extract, line_explode,
         identifiers, stats, carried_ranks, workspace_imports, workspace_module_edges, workspace_externals, workspace_file_table, workspace_endpoints,
         workspace_ports, workspace_flow_edges, workspace_fields, workspace_relations, workspace_document, workspace_tree,
     )
@@ -342,27 +309,28 @@ _MOMENTS = "(SELECT event_id, user_id, event_type, epoch_us(ts) // 1000 AS ms, v
 _TRADE = """(SELECT s_nationkey AS src, c_nationkey AS dst,
     CASE o_orderstatus WHEN 'F' THEN 'exact' WHEN 'O' THEN 'inferred' ELSE 'unresolved' END AS confidence
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"""
-_PARTS = "(SELECT p_partkey AS id, CASE WHEN p_partkey % 10 = 0 THEN 'external' ELSE 'module' END AS kind FROM part)"
+_PARTS = "(SELECT p_partkey AS id, CASE WHEN p_partkey % 10 = 0 THEN 'external' ELSE 'module' END AS kind FROM part UNION ALL SELECT c_custkey + 1000000000000, 'module' FROM customer)"
 _LINKS = """(SELECT l_partkey AS src, l_suppkey * 7 AS dst,
-    CASE l_suppkey % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'inferred' ELSE 'unresolved' END AS confidence
-    FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 16 = 0 AND l_partkey <> l_suppkey * 7)"""
-_ALL_LINKS = """(SELECT l_partkey AS src, l_suppkey * 7 AS dst,
     CASE l_suppkey % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'inferred' ELSE 'unresolved' END AS confidence
     FROM lineitem WHERE l_partkey <> l_suppkey * 7)"""
 _RANK = "CASE confidence WHEN 'exact' THEN 2 WHEN 'inferred' THEN 1 ELSE 0 END"
 _ABOVE = f"""(SELECT page_id, path, unnest(list_transform(range(1, len(string_split(path, '/'))),
     lambda n: array_to_string(list_slice(string_split(path, '/'), 1, n), '/'))) AS root FROM {_PAGES})"""
 
-ORACLES = {
-    "module_edges": """
-        SELECT p_brand, s_nationkey, CAST(count(*) AS BIGINT) AS weight,
-               array_to_string(list_slice(list_sort(list(DISTINCT l_suppkey)), 1, 5), ',') AS sources
-        FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2""",
-    "external_topk": "SELECT p_type AS name, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, name LIMIT 18",
-    "fan_in_out": """
-        SELECT p_partkey AS id, coalesce(o.n, 0) AS fan_out, coalesce(i.n, 0) AS fan_in FROM part
-        LEFT JOIN (SELECT l_suppkey AS id, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1) o ON o.id = p_partkey
-        LEFT JOIN (SELECT l_partkey AS id, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1) i ON i.id = p_partkey""",
+_DELIVERED = """d AS (SELECT replace(p_brand, '#', '') AS src, 'nation' || s_nationkey AS dst, replace(p_brand, '#', '') || '/' || p_partkey || '.ts' AS path,
+    'nation' || s_nationkey || '/' || s_suppkey || '.go' AS target, l_orderkey * 8 + l_linenumber AS line FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)"""
+
+ORACLES = source_queries.ORACLES | {
+    "module_edges": f"""
+        WITH {_DELIVERED} SELECT src, dst, CAST(count(DISTINCT target || ' ' || path || ' ' || line) AS BIGINT) AS n, array_to_string(list_slice(list_sort(list(DISTINCT path)), 1, 5), ',') AS sources, arg_min(line, path || ' ' || lpad(line::VARCHAR, 19, '0')) AS line FROM d GROUP BY 1, 2""",
+    "external_topk": """
+        WITH u AS (SELECT p_type || '-' || p_size AS package, replace(p_brand, '#', '') AS module, replace(p_brand, '#', '') || '/' || lpad(p_partkey::VARCHAR, 12, '0') || '.ts' AS path FROM part),
+        t AS (SELECT package, count(*) AS n FROM u GROUP BY 1 ORDER BY n DESC, package LIMIT 18)
+        SELECT package, any_value(t.n) AS n, module, count(*) AS module_n, min(path) AS file, CAST(1 AS BIGINT) AS line FROM u JOIN t USING (package) GROUP BY package, module""",
+    "fan_in_out": f"""
+        WITH {_DELIVERED}, a AS (SELECT replace(p_brand, '#', '') || '/' || p_partkey || '.ts' AS path FROM part UNION ALL SELECT 'nation' || s_nationkey || '/' || s_suppkey || '.go' FROM supplier)
+        SELECT a.path, coalesce(o.n, 0) AS imports, coalesce(i.n, 0) AS imported_by FROM a
+        LEFT JOIN (SELECT path, count(DISTINCT target) AS n FROM d GROUP BY 1) o ON o.path = a.path LEFT JOIN (SELECT target AS path, count(DISTINCT path) AS n FROM d GROUP BY 1) i ON i.path = a.path""",
     "path_parts": f"""
         SELECT page_id, regexp_extract(path, '[^/]*$') AS name,
                CASE WHEN path LIKE '%/%' THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS folder,
@@ -425,22 +393,12 @@ ORACLES = {
         FROM {_LINKS}""",
     "hubs": f"""
         SELECT id, n AS degree FROM {_PARTS} JOIN (SELECT e AS k, count(*) AS n FROM (SELECT src AS e FROM {_LINKS} UNION ALL SELECT dst FROM {_LINKS}) GROUP BY 1) ON k = id
-        WHERE n >= greatest(12, 0.001 * (SELECT count(*) FROM part))""",
+        WHERE n >= greatest(45, 0.001 * (SELECT count(*) FROM {_PARTS}))""",
     "component_roots": f"""
-        WITH RECURSIVE e AS (SELECT DISTINCT src AS a, dst AS b FROM {_LINKS} UNION SELECT dst, src FROM {_LINKS}),
-        r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a)
-        SELECT node, min(seen) AS root FROM r GROUP BY 1""",
-    "degree_all": f"""
-        SELECT id, coalesce(n, 0) AS degree FROM {_PARTS}
-        LEFT JOIN (SELECT e AS k, count(*) AS n FROM (SELECT src AS e FROM {_ALL_LINKS} UNION ALL SELECT dst FROM {_ALL_LINKS}) GROUP BY 1) ON k = id""",
-    "isolated_all": f"SELECT id FROM {_PARTS} WHERE kind <> 'external' AND id NOT IN (SELECT src FROM {_ALL_LINKS} UNION ALL SELECT dst FROM {_ALL_LINKS})",
-    "graph_health_all": f"""
-        SELECT count(*) FILTER (confidence = 'inferred') AS inferred, count(*) FILTER (confidence = 'unresolved') AS unresolved,
-               (SELECT count(*) FROM {_PARTS} WHERE kind <> 'external' AND id NOT IN (SELECT src FROM {_ALL_LINKS} UNION ALL SELECT dst FROM {_ALL_LINKS})) AS isolated
-        FROM {_ALL_LINKS}""",
-    "hubs_all": f"""
-        SELECT id, n AS degree FROM {_PARTS} JOIN (SELECT e AS k, count(*) AS n FROM (SELECT src AS e FROM {_ALL_LINKS} UNION ALL SELECT dst FROM {_ALL_LINKS}) GROUP BY 1) ON k = id
-        WHERE n >= greatest(12, 0.001 * (SELECT count(*) FROM part))""",
+        WITH RECURSIVE e AS (SELECT DISTINCT src AS a, dst AS b FROM {_LINKS}), n AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+        c(node, root) USING KEY (node) AS (SELECT DISTINCT a, a FROM n
+            UNION (SELECT n.a, min(r.root) FROM c r JOIN n ON n.b = r.node JOIN recurring.c s ON s.node = n.a WHERE r.root < s.root GROUP BY 1))
+        SELECT node, root FROM c""",
     "crossings": """
         WITH c AS (SELECT l_linenumber AS k, l_partkey % 40 AS t, l_suppkey % 40 AS b, count(*) AS m FROM lineitem GROUP BY 1, 2, 3)
         SELECT x.k AS "column", CAST(sum(x.m * y.m) AS BIGINT) AS n FROM c x JOIN c y ON x.k = y.k AND x.t < y.t AND x.b > y.b GROUP BY 1""",
@@ -457,12 +415,12 @@ ORACLES = {
               UNION ALL SELECT dst, a, 'in', s, confidence FROM p WHERE b = '1' AND a <> '1')
         SELECT node, far_area, direction, count(*) AS n, string_agg(DISTINCT far, ',' ORDER BY far) AS labels, arg_min(confidence, {_RANK}) AS confidence FROM f GROUP BY 1, 2, 3""",
     "session_debounce": f"""
-        WITH g AS (SELECT user_id, ms, CASE WHEN ms - lag(ms) OVER w >= 1800000 THEN 1 ELSE 0 END AS new FROM {_MOMENTS} WINDOW w AS (PARTITION BY user_id ORDER BY ms)),
-        s AS (SELECT user_id, ms, sum(new) OVER (PARTITION BY user_id ORDER BY ms) AS part FROM g)
-        SELECT user_id, min(ms) AS start, count(*) AS n FROM s GROUP BY user_id, part""",
+        WITH g AS (SELECT user_id, ms, event_type, CASE WHEN ms - lag(ms) OVER w >= 1800000 THEN 1 ELSE 0 END AS new FROM {_MOMENTS} WINDOW w AS (PARTITION BY user_id ORDER BY ms)),
+        s AS (SELECT user_id, ms, event_type, sum(new) OVER (PARTITION BY user_id ORDER BY ms) AS part FROM g)
+        SELECT user_id, min(ms) AS start, count(*) AS n, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS paths FROM s GROUP BY user_id, part""",
     "regex_extract": """
         SELECT page_id, target, min(nth) - 1 AS nth, count(*) AS n FROM (
-            SELECT page_id, unnest(x) AS target, unnest(range(1, len(x) + 1)) AS nth FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS x FROM pages)) GROUP BY 1, 2""",
+            SELECT page_id, trim(unnest(x)) AS target, unnest(range(1, len(x) + 1)) AS nth FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS x FROM pages)) GROUP BY 1, 2""",
     "line_explode": """
         SELECT conv_id, turn, number, length(line) AS length, CASE WHEN length(line) > 44 THEN left(line, 43) || '…' ELSE line END AS label FROM (
             SELECT conv_id, turn, unnest(x) AS line, unnest(range(1, len(x) + 1)) AS number FROM (SELECT conv_id, turn, string_split_regex(text, '\r?\n') AS x FROM conversations))
@@ -479,5 +437,5 @@ ORACLES = {
     "carried_ranks": f"""
         WITH e AS (SELECT src AS id, 0 AS i, 1 AS o FROM {_TRADE} WHERE src <> dst UNION ALL SELECT dst, 1, 0 FROM {_TRADE} WHERE src <> dst),
         t AS (SELECT id, CAST(sum(i) AS BIGINT) AS arriving, CAST(sum(o) AS BIGINT) AS leaving FROM e GROUP BY 1)
-        SELECT * FROM (SELECT id, arriving, leaving, row_number() OVER (ORDER BY arriving + leaving DESC, id) AS rank FROM t) WHERE rank <= 12""",
+        SELECT id, arriving, leaving FROM t ORDER BY arriving + leaving DESC, id LIMIT 12""",
 }
