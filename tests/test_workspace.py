@@ -203,11 +203,16 @@ def test_document_and_views(spark, workspace, tmp_path):
     assert "### orders" in "\n".join(r.value for r in spark.read.text(str(tmp_path / "doc")).collect())
     with pytest.raises(ValueError):
         write_schema_document(texts.limit(0), str(tmp_path / "none"))
+    parts = {(r.part, r.area): r.markdown for r in workspace.document().collect()}
+    assert parts[0, None].startswith("# Data model\n\n8 entities in ") and "](#" in parts[0, None]
+    assert "Voyage.harbour → Harbour (missing)" in parts[3, None] and "Voyage.harbour names Harbour" in parts[4, None]
+    assert any('Sailor }o--|| Crew : "crew"' in text for (part, _), text in parts.items() if part == 2)
+    assert {r.view: r.uses_areas for r in workspace.shown_by_areas().collect()} == {"modules": False, "entities": False}
     assert workspace.query("SELECT count(*) AS n FROM module_edges").first().n == 3
     one = workspace.stats().first()
     assert one.files == len(SOURCES) and one.entities == 9 and one.modules == 7
     assert {"Django", "React", "TypeScript", "Prisma", "Mongoose"} <= {r.technology for r in workspace.technologies.collect()}
-    assert {r.code for r in workspace.diagnostics.collect()} == {"LOCAL_IMPORTS_UNRESOLVED", "DB_RELATION_UNRESOLVED"}
+    assert {r.code for r in workspace.diagnostics.collect()} == {"LOCAL_IMPORTS_UNRESOLVED", "DB_RELATION_UNRESOLVED", "FLOW_STATIC_HEURISTIC"}
     assert {r.area: r.internal for r in workspace.area_map().collect()}["src"] == 2
 
 
@@ -218,6 +223,8 @@ def test_scan_reads_what_it_should(spark, tmp_path, monkeypatch):
     files, told = source_files.scan(spark, {"w": f"file://{tmp_path}"}, ["skip/**"], max_kb=16)
     assert {(r.path, r.content, r.size) for r in files.collect()} == {("a.py", "x = 1\n", 6), ("big.sql", "", 20_000), ("Dockerfile.dev", "FROM x\n", 7)}
     assert [r.code for r in told.collect()] == ["FILE_SIZE_LIMIT"]
+    paths = files.select("path")
+    assert source_files.unreadable(paths, paths.where("path <> 'a.py'")).first().code == "UNREADABLE_FILE"
     monkeypatch.setattr(source_files, "MAX_FILES", (1, 2, 2))
     files, told = source_files.scan(spark, {"w": f"file://{tmp_path}", "v": f"file://{tmp_path}"})
     assert [r.path for r in files.orderBy("path").collect()] == ["v/Dockerfile.dev", "v/a.py"]
@@ -253,3 +260,29 @@ def reversed_pairs(lines: list[str]) -> list[str]:
 def test_the_workspace_suppresses_inverses(workspace):
     kept = {(r.entity, r.field) for r in workspace.relations.collect()}
     assert ("Cargo", "carrier") in kept and ("Ship", "cargoes") not in kept
+
+
+def test_more_readers(spark):
+    entities, fields, relations = schema.data_model(
+        table(
+            spark,
+            {
+                "b.py": "from beanie import Document, Link\nfrom typing import Optional, List\n\nclass Base(Document):\n    id: int\n\nclass Tour(Base):\n    title: Indexed(str, unique=True)\n    guide: Optional[Link[\"Guide\"]] = None\n    stops: List[Link[Stop]]\n\n    class Settings:\n        name = \"tours\"\n\nclass Stop(Document):\n    at: str\n\nclass Plain(BaseModel):\n    x: int\n",
+                "K.kt": "import jakarta.persistence.*\n@Entity\n@Table(name = \"boats\")\nclass Boat(\n  @Id\n  val id: Long,\n  @ManyToOne\n  val owner: Owner?,\n)\n",
+                "g.go": "package m\nimport \"gorm.io/gorm\"\ntype Lamp struct {\n\tgorm.Model\n\tRooms []Room `gorm:\"many2many:lamp_rooms\"`\n}\ntype Room struct {\n\tID uint `gorm:\"primaryKey\"`\n}\nfunc (Lamp) TableName() string { return \"old_lamps\" }\n",
+                "d.dart": "import 'package:drift/drift.dart';\nclass Seats extends Table {\n  IntColumn get rowNo => integer()();\n  Set<Column> get primaryKey => {rowNo};\n}\n",
+                "t.ts": "import { prop } from '@typegoose/typegoose';\nclass Kept {\n  @prop()\n  name: string;\n}\nclass Other {\n  x: number;\n}\n",
+                "p.prisma": "model A {\n  id Int @id\n  name String @db.VarChar(9) @map(\"n\")\n  b B?\n  @@map(\"as\")\n  @@schema(\"own\")\n}\nmodel B {\n  id Int @id\n  a A @relation(fields: [id], references: [id])\n}\n",
+            },
+        )
+    )
+    physical = {(r.entity, r.physical) for r in entities.collect()}
+    assert physical == {("Base", "Base"), ("Tour", "tours"), ("Stop", "Stop"), ("Boat", "boats"), ("Lamp", "old_lamps"), ("Room", "rooms"), ("Seats", "seatses"), ("Kept", "kept"), ("A", "own.as"), ("B", "B")}
+    own = {(r.entity, r.field): r for r in fields.collect()}
+    assert own["Tour", "title"].uniq and own["Tour", "guide"].nullable and own["Base", "id"].pk and own["Boat", "id"].pk and own["Boat", "owner"].type == "Owner?"
+    assert own["Lamp", "ID"].pk and own["Lamp", "DeletedAt"].type == "gorm.DeletedAt" and own["Seats", "rowNo"].pk and own["A", "name"].type == "VarChar(9)"
+    links = {(r.entity, r.field): (r.target, r.kind, r.state) for r in relations.collect()}
+    assert links["Tour", "guide"] == ("Guide", "one", "missing") and links["Tour", "stops"] == ("Stop", "many", "resolved") and links["Lamp", "Rooms"] == ("Room", "many", "resolved")
+    assert links["Boat", "owner"][:2] == ("Owner", "one")
+    kept = {(r.entity, r.field) for r in schema.without_inverses(relations).collect()}
+    assert ("B", "a") in kept and ("A", "b") not in kept

@@ -48,8 +48,9 @@ def prisma(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = rows.where(F.col("head").rlike(head)).select(
         "*", F.concat(F.lit("prisma:"), "path").alias("variant"), F.regexp_extract("head", head, 2).alias("entity"), F.regexp_extract("head", head, 1).alias("kind")
     )
-    mapped = F.max(F.when(F.col("line").rlike("@@map"), F.regexp_extract("line", "@@map\\(\\s*(?:name:\\s*)?\"([^\"]*)\"", 1)))
-    entities = rows.groupBy("variant", "entity", "kind", F.col("path").alias("file"), F.col("block").alias("line")).agg(F.coalesce(mapped, F.col("entity")).alias("physical"))
+    option = lambda name: F.max(F.when(F.col("line").rlike(f"@@{name}\\("), F.regexp_extract("line", f"@@{name}\\(\\s*(?:name:\\s*)?\"([^\"]*)\"", 1)))
+    stored = F.concat_ws(".", option("schema"), F.coalesce(option("map"), F.col("entity")))
+    entities = rows.groupBy("variant", "entity", "kind", F.col("path").alias("file"), F.col("block").alias("line")).agg(stored.alias("physical"))
     column = r"^\s*(\w+)\s+(\w+)(\[\])?(\?)?(.*)$"
     body = rows.where((F.col("number") > F.col("block")) & F.col("line").rlike(column) & ~F.col("line").rlike(r"^\s*(?://|@@)")).select(
         "variant", "entity", F.col("number").alias("pos"), *(F.regexp_extract("line", column, i).alias(n) for i, n in enumerate(("field", "type", "many", "maybe", "rest"), 1))
@@ -58,9 +59,13 @@ def prisma(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     keys = rows.groupBy("variant", "entity").agg(F.split(key, r"\s*,\s*").alias("_keys"))
     body = body.join(keys, ["variant", "entity"])
     pk = F.col("rest").rlike(r"@id\b") | F.coalesce(F.array_contains("_keys", F.col("field")), F.lit(False))
-    fields = body.select("variant", "entity", "pos", "field", F.concat("type", "many").alias("type"), pk.alias("pk"), F.col("rest").rlike(r"@unique\b").alias("uniq"), (F.col("maybe") == "?").alias("nullable"))
-    relations = body.where(~F.col("type").isin(*PRISMA_SCALARS)).select("variant", "entity", "field", F.col("type").alias("target"), F.when(F.col("many") != "", "many").otherwise("one").alias("kind"))
-    return _tables(entities, fields, relations)
+    native = F.nullif(F.regexp_extract("rest", r"@db\.(\w+(?:\([^)]*\))?)", 1), F.lit(""))
+    told = F.concat(F.coalesce(native, F.col("type")), "many")
+    fields = body.select("variant", "entity", "pos", "field", told.alias("type"), pk.alias("pk"), F.col("rest").rlike(r"@unique\b").alias("uniq"), (F.col("maybe") == "?").alias("nullable"))
+    linked = body.where(~F.col("type").isin(*PRISMA_SCALARS)).select("variant", "entity", "field", F.col("type").alias("target"), F.when(F.col("many") != "", "many").otherwise("one").alias("kind"), F.col("rest").rlike(r"@relation\([^)]*fields:").alias("_owns"))
+    # Of two to-one sides the one that names its fields owns the relation; the other is the same relation once more.
+    owning = linked.where("_owns").select("variant", F.col("target").alias("entity"), F.col("entity").alias("target"), F.lit("one").alias("kind"), F.lit(False).alias("_owns")).distinct()
+    return _tables(entities, fields, linked.join(owning, ["variant", "entity", "target", "kind", "_owns"], "left_anti"))
 
 
 _NAME = r"[\w\"`\[\].]+"
@@ -158,7 +163,27 @@ def _python_models(rows: DataFrame, name: str, roots: str, field: str, links: st
     return _tables(entities, fields, relations)
 
 
-def _decorated(files: DataFrame, name: str, extensions: list[str], gate: str, mark: str, class_: str, member: str, link: str, target: str, physical: str, kind: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def beanie(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Beanie documents: annotated attributes, links to other documents, the collection that a nested Settings class names."""
+    rows = _python_classes(files, r"(?m)^\s*(?:from|import)\s+beanie\b")
+    own = rows.join(_derived(rows, r"(?:^|\.)(?:Document|UnionDoc)$"), ["path", "entity"]).withColumn("variant", F.concat_ws(":", F.lit("beanie"), "path"))
+    line = F.col("line")
+    named = r"^\s{8,}name\s*=\s*['\"]([^'\"]+)"
+    stored = F.max(F.when(line.rlike(named), F.regexp_extract("line", named, 1)))
+    entities = own.groupBy("variant", "entity", F.col("path").alias("file"), F.col("block").alias("line")).agg(F.coalesce(stored, F.col("entity")).alias("physical")).withColumn("kind", F.lit("collection"))
+    shape = r"^    (\w+)\s*:\s*((?:[^=#()]|\([^()]*\))+?)\s*(?:=\s*(.*))?$"
+    body = own.where(line.rlike(shape)).select("variant", "entity", F.col("number").alias("pos"), *(F.regexp_extract("line", shape, i).alias(n) for i, n in enumerate(("field", "type", "rest"), 1)))
+    empty = F.col("type").rlike(r"\bOptional\[|\bNone\b")
+    unique = F.when(F.col("type").rlike(r"\bIndexed\(.*unique\s*=\s*True") | F.col("rest").rlike(r"unique\s*=\s*True"), True)
+    fields = body.select("variant", "entity", "pos", "field", "type", (F.col("field") == "id").alias("pk"), unique.alias("uniq"), F.when(empty, True).alias("nullable"))
+    target = r"\b(?:Back)?Link\[\s*['\"]?(?:\w+\.)*(\w+)"
+    linked = body.where(F.col("type").rlike(target))
+    many = F.col("type").rlike(r"(?i)\b(?:list|set|sequence)\[")
+    relations = linked.select("variant", "entity", "field", F.regexp_extract("type", target, 1).alias("target"), F.when(many, "many").otherwise("one").alias("kind"))
+    return _tables(entities, fields, relations)
+
+
+def _decorated(files: DataFrame, name: str, extensions: list[str], gate: str, mark: str, class_: str, member: str, link: str, target: str, physical: str, kind: str, of_members: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Classes under an annotation, their members, and relations that annotations above a member tell of."""
     chosen = files.where(paths.extension(F.col("path")).isin(*extensions) & F.col("content").rlike(gate))
     rows = chosen.select("path", text.numbered_lines(F.col("content")))
@@ -173,6 +198,9 @@ def _decorated(files: DataFrame, name: str, extensions: list[str], gate: str, ma
     taken = rows.where("_taker").join(notes, ["path", "_group"], "left").withColumn("notes", F.coalesce("notes", F.lit("")))
     header = F.when(F.col("_class"), F.struct(F.regexp_extract("line", class_, 1).alias("entity"), F.col("notes").rlike(mark).alias("marked"), F.col("notes").alias("class_notes"), F.col("number").alias("class_line")))
     taken = taken.withColumn("_h", F.last(header, ignorenulls=True).over(running.rowsBetween(Window.unboundedPreceding, Window.currentRow))).select("*", "_h.*").where("marked")
+    if of_members:  # a class counts if one of its members is marked
+        own = F.max(F.when(~F.col("_class"), F.col("notes").rlike(of_members))).over(Window.partitionBy("path", "class_line"))
+        taken = taken.withColumn("_own", own).where("_own").drop("_own")
     taken = taken.withColumn("variant", F.lit(name))
     stored = F.regexp_extract("notes", physical, 1)
     entities = taken.where("_class").select("variant", "entity", F.lit(kind).alias("kind"), F.when(stored != "", stored).otherwise(text.snake_case(F.col("entity"))).alias("physical"), F.col("path").alias("file"), F.col("number").alias("line"))
@@ -182,7 +210,7 @@ def _decorated(files: DataFrame, name: str, extensions: list[str], gate: str, ma
     pk = F.col("notes").rlike(r"@(?:Id|EmbeddedId|PrimaryColumn|PrimaryGeneratedColumn|ObjectIdColumn)\b")
     fields = body.select("variant", "entity", "pos", "field", "type", pk.alias("pk"), flag(r"unique\s*[:=]\s*true", r"unique\s*[:=]\s*false").alias("uniq"), flag(r"nullable\s*[:=]\s*true", r"nullable\s*[:=]\s*false").alias("nullable"))
     named = F.regexp_extract("notes", target, 1)
-    plain = F.regexp_extract("type", r"(\w+)(?:>|\[\])?\s*$", 1)
+    plain = F.regexp_extract("type", r"(\w+)\??(?:>|\[\])?\??\s*$", 1)
     many = F.col("notes").rlike("(?:OneToMany|ManyToMany|ElementCollection)") | F.col("type").rlike(r"^(?:List|Set|Collection|Array)<|\[\]$")
     relations = body.where(F.col("notes").rlike(link)).select("variant", "entity", "field", F.when(named != "", named).otherwise(plain).alias("target"), F.when(many, "many").otherwise("one").alias("kind"))
     return _tables(entities, fields, relations)
@@ -192,6 +220,8 @@ _TS_CLASS = r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)"
 _TS_MEMBER = r"^\s*(?:(?:public|private|protected|readonly|declare)\s+)*(\w+)[?!]?\s*:\s*([\w<>\[\]|., ]+?)\s*(?:=[^>].*)?;?\s*$"
 _JAVA_CLASS = r"^\s*(?:(?:public|abstract|final|open|data)\s+)*class\s+(\w+)"
 _JAVA_MEMBER = r"^\s*(?:(?:private|protected|public|final)\s+)+([\w<>\[\]., ?]+?)\s+(\w+)\s*(?:=.*)?;\s*$"
+_KOTLIN_CLASS = r"^\s*(?:(?:public|abstract|final|open|data)\s+)*class\s+(\w+)"
+_KOTLIN_MEMBER = r"^\s*(?:@\S+\s+)*(?:(?:private|protected|public|override|open|lateinit)\s+)*(?:val|var)\s+(\w+)\s*:\s*([\w<>., ?]+?)\s*(?:=.*)?,?\s*\)?\s*\{?$"
 
 
 def typeorm(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -199,15 +229,23 @@ def typeorm(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def typegoose(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return _decorated(files, "typegoose", ["ts", "js"], r"['\"]@typegoose/typegoose['\"]", r".*", _TS_CLASS, _TS_MEMBER, r"@prop\([^)]*(?:ref|type)\s*:\s*\(?\)?\s*(?:=>\s*)?[A-Z]", r"(?:ref|type)\s*:\s*(?:\(\)\s*=>\s*)?\[?(\w+)", r"collection\s*:\s*['\"]([^'\"]+)", "collection")
+    return _decorated(files, "typegoose", ["ts", "js"], r"['\"]@typegoose/typegoose['\"]", r".*", _TS_CLASS, _TS_MEMBER, r"@prop\([^)]*(?:ref|type)\s*:\s*\(?\)?\s*(?:=>\s*)?[A-Z]", r"(?:ref|type)\s*:\s*(?:\(\)\s*=>\s*)?\[?(\w+)", r"collection\s*:\s*['\"]([^'\"]+)", "collection", of_members=r"@prop\(")
+
+
+def _jvm(files: DataFrame, name: str, *rest: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both languages of the platform: members of Java have their type first, properties of Kotlin behind a colon."""
+    gate, mark, *others = rest
+    java = _decorated(files, name, ["java"], gate, mark, _JAVA_CLASS, _JAVA_MEMBER, *others)
+    kotlin = _decorated(files, name, ["kt", "kts"], gate, mark, _KOTLIN_CLASS, _KOTLIN_MEMBER, *others)
+    return tuple(a.unionByName(b) for a, b in zip(java, kotlin))
 
 
 def jpa(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return _decorated(files, "jpa", ["java", "kt", "kts"], r"@Entity\b", r"@(?:Entity|MappedSuperclass)\b", _JAVA_CLASS, _JAVA_MEMBER, r"@(?:OneToOne|OneToMany|ManyToOne|ManyToMany)\b", r"targetEntity\s*=\s*(\w+)", r"@Table\([^)]*name\s*=\s*\"([^\"]+)", "table")
+    return _jvm(files, "jpa", r"@Entity\b", r"@(?:Entity|MappedSuperclass)\b", r"@(?:OneToOne|OneToMany|ManyToOne|ManyToMany)\b", r"targetEntity\s*=\s*(\w+)", r"@Table\([^)]*name\s*=\s*\"([^\"]+)", "table")
 
 
 def spring_data(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return _decorated(files, "spring-data", ["java", "kt", "kts"], r"org\.springframework\.data\.mongodb", r"@Document\b", _JAVA_CLASS, _JAVA_MEMBER, r"@(?:DBRef|DocumentReference)\b", r"^$(.)", r"@Document\(\s*(?:(?:collection|value)\s*=\s*)?\"([^\"]+)", "collection")
+    return _jvm(files, "spring-data", r"org\.springframework\.data\.mongodb", r"@Document\b", r"@(?:DBRef|DocumentReference)\b", r"^$(.)", r"@Document\(\s*(?:(?:collection|value)\s*=\s*)?\"([^\"]+)", "collection")
 
 
 def _braced(files: DataFrame, name: str, extensions: list[str], gate: str, head: str, closing: str, member: str, names: str, kind: str, link: str, target: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -222,14 +260,37 @@ def _braced(files: DataFrame, name: str, extensions: list[str], gate: str, head:
 
 
 def gorm(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Structs of Go files that import GORM; a field of another struct of the workspace is a relation."""
+    """Structs of Go files that import GORM; a field of another struct of the workspace is a relation, an embedded gorm.Model
+    brings its columns, and a TableName method tells where a struct is stored."""
     found = _braced(files, "gorm", ["go"], r"\"gorm\.io/gorm\"|jinzhu/gorm", r"^type\s+(\w+)\s+struct\s*\{", r"^\}", r"^\s+(\w+)\s+([*\[\]\w.]+)\s*(`.*`)?\s*(?://.*)?$", "field type rest", "table", r"^(?:\[\])?\*?[A-Z]\w*$", r"^$(.)")
-    names = found[0].select("variant", F.col("entity").alias("target")).distinct()
-    return found[0], found[1], found[2].join(F.broadcast(names), ["variant", "target"], "left_semi").select(*RELATION)
+    entities, fields, relations = found
+    names = entities.select("variant", F.col("entity").alias("target")).distinct()
+    method = r"func\s+\((?:\w+\s+)?\*?(\w+\)\s*TableName\(\)\s*string\s*\{\s*return\s+\"[^\"]+)"
+    own = files.where((paths.extension(F.col("path")) == "go") & F.col("content").contains("TableName"))
+    told = own.select(F.col("path").alias("file"), F.explode(F.regexp_extract_all("content", F.lit(method), F.lit(1))).alias("m"))
+    told = told.select("file", F.regexp_extract("m", r"^(\w+)", 1).alias("entity"), F.regexp_extract("m", r"\"([^\"]+)$", 1).alias("_stored")).groupBy("file", "entity").agg(F.min("_stored").alias("_stored"))
+    entities = entities.join(told, ["file", "entity"], "left").withColumn("physical", F.coalesce("_stored", "physical")).select(*ENTITY)
+    # What the embedded model declares.
+    columns = [("ID", "uint", True), ("CreatedAt", "time.Time", False), ("UpdatedAt", "time.Time", False), ("DeletedAt", "gorm.DeletedAt", False)]
+    rows = _blocks(files, ["go"], r"\"gorm\.io/gorm\"|jinzhu/gorm", r"^type\s+(\w+)\s+struct\s*\{", r"^\}").where(F.col("line").rlike(r"^\s+gorm\.Model\s*(?:`.*)?$"))
+    embedded = rows.select(F.lit("gorm").alias("variant"), F.regexp_extract("head", r"^type\s+(\w+)", 1).alias("entity"), F.col("number").alias("pos"), F.inline(F.array(*(F.struct(F.lit(n).alias("field"), F.lit(t).alias("type"), F.lit(k).alias("pk")) for n, t, k in columns))))
+    embedded = embedded.withColumn("uniq", F.lit(None).cast("boolean")).withColumn("nullable", F.lit(None).cast("boolean"))
+    many = F.when(F.col("rest_").rlike("many2many"), "many").otherwise(F.col("kind"))
+    linked = relations.join(names, ["variant", "target"], "left_semi").select(*RELATION)
+    marked = _blocks(files, ["go"], r"many2many", r"^type\s+(\w+)\s+struct\s*\{", r"^\}").where(F.col("line").contains("many2many")).select(F.regexp_extract("head", r"^type\s+(\w+)", 1).alias("entity"), F.regexp_extract("line", r"^\s+(\w+)", 1).alias("field"), F.col("line").alias("rest_")).dropDuplicates(["entity", "field"])
+    linked = linked.join(marked, ["entity", "field"], "left").withColumn("kind", many).select(*RELATION)
+    return entities, fields.unionByName(embedded.select(*FIELD)), linked
 
 
 def drift(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return _braced(files, "drift", ["dart"], r"package:drift/", r"^class\s+(\w+)\s+extends\s+Table\b", r"^\}", r"^\s+(\w+Column)\s+get\s+(\w+)\s*=>\s*(.*)$", "type field rest", "table", r"references\(", r"references\(\s*(\w+)")
+    """Drift tables; columns that an override of primaryKey names are keys."""
+    head = r"^class\s+(\w+)\s+extends\s+Table\b"
+    entities, fields, relations = _braced(files, "drift", ["dart"], r"package:drift/", head, r"^\}", r"^\s+(\w+Column)\s+get\s+(\w+)\s*=>\s*(.*)$", "type field rest", "table", r"references\(", r"references\(\s*(\w+)")
+    key = r"\bget\s+primaryKey\s*=>\s*\{([^}]*)\}"
+    own = _blocks(files, ["dart"], r"package:drift/", head, r"^\}").where(F.col("line").rlike(key))
+    keys = own.select(F.lit("drift").alias("variant"), F.regexp_extract("head", head, 1).alias("entity"), F.explode(F.split(F.regexp_extract("line", key, 1), r"\s*,\s*")).alias("field"), F.lit(True).alias("_pk")).distinct()
+    fields = fields.join(keys, ["variant", "entity", "field"], "left").withColumn("pk", F.col("pk") | F.coalesce("_pk", F.lit(False)))
+    return _tables(entities, fields, relations)
 
 
 def mongoose(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -261,7 +322,7 @@ def mongoose(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return _tables(entities, fields, relations)
 
 
-READERS = (prisma, sql_ddl, django, mongoengine, typeorm, typegoose, jpa, spring_data, gorm, drift, mongoose)
+READERS = (prisma, sql_ddl, django, mongoengine, beanie, typeorm, typegoose, jpa, spring_data, gorm, drift, mongoose)
 
 
 def declared(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -301,10 +362,13 @@ def placeholders(relations: DataFrame) -> DataFrame:
 
 
 def without_inverses(relations: DataFrame) -> DataFrame:
-    """Of two entities that name each other, the side that owns: to-many relations go where a to-one leads back."""
-    back = relations.where("kind = 'one' AND target_id IS NOT NULL").select(F.col("source_id").alias("target_id"), F.col("target_id").alias("source_id")).distinct()
-    many = relations.where("kind = 'many'")
-    return relations.where("kind <> 'many'").unionByName(many.join(back, ["source_id", "target_id"], "left_anti").select(*relations.columns))
+    """Of two entities that name each other, the side that owns: to-many relations go where a to-one leads back; of two to-one
+    relations that annotations tie to each other one stays: that of the entity first by name."""
+    back = relations.where("kind = 'one' AND target_id IS NOT NULL").select(F.col("source_id").alias("target_id"), F.col("target_id").alias("source_id"), F.lit(True).alias("_back")).distinct()
+    both = relations.join(back, ["source_id", "target_id"], "left")
+    mutual = F.coalesce("_back", F.lit(False)) & (F.col("source_id") != F.col("target_id"))
+    double = (F.col("kind") == "one") & F.col("variant").rlike("^(?:typeorm|jpa)") & (F.lower("entity") > F.lower("target"))
+    return both.where(~(mutual & ((F.col("kind") == "many") | double))).select(*relations.columns)
 
 
 def diagnostics(relations: DataFrame) -> DataFrame:

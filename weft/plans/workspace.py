@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import ids
 from weft.operators import areas, flow, graph, imports, interfaces, modules, reports, schema
+from weft.plans.schema_document import whole_document
 from weft.sources.files import manifests, scan
 
 
@@ -137,6 +138,10 @@ class Workspace:
     def schema_area(self, name: str) -> DataFrame:
         return areas.area_boundary(self.subjects, self.relations, name)
 
+    def document(self, title: str = "Data model") -> DataFrame:
+        """The data model as Markdown, part by part."""
+        return whole_document(self.subjects, self.fields, self.relations, schema.diagnostics(self.relations), title)
+
     def shown_by_areas(self) -> DataFrame:
         """view, uses_areas: whether modules (over 24) and entities (over 30) are shown by areas."""
         one = lambda name, frame, n: reports.uses_areas(frame, n).select(F.lit(name).alias("view"), "uses_areas")

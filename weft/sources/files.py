@@ -54,7 +54,15 @@ def scan(spark: SparkSession, roots: dict[str, str], exclude: list[str] = (), ma
     ranked = chosen.withColumn("_nth", F.row_number().over(Window.orderBy("path")))  # at most 20001 rows
     text = F.when(F.col("size") > most, F.lit("")).otherwise(F.decode("content", "UTF-8"))
     files = kept.join(F.broadcast(ranked.where(F.col("_nth") <= limit).select("path")), "path").select("path", text.alias("content"), "size")
-    return files, _diagnostics(ranked.where(F.col("_nth") > limit), files.where(F.col("size") > most), limit, most)
+    # Listed without opening, read with what can't be read left out: the difference is told.
+    told = _diagnostics(ranked.where(F.col("_nth") > limit), files.where(F.col("size") > most), limit, most)
+    return files, told.unionByName(unreadable(ranked.where(F.col("_nth") <= limit).select("path"), files.where(F.col("content").isNotNull()).select("path")))
+
+
+def unreadable(listed: DataFrame, read: DataFrame) -> DataFrame:
+    """code, severity, message: how many of the listed paths were not read."""
+    missing = listed.join(read, "path", "left_anti").agg(F.count("*").alias("n")).where("n > 0")
+    return missing.select(F.lit("UNREADABLE_FILE").alias("code"), F.lit("warning").alias("severity"), F.concat(F.col("n").cast("string"), F.lit(" files could not be read.")).alias("message"))
 
 
 def _quoted(text: str) -> str:
