@@ -50,7 +50,7 @@ def test_file_table_and_reports(workspace):
     assert rows["app/test_views.py"].role == "test" and rows["package.json"].role == "config"
     assert rows["go/cmd/api/main.go"].role == "source"  # three folders below its project
     assert rows["src/api/ships.ts"].imported_by == 1 and rows["package.json"].imports is None
-    assert rows["src/domain/user.ts"].lines == 1
+    assert rows["src/domain/ship.ts"].lines == 1
     lists = modules.reports(workspace.file_table)
     assert [r.path for r in lists["load_bearing"].collect()][0] == "app/models.py"
     assert "app/views.py" not in {r.path for r in lists["untested"].collect()}
