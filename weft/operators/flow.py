@@ -61,10 +61,11 @@ def flow_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """nodes (unit, id, kind, label, line) and edges (unit, src, dst, kind, label) of each file's flow.
 
     A decision is a node only if a call on its branch is drawn; the branch is No behind an else, otherwise Yes. Names
-    defined twice mean their last definition. External input and output is drawn as actions.
+    defined twice mean their last definition. External input and output is drawn as actions. Callables, steps and
+    dispatched routes are each used several times and kept for it.
     """
     rows = lines(files)
-    named = extents_of(rows)
+    named = extents_of(rows).persist()
     last = ranking.prefer(named, ["path", "name"], F.desc("start")).select("path", F.col("name").alias("callee_name"), F.col("start").alias("callee_start"))
     made = calls(rows).withColumn("callee_name", F.element_at(F.split("callee", "\\."), -1)).join(last, ["path", "callee_name"], "left")
     chosen = decisions(rows).select("path", "number", F.col("label").alias("decision"), F.col("start").alias("decision_start"))
@@ -77,7 +78,7 @@ def flow_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     local = placed.where("callee_start IS NOT NULL AND callee_start <> start").withColumn("kind", F.lit("call"))
     outside = placed.where(F.col("callee_start").isNull() & F.col("callee").rlike(EXTERNAL)).withColumn("kind", F.lit("io"))
     steps = ranking.top(local, ["path", "start"], [F.col("number"), F.col("callee")], STEPS).unionByName(ranking.top(outside, ["path"], [F.col("number"), F.col("callee")], EXTERNALS)).drop("rank")
-    steps = steps.withColumn("branch", branch).withColumn("unit", F.col("path"))
+    steps = steps.withColumn("branch", branch).withColumn("unit", F.col("path")).persist()
     target = F.when(F.col("kind") == "call", _node("callable", "path", "callee_start")).otherwise(_node("io", "path", "callee"))
     caller = _node("callable", "path", "start")
     fork = F.when(F.col("decision_line").isNotNull(), _node("decision", "path", "decision_line"))
@@ -85,7 +86,7 @@ def flow_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     forks = steps.where("decision_line IS NOT NULL").select("unit", caller.alias("src"), fork.alias("dst"), F.lit("fork").alias("kind"), F.lit("").alias("label"))
     # A route goes to the next callable below, however far; one that nothing follows goes nowhere.
     routes = declared(files).where("handler IS NOT NULL AND protocol = 'http'").select("path", F.element_at(F.split("handler", "\\."), -1).alias("callee_name"), F.concat_ws(" ", "operation", "address").alias("route"), F.col("number").alias("line"))
-    dispatched = routes.join(last, ["path", "callee_name"])
+    dispatched = routes.join(last, ["path", "callee_name"]).persist()
     starts = dispatched.select(F.col("path").alias("unit"), _node("route", "path", "route").alias("src"), _node("callable", "path", "callee_start").alias("dst"), F.lit("dispatch").alias("kind"), F.lit("").alias("label"))
     edges = drawn.unionByName(forks).unionByName(starts).distinct()
     kind = F.when(F.col("name").rlike(ENTRY), "entry").otherwise("step")
