@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from itertools import permutations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -58,9 +58,10 @@ def other_flags(docs: DataFrame, labels: DataFrame) -> DataFrame:
     groups = told.groupBy(*KEY, "part", "c", "d", F.coalesce("good", no).alias("good"), F.coalesce("toxic", no).alias("toxic")).agg(
         F.sum("n").alias("n"), F.min("doc_id").alias("first"), F.min_by("n", "doc_id").alias("n_first")
     )
-    earliest = groups.groupBy(*KEY).agg(F.min("first").alias("earliest"))
+    # A text has a row for each part and labels at most, so its window is small.
+    earliest = F.min("first").over(Window.partitionBy(*KEY))
     early = F.when(F.col("earliest").isNull(), F.col("n")).when(F.col("first") == F.col("earliest"), F.col("n_first")).otherwise(0)
-    return groups.join(earliest, KEY).select(*KEY, "part", "c", "d", "good", "toxic", "n", (F.col("n") - early).alias("n_late"))
+    return groups.withColumn("earliest", earliest).select(*KEY, "part", "c", "d", "good", "toxic", "n", (F.col("n") - early).alias("n_late"))
 
 
 def failures(docs: DataFrame, labels: DataFrame) -> DataFrame:
