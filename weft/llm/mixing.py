@@ -25,6 +25,8 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS, SHARE, PASSES = (5, 2, 1), 1.5, 2
 #: Blocks have so many words and rows, or as many as make 2^20 blocks of all; a shard has about so many draws.
 BLOCK_WORDS, BLOCK_ROWS, BLOCKS, DRAWS = 4096, 64, 1 << 20, 64
+#: Running sums go over stretches of 2^6 blocks, and over the stretches.
+STRETCH = 6
 #: Sources up to this number are broadcast; more are joined by shuffle, with each source's documents dealt over so many keys.
 BROADCAST, SALTS = 100_000, 64
 
@@ -104,19 +106,22 @@ def _with_source(light: DataFrame, found: DataFrame, n_sources: int) -> DataFram
 
 
 def drawn_blocks(placed: DataFrame, found: DataFrame, seed: int = 0) -> DataFrame:
-    """sid, pass, nth, block, block_words, words: the blocks that each source gives, in order. `words` is less than the block has for
-    the last one of a pass. Windows go over one source's blocks, of which there are at most about 2^21."""
+    """sid, pass, nth, block, block_words, words: the blocks that each source gives in each pass, in order. `words` is less than the block
+    has for the last one of a pass. Words before a block are summed in stretches of blocks first, and then over the stretches."""
     sums = placed.groupBy("sid", "block").agg(F.sum("size").alias("block_words"))
     goal = F.round("target").cast("long")
     passes = F.array(F.struct(F.lit(1).alias("pass"), F.least(goal, "source_size").alias("quota")), F.struct(F.lit(2).alias("pass"), F.greatest(goal - F.col("source_size"), F.lit(0).cast("long")).alias("quota")))
     each = found.select("sid", "bits", F.inline(passes)).where("quota > 0")
     salt = _hash(F.md5(F.concat(F.lit(f"{seed}:"), F.col("sid").cast("string"), F.lit(":"), F.col("pass").cast("string"))))
-    numbers = each.withColumn("_salt", F.pmod(salt, F.lit(1 << 48))).withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, bits)") - 1)))
-    ordered = numbers.select("sid", "pass", "quota", "d", _permuted(F.col("d"), F.col("bits"), F.col("_salt")).alias("block")).join(sums, ["sid", "block"], "left").withColumn("block_words", F.coalesce("block_words", F.lit(0)))
-    before = F.coalesce(F.sum("block_words").over(Window.partitionBy("sid", "pass").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    taken = ordered.withColumn("_before", before).where("_before < quota")
-    nth = F.row_number().over(Window.partitionBy("sid").orderBy("pass", "d")) - 1
-    return saved(taken.select("sid", "pass", nth.cast("long").alias("nth"), "block", "block_words", F.least(F.col("block_words"), F.col("quota") - F.col("_before")).alias("words")))
+    numbers = each.withColumn("_salt", F.pmod(salt, F.lit(1 << 48))).withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, bits)") - 1)))
+    ordered = numbers.select("sid", "pass", "quota", "nth", F.shiftright("nth", STRETCH).alias("_s"), _permuted(F.col("nth"), F.col("bits"), F.col("_salt")).alias("block"))
+    ordered = ordered.join(sums, ["sid", "block"], "left").withColumn("block_words", F.coalesce("block_words", F.lit(0)))
+    ahead = lambda c, by, order: F.coalesce(F.sum(c).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    stretches = ordered.groupBy("sid", "pass", "_s").agg(F.sum("block_words").alias("_sum"))
+    stretches = stretches.select("sid", "pass", "_s", ahead("_sum", ["sid", "pass"], "_s").alias("_base"))
+    inside = ordered.withColumn("_inner", ahead("block_words", ["sid", "pass", "_s"], "nth")).join(stretches, ["sid", "pass", "_s"])
+    before = F.col("_base") + F.col("_inner")
+    return saved(inside.where(before < F.col("quota")).select("sid", "pass", "nth", "block", "block_words", F.least(F.col("block_words"), F.col("quota") - before).alias("words")))
 
 
 def _log_factorial(x: Column) -> Column:
@@ -175,12 +180,13 @@ def _halved(seed: int) -> Column:
 
 
 def shards(draws: DataFrame, found: DataFrame, seed: int = 0, draws_per_shard: int = DRAWS) -> DataFrame:
-    """draws with `shard` and `place`, their order in it. A node of the tree is a row with the quotas of all sources; the number of
-    leaves is a power of two, and they differ by one draw at most."""
-    counts = draws.groupBy("sid").agg(F.count("*").alias("quota"))
+    """draws with `shard` and `place`, their order in it. A node of the tree is a row with the quotas of all sources, each pass by itself;
+    the number of leaves is a power of two, and they differ by one draw at most."""
+    counts = draws.groupBy("sid", "pass").agg(F.count("*").alias("quota"))
     every = counts.agg(F.sum("quota")).first()[0] or 0
     levels = max(0, (max(1, every // draws_per_shard)).bit_length() - 1)
-    quotas = found.select("sid").join(counts, "sid", "left").select(F.struct("sid", F.coalesce("quota", F.lit(0)).alias("quota")).alias("q"))
+    of_source = found.select("sid", F.explode(F.array(*map(F.lit, range(1, PASSES + 1)))).alias("pass")).join(counts, ["sid", "pass"], "left")
+    quotas = of_source.select(F.struct("sid", "pass", F.coalesce("quota", F.lit(0)).alias("quota")).alias("q"))
     tree = quotas.agg(F.transform(F.array_sort(F.collect_list("q")), lambda x: x["quota"]).alias("quotas")).where("size(quotas) > 0").select(F.lit(1).cast("long").alias("node"), "quotas")
     for level in range(levels):
         split = tree.withColumn("left", _halved(seed))
@@ -188,12 +194,13 @@ def shards(draws: DataFrame, found: DataFrame, seed: int = 0, draws_per_shard: i
         tree = split.select(F.inline(F.array(F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("quotas")), F.struct((F.col("node") * 2 + 1).alias("node"), right.alias("quotas")))))
         if level % 4 == 3:  # nodes grow in number: they are dealt out, and lineage is cut
             tree = saved(tree.repartition("node"))
-    leaves = tree.select((F.col("node") - (1 << levels)).alias("shard"), F.posexplode("quotas").alias("sid", "quota")).where("quota > 0")
-    since = F.coalesce(F.sum("quota").over(Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    dealt = leaves.withColumn("_since", since).select(F.col("sid").cast("long").alias("sid"), "shard", F.explode(F.expr("sequence(_since, _since + quota - 1)")).alias("nth"))
-    order = F.xxhash64(F.lit(seed + 1), "sid", "nth")
-    place = F.row_number().over(Window.partitionBy("shard").orderBy(order, "sid", "nth")) - 1
-    return draws.join(dealt, ["sid", "nth"]).withColumn("place", place.cast("long"))
+    leaves = tree.select((F.col("node") - (1 << levels)).alias("shard"), F.posexplode("quotas").alias("_i", "quota")).where("quota > 0")
+    leaves = leaves.select(F.expr(f"_i div {PASSES}").alias("sid"), (F.col("_i") % PASSES + 1).alias("pass"), "shard", "quota")
+    since = F.coalesce(F.sum("quota").over(Window.partitionBy("sid", "pass").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    dealt = leaves.withColumn("_since", since).select("sid", "pass", "shard", F.explode(F.expr("sequence(_since, _since + quota - 1)")).alias("nth"))
+    order = F.xxhash64(F.lit(seed + 1), "sid", "pass", "nth")
+    place = F.row_number().over(Window.partitionBy("shard").orderBy(order, "sid", "pass", "nth")) - 1
+    return draws.join(dealt, ["sid", "pass", "nth"]).withColumn("place", place.cast("long"))
 
 
 class Mix:
