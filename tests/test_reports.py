@@ -82,7 +82,10 @@ def test_fields_as_text_and_back(spark):
     got = rows(frame.select(text.alias("t")))
     assert [t for t, in got] == ["id: int [PK, NOT NULL]", "name -> full_name: varchar(9) [UNIQUE]", "x [NULL]", "y: a: b"]
     back = rows(frame.select(fields.parsed_field(text).alias("f")).select("f.*"))
-    assert back == [(n, s or n, k, p, u, m) for n, s, k, p, u, m in given]
+    assert back == [(n, s or n, k, p, u, m, False, False, False) for n, s, k, p, u, m in given]
+    told = {"a: int [PK, GENERATED, RELATION, INFERRED]": ("a", "a", "int", True, False, None, True, True, True), "b: char [10]": ("b", "b", "char [10]", False, False, None, False, False, False), "": ("", "", None, False, False, None, False, False, False)}
+    texts = spark.createDataFrame([(t,) for t in told], "t string")
+    assert {r.t: tuple(r.f) for r in texts.select("t", fields.parsed_field(F.col("t")).alias("f")).collect()} == told
     one = spark.range(1)
     assert one.select(fields.file_name(F.lit("My Schema (v2)"))).first()[0] == "my-schema-v2.md" and one.select(fields.file_name(F.lit("--"))).first()[0] == "schema.md"
     assert one.select(fields.anchor(F.lit("Orders & Items (2)"))).first()[0] == "orders--items-2" and one.select(fields.mermaid(F.lit("a.b c"))).first()[0] == "a_b_c"

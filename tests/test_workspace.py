@@ -134,8 +134,8 @@ def test_extents_and_decisions(spark):
 
 def test_data_model_of_the_fixture(workspace):
     entities = {r.entity: r for r in workspace.entities.collect()}
-    assert set(entities) == {"Ship", "Cargo", "orders", "customers", "Crew", "Sailor", "Voyage", "berth"}
-    assert entities["Ship"].physical == "ships" and entities["Voyage"].physical == "voyage_book" and entities["berth"].kind == "embedded"
+    assert set(entities) == {"Ship", "Cargo", "orders", "customers", "Crew", "Sailor", "Voyage", "Berth"}
+    assert entities["Ship"].physical == "ships" and entities["Voyage"].physical == "voyage_book" and entities["Berth"].kind == "embedded"
     fields = {(r.entity, r.field): r for r in workspace.fields.collect()}
     assert fields["Ship", "email"].nullable and fields["Ship", "email"].uniq and fields["orders", "price"].nullable is False
     assert fields["customers", "id"].pk and fields["customers", "name"].nullable is None and fields["Crew", "id"].pk

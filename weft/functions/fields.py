@@ -7,30 +7,43 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A field as text: name, stored name, type, flags.
-SHAPE = r"\A(.*?)(?: -> (.*?))?(?:: (.*?))?(?: \[(.*)\])?\z"
+# Signs between a field's parts, and its flags in order.
+STORED, TYPED, FLAGGED = " -> ", ": ", " ["
+FLAGS = ("PK", "UNIQUE", "GENERATED", "NOT NULL", "NULL", "RELATION", "INFERRED")
 
 
-def flags(pk: Column, uniq: Column, nullable: Column) -> Column:
-    marks = F.array(F.when(pk, "PK"), F.when(uniq, "UNIQUE"), F.when(nullable, "NULL").when(~nullable, "NOT NULL"))
-    return F.array_join(F.filter(marks, lambda x: x.isNotNull()), ", ")
+def flags(pk: Column, uniq: Column, nullable: Column, generated: Column | None = None, related: Column | None = None, inferred: Column | None = None) -> Column:
+    """The flags that hold, joined by commas."""
+    holds = dict(zip(FLAGS, (pk, uniq, generated, ~nullable, nullable, related, inferred)))
+    marks = F.array(*(F.when(c, name) for name, c in holds.items() if c is not None))
+    return F.array_join(F.array_compact(marks), ", ")
 
 
-def field_text(name: Column, stored: Column, kind: Column, pk: Column, uniq: Column, nullable: Column) -> Column:
-    """`name -> stored: type [flags]`, without the parts that are missing; a stored name like the name itself is left out."""
-    marks = flags(pk, uniq, nullable)
-    told = F.when((stored != "") & (stored != name), F.concat(F.lit(" -> "), stored))
-    return F.concat(name, F.coalesce(told, F.lit("")), F.when(kind != "", F.concat(F.lit(": "), kind)).otherwise(""), F.when(marks != "", F.concat(F.lit(" ["), marks, F.lit("]"))).otherwise(""))
+def field_text(name: Column, stored: Column, kind: Column, *marks: Column) -> Column:
+    """`name -> stored: type [flags]`, without the parts that are missing; a stored name like the name itself is left out. marks: see flags()."""
+    told = flags(*marks)
+    own = F.when((stored != "") & (stored != name), F.concat(F.lit(STORED), stored))
+    return F.concat(name, F.coalesce(own, F.lit("")), F.when(kind != "", F.concat(F.lit(TYPED), kind)).otherwise(""), F.when(told != "", F.concat(F.lit(FLAGGED), told, F.lit("]"))).otherwise(""))
 
 
 def parsed_field(value: Column) -> Column:
-    """name, stored, type, pk, uniq, nullable of a field's text; nullable is null where it says nothing."""
-    part = lambda i: F.nullif(F.regexp_extract(value, SHAPE, i), F.lit(""))
-    marks = F.split(F.regexp_extract(value, SHAPE, 4), ", ")
+    """name, stored, type, pk, uniq, nullable, generated, related, inferred of a field's text; nullable is null where it says nothing. Any
+    text gives a name at least.
+
+    What stands in brackets at the end are flags if all of it are known ones; the first sign of a type ends the names.
+    """
+    pieces = F.split(value, "\\Q" + FLAGGED + "\\E", -1)
+    tail = F.element_at(pieces, -1)
+    listed = F.split(F.rtrim(tail, F.lit("]")), ", ")
+    flagged = (F.size(pieces) > 1) & tail.endswith("]") & (F.size(F.array_except(listed, F.array(*map(F.lit, FLAGS)))) == 0)
+    marks = F.when(flagged, listed).otherwise(F.array().cast("array<string>"))
+    plain = F.when(flagged, F.array_join(F.slice(pieces, F.lit(1), F.size(pieces) - 1), FLAGGED)).otherwise(value)
+    sides = F.split(plain, TYPED, 2)
+    names = F.split(sides[0], STORED, 2)
     has = lambda mark: F.array_contains(marks, mark)
     return F.struct(
-        F.regexp_extract(value, SHAPE, 1).alias("name"), F.coalesce(part(2), F.regexp_extract(value, SHAPE, 1)).alias("stored"), part(3).alias("type"),
-        has("PK").alias("pk"), has("UNIQUE").alias("uniq"), F.when(has("NOT NULL"), False).when(has("NULL"), True).alias("nullable"),
+        names[0].alias("name"), F.coalesce(F.get(names, F.lit(1)), names[0]).alias("stored"), F.nullif(F.get(sides, F.lit(1)), F.lit("")).alias("type"), has("PK").alias("pk"), has("UNIQUE").alias("uniq"),
+        F.when(has("NOT NULL"), False).when(has("NULL"), True).alias("nullable"), has("GENERATED").alias("generated"), has("RELATION").alias("related"), has("INFERRED").alias("inferred"),
     )
 
 

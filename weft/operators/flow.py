@@ -6,18 +6,19 @@ belongs to the callable around it and to the last decision a few lines above it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions import ids, text
 from weft.operators import graph, ranking
 from weft.operators.asof import asof, extents
-from weft.operators.interfaces import callables, declared, lines
+from weft.operators.interfaces import ARGUMENTS, CODE, callables, declared, lines
+from weft.session import saved
 
 #: A call depends on a decision at most so many lines above it; of each callable so many decisions and steps are drawn.
 DECISION_WITHIN, DECISIONS, STEPS, EXTERNALS = 8, 4, 6, 8
-#: A condition in brackets anywhere on a line, or after an if that begins it.
-DECISIONS_OF = (r"\bif\s*\(([^)]+)\)", r"^\s*(?:else\s+)?if\s+(.+?)\s*(?::|\{)?\s*$", r"\b(?:switch|when)\s*\(([^)]+)\)")
+#: Words that decide by what stands in brackets behind them; one of them also without brackets, at the start of a line.
+DECIDING, BARE = ("if", "switch", "when"), "if"
 CALL = r"(?<![\w$.])([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*\("
 # What looks like a call and is none; verbs at the end of a call and receivers that mean input or output;
 # names by which a program or a listener conventionally begins.
@@ -36,9 +37,18 @@ def extents_of(rows: DataFrame) -> DataFrame:
     return extents(starts, ["path"], "start", F.col("_end")).select("path", "name", "start", "until")
 
 
+def _condition(line: Column) -> Column:
+    """What a line decides by, or null: the arguments of a word that decides, else what follows one that begins the line."""
+    called = F.coalesce(*(F.nullif(F.trim(F.regexp_extract(line, rf"\b{word}\s*{ARGUMENTS}", 1)), F.lit("")) for word in DECIDING))
+    words = F.split(F.trim(line), r"\s+")
+    rest = F.when(words[0] == "else", F.slice(words, F.lit(2), F.size(words))).otherwise(words)
+    bare = F.when(F.get(rest, F.lit(0)) == BARE, F.array_join(F.slice(rest, F.lit(2), F.size(rest)), " "))
+    return F.coalesce(called, F.nullif(F.rtrim(F.regexp_replace(bare, r"[:{]$", "")), F.lit("")))
+
+
 def decisions(rows: DataFrame) -> DataFrame:
     """path, number, label, nth of the first decisions of each callable."""
-    label = F.coalesce(*(F.nullif(F.regexp_extract("line", p, 1), F.lit("")) for p in DECISIONS_OF))
+    label = F.when(F.col("line").rlike(r"\b(?:" + "|".join(DECIDING) + r")\b"), _condition(F.col("line")))
     found = rows.select("path", "number", text.truncated(F.trim(label), 44).alias("label")).where("label IS NOT NULL")
     inside = asof(found, extents_of(rows).select("path", F.col("start").alias("number"), "name", F.col("start")), ["path"], "number", ["name", "start"]).where("name IS NOT NULL")
     return ranking.top(inside, ["path", "start"], [F.col("number")], DECISIONS).select("path", "number", "label", "name", "start")
@@ -61,11 +71,11 @@ def flow_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """nodes (unit, id, kind, label, line) and edges (unit, src, dst, kind, label) of each file's flow.
 
     A decision is a node only if a call on its branch is drawn; the branch is No behind an else, otherwise Yes. Names
-    defined twice mean their last definition. External input and output is drawn as actions. Callables, steps and
-    dispatched routes are each used several times and kept for it.
+    defined twice mean their last definition. External input and output is drawn as actions. Files are read whole, whatever their lines'
+    length. Callables, steps and dispatched routes are each used several times and kept for it.
     """
-    rows = lines(files)
-    named = extents_of(rows).persist()
+    rows = lines(files, whole=True).where(F.col("extension").isin(*CODE))
+    named = saved(extents_of(rows))
     last = ranking.prefer(named, ["path", "name"], F.desc("start")).select("path", F.col("name").alias("callee_name"), F.col("start").alias("callee_start"))
     made = calls(rows).withColumn("callee_name", F.element_at(F.split("callee", "\\."), -1)).join(last, ["path", "callee_name"], "left")
     chosen = decisions(rows).select("path", "number", F.col("label").alias("decision"), F.col("start").alias("decision_start"))
@@ -78,15 +88,15 @@ def flow_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     local = placed.where("callee_start IS NOT NULL AND callee_start <> start").withColumn("kind", F.lit("call"))
     outside = placed.where(F.col("callee_start").isNull() & F.col("callee").rlike(EXTERNAL)).withColumn("kind", F.lit("io"))
     steps = ranking.top(local, ["path", "start"], [F.col("number"), F.col("callee")], STEPS).unionByName(ranking.top(outside, ["path"], [F.col("number"), F.col("callee")], EXTERNALS)).drop("rank")
-    steps = steps.withColumn("branch", branch).withColumn("unit", F.col("path")).persist()
+    steps = saved(steps.withColumn("branch", branch).withColumn("unit", F.col("path")))
     target = F.when(F.col("kind") == "call", _node("callable", "path", "callee_start")).otherwise(_node("io", "path", "callee"))
     caller = _node("callable", "path", "start")
     fork = F.when(F.col("decision_line").isNotNull(), _node("decision", "path", "decision_line"))
     drawn = steps.select("unit", F.coalesce(fork, caller).alias("src"), target.alias("dst"), F.col("kind"), F.coalesce("branch", F.lit("")).alias("label"))
     forks = steps.where("decision_line IS NOT NULL").select("unit", caller.alias("src"), fork.alias("dst"), F.lit("fork").alias("kind"), F.lit("").alias("label"))
     # A route goes to the next callable below, however far; one that nothing follows goes nowhere.
-    routes = declared(files).where("handler IS NOT NULL AND protocol = 'http'").select("path", F.element_at(F.split("handler", "\\."), -1).alias("callee_name"), F.concat_ws(" ", "operation", "address").alias("route"), F.col("number").alias("line"))
-    dispatched = routes.join(last, ["path", "callee_name"]).persist()
+    routes = declared(files, whole=True).where("handler IS NOT NULL AND protocol = 'http'").select("path", F.element_at(F.split("handler", "\\."), -1).alias("callee_name"), F.concat_ws(" ", "operation", "address").alias("route"), F.col("number").alias("line"))
+    dispatched = saved(routes.join(last, ["path", "callee_name"]))
     starts = dispatched.select(F.col("path").alias("unit"), _node("route", "path", "route").alias("src"), _node("callable", "path", "callee_start").alias("dst"), F.lit("dispatch").alias("kind"), F.lit("").alias("label"))
     edges = drawn.unionByName(forks).unionByName(starts).distinct()
     kind = F.when(F.col("name").rlike(ENTRY), "entry").otherwise("step")
@@ -155,16 +165,45 @@ def project_flow(modules: DataFrame, edges: DataFrame, most: int = MODULES) -> t
     return nodes.select(ids.node_id("flow-area", F.col("label")).alias("id"), "label", "modules", "files", "examples"), drawn.groupBy("src", "dst").agg(weight.alias("n"))
 
 
-def all_units(nodes: DataFrame, edges: DataFrame, modules: DataFrame, project: str, limit: int = 180) -> DataFrame:
-    """kind, unit, files, nodes, edges of the project, of each module with a flow (modules: path, module), and of the files that say most."""
+#: A service's flow draws whole files, by score, as long as they have no more nodes than this together.
+PACKED = 64
+
+
+def packed(per_file: DataFrame, most: int = PACKED) -> DataFrame:
+    """module, unit of the files (module, unit, score, nodes) that a service's flow draws: by falling score, each that still fits; the first
+    in any case.
+
+    Once a file doesn't fit, no later one of its size does, so of a size k only the first most / k can be drawn. That leaves at most
+    about most * ln(most) files of a module, whatever it holds, and the order-dependent choice is a fold over these.
+    """
+    order = [F.desc("score"), F.col("unit")]
+    ranked = per_file.withColumn("_nth", F.row_number().over(Window.partitionBy("module").orderBy(*order))).withColumn("_same", F.row_number().over(Window.partitionBy("module", "nodes").orderBy(*order)))
+    likely = ranked.where((F.col("_nth") == 1) | (F.col("_same") * F.col("nodes") <= most))
+    rows = likely.groupBy("module").agg(F.array_sort(F.collect_list(F.struct("_nth", "unit", "nodes"))).alias("files"))
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<string>").alias("kept"))
+
+    def step(a: Column, x: Column) -> Column:
+        fits = (F.size(a["kept"]) == 0) | (a["n"] + x["nodes"] <= most)
+        return F.when(fits, F.struct((a["n"] + x["nodes"]).alias("n"), F.array_append(a["kept"], x["unit"]).alias("kept"))).otherwise(a)
+
+    return rows.select("module", F.explode(F.aggregate("files", zero, step)["kept"]).alias("unit"))
+
+
+def all_units(nodes: DataFrame, edges: DataFrame, modules: DataFrame, project: str, whole: tuple[DataFrame, DataFrame], limit: int = 180) -> DataFrame:
+    """kind, unit, files, nodes, edges of the project (whole: see project_flow()), of each module with a flow (modules: path, module), and of the files that say most.
+    A module's files are all that have a flow; its nodes and edges are of those that its own flow draws (see packed())."""
     own = nodes.join(modules.select(F.col("path").alias("unit"), "module"), "unit", "left").withColumn("module", F.coalesce("module", F.lit("(root)")))
     drawn = edges.groupBy("unit").agg(F.count("*").alias("edges"))
-    per_file = own.groupBy("module", "unit").agg(F.count("*").alias("nodes")).join(drawn, "unit", "left").withColumn("edges", F.coalesce("edges", F.lit(0)))
-    services = per_file.groupBy("module").agg(F.count("*").alias("files"), F.sum("nodes").alias("nodes"), F.sum("edges").alias("edges"))
-    whole = services.agg(F.sum("files").alias("files"), F.count("*").alias("nodes"), F.sum("edges").alias("edges")).where("files > 0")
+    kinds = [F.count_if(F.col("kind") == "start").alias("_routes"), F.count_if(F.col("kind").isin("step", "entry")).alias("_steps")]
+    per_file = saved(own.groupBy("module", "unit").agg(F.count("*").alias("nodes"), *kinds).join(drawn, "unit", "left").withColumn("edges", F.coalesce("edges", F.lit(0))))
+    scored = per_file.withColumn("score", 12 * F.col("_routes") + 3 * F.col("edges") + F.col("_steps"))
+    shown = per_file.join(packed(scored), ["module", "unit"]).groupBy("module").agg(F.sum("nodes").alias("nodes"), F.sum("edges").alias("edges"))
+    services = per_file.groupBy("module").agg(F.count("*").alias("files")).join(shown, "module")
+    counts = whole[0].agg(F.sum("files").alias("files"), F.count("*").alias("nodes")).where("nodes > 0")
+    project_row = counts.crossJoin(whole[1].agg(F.count("*").alias("edges")))  # one row each
     chosen = per_file.join(units(nodes, edges, limit).select("unit"), "unit")
     parts = [
-        whole.select(F.lit("project").alias("kind"), F.lit(project).alias("unit"), "files", "nodes", "edges"),
+        project_row.select(F.lit("project").alias("kind"), F.lit(project).alias("unit"), "files", "nodes", "edges"),
         services.select(F.lit("service").alias("kind"), F.col("module").alias("unit"), "files", "nodes", "edges"),
         chosen.select(F.lit("file").alias("kind"), "unit", F.lit(1).cast("long").alias("files"), "nodes", "edges"),
     ]

@@ -17,7 +17,7 @@ def cell(value: Column) -> Column:
 
 
 def _flags() -> Column:
-    return F.replace(flags(F.col("pk"), F.col("uniq"), F.col("nullable")), F.lit(","), F.lit(""))
+    return F.replace(flags(*map(F.col, ("pk", "uniq", "nullable", "generated", "related", "inferred"))), F.lit(","), F.lit(""))
 
 
 def schema_document(entities: DataFrame, fields: DataFrame, relations: DataFrame) -> DataFrame:

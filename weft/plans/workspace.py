@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from weft.functions import ids
 from weft.operators import areas, flow, graph, imports, interfaces, modules, reports, schema
 from weft.plans.schema_document import whole_document
+from weft.session import saved
 from weft.sources.files import manifests, scan
 
 
 class Workspace:
-    """Tables of one state of a workspace. Facts that several tables share are kept for reuse; all else is computed when asked for."""
+    """Tables of one state of a workspace. Facts that several tables share are checkpointed when first
+    asked for, so that what is derived from them has a plan of its own; all else is lazy."""
 
     VIEWS = "files imports modules module_edges externals file_table endpoints ports flow_nodes flow_edges flow_units entities fields relations tree technologies diagnostics".split()
 
@@ -30,7 +32,7 @@ class Workspace:
 
     @cached_property
     def imports(self) -> DataFrame:
-        return imports.resolved(imports.imports(self.files).persist(), self.files).persist()
+        return saved(imports.resolved(saved(imports.imports(self.files)), self.files))
 
     @cached_property
     def modules(self) -> DataFrame:
@@ -46,16 +48,16 @@ class Workspace:
 
     @cached_property
     def file_table(self) -> DataFrame:
-        return modules.file_table(self.imports, self.files).persist()
+        return saved(modules.file_table(self.imports, self.files))
 
     @cached_property
     def endpoints(self) -> DataFrame:
-        return interfaces.with_module(interfaces.endpoints(self.files), self.placed).persist()
+        return saved(interfaces.with_module(interfaces.endpoints(self.files), self.placed))
 
     @cached_property
     def placed(self) -> DataFrame:
         """path, module of every file."""
-        return modules.with_modules(self.files).select("path", "module").persist()
+        return saved(modules.with_modules(self.files).select("path", "module"))
 
     @cached_property
     def ports(self) -> DataFrame:
@@ -64,7 +66,7 @@ class Workspace:
     @cached_property
     def _flow(self) -> tuple[DataFrame, DataFrame]:
         nodes, edges = flow.flow_graph(self.files)
-        return nodes.persist(), edges.persist()
+        return saved(nodes), saved(edges)
 
     @property
     def flow_nodes(self) -> DataFrame:
@@ -81,8 +83,7 @@ class Workspace:
     @cached_property
     def _model(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         entities, fields, relations = schema.declared(self.files)
-        entities = entities.persist()
-        return entities, fields.persist(), schema.without_inverses(schema.resolve(entities, relations)).persist()
+        return entities, fields, saved(schema.without_inverses(schema.resolve(entities, relations)))
 
     @property
     def entities(self) -> DataFrame:
@@ -106,11 +107,13 @@ class Workspace:
 
     @cached_property
     def diagnostics(self) -> DataFrame:
-        """code, severity, message of scan and resolution, each once."""
+        """code, severity, message, file, line of scan, readers and resolution: one for each code, message and place."""
         missing = self.imports.agg(F.count_if("unresolved_local").alias("n")).where("n > 0")
         missing = missing.select(F.lit("LOCAL_IMPORTS_UNRESOLVED").alias("code"), F.lit("info").alias("severity"), F.concat(F.col("n").cast("string"), F.lit(" imports name files that are not there.")).alias("message"))
-        every = missing.unionByName(schema.diagnostics(self.relations)).unionByName(flow.diagnostics(self.flow_nodes)).unionByName(modules.diagnostics(self.imports))
-        return (every if self.scanned is None else every.unionByName(self.scanned)).distinct()
+        placed = schema.diagnostics(self.relations).unionByName(schema.unclosed(self.files))
+        others = [missing, flow.diagnostics(self.flow_nodes), modules.diagnostics(self.imports), *([] if self.scanned is None else [self.scanned])]
+        every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), others, placed)
+        return every.dropDuplicates(["code", "message", "file", "line"])
 
     @cached_property
     def architecture(self) -> tuple[DataFrame, DataFrame]:
@@ -124,12 +127,12 @@ class Workspace:
 
     def flow_list(self, project: str = "project") -> DataFrame:
         """The units of flow: the project, its modules, and the files that say most."""
-        return flow.all_units(self.flow_nodes, self.flow_edges, self.placed, project)
+        return flow.all_units(self.flow_nodes, self.flow_edges, self.placed, project, self.project_flow())
 
     @cached_property
     def subjects(self) -> DataFrame:
         """entities with their area."""
-        return areas.subject_areas(self.entities).persist()
+        return saved(areas.subject_areas(self.entities))
 
     def schema_map(self) -> tuple[DataFrame, DataFrame]:
         """Areas of the data model and the relations between them."""
@@ -161,7 +164,7 @@ class Workspace:
             self.modules.agg(F.count("*").alias("modules"), F.sum("files").alias("code_files")),
             self.module_edges.agg(F.count("*").alias("module_edges")),
             self.module_edges.select("src").unionAll(self.externals.select("module")).agg(F.count("*").alias("dependencies")),
-            flow.all_units(self.flow_nodes, self.flow_edges, self.placed, "project").agg(F.count("*").alias("flow_units")),
+            self.flow_list().agg(F.count("*").alias("flow_units")),
             self.entities.agg(F.count("*").alias("_declared")).crossJoin(schema.placeholders(self.relations).agg(F.count("*").alias("_missing"))).select((F.col("_declared") + F.col("_missing")).alias("entities")),
             interfaces.summary(self.endpoints, self.ports),
         ]

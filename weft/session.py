@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 def session(name: str = "weft", **settings: str) -> SparkSession:
     """A session in UTC with adaptive execution; settings are given with underscores for dots."""
     builder = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    # Checkpoints go when nothing refers to them any more.
+    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     for key, value in settings.items():
         builder = builder.config(key.replace("_", "."), value)
     return builder.getOrCreate()

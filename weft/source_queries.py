@@ -55,7 +55,7 @@ def source_flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_flow_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _own(spark, sf_dir).flow_list().where("kind <> 'file'")
+    return _own(spark, sf_dir).flow_list()
 
 
 def source_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,11 +63,11 @@ def source_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _long(_own(spark, sf_dir).fields, "pos")
+    return _long(_own(spark, sf_dir).fields.drop("stored"), "pos")
 
 
 def source_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _own(spark, sf_dir).relations.select("variant", "entity", "field", "target", "kind", "confidence", "state")
+    return _own(spark, sf_dir).relations.select("variant", "entity", "field", "target", "kind", "confidence", "state", "file", F.col("line").cast("long").alias("line"))
 
 
 def source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,9 @@ def source_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _own(spark, sf_dir).diagnostics.groupBy("code", "severity").agg(F.count("*").alias("n"))
+    """Diagnostics with their places and what they say of unresolved relations."""
+    found = _own(spark, sf_dir).diagnostics
+    return _long(found.select("code", "severity", F.when(F.col("code").startswith("DB_"), F.col("message")).alias("message"), "file", "line"), "line")
 
 
 QUERIES = {
@@ -144,26 +146,28 @@ ORACLES = {
         UNION ALL SELECT path, 'decision:' || q || ':' || (n + 4), 'io:' || q || ':db.query', 'io', 'Yes' FROM d
         UNION ALL SELECT path, 'route:' || q || ':GET%20%2Fparts%2F' || p, {_SHOW}, 'dispatch', '' FROM d""",
     "source_flow_units": f"""
-        WITH {_CODE} SELECT 'project' AS kind, 'project' AS unit, CAST(count(*) AS BIGINT) AS files, count(DISTINCT b) AS nodes, CAST(3 * count(*) AS BIGINT) AS edges FROM f
-        UNION ALL SELECT 'service', 'packages/' || b, count(*), 4 * count(*), 3 * count(*) FROM f GROUP BY b""",
+        WITH {_CODE}, {_MODULES}, {_EDGES} SELECT 'project' AS kind, 'project' AS unit, (SELECT count(*) FROM m) AS files, (SELECT count(DISTINCT module) FROM m) AS nodes, (SELECT count(*) FROM g) AS edges
+        UNION ALL SELECT 'service', 'packages/' || b, count(*), 4 * least(count(*), 16), 3 * least(count(*), 16) FROM f GROUP BY b
+        UNION ALL SELECT * FROM (SELECT 'file', path, 1, 4, 3 FROM f ORDER BY path LIMIT 180)""",
     "source_entities": """
         SELECT 'sql:db/s' || s_suppkey || '.sql' AS variant, 't' || s_suppkey AS entity, 'table' AS kind, 't' || s_suppkey AS physical, 'db/s' || s_suppkey || '.sql' AS file, CAST(1 AS BIGINT) AS line FROM supplier
         UNION ALL SELECT 'sql:db/s' || s_suppkey || '.sql', 'n' || s_nationkey, 'table', 'n' || s_nationkey, 'db/s' || s_suppkey || '.sql', 6 FROM supplier WHERE s_suppkey % 2 = 0
-        UNION ALL SELECT 'django:app/models/c' || c_custkey || '.py', 'C' || c_custkey, 'table', 'c' || c_custkey, 'app/models/c' || c_custkey || '.py', 3 FROM customer
-        UNION ALL SELECT 'django:app/models/c' || c_custkey || '.py', 'N' || c_nationkey, 'table', 'n' || c_nationkey, 'app/models/c' || c_custkey || '.py', 7 FROM customer WHERE c_custkey % 3 = 0""",
+        UNION ALL SELECT 'django:.', 'C' || c_custkey, 'table', 'c' || c_custkey, 'app/models/c' || c_custkey || '.py', 3 FROM customer
+        UNION ALL SELECT 'django:.', 'N' || c_nationkey, 'table', 'n' || c_nationkey, 'app/models/c' || c_custkey || '.py', 7 FROM customer WHERE c_custkey % 3 = 0""",
     "source_fields": """
-        WITH s AS (SELECT 'sql:db/s' || s_suppkey || '.sql' AS v, 't' || s_suppkey AS t, 'n' || s_nationkey AS n, s_suppkey % 2 = 0 AS pair FROM supplier),
-        c AS (SELECT 'django:app/models/c' || c_custkey || '.py' AS v, 'C' || c_custkey AS c, 'N' || c_nationkey AS n, c_custkey % 3 = 0 AS pair FROM customer)
-        SELECT v AS variant, t AS entity, CAST(0 AS BIGINT) AS pos, 'id' AS field, 'bigint' AS type, true AS pk, false AS uniq, false AS nullable FROM s
-        UNION ALL SELECT v, t, 1, 'nation', 'int', false, false, false FROM s UNION ALL SELECT v, t, 2, 'name', 'varchar(25)', false, true, NULL FROM s
-        UNION ALL SELECT v, n, 0, 'id', 'int', false, false, NULL FROM s WHERE pair
-        UNION ALL SELECT v, c, 0, 'id', 'AutoField', true, true, false FROM c UNION ALL SELECT v, c, 4, 'name', 'CharField', false, true, NULL FROM c
-        UNION ALL SELECT v, c, 5, 'nation', 'ForeignKey', false, NULL, NULL FROM c UNION ALL SELECT v, n, 8, 'code', 'IntegerField', true, NULL, NULL FROM c WHERE pair""",
+        WITH s AS (SELECT 'sql:db/s' || s_suppkey || '.sql' AS v, 'db/s' || s_suppkey || '.sql' AS f, 't' || s_suppkey AS t, 'n' || s_nationkey AS n, s_suppkey % 2 = 0 AS pair FROM supplier),
+        c AS (SELECT 'django:.' AS v, 'app/models/c' || c_custkey || '.py' AS f, 'C' || c_custkey AS c, 'N' || c_nationkey AS n, c_custkey % 3 = 0 AS pair FROM customer)
+        SELECT v AS variant, f AS file, t AS entity, CAST(0 AS BIGINT) AS pos, 'id' AS field, 'bigint' AS type, true AS pk, false AS uniq, false AS nullable, false AS generated, false AS related, CAST(NULL AS BOOLEAN) AS inferred FROM s
+        UNION ALL SELECT v, f, t, 1, 'nation', 'int', false, false, false, false, true, NULL FROM s UNION ALL SELECT v, f, t, 2, 'name', 'varchar(25)', false, true, NULL, false, false, NULL FROM s
+        UNION ALL SELECT v, f, n, 0, 'id', 'int', false, false, NULL, false, false, NULL FROM s WHERE pair
+        UNION ALL SELECT v, f, c, 0, 'id', 'AutoField', true, true, false, true, NULL, true FROM c UNION ALL SELECT v, f, c, 4, 'name', 'CharField', false, true, NULL, NULL, false, NULL FROM c
+        UNION ALL SELECT v, f, c, 5, 'nation', 'ForeignKey', false, NULL, NULL, NULL, true, NULL FROM c UNION ALL SELECT v, f, n, 8, 'code', 'IntegerField', true, NULL, NULL, NULL, false, NULL FROM c WHERE pair""",
     "source_relations": """
+        WITH n AS (SELECT c_nationkey AS k, count(*) FILTER (c_custkey % 3 = 0) AS n FROM customer GROUP BY 1)
         SELECT 'sql:db/s' || s_suppkey || '.sql' AS variant, 't' || s_suppkey AS entity, 'nation' AS field, 'n' || s_nationkey AS target, 'one' AS kind,
-               CASE WHEN s_suppkey % 2 = 0 THEN 'exact' ELSE 'unresolved' END AS confidence, CASE WHEN s_suppkey % 2 = 0 THEN 'resolved' ELSE 'missing' END AS state FROM supplier
-        UNION ALL SELECT 'django:app/models/c' || c_custkey || '.py', 'C' || c_custkey, 'nation', 'N' || c_nationkey, 'one',
-               CASE WHEN c_custkey % 3 = 0 THEN 'exact' ELSE 'unresolved' END, CASE WHEN c_custkey % 3 = 0 THEN 'resolved' ELSE 'missing' END FROM customer""",
+               CASE WHEN s_suppkey % 2 = 0 THEN 'exact' ELSE 'unresolved' END AS confidence, CASE WHEN s_suppkey % 2 = 0 THEN 'resolved' ELSE 'missing' END AS state, 'db/s' || s_suppkey || '.sql' AS file, CAST(3 AS BIGINT) AS line FROM supplier
+        UNION ALL SELECT 'django:.', 'C' || c_custkey, 'nation', 'N' || c_nationkey, 'one', CASE n WHEN 1 THEN 'exact' ELSE 'unresolved' END, CASE n WHEN 1 THEN 'resolved' WHEN 0 THEN 'missing' ELSE 'ambiguous' END,
+               'app/models/c' || c_custkey || '.py', 5 FROM customer JOIN n ON k = c_nationkey""",
     "source_tree": f"""
         WITH {_CODE}, {_PATHS}, w AS (SELECT path, string_split(path, '/') AS s FROM a), l AS (SELECT array_to_string(list_slice(s, 1, d), '/') AS path, d, count(*) AS n FROM (SELECT s, unnest(range(1, len(s))) AS d FROM w) GROUP BY 1, 2)
         SELECT path, CASE WHEN d = 1 THEN '' ELSE regexp_replace(path, '/[^/]*$', '') END AS parent, CAST(d AS BIGINT) AS depth, 'folder' AS kind, n AS files FROM l
@@ -174,8 +178,11 @@ ORACLES = {
         SELECT area, CAST(1 AS BIGINT) AS members, CAST(0 AS BIGINT) AS internal, count(*) AS crossing, string_agg(DISTINCT far, ',' ORDER BY far) AS neighbours FROM s GROUP BY 1
         UNION ALL SELECT 'packages/' || b, 1, 0, 0, '' FROM b WHERE 'packages/' || b NOT IN (SELECT area FROM s) GROUP BY b UNION ALL SELECT 'app', 1, 0, 0, ''""",
     "source_diagnostics": f"""
-        WITH {_CODE} SELECT 'LOCAL_IMPORTS_UNRESOLVED' AS code, 'info' AS severity, CAST(1 AS BIGINT) AS n FROM i WHERE target IS NULL HAVING count(*) > 0
-        UNION ALL SELECT 'DB_RELATION_UNRESOLVED', 'info', (SELECT count(*) FROM (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 1)) + (SELECT count(*) FROM customer WHERE c_custkey % 3 <> 0)
-        UNION ALL SELECT 'FLOW_STATIC_HEURISTIC', 'info', 1 UNION ALL SELECT 'FLOW_FILE_LIMIT', 'info', 1 FROM f HAVING count(*) > 180
-        UNION ALL SELECT 'EXTERNAL_DEPENDENCY_LIMIT', 'info', 1 FROM f HAVING count(DISTINCT z) + 1 > 18""",
+        WITH {_CODE}, n AS (SELECT c_nationkey AS k, count(*) FILTER (c_custkey % 3 = 0) AS n FROM customer GROUP BY 1), none AS (SELECT CAST(NULL AS VARCHAR) AS message, CAST(NULL AS VARCHAR) AS file, CAST(NULL AS BIGINT) AS line)
+        SELECT 'LOCAL_IMPORTS_UNRESOLVED' AS code, 'info' AS severity, message, file, line FROM none WHERE EXISTS (SELECT * FROM i WHERE target IS NULL)
+        UNION ALL SELECT 'DB_RELATION_UNRESOLVED', 'info', 't' || s_suppkey || '.nation names n' || s_nationkey || ' which is missing', 'db/s' || s_suppkey || '.sql', 3 FROM supplier WHERE s_suppkey % 2 = 1
+        UNION ALL SELECT 'DB_RELATION_UNRESOLVED', 'info', 'C' || c_custkey || '.nation names N' || c_nationkey || ' which is ' || CASE n WHEN 0 THEN 'missing' ELSE 'ambiguous' END, 'app/models/c' || c_custkey || '.py', 5
+        FROM customer JOIN n ON k = c_nationkey WHERE n <> 1
+        UNION ALL SELECT 'FLOW_STATIC_HEURISTIC', 'info', * FROM none UNION ALL SELECT 'FLOW_FILE_LIMIT', 'info', * FROM none WHERE (SELECT count(*) FROM f) > 180
+        UNION ALL SELECT 'EXTERNAL_DEPENDENCY_LIMIT', 'info', * FROM none WHERE (SELECT count(DISTINCT z) + 1 FROM f) > 18""",
 }
