@@ -107,8 +107,8 @@ def test_flow_of_a_project_and_its_ends(spark):
     assert places == {("1", "start"), ("5", "start"), ("3", "end")}
     more_nodes, more_edges = flow.with_boundaries(own, drawn)
     assert {r.kind for r in more_nodes.collect()} >= {"flow-start", "flow-end"} and more_edges.count() == 5
-    units = {(r.kind, r.unit): r.files for r in flow.all_units(own, drawn, spark.createDataFrame([("u", "m")], "path string, module string"), "p").collect()}
-    assert units == {("project", "p"): 1, ("service", "m"): 1, ("file", "u"): 1}
+    units = {(r.kind, r.unit): r.files for r in flow.all_units(own, drawn, spark.createDataFrame([("u", "m")], "path string, module string"), "p", (sizes.limit(1), links.select("src", "dst"))).collect()}
+    assert units == {("project", "p"): 2, ("service", "m"): 1, ("file", "u"): 1}
     assert [r.code for r in flow.diagnostics(own, limit=0).collect()] == ["FLOW_STATIC_HEURISTIC", "FLOW_FILE_LIMIT"]
 
 
