@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import time
 import re
 
 import numpy as np
@@ -149,3 +150,16 @@ def test_very_long_blank_and_solid_texts(spark):
     texts = [" " * 5_000_000, "word" + "\n" * 2_000_000 + "x", "plain text", "a" * 1_000_000]
     got = {r.doc_id: r.n_tokens for r in document_token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == {0: 5_000_000, 1: 1 + len(table._encode_single_piece("\n" * 1_999_999)) + 2, 2: 2, 3: len(table.encode_ordinary(texts[3]))}
+
+
+def test_many_long_runs_of_blanks_take_linear_time():
+    with open(token_counts.RANKS, "rb") as f:
+        table = token_counts.encoding(f.read())
+    text = ("x" + " " * (token_counts.RUN - 1)) * 10 + "y"
+    start = time.perf_counter()
+    ids = token_counts.encoded(table, text)
+    assert time.perf_counter() - start < 20
+    assert table.decode(ids) == text
+    # The merges of a piece by itself, which the library offers under a private name, are those of the whole text.
+    for piece in (" " * 70, "\n" * 33, "\t \t" * 9):
+        assert table._encode_single_piece(piece) == table.encode_ordinary(piece)

@@ -35,7 +35,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 #: Runs of white space (as the pattern has it) that are too long for the pattern's search, which recurses on them.
 RUN = 100_000
-_BLANKS = re.compile(f"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{RUN},}}")
+_BLANK = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Looked for at the first character of a run only, so that runs a little shorter cost no second look.
+_BLANKS = re.compile(f"(?<!{_BLANK}){_BLANK}{{{RUN},}}")
 
 
 @functools.lru_cache(maxsize=2)
