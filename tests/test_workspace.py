@@ -21,11 +21,12 @@ def table(spark, sources: dict[str, str]):
 
 def resolved(spark, sources):
     frame = table(spark, sources)
-    return {(r.path, r.specifier): r for r in imports.resolved(imports.imports(frame), frame).collect()}
+    found = imports.resolved(imports.imports(frame), frame)
+    return {(r.path, r.specifier): r for r in imports.expanded(found, imports.symbol_files(frame)).collect()}
 
 
 def test_imports_of_the_fixture(workspace):
-    found = {(r.path, r.specifier): r for r in workspace.imports.collect()}
+    found = {(r.path, r.specifier): r for r in workspace.import_targets().collect()}
     assert found["src/ui/Deck.tsx", "../api/ships"].targets == ["src/api/ships.ts"]
     assert found["src/ui/Deck.tsx", "../api/ships"].line == 4  # the specifier's own line
     assert found["src/api/ships.ts", "./gone"].unresolved_local

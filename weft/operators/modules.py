@@ -71,13 +71,18 @@ def inventory(files: DataFrame) -> DataFrame:
     return found.select(ids.node_id("module", F.col("module")).alias("id"), "module", "files", "languages", "examples")
 
 
-def module_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
+def module_edges(imports: DataFrame, files: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """src, dst, n, sources, line: imports between modules. A statement counts once for each module that it reaches; sources are its
-    first five files."""
+    first five files. links (symbol, target) lists the files of the symbols that imports name: of these only the modules meet imports."""
     of = with_modules(files).select("path", "module")
-    reached = imports.select("path", "specifier", "line", F.explode("targets").alias("target"))
-    placed = reached.join(of.withColumnRenamed("module", "src"), "path").join(of.select(F.col("path").alias("target"), F.col("module").alias("dst")), "target")
-    statements = placed.where("src <> dst").select("src", "dst", "path", "specifier", "line").distinct()
+    target_of = of.select(F.col("path").alias("target"), F.col("module").alias("dst"))
+    place = ["path", "specifier", "line"]
+    reached = imports.select(*place, F.explode("targets").alias("target")).join(target_of, "target").select(*place, "dst")
+    if links is not None:
+        modules = links.join(target_of, "target").select("symbol", "dst").distinct()
+        reached = reached.unionByName(imports.where("symbol IS NOT NULL").select(*place, "symbol").join(modules, "symbol").select(*place, "dst"))
+    placed = reached.join(of.withColumnRenamed("module", "src"), "path")
+    statements = placed.where("src <> dst").select("src", "dst", *place).distinct()
     by_file = statements.groupBy("src", "dst", "path").agg(F.count("*").alias("n"), F.min("line").alias("line"))
     by_file = by_file.withColumn("_nth", F.row_number().over(Window.partitionBy("src", "dst").orderBy("path")))
     return by_file.groupBy("src", "dst").agg(
@@ -85,6 +90,25 @@ def module_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
+def fan(imports: DataFrame, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(path, n_out) and (path, n_in): how many other files each file imports, and is imported by.
+
+    Files that import the same symbols reach the same files through them, so what a set of symbols reaches is worked out once for the
+    set, and counts for each of its files; a file named by itself as well counts once.
+    """
+    single = imports.select("path", F.explode("targets").alias("target")).where("path <> target").distinct()
+    if links is None:
+        return single.groupBy("path").agg(F.count("*").alias("n_out")), single.groupBy(F.col("target").alias("path")).agg(F.count("*").alias("n_in"))
+    sets = imports.where("symbol IS NOT NULL").groupBy("path").agg(F.array_sort(F.collect_set("symbol")).alias("_set"))
+    reach = sets.groupBy("_set").agg(F.count("*").alias("_files")).withColumn("symbol", F.explode("_set")).join(links, "symbol").select("_set", "target", "_files").distinct()
+    own = sets.join(reach.select("_set", F.col("target").alias("path"), F.lit(1).alias("_own")), ["_set", "path"], "left").select("path", "_set", F.coalesce("_own", F.lit(0)).alias("_own"))
+    more = single.join(sets, "path", "left").join(reach.select("_set", "target", F.lit(True).alias("_known")), ["_set", "target"], "left").where("_known IS NULL")
+    sizes = own.join(reach.groupBy("_set").agg(F.count("*").alias("_n")), "_set").select("path", (F.col("_n") - F.col("_own")).alias("n"))
+    into = reach.groupBy(F.col("target").alias("path")).agg(F.sum("_files").alias("n")).unionByName(own.where("_own = 1").select("path", F.lit(-1).cast("long").alias("n")))
+    added = lambda many, key: many.unionByName(more.groupBy(F.col(key).alias("path")).agg(F.count("*").alias("n"))).groupBy("path").agg(F.sum("n").alias("n"))
+    return added(sizes, "path").withColumnRenamed("n", "n_out"), added(into, "target").withColumnRenamed("n", "n_in")
+
+
 def external_uses(imports: DataFrame, files: DataFrame, limit: int = 18) -> DataFrame:
     """package, n, module, module_n, file, line: the packages used most, with each module's own first use."""
     of = with_modules(files).select("path", "module")
@@ -101,12 +125,10 @@ def diagnostics(imports: DataFrame, limit: int = 18) -> DataFrame:
     return n.select(F.lit("EXTERNAL_DEPENDENCY_LIMIT").alias("code"), F.lit("info").alias("severity"), F.concat((F.col("n") - limit).cast("string"), F.lit(" external packages that are used less are not shown.")).alias("message"))
 
 
-def file_table(imports: DataFrame, files: DataFrame) -> DataFrame:
+def file_table(imports: DataFrame, files: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """path, module, role, language, bytes, lines, imports, imported_by. What was not measured is null, not 0: lines of
     files without content, imports of files that are no code."""
-    pairs = imports.select("path", F.explode("targets").alias("target")).where("path <> target").distinct()
-    out = pairs.groupBy("path").agg(F.count("*").alias("n_out"))
-    into = pairs.groupBy(F.col("target").alias("path")).agg(F.count("*").alias("n_in"))
+    out, into = fan(imports, links)
     placed = with_modules(files).join(out, "path", "left").join(into, "path", "left")
     code = paths.extension(F.col("path")).isin(*CODE)
     zero = F.lit(0).cast("long")

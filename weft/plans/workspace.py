@@ -18,7 +18,7 @@ class Workspace:
     """Tables of one state of a workspace. Facts that several tables share are checkpointed when first
     asked for, so that what is derived from them has a plan of its own; all else is lazy."""
 
-    VIEWS = "files imports modules module_edges externals file_table endpoints ports flow_nodes flow_edges flow_units entities fields relations tree technologies diagnostics".split()
+    VIEWS = "files imports symbol_files modules module_edges externals file_table endpoints ports flow_nodes flow_edges flow_units entities fields relations tree technologies diagnostics".split()
 
     def __init__(self, spark: SparkSession, files: DataFrame, diagnostics: DataFrame | None = None, revision: int = 0):
         self.spark, self.files, self.revision = spark, files.persist(), revision
@@ -34,13 +34,22 @@ class Workspace:
     def imports(self) -> DataFrame:
         return saved(imports.resolved(saved(imports.imports(self.files)), self.files))
 
+    @cached_property
+    def symbol_files(self) -> DataFrame:
+        """symbol, target: the files of the packages and namespaces that imports name."""
+        return saved(imports.symbol_files(self.files))
+
+    def import_targets(self) -> DataFrame:
+        """imports with all files that each means in `targets`."""
+        return imports.expanded(self.imports, self.symbol_files)
+
     @cached_property
     def modules(self) -> DataFrame:
         return modules.inventory(self.files)
 
     @cached_property
     def module_edges(self) -> DataFrame:
-        return modules.module_edges(self.imports, self.files)
+        return modules.module_edges(self.imports, self.files, self.symbol_files)
 
     @cached_property
     def externals(self) -> DataFrame:
@@ -48,7 +57,7 @@ class Workspace:
 
     @cached_property
     def file_table(self) -> DataFrame:
-        return saved(modules.file_table(self.imports, self.files))
+        return saved(modules.file_table(self.imports, self.files, self.symbol_files))
 
     @cached_property
     def endpoints(self) -> DataFrame:

@@ -249,7 +249,7 @@ def _own(spark: SparkSession) -> Workspace:
 
 def workspace_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imports of the small workspace that comes with the library; its sources are not in sf_dir."""
-    return _own(spark).imports.withColumn("targets", F.concat_ws(",", "targets"))
+    return _own(spark).import_targets().withColumn("targets", F.concat_ws(",", "targets"))
 
 
 def workspace_module_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

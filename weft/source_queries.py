@@ -18,7 +18,7 @@ def _long(frame: DataFrame, *names: str) -> DataFrame:
 
 
 def source_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _own(spark, sf_dir).imports
+    found = _own(spark, sf_dir).import_targets()
     return _long(found.select("path", "specifier", "line", F.concat_ws(",", "targets").alias("targets"), "package", "unresolved_local"), "line")
 
 
