@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weft.operators import ranking
 from weft.session import saved
 
 
@@ -48,9 +49,7 @@ def neighbours(edges: DataFrame, focus: Column | str, limit: int = 4) -> DataFra
     out = edges.where((F.col("src") == focus) & (F.col("dst") != focus)).select(F.lit("out").alias("side"), F.col("dst").alias("id"), "confidence")
     into = edges.where((F.col("dst") == focus) & (F.col("src") != focus)).select(F.lit("in").alias("side"), F.col("src").alias("id"), "confidence")
     best = out.unionByName(into).groupBy("side", "id").agg(F.max_by("confidence", rank(F.col("confidence"))).alias("confidence"))
-    window = Window.partitionBy("side")
-    ranked = best.withColumn("_nth", F.row_number().over(window.orderBy(F.desc(rank(F.col("confidence"))), "id"))).withColumn("_all", F.count("*").over(window))
-    return ranked.where(F.col("_nth") <= limit).select("side", "id", "confidence", F.greatest(F.col("_all") - limit, F.lit(0)).alias("hidden"))
+    return ranking.top_with_hidden(best, ["side"], [F.desc(rank(F.col("confidence"))), F.col("id")], limit).select("side", "id", "confidence", "hidden")
 
 
 def weakest(edges: DataFrame, by: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions import ids
-from weft.operators import areas, flow, graph, imports, interfaces, modules, reports, schema
+from weft.operators import areas, communities, cycles, flow, graph, imports, interfaces, modules, reports, schema
 from weft.plans.schema_document import whole_document
 from weft.session import saved
 from weft.sources.files import manifests, scan
@@ -134,6 +134,23 @@ class Workspace:
     def project_flow(self) -> tuple[DataFrame, DataFrame]:
         return flow.project_flow(self.modules, self.module_edges)
 
+    def module_ranks(self) -> DataFrame:
+        """node, root, rank of the modules that import one another: how long a way leads to each, with modules on a cycle as one."""
+        return cycles.condensed_ranks(self.module_edges)
+
+    def module_cycles(self) -> DataFrame:
+        """src, dst, turned of the edges between modules: which to turn so that no cycle is left."""
+        return cycles.without_cycles(self.module_edges)
+
+    def module_communities(self) -> DataFrame:
+        """root, id, community of the modules, by their edges."""
+        nodes = self.modules.select(F.col("module").alias("id"))
+        return communities.merged(communities.communities(nodes, self.module_edges), self.module_edges)
+
+    def flow_with_boundaries(self) -> tuple[DataFrame, DataFrame]:
+        """Nodes and edges of the files' flows, with marks where they begin and end."""
+        return flow.with_boundaries(self.flow_nodes, self.flow_edges)
+
     def flow_list(self, project: str = "project") -> DataFrame:
         """The units of flow: the project, its modules, and the files that say most."""
         return flow.all_units(self.flow_nodes, self.flow_edges, self.placed, project, self.project_flow())

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weft.fixture import workspace_files
 from weft.functions import ids, paths, text
 from weft import source_queries
-from weft.operators import asof, components, graph, modules, ranking, reports, rollup
+from weft.operators import asof, communities, components, cycles, graph, modules, ranking, reports, rollup
 from weft.operators.areas import tree_rows
 from weft.plans.schema_document import schema_document
 from weft.plans.workspace import Workspace
@@ -183,6 +183,44 @@ def component_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.components(_graph(spark, sf_dir)[1].select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
+def _linked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The graph of parts alone: parts with their brands as areas, and links of which both ends are parts."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("area"))
+    edges = _graph(spark, sf_dir)[1].select("src", "dst")
+    return parts, edges.join(parts.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+
+
+def mutual_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that lead to one another along links, by the least of them."""
+    return cycles.mutual(_linked(spark, sf_dir)[1])
+
+
+def condensed_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cycles.condensed_ranks(_linked(spark, sf_dir)[1]).withColumn("rank", F.col("rank").cast("long"))
+
+
+def turned_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The different links, and which of them to turn so that no cycle is left."""
+    return cycles.without_cycles(_linked(spark, sf_dir)[1])
+
+
+def part_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communities of parts by labels passed along links, small ones merged."""
+    parts, edges = _linked(spark, sf_dir)
+    return communities.merged(communities.communities(parts, edges), edges)
+
+
+def area_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts that tie most brands together, hubs aside."""
+    parts, edges = _linked(spark, sf_dir)
+    return communities.core(parts, edges, graph.hubs(parts, edges, least=600, share=0.001))
+
+
+def breadth_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = communities.breadth_first(*_linked(spark, sf_dir))
+    return found.select("root", "id", F.col("level").cast("long").alias("level"), F.col("nth").cast("long").alias("nth"))
+
+
 def crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     return graph.crossings(lines.select(F.col("l_linenumber").alias("column"), (F.col("l_partkey") % 40).alias("top"), (F.col("l_suppkey") % 40).alias("bottom")))
@@ -298,7 +336,7 @@ QUERIES = source_queries.QUERIES | {
     for f in (
         module_edges, external_topk, fan_in_out, path_parts, normal_paths, longest_prefix, subtree_counts, first_candidate, left_anti, asof_backward,
         asof_forward_limit, lead_extent, carry_state, dedupe_prefer, top_with_hidden, composition, min_confidence, undirected_pairs, neighbour_limit,
-        degree, isolated, graph_health, hubs, component_roots, crossings, area_rollup, boundary_folding, session_debounce, regex_extract, line_explode,
+        degree, isolated, graph_health, hubs, component_roots, mutual_groups, condensed_ranks, turned_edges, part_communities, area_core, breadth_first, crossings, area_rollup, boundary_folding, session_debounce, regex_extract, line_explode,
         identifiers, stats, carried_ranks, workspace_imports, workspace_module_edges, workspace_externals, workspace_file_table, workspace_endpoints,
         workspace_ports, workspace_flow_edges, workspace_fields, workspace_relations, workspace_document, workspace_tree,
     )
@@ -313,6 +351,10 @@ _PARTS = "(SELECT p_partkey AS id, CASE WHEN p_partkey % 10 = 0 THEN 'external'
 _LINKS = """(SELECT l_partkey AS src, l_suppkey * 7 AS dst,
     CASE l_suppkey % 3 WHEN 0 THEN 'exact' WHEN 1 THEN 'inferred' ELSE 'unresolved' END AS confidence
     FROM lineitem WHERE l_partkey <> l_suppkey * 7)"""
+_OWN = f"(SELECT src, dst FROM {_LINKS} WHERE dst IN (SELECT p_partkey FROM part))"
+_REACH = f"""l AS (SELECT DISTINCT src, dst FROM {_OWN}), r(a, b) AS (SELECT src, dst FROM l UNION SELECT r.a, l.dst FROM r JOIN l ON r.b = l.src),
+    g AS (SELECT node, least(node, coalesce(min(x.b) FILTER (y.a IS NOT NULL), node)) AS root FROM (SELECT src AS node FROM l UNION SELECT dst FROM l) n
+          LEFT JOIN r x ON x.a = node LEFT JOIN r y ON y.a = x.b AND y.b = node GROUP BY node)"""
 _RANK = "CASE confidence WHEN 'exact' THEN 2 WHEN 'inferred' THEN 1 ELSE 0 END"
 _ABOVE = f"""(SELECT page_id, path, unnest(list_transform(range(1, len(string_split(path, '/'))),
     lambda n: array_to_string(list_slice(string_split(path, '/'), 1, n), '/'))) AS root FROM {_PAGES})"""
@@ -399,6 +441,27 @@ ORACLES = source_queries.ORACLES | {
         c(node, root) USING KEY (node) AS (SELECT DISTINCT a, a FROM n
             UNION (SELECT n.a, min(r.root) FROM c r JOIN n ON n.b = r.node JOIN recurring.c s ON s.node = n.a WHERE r.root < s.root GROUP BY 1))
         SELECT node, root FROM c""",
+    "mutual_groups": f"WITH RECURSIVE {_REACH} SELECT node, root FROM g",
+    "condensed_ranks": f"""
+        WITH RECURSIVE {_REACH}, d AS (SELECT DISTINCT x.root AS a, y.root AS b FROM l JOIN g x ON x.node = src JOIN g y ON y.node = dst WHERE x.root <> y.root),
+        p(n, k) AS (SELECT DISTINCT root, 0::BIGINT FROM g UNION SELECT b, k + 1 FROM p JOIN d ON a = n)
+        SELECT node, root, max(k) AS rank FROM g JOIN p ON n = root GROUP BY 1, 2""",
+    "area_core": f"""
+        WITH l AS (SELECT src, dst FROM {_OWN}), e AS (SELECT src AS id, dst AS far FROM l UNION ALL SELECT dst, src FROM l),
+        h AS (SELECT id FROM e GROUP BY 1 HAVING count(*) >= greatest(600, 0.001 * (SELECT count(*) FROM part))),
+        t AS (SELECT e.id, count(DISTINCT y.p_brand) AS reach FROM e JOIN part x ON x.p_partkey = e.id JOIN part y ON y.p_partkey = far WHERE x.p_brand <> y.p_brand AND e.id NOT IN (SELECT id FROM h) GROUP BY 1),
+        c AS (SELECT id, reach FROM t WHERE reach >= 2 ORDER BY reach DESC, id LIMIT 10)
+        SELECT id, reach FROM c WHERE (SELECT count(*) FROM part) >= 16 AND (SELECT count(DISTINCT p_brand) FROM part WHERE p_partkey NOT IN (SELECT id FROM c)) >= 3 AND (SELECT count(*) FROM c) >= 2""",
+    "breadth_first": f"""
+        WITH RECURSIVE l AS (SELECT src AS a, dst AS b FROM {_OWN} UNION ALL SELECT dst, src FROM {_OWN}), e AS (SELECT DISTINCT a, b FROM l),
+        d AS (SELECT p_partkey AS id, count(a) AS n FROM part LEFT JOIN l ON a = p_partkey GROUP BY 1),
+        c(node, root) USING KEY (node) AS (SELECT id, id FROM d UNION (SELECT e.a, min(r.root) FROM c r JOIN e ON e.b = r.node JOIN recurring.c s ON s.node = e.a WHERE r.root < s.root GROUP BY 1)),
+        o AS (SELECT arg_min(id, [-n, id]) AS root FROM d JOIN c ON node = id GROUP BY c.root),
+        v(id, root, level) USING KEY (id) AS (SELECT root, root, 0::BIGINT FROM o
+            UNION (SELECT e.b, any_value(r.root), min(r.level) + 1 FROM v r JOIN e ON e.a = r.id LEFT JOIN recurring.v s ON s.id = e.b WHERE s.id IS NULL GROUP BY 1)),
+        w(id, level, way) AS (SELECT id, level, [-n, id] FROM v JOIN d USING (id) WHERE level = 0
+            UNION ALL (SELECT v.id, v.level, list_concat(min(w.way), [-any_value(n), v.id]) FROM w JOIN e ON e.a = w.id JOIN v ON v.id = e.b AND v.level = w.level + 1 JOIN d ON d.id = v.id GROUP BY v.id, v.level))
+        SELECT v.root, v.id, v.level, row_number() OVER (PARTITION BY v.root, v.level ORDER BY way) AS nth FROM v JOIN w ON w.id = v.id""",
     "crossings": """
         WITH c AS (SELECT l_linenumber AS k, l_partkey % 40 AS t, l_suppkey % 40 AS b, count(*) AS m FROM lineitem GROUP BY 1, 2, 3)
         SELECT x.k AS "column", CAST(sum(x.m * y.m) AS BIGINT) AS n FROM c x JOIN c y ON x.k = y.k AND x.t < y.t AND x.b > y.b GROUP BY 1""",
