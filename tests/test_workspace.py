@@ -232,6 +232,30 @@ def test_scan_reads_what_it_should(spark, tmp_path, monkeypatch):
     assert "SCAN_LIMIT_REACHED" in {r.code for r in told.collect()}
     again = Workspace.read(spark, f"file://{tmp_path}")
     assert again.files.count() == 2
+    every, told = source_files.scan(spark, {"w": f"file://{tmp_path}", "v": f"file://{tmp_path}"}, max_files=source_files.ALL)
+    assert every.count() == 6 and "SCAN_LIMIT_REACHED" not in {r.code for r in told.collect()}
+    monkeypatch.setattr(source_files, "MAX_FILES", (1, 10_000, 20_000))
+
+
+def test_only_kept_files_are_opened(spark, tmp_path):
+    for path in ("a.ts", "b.TS", "c.bin", "sub/Dockerfile", "sub/dockerfile.dev", "z/GO.MOD", "x.env"):
+        (tmp_path / path).parent.mkdir(exist_ok=True)
+        (tmp_path / path).write_text(path)
+    files, _ = source_files.scan(spark, {"w": f"file://{tmp_path}"}, max_files=source_files.ALL)
+    assert {r.content for r in files.collect()} == {"a.ts", "b.TS", "sub/Dockerfile", "sub/dockerfile.dev", "z/GO.MOD"}
+    few, _ = source_files.scan(spark, {"w": f"file://{tmp_path}"}, max_files=100)
+    plan = few._jdf.queryExecution().toString()
+    assert few.count() == 5 and "c.bin" not in plan
+    (tmp_path / "a.ts").unlink()
+    listed, told = source_files.scan(spark, {"w": f"file://{tmp_path}"})
+    (tmp_path / "b.TS").unlink()
+    assert [r.message for r in told.collect()] == ["1 files could not be read."]
+
+
+def test_manifests_in_json(spark):
+    given = {"package.json": '{"dependencies": {"a": "1"}, "devDependencies": {"b": "2", "a": "1"}}', "x/composer.json": '{"require": {"p/q": "1"}, "dependencies": {"no": "1"}}', "y/package.json": "{broken", "z/deno.json": '{"imports": {"std": "s"}}'}
+    got = {(r.path, r.dependency) for r in source_files.manifests(table(spark, given)).collect()}
+    assert got == {("package.json", "a"), ("package.json", "b"), ("x/composer.json", "p/q"), ("z/deno.json", "std")}
 
 
 def test_every_go_module_is_known(spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions import paths
@@ -33,30 +33,59 @@ def _clamped(value: int | None, limits: tuple[int, int, int]) -> int:
     return usual if value is None else min(high, max(low, value))
 
 
+#: What to give as max_files to read all files, however many.
+ALL = 0
+
+
+def _any_case(name: str) -> str:
+    """A glob of a name in capital or small letters."""
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in name)
+
+
+#: Names of files that is_readable() may hold for, as a glob that Spark applies when it lists folders.
+GLOB = "{" + ",".join([*(f"*.{_any_case(x)}" for x in TEXT), *map(_any_case, NAMES), _any_case("dockerfile") + ".*"]) + "}"
+
+
+def _reader(spark: SparkSession):
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).option("pathGlobFilter", GLOB)
+
+
 def scan(spark: SparkSession, roots: dict[str, str], exclude: list[str] = (), max_files: int | None = None, max_kb: int | None = None) -> tuple[DataFrame, DataFrame]:
     """files (path, content, size) and diagnostics (code, severity, message) of the folders in roots (name: URI).
 
     With several roots paths begin with the root's name. Files are ordered by path and the first max_files (100 to
-    20000) are kept; those over max_kb (16 to 10240) keep their size and lose their content. Only the kept files'
-    contents are read: paths and sizes decide first.
+    20000; 10000 if not given; ALL: every one) are kept; those over max_kb (16 to 10240) keep their size and lose their content.
+
+    Folders are listed first, without opening a file. With a limit the kept paths, of which there are 20000 at most, are what is read then;
+    without one the folders are read, but for names that are no text and files over the size, which Spark leaves unopened. Spark lists no
+    files without a byte, so these are missing.
     """
-    limit, most = _clamped(max_files, MAX_FILES), _clamped(max_kb, MAX_KB) * 1024
-    found = None
+    limit, most = ALL if max_files == ALL else _clamped(max_files, MAX_FILES), _clamped(max_kb, MAX_KB) * 1024
+    listed = None
     for name, uri in roots.items():
         root = uri.rstrip("/") + "/"
-        raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load(root)
+        raw = _reader(spark).load(root).select("path", F.col("length").alias("size"))
         # Spark returns absolute paths; what follows the root's own last folder is the path within it.
         inside = F.element_at(F.split(F.col("path"), "/" + _quoted(root.rstrip("/").rsplit("/", 1)[-1]) + "/", 2), 2)
-        part = raw.select((F.concat(F.lit(name + "/"), inside) if len(roots) > 1 else inside).alias("path"), F.col("length").alias("size"), "content")
-        found = part if found is None else found.unionByName(part)
-    kept = found.where(is_readable(F.col("path")) & ~paths.matches(F.col("path"), [*ALWAYS_EXCLUDED, *exclude])).dropDuplicates(["path"])
-    chosen = kept.select("path").orderBy("path").limit(limit + 1)
-    ranked = chosen.withColumn("_nth", F.row_number().over(Window.orderBy("path")))  # at most 20001 rows
-    text = F.when(F.col("size") > most, F.lit("")).otherwise(F.decode("content", "UTF-8"))
-    files = kept.join(F.broadcast(ranked.where(F.col("_nth") <= limit).select("path")), "path").select("path", text.alias("content"), "size")
+        part = raw.select(F.col("path").alias("uri"), (F.concat(F.lit(name + "/"), inside) if len(roots) > 1 else inside).alias("path"), "size")
+        listed = part if listed is None else listed.unionByName(part)
+    # Of a path that two roots give, one is kept.
+    chosen = listed.where(is_readable(F.col("path")) & ~paths.matches(F.col("path"), [*ALWAYS_EXCLUDED, *exclude])).groupBy("path").agg(F.min(F.struct("uri", "size")).alias("_f")).select("path", "_f.*")
+    cut = False
+    if limit != ALL:
+        first = chosen.orderBy("path").limit(limit + 1).collect()  # 20001 at most
+        cut = len(first) > limit
+        chosen = spark.createDataFrame([tuple(r) for r in first[:limit]], chosen.schema)
+        small = [r["uri"] for r in first[:limit] if r["size"] <= most]
+        read = _reader(spark).load(small) if small else None
+    else:
+        read = _reader(spark).load([uri.rstrip("/") + "/" for uri in roots.values()])
+    text = F.decode("content", "UTF-8").alias("content")
+    opened = chosen.limit(0).select("uri", F.lit("").alias("content")) if read is None else read.where(F.col("length") <= most).select(F.col("path").alias("uri"), text)
+    files = chosen.where(F.col("size") <= most).join(opened, "uri").select("path", "content", "size").unionByName(chosen.where(F.col("size") > most).select("path", F.lit("").alias("content"), "size"))
     # Listed without opening, read with what can't be read left out: the difference is told.
-    told = _diagnostics(ranked.where(F.col("_nth") > limit), files.where(F.col("size") > most), limit, most)
-    return files, told.unionByName(unreadable(ranked.where(F.col("_nth") <= limit).select("path"), files.where(F.col("content").isNotNull()).select("path")))
+    told = _diagnostics(chosen.limit(1 if cut else 0), chosen.where(F.col("size") > most), limit, most)
+    return files, told.unionByName(unreadable(chosen.select("path"), files.select("path")))
 
 
 def unreadable(listed: DataFrame, read: DataFrame) -> DataFrame:
@@ -76,9 +105,16 @@ def _diagnostics(cut: DataFrame, large: DataFrame, limit: int, most: int) -> Dat
     return limited.unionByName(sized)
 
 
+#: Other JSON files that name dependencies, and the entries that hold them.
+JSON_MANIFESTS = {"package.json": "dependencies devDependencies peerDependencies", "composer.json": "require require-dev", "bower.json": "dependencies devDependencies", "deno.json": "imports"}
+
+
 def manifests(files: DataFrame) -> DataFrame:
-    """path, dependency of each package.json; a malformed one has none."""
-    parsed = F.from_json("content", "dependencies MAP<STRING,STRING>, devDependencies MAP<STRING,STRING>, peerDependencies MAP<STRING,STRING>")
-    named = files.where(F.lower(paths.basename(F.col("path"))) == "package.json").select("path", parsed.alias("p"))
-    keys = F.array_distinct(F.flatten(F.array(*(F.coalesce(F.map_keys(f"p.{k}"), F.array().cast("array<string>")) for k in ("dependencies", "devDependencies", "peerDependencies")))))
-    return named.select("path", F.explode(keys).alias("dependency"))
+    """path, dependency of each manifest in JSON; a malformed one has none."""
+    name = F.lower(paths.basename(F.col("path")))
+    fields = sorted({k for keys in JSON_MANIFESTS.values() for k in keys.split()})
+    parsed = F.from_json("content", ", ".join(f"`{k}` MAP<STRING,STRING>" for k in fields))
+    own = files.where(name.isin(*JSON_MANIFESTS)).select("path", name.alias("name"), parsed.alias("p"))
+    none = F.array().cast("array<string>")
+    of_file = F.coalesce(*(F.when(F.col("name") == n, F.array_distinct(F.flatten(F.array(*(F.coalesce(F.map_keys(F.col("p")[k]), none) for k in keys.split()))))) for n, keys in JSON_MANIFESTS.items()))
+    return own.select("path", F.explode(of_file).alias("dependency"))
