@@ -40,7 +40,7 @@ def extents_of(rows: DataFrame) -> DataFrame:
 def _condition(line: Column) -> Column:
     """What a line decides by, or null: the arguments of a word that decides, else what follows one that begins the line."""
     called = F.coalesce(*(F.nullif(F.trim(F.regexp_extract(line, rf"\b{word}\s*{ARGUMENTS}", 1)), F.lit("")) for word in DECIDING))
-    words = F.split(F.trim(line), r"\s+")
+    words = F.split(F.regexp_replace(line, r"^\s+|\s+$", ""), r"\s+")  # tabs too
     rest = F.when(words[0] == "else", F.slice(words, F.lit(2), F.size(words))).otherwise(words)
     bare = F.when(F.get(rest, F.lit(0)) == BARE, F.array_join(F.slice(rest, F.lit(2), F.size(rest)), " "))
     return F.coalesce(called, F.nullif(F.rtrim(F.regexp_replace(bare, r"[:{]$", "")), F.lit("")))

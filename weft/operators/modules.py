@@ -35,6 +35,21 @@ def language(path: Column) -> Column:
     return F.coalesce(*(F.when(extension.isin(*x.split()), F.lit(name)) for x, name in LANGUAGES.items()), F.lit("Other"))
 
 
+# Buckets of file types.
+BUCKETS = {
+    "ts": "ts tsx mts cts", "js": "js jsx mjs cjs", "py": "py pyi", "jvm": "java kt kts scala groovy", "go": "go", "rust": "rs", "ruby": "rb erb", "php": "php", "dotnet": "cs fs vb", "native": "c h cc cpp hpp cxx m mm swift",
+    "dart": "dart", "schema": "sql prisma graphql gql proto", "config": "json yaml yml toml ini env lock conf properties", "docs": "md mdx txt rst adoc", "style": "css scss sass less styl",
+    "markup": "html htm vue svelte xml astro", "asset": "png jpg jpeg gif svg ico webp woff woff2 ttf mp4", "shell": "sh bash zsh fish ps1",
+}
+
+
+def bucket(path: Column) -> Column:
+    """The bucket of a file's type, by its extension; other for what has none."""
+    of = {x: name for name, extensions in BUCKETS.items() for x in extensions.split()}
+    found = F.create_map(*(F.lit(x) for pair in of.items() for x in pair))[paths.extension(path)]
+    return F.coalesce(found, F.lit("other"))
+
+
 def with_modules(files: DataFrame) -> DataFrame:
     """files with root (the nearest project) and module: one folder below it, or two where the first is a container."""
     placed = longest_prefix(files, "path", project_roots(files), "root")

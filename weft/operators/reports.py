@@ -51,6 +51,25 @@ def nouns(entities: DataFrame, by: str = "area") -> DataFrame:
     return entities.groupBy(by).agg(F.when(more, "collection").otherwise("table").alias("noun"))
 
 
+# Libraries whose models the database doesn't enforce.
+SCHEMALESS = "mongoose typegoose mongoengine beanie spring-data".split()
+
+
+def schemaless(entities: DataFrame) -> DataFrame:
+    """source, entities: the libraries among those of the entities' variants whose declarations a database doesn't enforce."""
+    source = F.split("variant", ":")[0]
+    return entities.where(source.isin(*SCHEMALESS)).groupBy(source.alias("source")).agg(F.count("*").alias("entities"))
+
+
+def board(endpoints: DataFrame, ports: DataFrame, query: str = "") -> DataFrame:
+    """board, protocol, what, file: the rows of the boards of endpoints and ports that hold a query, all of them without one."""
+    what = F.concat_ws(" ", "operation", "address")
+    one = endpoints.select(F.lit("endpoints").alias("board"), "protocol", what.alias("what"), "file")
+    two = ports.select(F.lit("ports").alias("board"), "protocol", F.concat_ws(" ", "kind", F.col("port").cast("string"), "note").alias("what"), "file")
+    both = one.unionByName(two)
+    return search(both, query, "protocol", "what", "file") if query else both
+
+
 def key_columns(fields: DataFrame, relations: DataFrame) -> DataFrame:
     """variant, entity, field: primary keys, and the fields that relations go out from."""
     keys = fields.where("pk").select("variant", "entity", "field")

@@ -5,13 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.fixture import workspace_files
 from weft.functions import ids, paths, text
-from weft import source_queries
+from weft import language_queries, report_queries, source_queries
 from weft.operators import asof, communities, components, cycles, graph, modules, ranking, reports, rollup
-from weft.operators.areas import tree_rows
-from weft.plans.schema_document import schema_document
-from weft.plans.workspace import Workspace
 from weft.streaming import changes
 
 
@@ -281,64 +277,13 @@ def carried_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.hotspots(edges, 12)
 
 
-def _own(spark: SparkSession) -> Workspace:
-    return Workspace(spark, workspace_files(spark))
-
-
-def workspace_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Imports of the small workspace that comes with the library; its sources are not in sf_dir."""
-    return _own(spark).import_targets().withColumn("targets", F.concat_ws(",", "targets"))
-
-
-def workspace_module_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _own(spark).module_edges.withColumn("sources", F.concat_ws(",", "sources"))
-
-
-def workspace_externals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _own(spark).externals
-
-
-def workspace_file_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _own(spark).file_table
-
-
-def workspace_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _own(spark).endpoints
-
-
-def workspace_ports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _own(spark).ports
-
-
-def workspace_flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _own(spark).flow_edges
-
-
-def workspace_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _own(spark).fields
-
-
-def workspace_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _own(spark).relations
-
-
-def workspace_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _own(spark)
-    return schema_document(own.entities, own.fields, own.relations)
-
-
-def workspace_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree_rows(_own(spark).tree)
-
-
-QUERIES = source_queries.QUERIES | {
+QUERIES = source_queries.QUERIES | language_queries.QUERIES | report_queries.QUERIES | {
     f.__name__: f
     for f in (
         module_edges, external_topk, fan_in_out, path_parts, normal_paths, longest_prefix, subtree_counts, first_candidate, left_anti, asof_backward,
         asof_forward_limit, lead_extent, carry_state, dedupe_prefer, top_with_hidden, composition, min_confidence, undirected_pairs, neighbour_limit,
         degree, isolated, graph_health, hubs, component_roots, mutual_groups, condensed_ranks, turned_edges, part_communities, area_core, breadth_first, crossings, area_rollup, boundary_folding, session_debounce, regex_extract, line_explode,
-        identifiers, stats, carried_ranks, workspace_imports, workspace_module_edges, workspace_externals, workspace_file_table, workspace_endpoints,
-        workspace_ports, workspace_flow_edges, workspace_fields, workspace_relations, workspace_document, workspace_tree,
+        identifiers, stats, carried_ranks,
     )
 }
 
@@ -362,7 +307,7 @@ _ABOVE = f"""(SELECT page_id, path, unnest(list_transform(range(1, len(string_sp
 _DELIVERED = """d AS (SELECT replace(p_brand, '#', '') AS src, 'nation' || s_nationkey AS dst, replace(p_brand, '#', '') || '/' || p_partkey || '.ts' AS path,
     'nation' || s_nationkey || '/' || s_suppkey || '.go' AS target, l_orderkey * 8 + l_linenumber AS line FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey)"""
 
-ORACLES = source_queries.ORACLES | {
+ORACLES = source_queries.ORACLES | language_queries.ORACLES | report_queries.ORACLES | {
     "module_edges": f"""
         WITH {_DELIVERED} SELECT src, dst, CAST(count(DISTINCT target || ' ' || path || ' ' || line) AS BIGINT) AS n, array_to_string(list_slice(list_sort(list(DISTINCT path)), 1, 5), ',') AS sources, arg_min(line, path || ' ' || lpad(line::VARCHAR, 19, '0')) AS line FROM d GROUP BY 1, 2""",
     "external_topk": """
