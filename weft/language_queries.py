@@ -106,7 +106,7 @@ _FACTS = """f(path, grp, specifier, line, one, name, package, lost) AS (
     i AS (SELECT path, f.grp, specifier, line, coalesce(one, CASE z.n WHEN 1 THEN z.target END) AS target, CASE WHEN z.n > 1 THEN f.grp || ':' || f.name END AS symbol, CASE WHEN z.n IS NULL AND one IS NULL THEN package END AS package, lost
           FROM f LEFT JOIN z ON z.grp = f.grp AND z.name = f.name)"""
 #: Where files lie: the module of each code file, and all files.
-_PLACES = """a(path, module, language, lines) AS (SELECT path, 'jv/n' || n, 'Java', 18 FROM c UNION ALL SELECT path, 'services/g' || n, 'C#', 6 FROM p UNION ALL SELECT path, 'go/n' || n, 'Go', 27 FROM s
+_PLACES = """a(path, module, language, lines) AS (SELECT path, 'jv/n' || n, 'Java', 18 FROM c UNION ALL SELECT path, 'services/g' || n, 'C#', 6 FROM p UNION ALL SELECT path, 'go/n' || n, 'Go', 25 FROM s
     UNION ALL SELECT 'rust/src/n' || k || '.rs', 'rust/src', 'Rust', 4 FROM t UNION ALL SELECT 'c/m' || k || '.c', 'c', 'C', 4 FROM t UNION ALL SELECT 'c/include/h' || k || '.h', 'c', 'C', 1 FROM t
     UNION ALL SELECT 'php/C' || k || '.php', 'php', 'PHP', 4 FROM t UNION ALL SELECT 'rb/lib/f' || k || '.rb', 'rb', 'Ruby', 3 FROM t UNION ALL SELECT 'sw/Sources/M' || r || '/s' || k || '.swift', 'sw', 'Swift', 3 FROM t
     UNION ALL SELECT 'da/lib/d' || k || '.dart', 'da/lib', 'Dart', 8 FROM t UNION ALL SELECT 'web/e' || k || '.ts', 'web', 'TypeScript', 10 FROM t UNION ALL SELECT 'doc/m' || k || '.js', 'doc', 'JavaScript', 8 FROM t

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions import fields, ids, paths
-from weft.operators import areas, flow, graph, interfaces, modules, reports, schema
+from weft.operators import areas, flow, graph, interfaces, layers, modules, reports, schema
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -315,12 +315,23 @@ def resolved_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema.resolve(entities, relations).select("field", "target", "target_id", "confidence", "state")
 
 
+def arranged_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each region's nations, market segments and order priorities as layers, in an order with few crossings and on level places."""
+    nation, customer, orders = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    rows = orders.join(customer, orders.o_custkey == customer.c_custkey).join(nation, customer.c_nationkey == nation.n_nationkey)
+    rows = rows.select(F.col("n_regionkey").alias("component"), F.col("n_name").alias("a"), F.col("c_mktsegment").alias("b"), F.col("o_orderpriority").alias("c"))
+    layer = lambda name, n: rows.groupBy("component", F.col(name).alias("id")).agg(F.count("*").alias("n")).select("component", F.lit(n).alias("layer"), "id", F.log10(F.col("n") + 1.0).alias("height"))
+    nodes = layer("a", 0).unionByName(layer("b", 1)).unionByName(layer("c", 2))
+    edges = rows.selectExpr("component", "a AS src", "b AS dst").unionByName(rows.selectExpr("component", "b AS src", "c AS dst")).distinct()
+    return layers.arranged(nodes, edges)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         focus_node, focus_preferred, focus_counts, relations_of, frame_pairs, legend, suggestions, suggestions_of_query, search_names, review, lookup, hand_off, module_groups, uses_areas, scope_counts, apart, folder_languages,
         language_buckets, node_ids, nouns, key_columns, largest_entities, schemaless, dependencies, frameworks, endpoint_rows, board, recommended_flow, flow_scores, flow_ends, project_flow_nodes, project_flow_edges,
-        *map(_listed, ("entry_points", "load_bearing", "largest", "unreferenced", "untested")), tree_rows, tree_rows_of_query, glob_matches, http_paths, field_texts, titles, folded_areas, ranks_of_paths, resolved_relations,
+        *map(_listed, ("entry_points", "load_bearing", "largest", "unreferenced", "untested")), tree_rows, tree_rows_of_query, glob_matches, http_paths, field_texts, titles, folded_areas, ranks_of_paths, resolved_relations, arranged_layers,
     )
 }
 
