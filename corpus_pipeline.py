@@ -39,7 +39,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are linked by close fingerprints the one with the smallest id.
 
-    Null and blank texts form a group; rows with a null id go if their group has an id, else all of them stay; rows
+    Texts of any length are fingerprinted whole. Null and blank texts form a group; rows with a null id go if their group has an id, else all of them stay; rows
     that repeat the smallest id and its text stay together; columns beyond those of documents go; an empty table gives an empty one.
     """
     return simhash.first_of_groups(docs).select(*COLUMNS)
@@ -57,7 +57,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their SentencePiece ids, their number, and whether they decode to the text.
 
-    Null and empty texts have no ids; each row, null ids and repeated rows too, gives one; an empty table gives an empty one.
+    Texts of any length are encoded whole. Null and empty texts have no ids; each row, null ids and repeated rows too, gives one; an empty table gives an empty one.
     """
     return sentencepiece_codec.encode(docs.select(*COLUMNS))
 
@@ -74,11 +74,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over the documents of sf_dir. The stages' tables stay in the shared checkpoint folder."""
+    """The last stage's rows over the documents of sf_dir. Stages' tables lie in the shared checkpoint folder; each goes when the
+    next is whole, and the last, which the result reads, stays there."""
     use_checkpoints(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
         docs = spark.read.parquet(f"{folder}/{number}")
+        if number:
+            _removed(spark, f"{folder}/{number - 1}")
     return docs
+
+
+def _removed(spark: SparkSession, uri: str) -> None:
+    """Removes a folder, wherever Spark keeps it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -249,8 +249,8 @@ def scores(docs: DataFrame, order: int = ORDER, nodes: int = NODES, words: int =
     tells that it is. A-Z are lower-cased. Tokens are words and one end for each text. base_score adds up
     log10((c + 0.5) / (N + 0.5 (V + 1))) over tokens; n_known counts tokens with c > 0; score is the byte model's
     log10-probability of the text and its end. Null texts are empty. Rows equal in id and text each get the same row (and each
-    is trained on); without training rows every symbol is as likely as any; an empty table gives an empty one; further
-    columns are ignored.
+    is trained on); texts of any length are scored whole, one longer than a block as a block of its own; without
+    training rows every symbol is as likely as any; an empty table gives an empty one; further columns are ignored.
     """
     docs = keyed(docs).withColumn("held_out", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)))
     counts = saved(counted(docs, order))

@@ -149,8 +149,8 @@ def dedup_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     sequence also starts earlier (smaller doc_id, or same document before) is removed.
 
     Windows are judged on the input. Kept words are joined by one space. Null texts have no words; null ids come
-    after all others; rows equal in id and text count as one document and each gets the same result; an empty
-    table gives an empty one; further columns are ignored.
+    after all others; rows equal in id and text count as one document and each gets the same result; a text longer
+    than a block is a block of its own, taken whole; an empty table gives an empty one; further columns are ignored.
     """
     docs = keyed(docs)
 
