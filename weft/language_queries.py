@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.operators import schema
+from weft.operators import interfaces, schema
 from weft.plans.workspace import Workspace
-from weft.workspaces import language_workspace
+from weft.workspaces import interface_workspace, language_workspace
 
 
 def _own(spark: SparkSession, sf_dir: str) -> Workspace:
@@ -68,10 +68,30 @@ def language_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.where("unit LIKE 'go/%' AND kind IN ('starts', 'finishes')").select("unit", "src", "dst", "kind")
 
 
+def _offered(spark: SparkSession, sf_dir: str) -> Workspace:
+    return Workspace(spark, interface_workspace(spark, sf_dir))
+
+
+def interface_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Endpoints of eight kinds with their handlers."""
+    found = _offered(spark, sf_dir).endpoints
+    return _long(found.select("protocol", "operation", "address", "handler", "framework", "confidence", "file", "line", "hidden"), "line")
+
+
+def interface_ports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(_offered(spark, sf_dir).ports, "port", "host_port", "line")
+
+
+def interface_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _offered(spark, sf_dir)
+    return interfaces.summary(own.endpoints, own.ports)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         language_imports, language_symbols, language_module_edges, language_file_table, language_entities, language_fields, language_relations, language_placeholders, language_flow_edges, language_module_ranks, language_boundaries,
+        interface_endpoints, interface_ports, interface_summary,
     )
 }
 
@@ -117,7 +137,23 @@ _EDGES = """e AS (SELECT o.module AS src, d.module AS dst, count(DISTINCT x.path
 _NONE = "CAST(NULL AS VARCHAR)"
 _YES, _NO, _OPEN = "true", "false", "CAST(NULL AS BOOLEAN)"
 
+_OFFERED = """k AS (SELECT s_suppkey AS k FROM supplier), o(protocol, operation, address, handler, framework, file, line) AS (
+    SELECT 'http', 'GET', '/s' || k || '/:id', 'find' || k, 'NestJS', 'api/s' || k || '.controller.ts', 3 FROM k UNION ALL SELECT 'http', 'POST', '/j' || k || '/x', 'make' || k, 'Spring MVC', 'jv/S' || k || '.java', 3 FROM k
+    UNION ALL SELECT 'kafka', 'consume', 't' || k, 'on' || k, 'Spring Kafka', 'jv/S' || k || '.java', 6 FROM k UNION ALL SELECT 'http', unnest(['GET', 'PUT']), '/p' || k, 'p' || k, 'Python route', 'py/s' || k || '.py', 1 FROM k
+    UNION ALL SELECT 'grpc', 'rpc', 'p' || k || '.G/Hello', NULL, 'Protocol Buffers', 'proto/s' || k || '.proto', 4 FROM k UNION ALL SELECT 'graphql', 'query', 'u' || k, NULL, 'GraphQL schema', 'gq/s' || k || '.graphql', 2 FROM k
+    UNION ALL SELECT 'http', 'GET', '/o' || k, NULL, 'OpenAPI', 'oa/s' || k || '.yaml', 4 FROM k UNION ALL SELECT 'http', 'DELETE', '/o' || k, NULL, 'OpenAPI', 'oa/s' || k || '.yaml', 6 FROM k
+    UNION ALL SELECT 'http', 'GET', '/n' || k, NULL, 'Next.js', 'web/app/(g)/n' || k || '/route.ts', 1 FROM k UNION ALL SELECT 'websocket', 'on', 'm' || k, 'f' || k, 'Socket', 'ws/s' || k || '.ts', 2 FROM k
+    UNION ALL SELECT 'websocket', 'emit', 'e' || k, NULL, 'Socket', 'ws/s' || k || '.ts', 3 FROM k UNION ALL SELECT 'sse', 'stream', 'sse/s' || k || '.py', NULL, 'Event stream', 'sse/s' || k || '.py', 1 FROM k),
+    e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY protocol ORDER BY address, operation, file) AS nth, greatest(count(*) OVER (PARTITION BY protocol) - 400, 0) AS hidden FROM o) WHERE nth <= 400)"""
+_PORTS = """n AS (SELECT n_nationkey AS k FROM nation), p(protocol, port, host_port, declared_as, kind, transport, note, file, line, place) AS (
+    SELECT 'tcp', 6000 + k, NULL, NULL, 'listen', NULL, NULL, 'srv/n' || k || '.js', 1, 1 FROM n UNION ALL SELECT 'tcp', 7000 + k, NULL, 'containerPort', 'listen', NULL, NULL, 'k8s/n' || k || '.yaml', 2, 1 FROM n
+    UNION ALL SELECT 'http', 80, 8000 + k, NULL, 'published', NULL, 'HTTP', 'compose/n' || k || '/compose.yml', 4, 3 FROM n UNION ALL SELECT 'tcp', 9000 + k, NULL, 'server.port', 'config', NULL, NULL, 'cfg/n' || k || '.properties', 1, 4 FROM n),
+    q AS (SELECT * EXCLUDE (place) FROM p ORDER BY place, port, file LIMIT 80)"""
+
 ORACLES = {
+    "interface_endpoints": f"WITH {_OFFERED} SELECT protocol, operation, address, handler, framework, 'exact' AS confidence, file, CAST(line AS BIGINT) AS line, hidden FROM e",
+    "interface_ports": f"WITH {_PORTS} SELECT * REPLACE (CAST(port AS BIGINT) AS port, CAST(host_port AS BIGINT) AS host_port, CAST(line AS BIGINT) AS line, CAST(transport AS VARCHAR) AS transport) FROM q",
+    "interface_summary": f"WITH {_OFFERED}, {_PORTS} SELECT (SELECT count(DISTINCT protocol) FROM o) AS protocols, (SELECT count(*) FROM o) AS endpoints, (SELECT count(*) FROM q) AS ports, (SELECT count(*) FROM q WHERE kind IN ('listen', 'expose')) AS bound",
     "language_imports": f"WITH {_TABLES}, {_FACTS} SELECT path, grp, specifier, CAST(line AS BIGINT) AS line, coalesce(target, '') AS targets, symbol, package, lost AS unresolved_local FROM i",
     "language_symbols": f"WITH {_TABLES} SELECT grp || ':' || name AS symbol, target FROM y",
     "language_module_edges": f"WITH {_TABLES}, {_FACTS}, {_PLACES}, {_REACHED}, {_EDGES} SELECT src, dst, n, sources, CAST(line AS BIGINT) AS line FROM e",

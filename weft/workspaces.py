@@ -102,3 +102,30 @@ def language_workspace(spark: SparkSession, sf_dir: str) -> DataFrame:
     for frame in (java, sharp, go, *each):
         every = every.unionByName(frame)
     return every.select("path", "content", F.octet_length("content").cast("long").alias("size"))
+
+
+def interface_workspace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content, size of files that offer something: for each supplier endpoints of eight kinds, for each nation ports of four."""
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    k = F.col("k")
+    file = lambda frame, path, *content: frame.select(_text(*path).alias("path"), _text(*content).alias("content"))
+    s, n = read("supplier").select(F.col("s_suppkey").alias("k")), read("nation").select(F.col("n_nationkey").alias("k"))
+    every = [
+        file(s, ("api/s", k, ".controller.ts"), "@Controller('s", k, "')\nexport class S", k, " {\n  @Get(':id')\n  async find", k, "(id: string) {\n    return 1;\n  }\n}\n"),
+        file(s, ("jv/S", k, ".java"), '@RequestMapping("/j', k, '")\npublic class J', k, ' {\n  @PostMapping("/x")\n  public String make', k, '() {\n  }\n  @KafkaListener(topics = "t', k, '")\n  public void on', k, "() {\n  }\n}\n"),
+        file(s, ("py/s", k, ".py"), "@app.route('/p", k, "', methods=['GET', 'PUT'])\ndef p", k, "():\n  pass\n"),
+        file(s, ("proto/s", k, ".proto"), 'syntax = "proto3";\npackage p', k, ";\nservice G {\n  rpc Hello (stream Q) returns (R);\n}\n"),
+        file(s, ("gq/s", k, ".graphql"), "type Query {\n  u", k, ": Int!\n}\ntype Other {\n  x: Int\n}\n"),
+        file(s, ("oa/s", k, ".yaml"), "openapi: 3.0.0\npaths:\n  /o", k, ":\n    get:\n      summary: x\n    delete:\n"),
+        file(s, ("web/app/(g)/n", k, "/route.ts"), "export async function GET() {\n}\n"),
+        file(s, ("ws/s", k, ".ts"), "import { io } from 'socket.io-client';\nsocket.on('m", k, "', f", k, ");\nsocket.emit('e", k, "');\n"),
+        file(s, ("sse/s", k, ".py"), "from x import EventSourceResponse\ndef stream", k, "():\n  return EventSourceResponse(1)\n"),
+        file(n, ("srv/n", k, ".js"), "app.listen(", k + 6000, ");\n"),
+        file(n, ("k8s/n", k, ".yaml"), "ports:\n  - containerPort: ", k + 7000, "\n    protocol: TCP\n"),
+        file(n, ("compose/n", k, "/compose.yml"), 'services:\n  web:\n    ports:\n      - "', k + 8000, ':80"\n'),
+        file(n, ("cfg/n", k, ".properties"), "server.port=", k + 9000, "\n"),
+    ]
+    whole = every[0]
+    for frame in every[1:]:
+        whole = whole.unionByName(frame)
+    return whole.select("path", "content", F.octet_length("content").cast("long").alias("size"))
