@@ -88,11 +88,40 @@ def source_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(found.select("code", "severity", F.when(F.col("code").startswith("DB_"), F.col("message")).alias("message"), "file", "line"), "line")
 
 
+def source_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _own(spark, sf_dir).stats()
+
+
+def source_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one brand's package has to do with others."""
+    return _own(spark, sf_dir).area("packages/Brand2").withColumn("labels", F.concat_ws(",", "labels"))
+
+
+def source_shown_by_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _own(spark, sf_dir).shown_by_areas()
+
+
+def source_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities with the areas of the data model."""
+    return _own(spark, sf_dir).subjects.select("entity", "file", "area", "oversized")
+
+
+def source_schema_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _own(spark, sf_dir).schema_map()[0].withColumn("neighbours", F.concat_ws(",", "neighbours"))
+
+
+def source_schema_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations that end in a file of another kind; there are none, since names resolve within a file or a project."""
+    own = _own(spark, sf_dir)
+    return own.schema_map()[1].unionByName(own.schema_area("db").select(F.col("node").alias("a"), F.col("far_area").alias("b"), "n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         source_imports, source_modules, source_module_edges, source_externals, source_file_table, source_endpoints, source_ports, source_flow_nodes, source_flow_edges, source_flow_units,
-        source_entities, source_fields, source_relations, source_tree, source_technologies, source_areas, source_diagnostics,
+        source_entities, source_fields, source_relations, source_tree, source_technologies, source_areas, source_diagnostics, source_stats, source_area,
+        source_shown_by_areas, source_subjects, source_schema_map, source_schema_links,
     )
 }
 
@@ -111,7 +140,27 @@ _PATHS = """a AS (SELECT path FROM f UNION ALL SELECT path FROM k UNION ALL SELE
 _EDGES = """g AS (SELECT 'packages/' || pb AS src, 'packages/' || qb AS dst, count(*) AS n FROM i WHERE target IS NOT NULL AND pb <> qb GROUP BY 1, 2)"""
 _SHOW = "'callable:' || replace(path, '/', '%2F') || ':' || (n + 3)"
 
+_NAMED = "n AS (SELECT c_nationkey AS k, count(*) FILTER (c_custkey % 3 = 0) AS n FROM customer GROUP BY 1)"
+_ENTITIES = """y AS (SELECT 't' || s_suppkey AS entity, 'db/s' || s_suppkey || '.sql' AS file, 'db' AS area FROM supplier UNION ALL SELECT 'n' || s_nationkey, 'db/s' || s_suppkey || '.sql', 'db' FROM supplier WHERE s_suppkey % 2 = 0
+    UNION ALL SELECT 'C' || c_custkey, 'app/models/c' || c_custkey || '.py', 'app/models' FROM customer UNION ALL SELECT 'N' || c_nationkey, 'app/models/c' || c_custkey || '.py', 'app/models' FROM customer WHERE c_custkey % 3 = 0),
+    z AS (SELECT area, count(*) AS members, count(*) > 30 AS oversized FROM y GROUP BY 1)"""
+
 ORACLES = {
+    "source_stats": f"""
+        WITH {_CODE}, {_USED}, {_EDGES}, {_NAMED}, {_ENTITIES}, t AS (SELECT package FROM u GROUP BY 1 ORDER BY count(*) DESC, package LIMIT 18)
+        SELECT (SELECT count(*) FROM part) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM nation) AS files, (SELECT count(DISTINCT b) + 1 FROM f) AS modules,
+               (SELECT count(*) FROM f) + (SELECT count(*) FROM k) AS code_files, (SELECT count(*) FROM g) AS module_edges, (SELECT count(*) FROM g) + (SELECT count(DISTINCT package || ' ' || module) FROM u JOIN t USING (package)) AS dependencies,
+               1 + (SELECT count(DISTINCT b) FROM f) + least(180, (SELECT count(*) FROM f)) AS flow_units,
+               (SELECT count(*) FROM y) + (SELECT count(*) FROM supplier WHERE s_suppkey % 2 = 1) + (SELECT count(*) FROM n WHERE n <> 1) AS entities, 1 AS protocols, (SELECT count(*) FROM f) AS endpoints, 50 AS ports, 50 AS bound""",
+    "source_area": f"""
+        WITH {_CODE}, {_EDGES} SELECT 'module:packages%2FBrand2' AS node, dst AS far_area, 'out' AS direction, count(*) AS n, dst AS labels, 'inferred' AS confidence FROM g WHERE src = 'packages/Brand2' GROUP BY dst
+        UNION ALL SELECT 'module:packages%2FBrand2', src, 'in', count(*), src, 'inferred' FROM g WHERE dst = 'packages/Brand2' GROUP BY src""",
+    "source_shown_by_areas": f"WITH {_CODE}, {_ENTITIES} SELECT 'modules' AS view, count(DISTINCT b) + 1 > 24 AS uses_areas FROM f UNION ALL SELECT 'entities', (SELECT count(*) FROM y) > 30",
+    "source_subjects": f"WITH {_ENTITIES} SELECT entity, file, y.area, oversized FROM y JOIN z ON y.area = z.area",
+    "source_schema_map": f"""
+        WITH {_NAMED}, {_ENTITIES}, r AS (SELECT 'db' AS area, s_suppkey % 2 = 0 AS found FROM supplier UNION ALL SELECT 'app/models', n = 1 FROM customer JOIN n ON k = c_nationkey)
+        SELECT z.area, any_value(members) AS members, 'table' AS noun, count(*) FILTER (found) AS internal, CAST(0 AS BIGINT) AS crossing, '' AS neighbours, count(*) FILTER (NOT found) AS unresolved, any_value(oversized) AS oversized FROM z JOIN r ON r.area = z.area GROUP BY 1""",
+    "source_schema_links": "SELECT '' AS a, '' AS b, CAST(0 AS BIGINT) AS n WHERE false",
     "source_imports": f"""
         WITH {_CODE} SELECT path, specifier, line, coalesce(target, '') AS targets, CAST(NULL AS VARCHAR) AS package, target IS NULL AS unresolved_local FROM i
         UNION ALL SELECT path, 'pkg-' || z, n + 1, '', 'pkg-' || z, false FROM f UNION ALL SELECT path, 'django.db', 1, '', 'django', false FROM k""",
