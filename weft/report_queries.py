@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions import fields, ids, paths
 from weft.operators import areas, flow, graph, interfaces, layers, modules, reports, schema
+from weft.session import use_checkpoints
+from weft.sources.files import ALL, scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -326,12 +330,36 @@ def arranged_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layers.arranged(nodes, edges)
 
 
+def file_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modules, roles and languages of files of nine shapes, below folders of which every other one is a project."""
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    names = ["src/index.ts", "src/deep/er/main.go", "tests/x{}.py", "x{}.spec.ts", "x{}_test.go", "vite.config.js", "x{}.py", "readme{}.md", "conf{}.yaml"]
+    shape = F.element_at(F.array(*map(F.lit, names)), (F.col("p_partkey") % 9 + 1).cast("int"))
+    part = table(spark, sf_dir, "part")
+    files = part.select(F.concat(F.lit("a"), size, F.lit("/"), F.replace(shape, F.lit("{}"), key)).alias("path")).unionByName(part.where("p_size % 2 = 0").select(F.concat(F.lit("a"), size, F.lit("/package.json")).alias("path")))
+    files = files.distinct().select("path", F.lit("x").alias("content"), F.lit(1).cast("long").alias("size"))
+    none = spark.createDataFrame([], "path string, specifier string, line int, targets array<string>")
+    return modules.file_table(none, files).select("path", "module", "role", "language")
+
+
+def scan_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as JSON files, a folder for each nation, and scanned again without one of the folders."""
+    use_checkpoints(spark)
+    root = f"{spark.sparkContext.getCheckpointDir()}/scanned-{uuid.uuid4().hex}"
+    customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c"), F.col("c_mktsegment").alias("s"), F.col("c_nationkey").alias("k"))
+    customer.repartition(4, "k").write.partitionBy("k").json(root)
+    found, _ = scan(spark, {"customers": root}, exclude=["k=7/**"], max_files=ALL, max_kb=10_240)
+    lines = found.select(F.regexp_extract("path", r"^k=(\d+)/", 1).cast("long").alias("k"), F.explode(F.split("content", "\n")).alias("line"))
+    return lines.where("line <> ''")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         focus_node, focus_preferred, focus_counts, relations_of, frame_pairs, legend, suggestions, suggestions_of_query, search_names, review, lookup, hand_off, module_groups, uses_areas, scope_counts, apart, folder_languages,
         language_buckets, node_ids, nouns, key_columns, largest_entities, schemaless, dependencies, frameworks, endpoint_rows, board, recommended_flow, flow_scores, flow_ends, project_flow_nodes, project_flow_edges,
         *map(_listed, ("entry_points", "load_bearing", "largest", "unreferenced", "untested")), tree_rows, tree_rows_of_query, glob_matches, http_paths, field_texts, titles, folded_areas, ranks_of_paths, resolved_relations, arranged_layers,
+        file_roles, scan_folder,
     )
 }
 
@@ -351,6 +379,14 @@ _TREE = f"""u AS (SELECT DISTINCT path FROM {_URLS}), v AS (SELECT path, string_
     r AS (SELECT array_to_string(list_slice(s, 1, d), '/') AS path, 'folder' AS kind, d AS depth FROM (SELECT DISTINCT list_slice(s, 1, d) AS s, d FROM (SELECT s, unnest(range(1, len(s))) AS d FROM v)) UNION ALL SELECT path, 'file', len(s) FROM v)"""
 
 ORACLES = {
+    "file_roles": """
+        WITH x AS (SELECT DISTINCT p_size AS b, p_partkey % 9 AS i, CASE WHEN p_partkey % 9 IN (0, 1, 5) THEN '' ELSE p_partkey::VARCHAR END AS k FROM part)
+        SELECT 'a' || b || '/' || replace(['src/index.ts', 'src/deep/er/main.go', 'tests/x{}.py', 'x{}.spec.ts', 'x{}_test.go', 'vite.config.js', 'x{}.py', 'readme{}.md', 'conf{}.yaml'][i + 1], '{}', k) AS path,
+               CASE WHEN i < 7 THEN 'a' || b || CASE WHEN b % 2 = 0 AND i < 3 THEN ['/src', '/src/deep', '/tests'][i + 1] ELSE '' END END AS module,
+               CASE WHEN i = 0 AND b % 2 = 0 THEN 'entry' ELSE ['source', 'source', 'test', 'test', 'test', 'config', 'source', 'other', 'config'][i + 1] END AS role,
+               ['TypeScript', 'Go', 'Python', 'TypeScript', 'Go', 'JavaScript', 'Python', 'Other', 'Other'][i + 1] AS language FROM x
+        UNION ALL SELECT DISTINCT 'a' || p_size || '/package.json', NULL, 'config', 'Other' FROM part WHERE p_size % 2 = 0""",
+    "scan_folder": """SELECT c_nationkey::BIGINT AS k, '{"c":' || c_custkey || ',"s":"' || c_mktsegment || '"}' AS line FROM customer WHERE c_nationkey <> 7""",
     "focus_node": f"SELECT n.id, coalesce(degree, 0) AS degree FROM {_NODES} n LEFT JOIN {_DEGREES} d ON d.id = n.id WHERE kind <> 'external' ORDER BY degree DESC NULLS LAST, label, n.id LIMIT 1",
     "focus_preferred": f"SELECT n.id, coalesce(degree, 0) AS degree FROM {_NODES} n LEFT JOIN {_DEGREES} d ON d.id = n.id WHERE n.id = '21'",
     "focus_counts": f"SELECT count(*) FILTER (dst = '7') AS arriving, count(*) FILTER (src = '7') AS leaving FROM {_EDGES} WHERE src <> dst",
