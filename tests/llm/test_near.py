@@ -127,6 +127,30 @@ def test_a_segment_of_very_many_lines_is_split(spark, monkeypatch):
     assert sortable(dedup_lines(frame(spark, rows)).collect()) == sortable(lines_expected(rows))
 
 
+def test_segments_known_to_be_hot_never_meet(spark, monkeypatch):
+    """Where a sample tells of a segment that very many lines have, they are dealt by line and split at once; results stay the same."""
+    rng = random.Random(14)
+    lines = [f"Copyright notice of this page: {''.join(rng.choice('abcdefgh') for _ in range(24))} - all rights are reserved" for _ in range(90)]
+    lines += [edited(rng, x, 2, "abc") for x in lines[:15]] + [f"{x} and {i}" for i, x in enumerate(lines[:9])]
+    rows = [(i, x + "\n" + lines[i % 7], "en", "s", 1, "x", "y", "z", 1) for i, x in enumerate(lines)]
+    expected = sortable(lines_expected(rows))
+    docs = keyed(frame(spark, rows))
+    assert len(line_dedup.frequent(docs, 2, 30)) == 0
+    for cell, far, sampled in ((15, 1, 1), (4, 2, 1), (4, 1, 3)):
+        monkeypatch.setattr(line_dedup, "CELL", cell)
+        monkeypatch.setattr(line_dedup, "FAR", far)
+        monkeypatch.setattr(line_dedup, "SAMPLED", sampled)
+        assert len(line_dedup.frequent(docs, 2, 30)) > 0
+        assert sortable(dedup_lines(frame(spark, rows)).collect()) == expected
+    # Direct rows are one for each cell and line, whatever number of blocks has the line.
+    known = line_dedup.frequent(docs, 2, 30)
+    given = [(line_dedup._id(x), *line_dedup.signatures(x, 2, 30)) for x in lines[:40]]
+    made = [b for _ in range(3) for b in line_dedup._emitted(iter(given), 16, known)]
+    met = [(c, x) for b in line_dedup._meetings(iter(made), 4, False) for c, x, hot in zip(*(b.column(n).to_pylist() for n in ("cell", "line", "hot"))) if hot]
+    cells = {(line_dedup._cell(h, 16) - (1 << 64 if line_dedup._cell(h, 16) >> 63 else 0), line) for line, own, probes in given for h in own + probes if h in set(known.tolist())}
+    assert cells <= set(met)
+
+
 def test_short_lines_go_where_they_repeat_exactly(spark):
     hot = "All rights reserved"
     rows = [(i, f"own text {i} of this row\n  {hot}\n\n{hot if i % 2 else hot + '.'}", "en", "s", 1, "x", "y", "z", 1) for i in range(30)]

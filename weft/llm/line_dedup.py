@@ -30,6 +30,8 @@ BLANK = " \t\n\x0b\x0c\r"
 BROADCAST_LINES = 500_000
 #: Lines with a signature in common that are compared with one another; more of them are split by what lies beside it, so many times.
 CELL, DEPTH = 4096, 5
+#: One of so many documents tells which signatures have FAR times as many lines as a cell takes; those lines are split at once, without meeting.
+SAMPLED, FAR, MOST_TOLD = 64, 8, 1 << 16
 CLASSES = 16
 
 
@@ -183,15 +185,33 @@ def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.select("_o", "_k", "text").mapInArrow(each, "line long, o long, k long, i int, n int, x long, y long")
 
 
+def frequent(docs: DataFrame, threshold: int, min_chars: int) -> np.ndarray:
+    """Signatures, in order, that very many lines have, as far as a sample of the documents tells. They are few, as each has a great share of
+    all lines, and the most frequent ones are told if not; what is missed meets first and is split then, so results don't depend on it."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            lines = {s for t in block.column("text").to_pylist() for _, s in _lines(t, min_chars)}
+            found = np.array([h for s in lines for part in signatures(s, threshold, min_chars) for h in part], dtype=np.uint64)
+            h, n = np.unique(found, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    sample = docs.where(F.pmod(F.xxhash64("_k"), F.lit(SAMPLED)) == 0).select("text")
+    counts = sample.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") * SAMPLED >= FAR * CELL)
+    told = counts.orderBy(F.desc("n"), "h").limit(MOST_TOLD).select("h").toArrow().column("h").to_numpy()
+    return np.sort(told.astype(np.int64).view(np.uint64))
+
+
 def meetings(docs: DataFrame, threshold: int, min_chars: int) -> DataFrame:
     """cell, line, indexed: lines that share a signature, in cells of at most CELL lines; of the few that still share more
     after DEPTH splits, in cells of CELL indexed and CELL other lines."""
     buckets, most, depth = spread(docs), CELL, DEPTH
+    known = frequent(docs, threshold, min_chars) if depth else None
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             lines = {_id(s): s for t in block.column("text").to_pylist() for _, s in _lines(t, min_chars)}
-            yield from _emitted(((line, *signatures(s, threshold, min_chars)) for line, s in lines.items()), buckets)
+            yield from _emitted(((line, *signatures(s, threshold, min_chars)) for line, s in lines.items()), buckets, known)
 
     def again(level: int):
         def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,8 +241,9 @@ def meetings(docs: DataFrame, threshold: int, min_chars: int) -> DataFrame:
     return reduce(DataFrame.unionByName, found).select("cell", "line", "indexed")
 
 
-def _emitted(lines: Iterator[tuple[int, list[int], list[int]]], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Signatures with the lines that have them (odd: as their own segment), a row for each bucket."""
+def _emitted(lines: Iterator[tuple[int, list[int], list[int]]], buckets: int, known: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Signatures with the lines that have them (odd: as their own segment), a row for each bucket. Those of known hot signatures are dealt by
+    line, to buckets of negative numbers, with their cells."""
     h, who = [], []
     for line, own, probes in lines:
         h += own + probes
@@ -230,6 +251,14 @@ def _emitted(lines: Iterator[tuple[int, list[int], list[int]]], buckets: int) ->
     if not h:
         return
     h, who = np.array(h, dtype=np.uint64), np.array(who, dtype=np.int64)
+    if known is not None and len(known):
+        hot = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+        if hot.any():
+            cell = (h[hot] & np.uint64((1 << 40) - 1)) << np.uint64(16) ^ (h[hot] >> np.uint64(40)) % np.uint64(buckets)
+            yield _dealt_by_line(cell.view(np.int64), who[hot], buckets)
+            h, who = h[~hot], who[~hot]
+            if not len(h):
+                return
     bucket = ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
     order, new = groups(bucket)
     first = np.flatnonzero(new)
@@ -238,6 +267,15 @@ def _emitted(lines: Iterator[tuple[int, list[int], list[int]]], buckets: int) ->
     yield pa.RecordBatch.from_arrays([pa.array(bucket[order][first]), pa.array(packed, pa.binary())], names=["bucket", "rows"])
 
 
+def _dealt_by_line(cell: np.ndarray, who: np.ndarray, buckets: int) -> pa.RecordBatch:
+    bucket = -1 - ((who.view(np.uint64) >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+    order, new = groups(bucket)
+    first = np.flatnonzero(new)
+    both = np.stack([cell, who], axis=1)[order]
+    packed = [both[a:b].tobytes() for a, b in zip(first.tolist(), np.append(first[1:], len(order)).tolist())]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[order][first].astype(np.int32)), pa.array(packed, pa.binary())], names=["bucket", "rows"])
+
+
 def _meetings(batches: Iterator[pa.RecordBatch], most: int, last: bool) -> Iterator[pa.RecordBatch]:
     """The cells of the buckets of a partition; those of too many lines are marked hot, or at last cut into tiles."""
     by_bucket: dict[int, list[bytes]] = {}
@@ -246,6 +284,10 @@ def _meetings(batches: Iterator[pa.RecordBatch], most: int, last: bool) -> Itera
             by_bucket.setdefault(bucket, []).append(packed)
     while by_bucket:
         bucket, rows = by_bucket.popitem()
+        if bucket < 0:
+            both = np.unique(np.frombuffer(b"".join(rows), dtype=np.int64).reshape(-1, 2), axis=0)
+            yield _met(both[:, 0].copy(), both[:, 1] & ~1, both[:, 1] & 1, True)
+            continue
         h, who = (np.concatenate(x) for x in zip(*map(_unpack, rows)))
         order, new = groups(h, who)
         fresh = np.ones(len(h), dtype=bool)
