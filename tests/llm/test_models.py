@@ -310,3 +310,16 @@ def test_shouting_counts_over_the_whole_text():
     assert upper not in voters.fired(" ".join(["SHOUTED"] * 45 + calm))[0]
     assert upper not in voters.fired(" ".join(calm))[0] and upper not in voters.fired("")[0]
     assert voters.fired("Moron MORON moron OK") == ([0, upper], 3, 4)
+
+
+def test_all_voters_that_the_sample_gives(spark):
+    """700 words that only toxic rows hold: all are voters where no number bounds them, else the first by gain, then name."""
+    names = [f"bad{i:03d}" for i in range(700)]
+    rows = [(" ".join(names), 1)] * 3 + [(f"calm words number {i}", 0) for i in range(300)]
+    sample = spark.createDataFrame(rows, "text string, toxic int")
+    every, _ = weak.find_voters(sample, None)
+    assert set(names) <= set(every)
+    few, _ = weak.find_voters(sample, 10)
+    found = lambda xs: [x for x in xs if x.startswith("bad")]
+    assert len(found(few)) <= 10 and set(few) < set(every)
+    assert len(found(weak.find_voters(sample)[0])) <= weak.VOTERS
