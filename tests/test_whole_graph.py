@@ -39,3 +39,19 @@ def test_components_of_every_line(spark, folder):
         for a, b, _ in edges:
             root[a] = root[b] = min(root[a], root[b])
     assert {r.node: r.root for r in queries.component_roots(spark, path).collect()} == root
+
+
+def test_ends_meet_once_and_levels_are_written_once(spark, monkeypatch):
+    from weft.operators import communities, graph
+
+    nodes = spark.createDataFrame([(i, "module") for i in range(8)], "id long, kind string")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(6)] * 50, "src long, dst long")
+    assert [r.id for r in graph.isolated(nodes, edges).collect()] == [7]
+    assert "Aggregate" in graph.isolated(nodes, edges)._jdf.queryExecution().optimizedPlan().toString()
+    written = []
+    keep = communities.saved
+    monkeypatch.setattr(communities, "saved", lambda frame: written.append(keep(frame)) or written[-1])
+    found = communities.breadth_first(nodes.select("id"), edges)
+    assert found.count() == 8
+    rows = sum(f.count() for f in written if "way" in f.columns)
+    assert rows == 8
